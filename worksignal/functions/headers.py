@@ -18,7 +18,7 @@ from worksignal.functions.text import SPACE, lines_of, not_blank, strip
 
 def thread_id(subject: Column) -> Column:
     """Subject without repeated reply prefixes, spaces collapsed, lower-cased."""
-    bare = F.regexp_replace(subject, f"(?i)^(?:(?:Re|Fwd|Fw){SPACE}*:{SPACE}*)+", "")
+    bare = F.regexp_replace(subject, f"(?i)^(?:(?:Re|Fwd|Fw){SPACE}*:{SPACE}*)++", "")
     return F.lower(strip(F.regexp_replace(bare, f"{SPACE}+", " ")))
 
 

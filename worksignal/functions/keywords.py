@@ -14,8 +14,8 @@ from worksignal.functions.constants import (
 )
 from worksignal.functions.text import WORD
 
-_WORDS_OF_TEXT = f"(?<!{WORD})[a-z]+(?!{WORD})"
-_GLUED_RUNS = "[\\p{L}\\p{N}_'-]*['-][\\p{L}\\p{N}_'-]*"
+_WORDS_OF_TEXT = f"(?<!{WORD})[a-z]++(?!{WORD})"
+_GLUED_RUNS = f"(?<![\\p{{L}}\\p{{N}}_'-]){WORD}*+['-][\\p{{L}}\\p{{N}}_'-]*+"
 
 
 def title_keywords(title: Column, min_length: int = MIN_KEYWORD_LENGTH) -> Column:

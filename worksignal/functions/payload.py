@@ -9,7 +9,8 @@ from worksignal.functions.text import not_blank, strip
 
 _FENCE = "(?s)```(?:json)?\\s*\\n?(.*?)\\n?```"
 _BRACES = "(?s)\\{.*\\}"
-_LITERAL = '"(?:[^"\\\\]|\\\\.)*"(?:\\s*:)?'
+# Possessive throughout: a literal may be a whole document.
+_LITERAL = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"(?:\\s*+:)?'
 
 
 def extract_json(text: Column) -> Column:
@@ -69,12 +70,19 @@ def _item_errors(key: str, items: Column, required) -> Column:
     return F.array_compact(F.transform(items, check))
 
 
+def _parsed(json_text: Column) -> Column:
+    """The text as a variant, NULL unless the whole text is one JSON value."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
+    values = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def schema_errors(json_text: Column, required: dict) -> Column:
     """Shape errors of a JSON text; an empty array means it is valid.
 
     `required` maps each top-level key to the keys its items must have.
     """
-    parsed = F.try_parse_json(json_text)
+    parsed = _parsed(json_text)
     empty = F.array().cast("array<string>")
     per_key = []
     for key, fields in required.items():

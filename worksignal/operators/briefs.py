@@ -164,17 +164,27 @@ def freshness_notice(brief: Column) -> Column:
     return F.when(body.startswith(">"), body).otherwise(F.lit(""))
 
 
-_SUFFIX = "^(.*?) _\\[source: ((?:(?! _\\[source: ).)+)\\]_$"
+_TAG = " _[source: "
 _KIND = "^(.*)\\s\\((embedding-matched|inferred)\\)$"
 
 
+def _tag_start(line: Column) -> Column:
+    """1-based position of a line's closing citation tag, 0 where it has none."""
+    parts = F.split(line, " _\\[source: ")
+    before = F.length(line) - F.length(F.element_at(parts, -1)) - len(_TAG) + 1
+    return F.when((F.size(parts) > 1) & line.endswith("]_"), before).otherwise(F.lit(0))
+
+
 def line_text(line: Column) -> Column:
-    return F.when(line.rlike(_SUFFIX), F.regexp_extract(line, _SUFFIX, 1)).otherwise(line)
+    start = _tag_start(line)
+    return F.when(start > 0, F.substring(line, F.lit(1), start - 1)).otherwise(line)
 
 
 def line_citations(line: Column) -> Column:
     """Citations of one line: array of (source, ref, matched_via)."""
-    blob = F.regexp_extract(line, _SUFFIX, 2)
+    start = _tag_start(line)
+    inner = F.substring(line, start + len(_TAG), F.length(line) - start - len(_TAG) - 1)
+    blob = F.when(start > 0, inner).otherwise(F.lit(""))
     kind = F.regexp_extract(blob, _KIND, 2)
     via = F.when(kind == "inferred", F.lit("llm")).when(kind == "embedding-matched", F.lit("embedding")).otherwise(F.lit("keyword"))
     refs = F.when(kind != "", F.regexp_extract(blob, _KIND, 1)).otherwise(blob)

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from worksignal.functions.keywords import prose_keywords, title_keywords
 from worksignal.functions.text import WORD, identifiers, not_blank, strip
 
-_GRAM = 8
-
-
-def _grams(text: Column) -> Column:
-    """All distinct substrings of up to 8 characters, of a short text."""
-    def of_length(n):
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))
-        )
-    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, _GRAM + 1)]))
+def _parts(text: Column, lengths: Column) -> Column:
+    """All distinct substrings of a short text that have one of the given lengths."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(text))
+    return F.array_distinct(F.flatten(F.transform(
+        fitting,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
+    )))
 
 
 def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -25,7 +22,7 @@ def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
 
     An exact id wins. Otherwise the first task, by id, whose title equals the entity, whose id
     the entity starts with, or whose title the entity contains. Each rule is an equality join: on
-    the id, on prefixes of the entity, or on the title's first characters found in the entity.
+    the id, on prefixes of the entity, or on its parts as long as some title. Entities are short.
     """
     keys = ["tenant_id", "claim_id"]
     said = claims.select(*keys, "entity", F.lower(strip(F.col("entity"))).alias("e"))
@@ -41,11 +38,12 @@ def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
                                         lambda n: F.substring(F.col("e"), F.lit(1), n)))
     )
     by_prefix = prefixes.join(known, ["tenant_id", "low_id"]).select(*keys, "task_id", F.lit(1).alias("rule"))
-    titled = known.filter("low_title <> ''").withColumn("gram", F.substring("low_title", 1, _GRAM))
+    titled = known.filter("low_title <> ''")
+    lengths = titled.groupBy("tenant_id").agg(F.collect_set(F.length("low_title")).alias("lengths"))
     by_title = (
-        said.withColumn("gram", F.explode(_grams(F.col("e"))))
-        .join(titled, ["tenant_id", "gram"])
-        .filter(F.contains("e", "low_title"))
+        said.join(lengths, "tenant_id")
+        .withColumn("low_title", F.explode(_parts(F.col("e"), F.col("lengths"))))
+        .join(titled, ["tenant_id", "low_title"])
         .select(*keys, "task_id", F.lit(1).alias("rule"))
     )
     return exact.unionByName(by_prefix).unionByName(by_title).groupBy(*keys).agg(

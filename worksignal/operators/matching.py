@@ -4,9 +4,8 @@ claims: (tenant_id, claim_id, text); sources: (tenant_id, source, ref, text) wit
 (tenant_id, source, ref). A source matches a claim when it mentions at least
 `max(2, 40 % of the claim's keywords)`.
 
-Comparing every claim with every source is replaced by an inverted index with prefix filtering:
-to reach `t` of `n` keywords, a source must mention one of the claim's `n - t + 1` rarest, so only
-those are looked up. The few candidate pairs are then counted exactly.
+Comparing every claim with every source is replaced by an inverted index with prefix filtering: the
+claim's rarest keywords are looked up, and only sources sharing enough of them are counted exactly.
 """
 
 from __future__ import annotations
@@ -97,24 +96,29 @@ def claim_keywords(claims: DataFrame, counts: DataFrame, threshold: float | None
 
 
 def candidate_pairs(wanted: DataFrame, index: DataFrame, salts: int = _SALTS) -> DataFrame:
-    """Distinct (claim, source) pairs sharing one of the claim's looked-up words.
+    """(claim, source) pairs that may reach the bar.
 
-    The lookup is salted: a word found in a large share of the sources is spread over `salts`
-    tasks, while the short claim side is repeated that often.
+    A source mentioning `needed` of `n` keywords mentions at least `h` of the `n - needed + h`
+    rarest. With `h` half of `needed`, words shared by chance hardly ever make a candidate. Hits of
+    one pair come from one source row, so they combine before the shuffle. The lookup is salted: a
+    word found in a large share of the sources is spread over `salts` tasks, while the short claim
+    side is repeated that often.
     """
-    looked_up = F.slice("keywords", F.lit(1), F.col("n_keywords") - F.col("needed") + 1)
-    probes = wanted.select(
-        "tenant_id",
-        "claim_id",
-        F.explode(F.array_distinct(F.transform(looked_up, index_word))).alias("word"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    half = F.greatest(F.lit(1), F.floor(F.col("needed") / 2).cast("int"))
+    looked_up = F.slice("keywords", F.lit(1), F.col("n_keywords") - F.col("needed") + half)
+    probes = (
+        wanted.select("tenant_id", "claim_id", half.alias("h"), F.explode(F.transform(looked_up, index_word)).alias("word"))
+        .groupBy("tenant_id", "claim_id", "h", "word")
+        .agg(F.count("*").alias("weight"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
     postings = index.select(
         *_REF,
         F.explode("words").alias("word"),
         F.pmod(F.xxhash64("source", "ref"), F.lit(salts)).cast("int").alias("salt"),
     )
-    pairs = postings.join(probes, ["tenant_id", "word", "salt"])
-    return pairs.select(*_REF, "claim_id").distinct()
+    hits = postings.join(probes, ["tenant_id", "word", "salt"]).groupBy(*_REF, "claim_id", "h")
+    return hits.agg(F.sum("weight").alias("hits")).filter("hits >= h").select(*_REF, "claim_id")
 
 
 def keyword_matches(

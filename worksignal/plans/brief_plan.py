@@ -160,7 +160,7 @@ def write_briefs(
 
     multi = crossref.multi_source_tasks(mentions)
     asked = model_stage.requests(contradiction_units(mentions, multi), "contradictions", "")
-    accepted, _ = model_stage.check(model_stage.infer(asked, answer["contradictions"]), CONTRADICTION_SCHEMA)
+    accepted, _ = model_stage.check(model_stage.ask(asked, answer["contradictions"]), CONTRADICTION_SCHEMA)
     kept, dropped = grounding.ground_contradictions(
         contradiction_claims(model_stage.payload_items(accepted)), multi
     )
@@ -169,11 +169,11 @@ def write_briefs(
     units = context.select("tenant_id", F.lit("brief").alias("unit_key"), "page", F.col("text").alias("user_text"))
     if variant == "single_call":
         told, _ = model_stage.check(
-            model_stage.infer(model_stage.requests(units, "synthesis", ""), answer["synthesis"]), SYNTHESIS_SCHEMA
+            model_stage.ask(model_stage.requests(units, "synthesis", ""), answer["synthesis"]), SYNTHESIS_SCHEMA
         )
         narrative, dispatches = synthesis_rows(told)
     else:
-        told, _ = model_stage.check(model_stage.infer(model_stage.requests(units, "narrative", ""), answer["narrative"]), {})
+        told, _ = model_stage.check(model_stage.ask(model_stage.requests(units, "narrative", ""), answer["narrative"]), {})
         narrative, _ = synthesis_rows(told)
         known = F.concat(
             F.col("user_text"), F.lit("\n\n---\n\nNARRATIVE ALREADY WRITTEN:\nwhat_matters_today:\n"),
@@ -181,7 +181,7 @@ def write_briefs(
         )
         second = units.join(narrative, "tenant_id").select("tenant_id", "unit_key", "page", known.alias("user_text"))
         listed, _ = model_stage.check(
-            model_stage.infer(model_stage.requests(second, "dispatch", ""), answer["dispatch"]), SYNTHESIS_SCHEMA
+            model_stage.ask(model_stage.requests(second, "dispatch", ""), answer["dispatch"]), SYNTHESIS_SCHEMA
         )
         dispatches = dispatch_rows(listed)
 
@@ -193,7 +193,7 @@ def write_briefs(
         F.concat(F.lit("Dispatchable items:\n\n"), F.col("text")).alias("user_text"),
     )
     drafted, _ = model_stage.check(
-        model_stage.infer(model_stage.requests(draft_units, "drafts", ""), answer["drafts"]), DRAFT_SCHEMA
+        model_stage.ask(model_stage.requests(draft_units, "drafts", ""), answer["drafts"]), DRAFT_SCHEMA
     )
     with_drafts = grounding.attach_drafts(dispatches, draft_rows(drafted))
     dispatch_text = dispatches.groupBy("tenant_id").agg(
@@ -248,7 +248,7 @@ def judge_evidence(accepted: DataFrame, claims: DataFrame) -> DataFrame:
 def judged_matches(claims, sources, common, judge) -> DataFrame:
     """Matches a model proposes for the claims, as far as its evidence holds."""
     reqs = model_stage.requests(judge_units(claims, sources), "judge", "")
-    accepted, _ = model_stage.check(model_stage.infer(reqs, judge), JUDGE_SCHEMA)
+    accepted, _ = model_stage.check(model_stage.ask(reqs, judge), JUDGE_SCHEMA)
     rated = grounding.ground_evidence(
         judge_evidence(accepted, claims), claims, grounding.last_per_ref(sources), common
     )
@@ -286,6 +286,6 @@ def structured_items(accepted: DataFrame, sources: DataFrame, reference_date) ->
 def write_structured(context: DataFrame, sources: DataFrame, answer, reference_date) -> DataFrame:
     units = context.select("tenant_id", F.lit("items").alias("unit_key"), "page", F.col("text").alias("user_text"))
     accepted, _ = model_stage.check(
-        model_stage.infer(model_stage.requests(units, "structured", ""), answer), STRUCTURED_SCHEMA
+        model_stage.ask(model_stage.requests(units, "structured", ""), answer), STRUCTURED_SCHEMA
     )
     return structured_items(accepted, sources, reference_date)

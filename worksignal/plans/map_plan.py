@@ -116,7 +116,7 @@ def note_units(notes: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def accept(
-    reqs: DataFrame, responses: DataFrame, facts: DataFrame, source: str, variant: str,
+    responses: DataFrame, facts: DataFrame, source: str, variant: str,
     unit_days: DataFrame, fact_items: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, items, rejected) of a source's responses.
@@ -125,7 +125,7 @@ def accept(
     accepted enter the ledger.
     """
     accepted, rejected = model_stage.check(responses, MAP_SCHEMAS[(source, variant)])
-    done = model_stage.whole_units(accepted, reqs)
+    done = model_stage.whole_units(accepted, responses)
     keys = ["tenant_id", "unit_key"]
     entries = done.join(facts, keys).join(unit_days, keys).select(
         "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"), "day", "note_id",
@@ -157,7 +157,7 @@ def map_mail(emails, processed, answer, system_text="", variant="persona", **win
     """The mail map stage from rows to (entries, items, rejected)."""
     todo = new_days(emails, processed, "email", **window)
     reqs = model_stage.requests(mail_units(emails, todo), "email", system_text)
-    return accept(reqs, model_stage.infer(reqs, answer), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
+    return accept(model_stage.ask(reqs, answer), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
 
 
 def map_calendar(events, processed, answer, system_text="", variant="persona", **window):
@@ -165,11 +165,11 @@ def map_calendar(events, processed, answer, system_text="", variant="persona", *
     chosen = days.of_days(events, todo)
     facts = calendar_facts(chosen)
     reqs = model_stage.requests(calendar_units(events, todo, facts), "calendar", system_text)
-    return accept(reqs, model_stage.infer(reqs, answer), facts, "calendar", variant, day_units(todo), calendar_fact_items(chosen))
+    return accept(model_stage.ask(reqs, answer), facts, "calendar", variant, day_units(todo), calendar_fact_items(chosen))
 
 
 def map_notes(notes, processed, answer, reference_date, system_text="", variant="persona"):
     todo = days.unprocessed(notes, processed, "notes", "note_id")
     stats = note_signals.note_stats(todo, reference_date)
     reqs = model_stage.requests(note_units(todo, stats), "notes", system_text)
-    return accept(reqs, model_stage.infer(reqs, answer), note_facts(stats), "notes", variant, note_day_units(todo), note_fact_items(stats))
+    return accept(model_stage.ask(reqs, answer), note_facts(stats), "notes", variant, note_day_units(todo), note_fact_items(stats))

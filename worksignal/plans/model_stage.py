@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
+from worksignal.session import shared_dir
 
 _KEYS = ["tenant_id", "stage", "unit_key", "page"]
 
@@ -46,6 +47,16 @@ def infer(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     return reqs.mapInPandas(run, schemas.RESPONSES)
 
 
+def ask(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
+    """Responses written to the shared folder, so that no request is ever asked twice.
+
+    Everything later reads the stored answers: recomputing a lost partition downstream, or using
+    the responses in several places, does not call the model again.
+    """
+    shared_dir(reqs.sparkSession)
+    return infer(reqs, answer).checkpoint()
+
+
 def check(responses: DataFrame, required: dict) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected). Accepted rows carry the JSON as `payload`; rejected ones their `errors`."""
     payload = extract_json(F.col("response"))
@@ -80,8 +91,8 @@ def payload_items(accepted: DataFrame) -> DataFrame:
     )
 
 
-def whole_units(accepted: DataFrame, reqs: DataFrame) -> DataFrame:
+def whole_units(accepted: DataFrame, responses: DataFrame) -> DataFrame:
     """(tenant_id, unit_key) of units all of whose pages were accepted."""
-    wanted = reqs.groupBy("tenant_id", "unit_key").agg(F.count("*").alias("n_pages"))
+    asked = responses.groupBy("tenant_id", "unit_key").agg(F.count("*").alias("n_pages"))
     got = accepted.groupBy("tenant_id", "unit_key").agg(F.count("*").alias("n_accepted"))
-    return wanted.join(got, ["tenant_id", "unit_key"]).filter("n_pages = n_accepted").select("tenant_id", "unit_key")
+    return asked.join(got, ["tenant_id", "unit_key"]).filter("n_pages = n_accepted").select("tenant_id", "unit_key")

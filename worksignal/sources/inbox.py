@@ -60,7 +60,7 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [part.split()[0] for part in _DECODED.split(", ")]
     for batch in batches:
         rows = [_decode(*values) for values in zip(batch.tenant_id, batch.filename, batch.content)]
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
 def parse_messages(raw: DataFrame, hot: bool = False) -> DataFrame:
