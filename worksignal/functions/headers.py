@@ -13,7 +13,7 @@ from worksignal.functions.constants import (
     SIGNATURE_LINES,
     SIGNATURE_PREFIXES,
 )
-from worksignal.functions.text import SPACE, lines_of, not_blank, strip
+from worksignal.functions.text import SPACE, let, lines_of, not_blank, strip
 
 
 def thread_id(subject: Column) -> Column:
@@ -56,18 +56,21 @@ def sender_domain(address: Column) -> Column:
 
 def clean_body(body: Column, limit: int = BODY_LIMIT) -> Column:
     """Cut the signature found in the last lines, strip, and cap the length with a marker."""
-    lines = lines_of(F.coalesce(body, F.lit("")))
-    tail_from = F.greatest(F.size(lines) - SIGNATURE_LINES + 1, F.lit(1))
-    tail = F.slice(lines, tail_from, F.lit(SIGNATURE_LINES))
-    starts = F.transform(
-        tail,
-        lambda line: F.greatest(
-            *[F.lower(strip(line)).startswith(prefix) for prefix in SIGNATURE_PREFIXES]
-        ),
+
+    def without_signature(lines):
+        tail_from = F.greatest(F.size(lines) - SIGNATURE_LINES + 1, F.lit(1))
+        starts = F.transform(
+            F.slice(lines, tail_from, F.lit(SIGNATURE_LINES)),
+            lambda line: let(F.lower(strip(line)), lambda head: F.greatest(*[head.startswith(p) for p in SIGNATURE_PREFIXES])),
+        )
+        keep = let(
+            F.array_position(starts, True).cast("int"),
+            lambda cut: F.when(cut > 0, tail_from + cut - 2).otherwise(F.size(lines)),
+        )
+        return strip(F.array_join(F.slice(lines, F.lit(1), keep), "\n"))
+
+    text = let(lines_of(F.coalesce(body, F.lit(""))), without_signature)
+    return let(
+        text,
+        lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit(BODY_TRUNCATED))).otherwise(t),
     )
-    cut = F.array_position(starts, True)
-    keep = F.when(cut > 0, tail_from + cut.cast("int") - 2).otherwise(F.size(lines))
-    text = strip(F.array_join(F.slice(lines, F.lit(1), keep), "\n"))
-    return F.when(
-        F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(BODY_TRUNCATED))
-    ).otherwise(text)

@@ -12,7 +12,7 @@ from worksignal.functions.constants import (
     PROSE_STOP_WORDS,
     TITLE_STOP_WORDS,
 )
-from worksignal.functions.text import WORD
+from worksignal.functions.text import WORD, let
 
 _WORDS_OF_TEXT = f"(?<!{WORD})[a-z]++(?!{WORD})"
 _GLUED_RUNS = f"(?<![\\p{{L}}\\p{{N}}_'-]){WORD}*+['-][\\p{{L}}\\p{{N}}_'-]*+"
@@ -87,10 +87,9 @@ def mentions(words: Column, glued: Column, keywords: Column) -> Column:
 
 def excerpt(text: Column, keywords: Column, window: int = EXCERPT_WINDOW) -> Column:
     """A window of text around the earliest plain occurrence of a keyword."""
-    lowered = F.lower(text)
-    hits = F.filter(
-        F.transform(keywords, lambda k: F.position(F.lower(k), lowered)),
-        lambda p: p > 0,
-    )
-    start = F.greatest(F.lit(1), F.coalesce(F.array_min(hits), F.lit(1)) - window // 2)
-    return F.substring(text, start, F.lit(window))
+
+    def around(lowered):
+        hits = F.filter(F.transform(keywords, lambda k: F.position(F.lower(k), lowered)), lambda p: p > 0)
+        return F.greatest(F.lit(1), F.coalesce(F.array_min(hits), F.lit(1)) - window // 2)
+
+    return F.substring(text, let(F.lower(text), around), F.lit(window))

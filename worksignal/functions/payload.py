@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from worksignal.functions.text import not_blank, strip
+from worksignal.functions.text import let, not_blank, strip
 
 _FENCE = "(?s)```(?:json)?\\s*\\n?(.*?)\\n?```"
 _BRACES = "(?s)\\{.*\\}"
@@ -54,17 +54,17 @@ def _type_name(value: Column) -> Column:
 def _item_errors(key: str, items: Column, required) -> Column:
     def check(item, index):
         name = F.concat(F.lit(f"'{key}["), index.cast("string"), F.lit("]'"))
-        parts = [
+        missing = F.array_compact(F.array(*[
             F.when(F.try_variant_get(item, f"$.{field}", "variant").isNull(), F.lit(f"'{field}'"))
             for field in required
-        ]
-        missing = F.array_compact(F.array(*parts))
-        return F.when(
-            _type_name(item) != "dict",
-            F.concat(name, F.lit(" expected an object, got "), _type_name(item)),
-        ).when(
-            F.size(missing) > 0,
-            F.concat(name, F.lit(" missing keys: ["), F.array_join(missing, ", "), F.lit("]")),
+        ]))
+        return let(
+            _type_name(item),
+            lambda kind: F.when(kind != "dict", F.concat(name, F.lit(" expected an object, got "), kind)).otherwise(
+                let(missing, lambda m: F.when(
+                    F.size(m) > 0, F.concat(name, F.lit(" missing keys: ["), F.array_join(m, ", "), F.lit("]"))
+                ))
+            ),
         )
 
     return F.array_compact(F.transform(items, check))
@@ -82,28 +82,30 @@ def schema_errors(json_text: Column, required: dict) -> Column:
 
     `required` maps each top-level key to the keys its items must have.
     """
-    parsed = _parsed(json_text)
-    empty = F.array().cast("array<string>")
-    per_key = []
-    for key, fields in required.items():
-        value = F.try_variant_get(parsed, f"$.{key}", "variant")
-        items = F.try_variant_get(parsed, f"$.{key}", "array<variant>")
-        per_key.append(
-            F.when(value.isNull(), F.array(F.lit(f"Missing top-level key: '{key}'")))
-            .when(
-                _type_name(value) != "list",
-                F.array(F.concat(F.lit(f"Expected '{key}' to be a list, got "), _type_name(value))),
-            )
-            .otherwise(_item_errors(key, items, fields) if fields else empty)
+    none = F.array().cast("array<string>")
+
+    def key_errors(parsed, key, fields):
+        return let(
+            F.try_variant_get(parsed, f"$.{key}", "variant"),
+            lambda value: F.when(value.isNull(), F.array(F.lit(f"Missing top-level key: '{key}'"))).otherwise(let(
+                _type_name(value),
+                lambda kind: F.when(
+                    kind != "list", F.array(F.concat(F.lit(f"Expected '{key}' to be a list, got "), kind))
+                ).otherwise(
+                    _item_errors(key, F.try_variant_get(value, "$", "array<variant>"), fields) if fields else none
+                ),
+            )),
         )
-    return (
-        F.when(parsed.isNull(), F.array(F.lit("Not a JSON text")))
-        .when(
-            _type_name(parsed) != "dict",
-            F.array(F.concat(F.lit("Expected a JSON object at top level, got "), _type_name(parsed))),
+
+    def errors(parsed):
+        kind = _type_name(parsed)
+        return (
+            F.when(parsed.isNull(), F.array(F.lit("Not a JSON text")))
+            .when(kind != "dict", F.array(F.concat(F.lit("Expected a JSON object at top level, got "), kind)))
+            .otherwise(F.concat(none, *[key_errors(parsed, key, fields) for key, fields in required.items()]))
         )
-        .otherwise(F.concat(empty, *per_key))
-    )
+
+    return let(_parsed(json_text), errors)
 
 
 def field(json_text: Column, name: str) -> Column:

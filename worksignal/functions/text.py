@@ -12,6 +12,11 @@ SPACE = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Drop leading and trailing Unicode whitespace."""
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
@@ -19,15 +24,17 @@ def strip(col: Column) -> Column:
 
 def lines_of(col: Column) -> Column:
     """All lines of a text; a final line break does not open another line."""
-    parts = F.split(col, LINE_BREAK)
-    trailing = F.element_at(parts, -1) == ""
-    return F.when(trailing, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(col, LINE_BREAK),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words."""
-    stripped = strip(col)
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"{SPACE}+")))
+    return let(strip(col), lambda text: F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, f"{SPACE}+"))))
 
 
 def any_of(col: Column, needles) -> Column:
