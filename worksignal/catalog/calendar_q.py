@@ -13,12 +13,12 @@ SELECT CAST(user_id AS VARCHAR) AS tenant_id, printf('%012d', event_id) AS uid,
        CASE WHEN event_type = 'error' AND value > 20 THEN 'declined' WHEN event_type = 'purchase' THEN 'focus' ELSE 'meeting' END AS kind,
        CASE event_type WHEN 'click' THEN 'one_on_one' WHEN 'view' THEN 'external' WHEN 'signup' THEN 'internal_ceremony' ELSE 'other' END AS category,
        strftime(ts, '%Y-%m-%d') AS date_key, date_trunc('second', ts) AS s,
-       date_trunc('second', ts) + to_minutes(CAST(floor(value) AS INT)) AS e, CAST(floor(value) AS INT) / 60.0 AS hours
+       date_trunc('second', ts) + to_minutes(CAST(floor(value) AS INT)) AS e, CAST(floor(value) AS BIGINT) * 60000000 AS micros
 FROM events
 """
 _CONFLICTS = f"""
 SELECT f.tenant_id, f.date_key, f.uid AS focus_uid, m.uid AS meeting_uid, m.summary, m.s,
-       (epoch_us(least(f.e, m.e)) - epoch_us(greatest(f.s, m.s))) / 3.6e9 AS overlap_hours
+       epoch_us(least(f.e, m.e)) - epoch_us(greatest(f.s, m.s)) AS micros
 FROM ({CALENDAR_SQL}) f JOIN ({CALENDAR_SQL}) m ON f.tenant_id = m.tenant_id AND f.date_key = m.date_key
  AND f.s < m.e AND m.s < f.e WHERE f.kind = 'focus' AND m.kind = 'meeting' AND f.s < f.e AND m.s < m.e
 """
@@ -31,11 +31,11 @@ GROUP BY 1, 2
 
 @query("focus_conflicts", f"""
 SELECT tenant_id, date_key, focus_uid, meeting_uid, summary, strftime(s, '%Y-%m-%dT%H:%M:%S') AS start,
-       round(overlap_hours, 6) AS overlap_hours FROM ({_CONFLICTS})
+       round(micros / 3.6e9, 6) AS overlap_hours FROM ({_CONFLICTS})
 """)
 def focus_conflicts_q(spark, sf):
     found = calendar_signals.focus_conflicts(calendar(spark, sf))
-    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss")).withColumn(
+    return found.drop("overlap_micros").withColumn("start", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss")).withColumn(
         "overlap_hours", F.round("overlap_hours", 6)
     )
 
@@ -46,15 +46,15 @@ def back_to_back_q(spark, sf):
 
 
 @query("calendar_day_stats", f"""
-SELECT b.tenant_id, b.date_key, event_count, meeting_count, round(meeting_hours, 2) AS meeting_hours,
-       round(focus_hours, 2) AS focus_hours_scheduled,
-       round(greatest(0, focus_hours - coalesce(lost, 0)), 2) AS focus_hours_protected, round(coalesce(lost, 0), 2) AS focus_hours_eroded,
+SELECT b.tenant_id, b.date_key, event_count, meeting_count, CAST(printf('%.2f', CAST(meeting_hours AS DOUBLE) / 3.6e9) AS DOUBLE) AS meeting_hours,
+       CAST(printf('%.2f', CAST(focus_hours AS DOUBLE) / 3.6e9) AS DOUBLE) AS focus_hours_scheduled,
+       CAST(printf('%.2f', CAST(greatest(0, focus_hours - coalesce(lost, 0)) AS DOUBLE) / 3.6e9) AS DOUBLE) AS focus_hours_protected, CAST(printf('%.2f', CAST(coalesce(lost, 0) AS DOUBLE) / 3.6e9) AS DOUBLE) AS focus_hours_eroded,
        coalesce(back_to_back_count, 0) AS back_to_back_count, declined AS declined_or_cancelled_count
 FROM (SELECT tenant_id, date_key, count(*) AS event_count, count(*) FILTER (WHERE kind = 'meeting') AS meeting_count,
-             coalesce(sum(hours) FILTER (WHERE kind = 'meeting'), 0) AS meeting_hours,
-             coalesce(sum(hours) FILTER (WHERE kind = 'focus'), 0) AS focus_hours,
+             coalesce(sum(micros) FILTER (WHERE kind = 'meeting'), 0) AS meeting_hours,
+             coalesce(sum(micros) FILTER (WHERE kind = 'focus'), 0) AS focus_hours,
              count(*) FILTER (WHERE kind = 'declined') AS declined FROM ({CALENDAR_SQL}) GROUP BY 1, 2) b
-LEFT JOIN (SELECT tenant_id, date_key, sum(overlap_hours) AS lost FROM ({_CONFLICTS}) GROUP BY 1, 2) c USING (tenant_id, date_key)
+LEFT JOIN (SELECT tenant_id, date_key, sum(micros) AS lost FROM ({_CONFLICTS}) GROUP BY 1, 2) c USING (tenant_id, date_key)
 LEFT JOIN ({_BACK}) k USING (tenant_id, date_key)
 """)
 def calendar_day_stats_q(spark, sf):
@@ -62,7 +62,7 @@ def calendar_day_stats_q(spark, sf):
 
 
 @query("hours_by_category", f"""
-SELECT tenant_id, date_key, category, round(sum(hours), 2) AS hours FROM ({CALENDAR_SQL}) WHERE kind = 'meeting' GROUP BY 1, 2, 3
+SELECT tenant_id, date_key, category, CAST(printf('%.2f', CAST(sum(micros) AS DOUBLE) / 3.6e9) AS DOUBLE) AS hours FROM ({CALENDAR_SQL}) WHERE kind = 'meeting' GROUP BY 1, 2, 3
 """)
 def hours_by_category_q(spark, sf):
     stats = calendar_signals.day_calendar_stats(calendar(spark, sf))

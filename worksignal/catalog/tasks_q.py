@@ -24,7 +24,7 @@ _BUCKETS = {
     "overdue": f"SELECT {_COLUMNS}, age AS days FROM ({TASKS_SQL}) WHERE status <> 'done' AND age > 0",
     "due_soon": f"SELECT {_COLUMNS}, -age AS days FROM ({TASKS_SQL}) WHERE status <> 'done' AND age BETWEEN -7 AND 0",
     "blocked": f"SELECT {_COLUMNS}, age AS days, blocked_by FROM ({TASKS_SQL}) WHERE status = 'blocked'",
-    "stalled": f"SELECT {_COLUMNS}, age AS days, round_even(ratio, 2) AS progress_ratio FROM ({TASKS_SQL}) "
+    "stalled": f"SELECT {_COLUMNS}, age AS days, CAST(printf('%.2f', CAST(ratio AS DOUBLE)) AS DOUBLE) AS progress_ratio FROM ({TASKS_SQL}) "
                "WHERE status <> 'done' AND age >= 7 AND ratio < 0.34",
 }
 
@@ -57,7 +57,7 @@ _LINES = f"""
   UNION ALL SELECT tenant_id, 3, CAST(substr(priority, 2) AS INT), -age, id, '  - [' || priority || '] ' || id || ' ' || title || ' — blocked '
     || age || 'd: ' || blocked_by FROM ({TASKS_SQL}) WHERE status = 'blocked'
   UNION ALL SELECT tenant_id, 4, CAST(substr(priority, 2) AS INT), -age, id, '  - [' || priority || '] ' || id || ' ' || title || ' — open '
-    || age || 'd, ' || subtasks_done || '/' || subtasks_total || ' subtasks (' || CAST(floor(round_even(ratio, 2) * 100) AS BIGINT) || '%)'
+    || age || 'd, ' || subtasks_done || '/' || subtasks_total || ' subtasks (' || CAST(floor(CAST(printf('%.2f', CAST(ratio AS DOUBLE)) AS DOUBLE) * 100) AS BIGINT) || '%)'
     FROM ({TASKS_SQL}) WHERE status <> 'done' AND age >= 7 AND ratio < 0.34
 """
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from worksignal.catalog.registry import SPACE, TITLE_STOP, keywords, query, strip, table
 from worksignal.functions import checks, constants, headers, payload
 from worksignal.functions.keywords import title_keywords
-from worksignal.functions.text import citable, content_hash, identifiers, lines_of
+from worksignal.functions.text import citable, content_hash, each, identifiers, lines_of
 from worksignal.operators.dataset_checks import weekday_mentions
 from worksignal.sources.records import prompt_snapshots
 
@@ -14,7 +14,9 @@ from worksignal.sources.records import prompt_snapshots
 SELECT w AS keyword, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({keywords('documents', 'doc_id')}) GROUP BY w
 """)
 def title_keywords_q(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(title_keywords(F.col("text"))).alias("keyword"))
+    docs = table(spark, sf, "documents").select("doc_id", each(title_keywords(F.col("text"))).alias("keyword")).filter(
+        "keyword IS NOT NULL"
+    )
     per_doc = docs.groupBy("keyword", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("keyword").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
 

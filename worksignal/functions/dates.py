@@ -78,7 +78,20 @@ def date_urgency(due: Column, reference) -> Column:
     )
 
 
+def rounded(col: Column) -> Column:
+    """Two places, rounding the exact binary value with ties to even, as Python's `round` does."""
+    return F.call_function("format_number", col, F.lit("0.00")).cast("double")
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Whole microseconds of an interval, 0 where an end is missing. Sums of them are exact."""
+    return F.coalesce(F.timestamp_diff("MICROSECOND", start, end), F.lit(0).cast("bigint"))
+
+
+def as_hours(micros: Column) -> Column:
+    return micros / F.lit(3.6e9)
+
+
 def hours_between(start: Column, end: Column) -> Column:
     """Float hours of an interval, 0 where an end is missing."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return F.coalesce(micros / F.lit(3.6e9), F.lit(0.0))
+    return as_hours(micros_between(start, end))

@@ -14,7 +14,7 @@ from worksignal.functions.constants import (
     MISSED_HEADER,
     UNDRAFTED_LINE,
 )
-from worksignal.functions.text import citable, not_blank, strip
+from worksignal.functions.text import citable, let, not_blank, strip
 from worksignal.operators.ordered import fold_lines, ordinal
 
 _SOURCE_ORDER = ("email", "calendar", "notes", "task")
@@ -165,7 +165,7 @@ def freshness_notice(brief: Column) -> Column:
 
 
 _TAG = " _[source: "
-_KIND = "^(.*)\\s\\((embedding-matched|inferred)\\)$"
+_KIND = "\\s\\((embedding-matched|inferred)\\)$"
 
 
 def _tag_start(line: Column) -> Column:
@@ -176,27 +176,30 @@ def _tag_start(line: Column) -> Column:
 
 
 def line_text(line: Column) -> Column:
-    start = _tag_start(line)
-    return F.when(start > 0, F.substring(line, F.lit(1), start - 1)).otherwise(line)
+    return let(_tag_start(line), lambda start: F.when(start > 0, F.substring(line, F.lit(1), start - 1)).otherwise(line))
 
 
 def line_citations(line: Column) -> Column:
     """Citations of one line: array of (source, ref, matched_via)."""
-    start = _tag_start(line)
-    inner = F.substring(line, start + len(_TAG), F.length(line) - start - len(_TAG) - 1)
-    blob = F.when(start > 0, inner).otherwise(F.lit(""))
-    kind = F.regexp_extract(blob, _KIND, 2)
-    via = F.when(kind == "inferred", F.lit("llm")).when(kind == "embedding-matched", F.lit("embedding")).otherwise(F.lit("keyword"))
-    refs = F.when(kind != "", F.regexp_extract(blob, _KIND, 1)).otherwise(blob)
-    pairs = F.filter(F.split(refs, ", "), lambda p: p.contains(": "))
-    return F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.substring_index(p, ": ", 1).alias("source"),
-            F.regexp_replace(p, "^.*?: ", "").alias("ref"),
-            via.alias("matched_via"),
-        ),
-    )
+    def pairs_of(refs, via):
+        pairs = F.filter(F.split(refs, ", "), lambda p: p.contains(": "))
+        return F.transform(
+            pairs,
+            lambda p: F.struct(
+                F.substring_index(p, ": ", 1).alias("source"), F.regexp_replace(p, "^.*?: ", "").alias("ref"), via.alias("matched_via")
+            ),
+        )
+
+    def read(blob):
+        kind = F.regexp_extract(F.right(blob, F.lit(24)), _KIND, 1)
+        via = F.when(kind == "inferred", F.lit("llm")).when(kind == "embedding-matched", F.lit("embedding")).otherwise(F.lit("keyword"))
+        refs = F.when(kind != "", F.substring(blob, F.lit(1), F.length(blob) - F.length(kind) - 3)).otherwise(blob)
+        return let(F.struct(refs.alias("refs"), via.alias("via")), lambda x: pairs_of(x["refs"], x["via"]))
+
+    inside = let(_tag_start(line), lambda start: F.when(
+        start > 0, F.substring(line, start + len(_TAG), F.length(line) - start - len(_TAG) - 1)
+    ).otherwise(F.lit("")))
+    return let(inside, read)
 
 
 def brief_bullets(briefs: DataFrame, header: str) -> DataFrame:

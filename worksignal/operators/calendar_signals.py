@@ -13,7 +13,7 @@ from worksignal.functions.constants import (
     MEETING_CATEGORIES,
     ONE_ON_ONE_WORDS,
 )
-from worksignal.functions.dates import hours_between
+from worksignal.functions.dates import as_hours, micros_between, rounded
 from worksignal.functions.text import any_of
 from worksignal.operators.ordered import next_value
 
@@ -38,7 +38,7 @@ def classified(events: DataFrame) -> DataFrame:
         .when(any_of(F.col("summary"), LUNCH_WORDS), F.lit("lunch"))
         .otherwise(F.lit("meeting"))
     )
-    return events.withColumn("kind", kind).withColumn("hours", hours_between(F.col("start"), F.col("end")))
+    return events.withColumn("kind", kind).withColumn("micros", micros_between(F.col("start"), F.col("end")))
 
 
 def _slots(start: Column, end: Column) -> Column:
@@ -74,8 +74,8 @@ def focus_conflicts(events: DataFrame) -> DataFrame:
         "meeting_uid",
         "summary",
         F.col("ms").alias("start"),
-        hours_between(both_start, F.least("fe", "me")).alias("overlap_hours"),
-    )
+        micros_between(both_start, F.least("fe", "me")).alias("overlap_micros"),
+    ).withColumn("overlap_hours", as_hours(F.col("overlap_micros")))
 
 
 def back_to_back(events: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def declined_events(events: DataFrame) -> DataFrame:
 
 
 def day_calendar_stats(events: DataFrame) -> DataFrame:
-    """One row of facts per tenant and day, hours to two places, half to even.
+    """One row of facts per tenant and day, hours to two places.
 
     The day's conflicts and declined events are rows of their own (`focus_conflicts`,
     `declined_events`), not arrays.
@@ -114,26 +114,26 @@ def day_calendar_stats(events: DataFrame) -> DataFrame:
     base = kinds.groupBy(*_DAY).agg(
         F.count("*").alias("event_count"),
         F.count_if(meeting).alias("meeting_count"),
-        F.coalesce(F.sum(F.when(meeting, F.col("hours"))), F.lit(0.0)).alias("meeting_hours"),
-        F.coalesce(F.sum(F.when(focus, F.col("hours"))), F.lit(0.0)).alias("focus_hours_scheduled"),
+        F.coalesce(F.sum(F.when(meeting, F.col("micros"))), F.lit(0)).alias("meeting"),
+        F.coalesce(F.sum(F.when(focus, F.col("micros"))), F.lit(0)).alias("focus"),
         F.count_if(F.col("kind") == "declined").alias("declined_or_cancelled_count"),
-        *[F.sum(F.when(meeting & (category == c), F.col("hours"))).alias(f"hours_{c}") for c in MEETING_CATEGORIES],
+        *[F.sum(F.when(meeting & (category == c), F.col("micros"))).alias(f"in_{c}") for c in MEETING_CATEGORIES],
     )
-    eroded = focus_conflicts(events).groupBy(*_DAY).agg(F.sum("overlap_hours").alias("focus_hours_eroded"))
+    eroded = focus_conflicts(events).groupBy(*_DAY).agg(F.sum("overlap_micros").alias("eroded"))
     joined = base.join(eroded, _DAY, "left").join(back_to_back(events), _DAY, "left")
-    lost = F.coalesce("focus_hours_eroded", F.lit(0.0))
+    lost = F.coalesce("eroded", F.lit(0))
     by_category = F.map_filter(
-        F.create_map(*[x for c in MEETING_CATEGORIES for x in (F.lit(c), F.bround(f"hours_{c}", 2))]),
+        F.create_map(*[x for c in MEETING_CATEGORIES for x in (F.lit(c), rounded(as_hours(F.col(f"in_{c}"))))]),
         lambda _, hours: hours.isNotNull(),
     )
     return joined.select(
         *_DAY,
         "event_count",
         "meeting_count",
-        F.bround("meeting_hours", 2).alias("meeting_hours"),
-        F.bround("focus_hours_scheduled", 2).alias("focus_hours_scheduled"),
-        F.bround(F.greatest(F.lit(0.0), F.col("focus_hours_scheduled") - lost), 2).alias("focus_hours_protected"),
-        F.bround(lost, 2).alias("focus_hours_eroded"),
+        rounded(as_hours(F.col("meeting"))).alias("meeting_hours"),
+        rounded(as_hours(F.col("focus"))).alias("focus_hours_scheduled"),
+        rounded(as_hours(F.greatest(F.lit(0), F.col("focus") - lost))).alias("focus_hours_protected"),
+        rounded(as_hours(lost)).alias("focus_hours_eroded"),
         F.coalesce("back_to_back_count", F.lit(0)).cast("bigint").alias("back_to_back_count"),
         "declined_or_cancelled_count",
         by_category.alias("meeting_hours_by_category"),

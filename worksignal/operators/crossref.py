@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.dates import leading_day
 from worksignal.functions.keywords import excerpt, glued_set, index_word, mentioned, title_keywords, word_set
+from worksignal.functions.text import each
 
 _ITEM = ["tenant_id", "source", "entry_key", "section", "category", "ordinal"]
 _SALTS = 16
@@ -52,7 +53,7 @@ def item_matches(tasks: DataFrame, items: DataFrame, salts: int = _SALTS) -> Dat
     ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     postings = indexed.select(
         *_ITEM,
-        F.explode("words").alias("word"),
+        each(F.col("words")).alias("word"),
         F.pmod(F.xxhash64(*_ITEM), F.lit(salts)).cast("int").alias("salt"),
     )
     pairs = postings.join(probes, ["tenant_id", "word", "salt"]).select(*_ITEM, "task_id").distinct()

@@ -26,6 +26,7 @@ from worksignal.functions.keywords import (
     prose_keywords,
     word_set,
 )
+from worksignal.functions.text import each
 
 _REF = ["tenant_id", "source", "ref"]
 _SALTS = 16
@@ -53,7 +54,8 @@ def term_counts(sources: DataFrame) -> DataFrame:
     index = _indexed(sources)
     totals = index.groupBy("tenant_id").agg(F.count("*").alias("n_sources"))
     counts = (
-        index.select("tenant_id", F.explode("keywords").alias("term"))
+        index.select("tenant_id", each(F.col("keywords")).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("tenant_id", "term")
         .agg(F.count("*").alias("doc_count"))
     )
@@ -76,7 +78,9 @@ def claim_keywords(claims: DataFrame, counts: DataFrame, threshold: float | None
 
     The arrays hold the words of one claim each, so they are bounded by its text.
     """
-    words = claims.select("tenant_id", "claim_id", F.explode(prose_keywords(F.col("text"))).alias("term"))
+    words = claims.select("tenant_id", "claim_id", each(prose_keywords(F.col("text"))).alias("term")).filter(
+        "term IS NOT NULL"
+    )
     rated = words.join(counts, ["tenant_id", "term"], "left")
     if threshold is not None:
         rated = rated.filter(~F.coalesce(_is_common(threshold), F.lit(False)))
@@ -114,7 +118,7 @@ def candidate_pairs(wanted: DataFrame, index: DataFrame, salts: int = _SALTS) ->
     )
     postings = index.select(
         *_REF,
-        F.explode("words").alias("word"),
+        each(F.col("words")).alias("word"),
         F.pmod(F.xxhash64("source", "ref"), F.lit(salts)).cast("int").alias("salt"),
     )
     hits = postings.join(probes, ["tenant_id", "word", "salt"]).groupBy(*_REF, "claim_id", "h")

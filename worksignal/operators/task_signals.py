@@ -14,7 +14,7 @@ from worksignal.functions.constants import (
     UNKNOWN_PRIORITY_RANK,
     URGENT_BUCKETS,
 )
-from worksignal.functions.dates import as_date, date_urgency, due_day
+from worksignal.functions.dates import as_date, date_urgency, due_day, rounded
 
 
 def priority_rank(priority: Column) -> Column:
@@ -69,7 +69,7 @@ def task_signals(tasks: DataFrame, reference_date) -> DataFrame:
         "subtasks_total",
         F.col("b.days").alias("days"),
         F.when(is_blocked, F.coalesce("blocked_by", F.lit("unspecified"))).alias("blocked_by"),
-        F.when(F.col("b.bucket") == "stalled", F.bround(ratio, 2)).alias("progress_ratio"),
+        F.when(F.col("b.bucket") == "stalled", rounded(ratio)).alias("progress_ratio"),
     )
 
 

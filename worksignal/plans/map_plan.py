@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import MAP_SCHEMAS
-from worksignal.functions.dates import sort_day
+from worksignal.functions.dates import rounded, sort_day
 from worksignal.functions.payload import leaf_text
 from worksignal.operators import calendar_signals, days, mail_signals, note_signals, rendering
 from worksignal.plans import model_stage
@@ -77,7 +77,7 @@ def calendar_fact_items(events: DataFrame) -> DataFrame:
     micros = F.unix_micros(F.col("start").cast("timestamp"))
     conflicts = _fact_items(
         calendar_signals.focus_conflicts(events), "calendar", "date_key", "deep_work_conflicts", micros,
-        [F.col("summary"), iso.alias("start"), F.bround("overlap_hours", 2).alias("overlap_hours")],
+        [F.col("summary"), iso.alias("start"), rounded(F.col("overlap_hours")).alias("overlap_hours")],
     )
     declined = _fact_items(
         calendar_signals.declined_events(events), "calendar", "date_key", "declined_or_cancelled",

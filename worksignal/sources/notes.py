@@ -9,8 +9,9 @@ from worksignal.functions.text import not_blank, strip
 from worksignal.sources.tenants import tenant_of_path
 
 _DATED_NAME = "^(\\d{4}-\\d{2}-\\d{2})-(.+)\\.md$"
-_TITLE = "(?mdU)^#\\s+(.+)$"
-_CHECKBOX = "(?mdU)^\\s*-\\s*\\[( |x|X)\\]\\s*(.+)$"
+# Only a line feed ends a line here, so lines are anchored by what may not precede them.
+_TITLE = "(?U)(?<![^\\n])#\\s+([^\\n]+)"
+_CHECKBOX = "(?U)(?<![^\\n])\\s*-\\s*\\[( |x|X)\\]\\s*([^\\n]+)"
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
@@ -37,9 +38,8 @@ def parse_notes(raw: DataFrame) -> DataFrame:
 
 def read_notes(spark: SparkSession, *paths: str) -> DataFrame:
     files = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.md")
-        .text(list(paths))
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(list(paths), wholetext=True)
         .select(
             tenant_of_path(F.col("_metadata.file_path")).alias("tenant_id"),
             F.col("_metadata.file_name").alias("note_id"),

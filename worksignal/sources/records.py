@@ -7,41 +7,63 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.text import content_hash
+from worksignal.session import shared_dir
 
-_PARTITIONS = ("tenant_id", "source")
+_PARTITIONS = ("source", "tenant_bucket")
+_BUCKETS = 64
 
 
-def _by_partition(df: DataFrame, files: int, sort: str) -> DataFrame:
-    """Rows of one tenant and source meet in at most `files` tasks, so a large tenant is split."""
-    piece = F.pmod(F.xxhash64("entry_key"), F.lit(files))
-    return df.repartition(*_PARTITIONS, piece).sortWithinPartitions(*_PARTITIONS, sort, "entry_key")
+def _bucketed(df: DataFrame) -> DataFrame:
+    """Tenants share a fixed number of folders, so a million tenants make no million folders."""
+    return df.withColumn("tenant_bucket", F.pmod(F.xxhash64("tenant_id"), F.lit(_BUCKETS)).cast("int"))
 
 
-def append_ledger(df: DataFrame, path: str, files: int = 8) -> None:
-    """Add entries, items or covered rows; nothing already stored is read or rewritten."""
-    sort = "sort_day" if "sort_day" in df.columns else "entry_key"
-    _by_partition(df, files, sort).write.mode("append").partitionBy(*_PARTITIONS).parquet(path)
-
-
-def replace_ledger(df: DataFrame, path: str, files: int = 8) -> None:
-    """Replace the partitions present in `df`.
-
-    `df` usually derives from the ledger it replaces, so its rows are first written to the
-    checkpoint folder.
-    """
+def _write_ledger(df: DataFrame, path: str, mode: str, files: int) -> None:
+    """Sorted by tenant and day within files; a folder's rows are spread over `files` tasks."""
     sort = "sort_day" if "sort_day" in df.columns else "entry_key"
-    settled = df.checkpoint()
+    piece = F.pmod(F.xxhash64("tenant_id", "entry_key"), F.lit(files))
     (
-        _by_partition(settled, files, sort)
-        .write.mode("overwrite")
+        df.repartition(*_PARTITIONS, piece)
+        .sortWithinPartitions(*_PARTITIONS, "tenant_id", sort, "entry_key")
+        .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_PARTITIONS)
         .parquet(path)
     )
 
 
+def append_ledger(df: DataFrame, path: str, files: int = 1) -> None:
+    """Add entries, items or covered rows; nothing already stored is read or rewritten."""
+    _write_ledger(_bucketed(df), path, "append", files)
+
+
+def replace_ledger(df: DataFrame, path: str, files: int = 1) -> None:
+    """Replace what the ledger holds for the tenants and sources present in `df`.
+
+    Only folders holding such a tenant are rewritten, other tenants' rows in them included. `df`
+    usually derives from the ledger it replaces, so all rows are first written to the checkpoint
+    folder.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    new = _bucketed(df)
+    stored = spark.read.schema(new.schema).parquet(path)
+    touched = new.select(*_PARTITIONS).distinct()
+    replaced = new.select("tenant_id", "source").distinct()
+    others = stored.join(touched, list(_PARTITIONS), "left_semi").join(replaced, ["tenant_id", "source"], "left_anti")
+    settled = new.unionByName(others).checkpoint()
+    _write_ledger(settled, path, "overwrite", files)
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(f"{schema}, tenant_bucket int").parquet(path).drop("tenant_bucket")
+
+
+def of_tenant(ledger_path: str, spark: SparkSession, schema: str, tenant_id: str) -> DataFrame:
+    """One tenant's rows; the folder follows from the id, so only that folder is read."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(tenant_id)), F.lit(_BUCKETS))).first()[0]
+    rows = spark.read.schema(f"{schema}, tenant_bucket int").parquet(ledger_path)
+    return rows.filter((F.col("tenant_bucket") == bucket) & (F.col("tenant_id") == tenant_id)).drop("tenant_bucket")
 
 
 def processed_keys(entries: DataFrame, cover: DataFrame | None = None) -> DataFrame:
@@ -59,6 +81,7 @@ def processed_keys(entries: DataFrame, cover: DataFrame | None = None) -> DataFr
 
 def save_brief(briefs: DataFrame, base: str, run_ts: str) -> None:
     """Overwrite the current briefs and add the same rows to the history of runs."""
+    shared_dir(briefs.sparkSession)
     stamped = briefs.withColumn("run_ts", F.lit(run_ts)).checkpoint()
     stamped.write.mode("overwrite").parquet(f"{base}/current")
     stamped.write.mode("append").partitionBy("run_ts").parquet(f"{base}/history")
@@ -77,8 +100,7 @@ def read_brief_texts(spark: SparkSession, *paths: str) -> DataFrame:
     from worksignal.sources.tenants import tenant_of_path
 
     return (
-        spark.read.option("wholetext", "true")
-        .text(list(paths))
+        spark.read.text(list(paths), wholetext=True)
         .select(tenant_of_path(F.col("_metadata.file_path")).alias("tenant_id"), F.col("value").alias("brief"))
     )
 

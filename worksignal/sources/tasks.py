@@ -29,8 +29,7 @@ def parse_task_rows(raw: DataFrame) -> DataFrame:
 
 def read_personas(spark: SparkSession, *paths: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", "true")
-        .text(list(paths))
+        spark.read.text(list(paths), wholetext=True)
         .select(
             tenant_of_path(F.col("_metadata.file_path")).alias("tenant_id"),
             F.col("value").alias("persona_text"),

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from worksignal import schemas
 from worksignal.functions.dates import sort_day
 from worksignal.operators.days import day_batches, of_days, unprocessed
+from worksignal.session import shared_dir
 from worksignal.sources.records import append_ledger, processed_keys, read_ledger
 
 
@@ -36,6 +37,7 @@ def ledger_writer(
             "hot", F.lit(False).alias("compacted"), sort_day(F.col("unit_key"), F.lit(False)).alias("sort_day"),
         )
         # The rows derive from the ledger they extend: settle them before writing to it.
+        shared_dir(session)
         append_ledger(entries.checkpoint(), ledger_path)
 
     # An empty ledger must be readable before the first batch.
