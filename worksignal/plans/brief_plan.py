@@ -22,6 +22,7 @@ from worksignal.functions.payload import field
 from worksignal.operators import briefs, crossref, grounding, ledger_health, matching, rendering, task_signals
 from worksignal.operators.ordered import fold_lines, ordinal
 from worksignal.plans import model_stage
+from worksignal.session import settle
 
 _SECTIONS = (
     "EMAIL LEDGER:", "CALENDAR LEDGER:", "NOTES LEDGER:", "TASK SIGNALS:",
@@ -152,11 +153,11 @@ def write_briefs(
     `answer` maps a stage (contradictions, synthesis, narrative, dispatch, drafts) to a callable.
     The staged variant asks for the narrative first and for dispatchable items with it at hand.
     """
-    signals = task_signals.task_signals(tasks, reference_date)
+    signals = settle(task_signals.task_signals(tasks, reference_date))
     flagged = task_signals.flagged_tasks(signals)
-    mentions = crossref.task_mentions(flagged, crossref.ledger_texts(entries, items))
+    mentions = settle(crossref.task_mentions(flagged, crossref.ledger_texts(entries, items)))
     expected = ledger_health.expected_sources(entries, SOURCES)
-    fresh = ledger_health.freshness(entries, expected, reference_date)
+    fresh = settle(ledger_health.freshness(entries, expected, reference_date))
 
     multi = crossref.multi_source_tasks(mentions)
     asked = model_stage.requests(contradiction_units(mentions, multi), "contradictions", "")
@@ -164,9 +165,10 @@ def write_briefs(
     kept, dropped = grounding.ground_contradictions(
         contradiction_claims(model_stage.payload_items(accepted)), multi
     )
+    kept = settle(kept)
 
     context = synthesis_context(entries, items, cover, signals, mentions, kept, fresh, reference_date)
-    units = context.select("tenant_id", F.lit("brief").alias("unit_key"), "page", F.col("text").alias("user_text"))
+    units = settle(context.select("tenant_id", F.lit("brief").alias("unit_key"), "page", F.col("text").alias("user_text")))
     if variant == "single_call":
         told, _ = model_stage.check(
             model_stage.ask(model_stage.requests(units, "synthesis", ""), answer["synthesis"]), SYNTHESIS_SCHEMA
@@ -261,7 +263,7 @@ def cite(brief_rows: DataFrame, sources: DataFrame, judge: Callable[[str, str],
     lines = briefs.numbered_lines(brief_rows, ["tenant_id"])
     claims = briefs.claims_of(lines)
     index = matching.source_index(sources)
-    matches = matching.keyword_matches(claims, index)
+    matches = settle(matching.keyword_matches(claims, index))
     tags = briefs.citation_tags(matches)
     judged = None
     if judge is not None:

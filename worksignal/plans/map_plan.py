@@ -12,6 +12,7 @@ from worksignal.functions.dates import rounded, sort_day
 from worksignal.functions.payload import leaf_text
 from worksignal.operators import calendar_signals, days, mail_signals, note_signals, rendering
 from worksignal.plans import model_stage
+from worksignal.session import settle
 
 _DAY = ["tenant_id", "date_key"]
 
@@ -155,15 +156,15 @@ def note_day_units(notes: DataFrame) -> DataFrame:
 
 def map_mail(emails, processed, answer, system_text="", variant="persona", **window):
     """The mail map stage from rows to (entries, items, rejected)."""
-    todo = new_days(emails, processed, "email", **window)
+    todo = settle(new_days(emails, processed, "email", **window))
     reqs = model_stage.requests(mail_units(emails, todo), "email", system_text)
     return accept(model_stage.ask(reqs, answer), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
 
 
 def map_calendar(events, processed, answer, system_text="", variant="persona", **window):
-    todo = new_days(events, processed, "calendar", **window)
+    todo = settle(new_days(events, processed, "calendar", **window))
     chosen = days.of_days(events, todo)
-    facts = calendar_facts(chosen)
+    facts = settle(calendar_facts(chosen))
     reqs = model_stage.requests(calendar_units(events, todo, facts), "calendar", system_text)
     return accept(model_stage.ask(reqs, answer), facts, "calendar", variant, day_units(todo), calendar_fact_items(chosen))
 

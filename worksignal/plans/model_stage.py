@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
-from worksignal.session import shared_dir
+from worksignal.session import settle
 
 _KEYS = ["tenant_id", "stage", "unit_key", "page"]
 
@@ -53,8 +53,7 @@ def ask(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     Everything later reads the stored answers: recomputing a lost partition downstream, or using
     the responses in several places, does not call the model again.
     """
-    shared_dir(reqs.sparkSession)
-    return infer(reqs, answer).checkpoint()
+    return settle(infer(reqs, answer))
 
 
 def check(responses: DataFrame, required: dict) -> tuple[DataFrame, DataFrame]:

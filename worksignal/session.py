@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "worksignal", **conf) -> SparkSession:
@@ -44,6 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read from there.
+
+    For results that are small beside their input and used in several places: their plan is not
+    repeated in every later one, and an executor lost afterwards costs no recomputation.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
