@@ -83,8 +83,14 @@ def mentioned(words: Column, glued: Column, keyword: Column) -> Column:
 
 
 def mentions(words: Column, glued: Column, keywords: Column) -> Column:
-    """The mentioned lower-cased keywords, repeats kept."""
-    return F.filter(keywords, lambda k: mentioned(words, glued, k))
+    """The mentioned lower-cased keywords, repeats kept.
+
+    One pass over the text's words finds the plain keywords; only those few are then looked through.
+    """
+    return let(
+        F.array_intersect(words, keywords),
+        lambda plain: F.filter(keywords, lambda k: mentioned(plain, glued, k)),
+    )
 
 
 def excerpt(text: Column, keywords: Column, window: int = EXCERPT_WINDOW) -> Column:

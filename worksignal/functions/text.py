@@ -26,6 +26,15 @@ def each(array: Column) -> Column:
     return F.explode_outer(array)
 
 
+def kept(value: Column, condition) -> Column:
+    """Rows whose `condition(value)` holds, carrying the value; the others give one NULL row.
+
+    A costly value that is both tested and shown would be computed for the test and again for the
+    result, since filters move below projections. Here it is computed once.
+    """
+    return F.explode_outer(F.filter(F.array(value), condition))
+
+
 def strip(col: Column) -> Column:
     """Drop leading and trailing Unicode whitespace."""
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")

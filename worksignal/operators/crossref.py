@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.dates import leading_day
 from worksignal.functions.keywords import excerpt, glued_set, index_word, mentioned, title_keywords, word_set
-from worksignal.functions.text import each
+from worksignal.functions.text import each, kept
 
 _ITEM = ["tenant_id", "source", "entry_key", "section", "category", "ordinal"]
 _SALTS = 16
@@ -66,8 +66,8 @@ def item_matches(tasks: DataFrame, items: DataFrame, salts: int = _SALTS) -> Dat
     return (
         pairs.join(indexed, _ITEM)
         .join(facts, ["tenant_id", "task_id"])
-        .withColumn("matched", F.array_sort(found))
-        .filter("size(matched) >= needed")
+        .withColumn("matched", kept(F.array_sort(found), lambda m: F.size(m) >= F.col("needed")))
+        .filter("matched IS NOT NULL")
     )
 
 

@@ -26,7 +26,7 @@ from worksignal.functions.keywords import (
     prose_keywords,
     word_set,
 )
-from worksignal.functions.text import each
+from worksignal.functions.text import each, kept
 
 _REF = ["tenant_id", "source", "ref"]
 _SALTS = 16
@@ -135,11 +135,15 @@ def keyword_matches(
     counted = (
         pairs.join(index.select(*_REF, "words", "glued"), _REF)
         .join(wanted, ["tenant_id", "claim_id"])
-        .withColumn("n_matched", F.size(mentions(F.col("words"), F.col("glued"), F.col("keywords"))))
-    )
-    return counted.filter("n_matched >= needed").select(
-        "tenant_id", "claim_id", "source", "ref", "n_matched", "n_keywords"
+        .select(
+            "tenant_id", "claim_id", "source", "ref",
+            kept(
+                F.size(mentions(F.col("words"), F.col("glued"), F.col("keywords"))), lambda n: n >= F.col("needed")
+            ).alias("n_matched"),
+            "n_keywords",
+        )
     )
+    return counted.filter("n_matched IS NOT NULL")
 
 
 def unmatched(claims: DataFrame, matches: DataFrame) -> DataFrame:
