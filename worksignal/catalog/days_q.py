@@ -131,7 +131,7 @@ def variant_consistency_q(spark, sf):
 
 @query("freshness", """
 SELECT u.tenant_id, s.source, strftime(max(e.ts), '%Y-%m-%d') AS most_recent_day,
-       date_diff('day', CAST(max(e.ts) AS DATE), DATE '2024-01-30') AS days_stale,
+       CAST(date_diff('day', CAST(max(e.ts) AS DATE), DATE '2024-01-30') AS INT) AS days_stale,
        coalesce(date_diff('day', CAST(max(e.ts) AS DATE), DATE '2024-01-30') > 1, true) AS is_stale
 FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS tenant_id FROM events) u
 CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'fax']) AS source) s

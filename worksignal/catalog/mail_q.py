@@ -21,7 +21,7 @@ def mail_day_stats_q(spark, sf):
 
 QUIET_SQL = f"""
   SELECT email, arg_min(name, event_id) AS name, count(*) AS email_count, min(date_key) AS first_seen, max(date_key) AS last_seen,
-         date_diff('day', CAST(max(date_key) AS DATE), (SELECT CAST(max(date_key) AS DATE) FROM ({MAIL_SQL}))) AS days_since_last_contact
+         CAST(date_diff('day', CAST(max(date_key) AS DATE), (SELECT CAST(max(date_key) AS DATE) FROM ({MAIL_SQL}))) AS INT) AS days_since_last_contact
   FROM ({MAIL_SQL}) GROUP BY email
   HAVING date_diff('day', CAST(max(date_key) AS DATE), (SELECT CAST(max(date_key) AS DATE) FROM ({MAIL_SQL}))) >= 3
 """

@@ -102,7 +102,7 @@ _CROSSREF_SQL = f"""
 
 @query("crossref_best_item", f"""
 SELECT tenant_id, task_id, kind AS source, strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INT), '%Y-%m-%d') AS day, ws AS matched,
-       date_diff('day', DATE '2024-01-15', DATE '2024-01-01' + CAST(doc_id % 30 AS INT)) AS days_from_due FROM ({_CROSSREF_SQL})
+       CAST(date_diff('day', DATE '2024-01-15', DATE '2024-01-01' + CAST(doc_id % 30 AS INT)) AS INT) AS days_from_due FROM ({_CROSSREF_SQL})
 """)
 def crossref_best_item_q(spark, sf):
     found = crossref.task_mentions(_tasks(spark, sf), _items(spark, sf))

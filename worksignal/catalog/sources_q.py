@@ -164,7 +164,7 @@ def _configs(spark, sf):
 
 @query("config_merge", """
 SELECT 't' || s_suppkey AS tenant_id, s_suppkey % 3 <> 1 AS use_persona_in_map, CASE WHEN s_suppkey % 3 = 1 THEN s_name ELSE '' END AS contacts,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'A' || s_suppkey || '@X.org' ELSE '' END AS blocked_senders, 0 AS n_domains, 2.0 AS max_qps, 5 AS threshold
+       CASE WHEN s_suppkey % 3 = 0 THEN 'A' || s_suppkey || '@X.org' ELSE '' END AS blocked_senders, 0 AS n_domains, CAST(2.0 AS DOUBLE) AS max_qps, 5 AS threshold
 FROM supplier
 """)
 def config_merge_q(spark, sf):

@@ -13,7 +13,7 @@ TASKS_SQL = """
 SELECT CAST(o_custkey AS VARCHAR) AS tenant_id, printf('ORD-%010d', o_orderkey) AS id, 'Settle order ' || o_orderkey AS title,
        CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'blocked' ELSE 'todo' END AS status,
        'P' || (CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) AS priority, strftime(o_orderdate, '%Y-%m-%d') AS due_date,
-       date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-15') AS age, o_orderpriority AS blocked_by,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-15') AS INT) AS age, o_orderpriority AS blocked_by,
        coalesce(done, 0) AS subtasks_done, coalesce(total, 0) AS subtasks_total,
        CASE WHEN coalesce(total, 0) = 0 THEN 0.0 ELSE done / total END AS ratio
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linestatus = 'F') AS done, count(*) AS total FROM lineitem GROUP BY 1) p

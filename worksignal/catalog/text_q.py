@@ -152,7 +152,7 @@ def weekday_mentions_q(spark, sf):
 
 @query("content_snapshots", """
 SELECT source || '_' || lang || '_' || substr(sha256(text), 1, 12) AS snapshot, count(DISTINCT text) AS n_texts,
-       min(length(text)) AS n_chars
+       CAST(min(length(text)) AS INT) AS n_chars
 FROM documents GROUP BY 1
 """)
 def content_snapshots_q(spark, sf):
@@ -232,8 +232,8 @@ def excerpts_q(spark, sf):
 
 
 @query("body_lines", """
-SELECT conv_id, turn, len(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'))
-       - CASE WHEN regexp_matches(text, '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]$') THEN 1 ELSE 0 END AS n_lines,
+SELECT conv_id, turn, CAST(len(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'))
+       - CASE WHEN regexp_matches(text, '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]$') THEN 1 ELSE 0 END AS INT) AS n_lines,
        substr(sha256(text), 1, 12) AS address
 FROM conversations
 """)
