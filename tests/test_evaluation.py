@@ -6,18 +6,18 @@ from worksignal.operators import call_log, dataset_checks, evaluation
 
 def test_scenarios(spark):
     items = spark.createDataFrame([
-        ("calendar", "d", "delta", "notable_events", "Halberd budget cut"), ("calendar", "d", "delta", "pattern_flags", "grinding"),
+        ("calendar", "d", "delta", "notable_events", "Kestrel budget cut"), ("calendar", "d", "delta", "pattern_flags", "welding"),
         ("calendar", "d", "stats", "deep_work_conflicts", "Board review"), ("email", "d", "stats", "x", "Board review")],
         "source string, entry_key string, section string, category string, text string").select(F.lit("t").alias("tenant_id"), "*")
     entries = items.select("tenant_id", "source", "entry_key").distinct()
     scenarios = spark.createDataFrame([
-        ("calendar", "both", "d", [["HALBERD"], ["line 3", "Budget"]], None, ["notable_events"]),
-        ("calendar", "scoped", "d", [["grinding"]], None, ["notable_events"]),
+        ("calendar", "both", "d", [["KESTREL"], ["bay 7", "Budget"]], None, ["notable_events"]),
+        ("calendar", "scoped", "d", [["welding"]], None, ["notable_events"]),
         ("calendar", "facts count", "d", [["board review"]], None, ["notable_events"]),
         ("email", "facts do not", "d", [["board review"]], None, None),
         ("calendar", "absent", "z", [["x"]], None, None),
-        ("calendar", "clean", "d", None, ["trent"], None),
-        ("calendar", "dirty", "d", None, ["trent", "GRIND"], ["notable_events"])],
+        ("calendar", "clean", "d", None, ["blake"], None),
+        ("calendar", "dirty", "d", None, ["blake", "WELD"], ["notable_events"])],
         "source string, name string, entry_key string, required_keywords array<array<string>>, forbidden_keywords array<string>, expected_category array<string>"
     ).select(F.lit("t").alias("tenant_id"), "*")
     assert rows(evaluation.score_scenarios(scenarios, entries, items), "name", "detail") == sorted([
@@ -37,11 +37,11 @@ def test_accuracy_and_verdict(spark):
 
 
 def test_found_priority_and_bloat(spark):
-    items = spark.createDataFrame([("action_items", 0, "Ask Marcus", "P2"), ("deadlines", 1, "marcus call", "P0"), ("deadlines", 2, "Marcus", "P1"), ("thread_progressions", 0, "Zoe", "P0")],
+    items = spark.createDataFrame([("action_items", 0, "Ask Dario", "P2"), ("deadlines", 1, "dario call", "P0"), ("deadlines", 2, "Dario", "P1"), ("thread_progressions", 0, "Ines", "P0")],
                                   "category string, ordinal bigint, text string, priority string").select(
         F.lit("t").alias("tenant_id"), F.lit("email").alias("source"), F.lit("d").alias("entry_key"), F.lit("delta").alias("section"), "category", "ordinal", "text",
         F.to_json(F.struct("priority")).alias("payload"))
-    probes = spark.createDataFrame([("a", "MARCUS"), ("b", "zoe")], "name string, match_on string").select(
+    probes = spark.createDataFrame([("a", "DARIO"), ("b", "ines")], "name string, match_on string").select(
         F.lit("t").alias("tenant_id"), F.lit("email").alias("source"), "name", F.lit("d").alias("entry_key"), "match_on")
     assert rows(evaluation.found_priority(items, probes), "name", "priority") == [("a", "P0"), ("b", "not_found")]
     entries = spark.createDataFrame([("t", "email", "d", 1)], "tenant_id string, source string, entry_key string, item_count int")
@@ -60,11 +60,11 @@ def test_failure_runs_cross_hours_and_need_the_threshold(spark):
 
 def test_dataset_checks(spark):
     sources = spark.createDataFrame([
-        ("email", "e1", "Site visit east parcel with Sarah on Monday"), ("email", "e2", "Wholly different payroll matter"),
-        ("notes", "n1", "Site visit east parcel walk"), ("notes", "n2", "Private thoughts"), ("task", "t1", "Order parts")],
+        ("email", "e1", "Harbour tour north pier with Lena on Monday"), ("email", "e2", "Wholly different payroll matter"),
+        ("notes", "n1", "Harbour tour north pier walk"), ("notes", "n2", "Private thoughts"), ("task", "t1", "Order parts")],
         "source string, ref string, text string").select(F.lit("t").alias("tenant_id"), "source", "ref", F.lit("l").alias("label"), "text")
     assert rows(dataset_checks.exclusive_sources(sources, "email", ("calendar", "notes", "task")), "ref") == [("e2",)]
-    events = spark.createDataFrame([("t", "ev", "Site visit east parcel", "", "2024-05-04")], "tenant_id string, uid string, summary string, description string, date_key string")
+    events = spark.createDataFrame([("t", "ev", "Harbour tour north pier", "", "2024-05-04")], "tenant_id string, uid string, summary string, description string, date_key string")
     wrong = dataset_checks.date_inconsistencies(events, sources, ["2024-05-04", "2024-05-05", "2024-05-06"])
     assert rows(wrong, "source_ref", "claimed_weekday", "claimed_date") == [("e1", "monday", "2024-05-06")]
     quality = dataset_checks.dataset_quality(sources, events.select("tenant_id"), wrong).first()

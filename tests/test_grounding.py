@@ -5,34 +5,34 @@ from worksignal.operators import grounding
 
 
 def test_contradictions_need_a_known_entity_and_its_sources(spark):
-    multi = spark.createDataFrame([("t", "TESS-225", "Closing call", ["calendar", "email"]), ("t", "TESS-9", "Board prep", ["email", "notes"]),
-                                   ("u", "TESS-1", "Other", ["email", "notes"])], "tenant_id string, task_id string, title string, sources array<string>")
+    multi = spark.createDataFrame([("t", "OPS-225", "Closing call", ["calendar", "email"]), ("t", "OPS-9", "Board prep", ["email", "notes"]),
+                                   ("u", "OPS-1", "Other", ["email", "notes"])], "tenant_id string, task_id string, title string, sources array<string>")
     claims = spark.createDataFrame([
-        ("t", "1", "TESS-225", ["email"]), ("t", "2", " closing CALL ", ["email", "calendar"]), ("t", "3", "tess-225: Closing call", ["calendar"]),
-        ("t", "4", "The board prep slides", ["notes"]), ("t", "5", "TESS-2251", ["email"]), ("t", "6", "TESS-225", ["notes"]),
-        ("t", "7", "TESS-225", []), ("t", "8", "Somebody", ["email"]), ("t", "9", "Other", ["email"]), ("t", "10", "TESS-9", None)],
+        ("t", "1", "OPS-225", ["email"]), ("t", "2", " closing CALL ", ["email", "calendar"]), ("t", "3", "ops-225: Closing call", ["calendar"]),
+        ("t", "4", "The board prep slides", ["notes"]), ("t", "5", "OPS-2251", ["email"]), ("t", "6", "OPS-225", ["notes"]),
+        ("t", "7", "OPS-225", []), ("t", "8", "Somebody", ["email"]), ("t", "9", "Other", ["email"]), ("t", "10", "OPS-9", None)],
         "tenant_id string, claim_id string, entity string, sources array<string>")
     kept, rejected = grounding.ground_contradictions(claims, multi)
-    assert rows(kept, "claim_id", "task_id") == [("1", "TESS-225"), ("2", "TESS-225"), ("3", "TESS-225"), ("4", "TESS-9"), ("5", "TESS-225")]
+    assert rows(kept, "claim_id", "task_id") == [("1", "OPS-225"), ("2", "OPS-225"), ("3", "OPS-225"), ("4", "OPS-9"), ("5", "OPS-225")]
     assert rows(rejected, "claim_id", "reason") == sorted([
         ("6", "sources not mentioned"), ("7", "sources not mentioned"), ("8", "unknown entity"), ("9", "unknown entity"),
         ("10", "sources not mentioned")], key=repr)
 
 
 def test_evidence_layers(spark):
-    sources = spark.createDataFrame([("t", "email", "r2", "l", "Press #2 jam cleared by night shift"), ("t", "email", "r3", "l", "Press #3 vibration analysis")],
+    sources = spark.createDataFrame([("t", "email", "r2", "l", "Pump #2 leak cleared by night shift"), ("t", "email", "r3", "l", "Pump #3 rattle analysis")],
                                     "tenant_id string, source string, ref string, label string, text string")
-    claims = spark.createDataFrame([("t", "c", "Press #2 jam cleared"), ("t", "d", "Vibration was analysed: analysis")], "tenant_id string, claim_id string, text string")
+    claims = spark.createDataFrame([("t", "c", "Pump #2 leak cleared"), ("t", "d", "Rattle was analysed: analysis")], "tenant_id string, claim_id string, text string")
     evidence = spark.createDataFrame([
-        ("t", "c", "r2", " press #2 JAM "), ("t", "c", "r9", "x"), ("t", "c", "r2", "not there"), ("t", "c", "r2", ""), ("t", "c", "r3", "Press #3 vibration"),
-        ("t", "d", "r3", "vibration"), ("t", "d", "r2", "night shift"), ("t", "d", "r3", "Press")],
+        ("t", "c", "r2", " pump #2 LEAK "), ("t", "c", "r9", "x"), ("t", "c", "r2", "not there"), ("t", "c", "r2", ""), ("t", "c", "r3", "Pump #3 rattle"),
+        ("t", "d", "r3", "rattle"), ("t", "d", "r2", "night shift"), ("t", "d", "r3", "Pump")],
         "tenant_id string, claim_id string, source_ref string, quote string")
     found = grounding.ground_evidence(evidence, claims, sources)
     assert rows(found, "claim_id", "quote", "reason") == sorted([
-        ("c", "press #2 JAM", None), ("c", "x", "unknown ref"), ("c", "not there", "quote not in source"), ("c", "", "quote not in source"),
-        ("c", "Press #3 vibration", "other identifier"), ("d", "vibration", None), ("d", "night shift", "no shared keyword"), ("d", "Press", "no shared keyword")],
+        ("c", "pump #2 LEAK", None), ("c", "x", "unknown ref"), ("c", "not there", "quote not in source"), ("c", "", "quote not in source"),
+        ("c", "Pump #3 rattle", "other identifier"), ("d", "rattle", None), ("d", "night shift", "no shared keyword"), ("d", "Pump", "no shared keyword")],
         key=repr)
-    common = spark.createDataFrame([("t", "vibration")], "tenant_id string, term string")
+    common = spark.createDataFrame([("t", "rattle")], "tenant_id string, term string")
     filtered = grounding.ground_evidence(evidence, claims, sources, common)
     assert rows(filtered.filter("reason IS NULL"), "claim_id") == [("c",)]
     assert dict(rows(grounding.evidence_counts(found), "outcome", "n"))["accepted"] == 2
@@ -44,19 +44,19 @@ def test_later_kind_wins_a_shared_ref(spark):
 
 
 def test_priority_coverage(spark):
-    flagged = spark.createDataFrame([("t", "1", "Close Halberd renewal", "P0"), ("t", "2", "Hire engineer", "P1"), ("t", "3", "Budget", "P1"),
-                                     ("t", "4", "Halberd", "P2"), ("t", "5", "now", "P0"), ("u", "6", "Elsewhere entirely", "P0")],
+    flagged = spark.createDataFrame([("t", "1", "Close Kestrel renewal", "P0"), ("t", "2", "Hire engineer", "P1"), ("t", "3", "Budget", "P1"),
+                                     ("t", "4", "Kestrel", "P2"), ("t", "5", "now", "P0"), ("u", "6", "Elsewhere entirely", "P0")],
                                     "tenant_id string, id string, title string, priority string")
-    text = spark.createDataFrame([("t", "The HALBERD renewals matter; an engineering role. Budgets.")], "tenant_id string, text string")
+    text = spark.createDataFrame([("t", "The KESTREL renewals matter; an engineering role. Budgets.")], "tenant_id string, text string")
     assert rows(grounding.uncovered_tasks(text, flagged), "task_id") == [("2",)]
 
 
 def test_protected_contacts(spark):
-    config = spark.createDataFrame([("t", [("Sam O'Neil", "sam@x.org"), ("Al", "")]), ("u", [])],
+    config = spark.createDataFrame([("t", [("Kim O'Neil", "kim@x.org"), ("Al", "")]), ("u", [])],
                                    "tenant_id string, never_draft_contacts array<struct<name:string,email:string>>")
     items = spark.createDataFrame([
-        ("t", "1", "Reply to Sam", ""), ("t", "2", "Samsung order", ""), ("t", "3", "x", "from sam@x.org."), ("t", "4", "Al said", None), ("t", "5", "SAM's note", ""),
-        ("t", "6", "ask O'Neil!", ""), ("u", "7", "Sam", ""), ("v", "8", "Sam", "")], "tenant_id string, id string, summary string, context string")
+        ("t", "1", "Reply to Kim", ""), ("t", "2", "Kimono order", ""), ("t", "3", "x", "from kim@x.org."), ("t", "4", "Al said", None), ("t", "5", "KIM's note", ""),
+        ("t", "6", "ask O'Neil!", ""), ("u", "7", "Kim", ""), ("v", "8", "Kim", "")], "tenant_id string, id string, summary string, context string")
     assert rows(grounding.draftable(items, config), "id") == [("2",), ("4",), ("7",), ("8",)]
 
 

@@ -87,19 +87,19 @@ def test_map_notes_and_calendar(spark):
 
 def _ledger(spark):
     entries, items, _ = map_plan.map_mail(mail(
-        spark, ("a", "1.eml", "2024-05-09T09:00:00", "B <b@x.org>", "Halberd renewal slips", "text", False)), nothing(spark), answer)
+        spark, ("a", "1.eml", "2024-05-09T09:00:00", "B <b@x.org>", "Kestrel renewal slips", "text", False)), nothing(spark), answer)
     note = spark.createDataFrame([("a", "notes", "n.md", "2024-05-08", "n.md", 1)], "tenant_id string, source string, entry_key string, day string, note_id string, item_count bigint")
     note = note.select("*", F.lit(None).cast("map<string,double>").alias("stats"), F.lit("persona").alias("map_variant"), F.lit(False).alias("hot"),
                        F.lit(False).alias("compacted"), F.col("day").cast("date").alias("sort_day"))
-    fact = spark.createDataFrame([("a", "notes", "n.md", "delta", "decisions", 0, '{"description": "Halberd renewal is on", "priority": "P1"}', "Halberd renewal is on")], schemas.LEDGER_ITEMS)
+    fact = spark.createDataFrame([("a", "notes", "n.md", "delta", "decisions", 0, '{"description": "Kestrel renewal is on", "priority": "P1"}', "Kestrel renewal is on")], schemas.LEDGER_ITEMS)
     return settle(entries.unionByName(note.select(*entries.columns))), settle(items.unionByName(fact))
 
 
 def test_briefs_for_all_tenants(spark):
     entries, items = _ledger(spark)
-    tasks = spark.createDataFrame([("a", "T-1", "Halberd renewal", "todo", "P0", "2024-05-11", None, None, None), ("a", "T-2", "Hire engineer", "todo", "P1", "2024-05-01", None, None, None)],
+    tasks = spark.createDataFrame([("a", "T-1", "Kestrel renewal", "todo", "P0", "2024-05-11", None, None, None), ("a", "T-2", "Hire engineer", "todo", "P1", "2024-05-01", None, None, None)],
                                   "tenant_id string, id string, title string, status string, priority string, due_date string, created_at string, blocked_by string, subtasks array<struct<title:string,done:boolean>>")
-    config = spark.createDataFrame([("a", [("Sam", "")])], "tenant_id string, never_draft_contacts array<struct<name:string,email:string>>")
+    config = spark.createDataFrame([("a", [("Kim", "")])], "tenant_id string, never_draft_contacts array<struct<name:string,email:string>>")
     seen = {}
 
     def contradictions(s, u):
@@ -108,20 +108,20 @@ def test_briefs_for_all_tenants(spark):
 
     def synthesis(s, u):
         assert "TASK SIGNALS:" in u and "- T-1: late (email, notes): slips or not" in u and "made up" not in u
-        assert "### 2024-05-09 (YESTERDAY) (1 emails)" in u and "[notes, n.md] Halberd renewal is on" in u
-        return json.dumps({"what_matters_today": "Halberd renewal. ", "what_might_be_missed": "Nothing",
-                           "dispatchable_items": [{"id": "1", "type": "email_reply", "summary": "Ask Sam", "context": ""},
+        assert "### 2024-05-09 (YESTERDAY) (1 emails)" in u and "[notes, n.md] Kestrel renewal is on" in u
+        return json.dumps({"what_matters_today": "Kestrel renewal. ", "what_might_be_missed": "Nothing",
+                           "dispatchable_items": [{"id": "1", "type": "email_reply", "summary": "Ask Kim", "context": ""},
                                                   {"id": "2", "type": "email_reply", "summary": "Ask Bo", "context": "now"}]})
 
     def drafts(s, u):
-        assert "Bo" in u and "Sam" not in u
+        assert "Bo" in u and "Kim" not in u
         return json.dumps({"drafts": [{"id": "2", "draft_text": "Hi Bo"}]})
 
     out = brief_plan.write_briefs(entries, items, None, tasks, config, {"contradictions": contradictions, "synthesis": synthesis, "drafts": drafts}, "2024-05-10")
     assert one(out["briefs"], "brief")[0] == (
         "# Daily Brief\n\n> ⚠️ **Data freshness notice**\n> - calendar: no data available at all.\n> - notes: most recent data is from 2024-05-08 (2 days ago).\n\n"
-        "## What Matters Today\n\nHalberd renewal.\n\n## What You Might Be Missing\n\nNothing\n\n## Quick Dispatches\n\n"
-        "**Ask Sam**\n*(surfaced for you to handle directly — not drafted)*\n\n**Ask Bo**\n> Hi Bo\n")
+        "## What Matters Today\n\nKestrel renewal.\n\n## What You Might Be Missing\n\nNothing\n\n## Quick Dispatches\n\n"
+        "**Ask Kim**\n*(surfaced for you to handle directly — not drafted)*\n\n**Ask Bo**\n> Hi Bo\n")
     assert rows(out["uncovered"], "task_id") == [("T-2",)]
     assert rows(out["dropped_contradictions"], "entity", "reason") == [("T-7", "unknown entity")]
 
@@ -132,37 +132,37 @@ def test_briefs_for_all_tenants(spark):
     assert "**NARRATIVE**" in one(staged["briefs"], "brief")[0]
 
 
-SOURCES = [("t", "email", "0001.eml", "Mail", "Press two jam cleared by the night shift"), ("t", "notes", "n.md", "Note", "Press jam cleared, audit pending"),
-           ("t", "calendar", "ev", "Event", "Quarterly audit of Northstar"), ("t", "task", "T", "Task", "Unrelated words only"), ("t", "email", "2.eml", "M2", "More words again")]
+SOURCES = [("t", "email", "0001.eml", "Mail", "Pump two leak cleared by the night shift"), ("t", "notes", "n.md", "Note", "Pump leak cleared, audit pending"),
+           ("t", "calendar", "ev", "Event", "Quarterly audit of Brightwater"), ("t", "task", "T", "Task", "Unrelated words only"), ("t", "email", "2.eml", "M2", "More words again")]
 
 
 def test_cite_and_read_back(spark):
     sources = spark.createDataFrame(SOURCES, "tenant_id string, source string, ref string, label string, text string")
-    text = "# Daily Brief\n\n## What Matters Today\n\n- Press jam cleared\n- Press jam cleared\n- Northstar visit soon\n\n## Quick Dispatches\n\n**Jam cleared press**\n> Hi\n> there\n\n**None**\n*(surfaced for you to handle directly — not drafted)*\n"
+    text = "# Daily Brief\n\n## What Matters Today\n\n- Pump leak cleared\n- Pump leak cleared\n- Brightwater visit soon\n\n## Quick Dispatches\n\n**Leak cleared press**\n> Hi\n> there\n\n**None**\n*(surfaced for you to handle directly — not drafted)*\n"
     brief = spark.createDataFrame([("t", text)], "tenant_id string, brief string")
 
     def judge(s, u):
-        index = re.search(r"^(\d+)\. - Northstar visit soon$", u, re.M).group(1)
-        return json.dumps({"matches": [{"claim_index": int(index), "evidence": [{"source_ref": "ev", "quote": "audit of Northstar"}, {"source_ref": "zz", "quote": "x"}]}]})
+        index = re.search(r"^(\d+)\. - Brightwater visit soon$", u, re.M).group(1)
+        return json.dumps({"matches": [{"claim_index": int(index), "evidence": [{"source_ref": "ev", "quote": "audit of Brightwater"}, {"source_ref": "zz", "quote": "x"}]}]})
 
     cited, stats = brief_plan.cite(brief, sources, judge)
     got = one(cited, "brief")[0]
     tag = " _[source: email: 0001.eml, notes: n.md]_"
-    assert got == text.replace("- Press jam cleared", "- Press jam cleared" + tag).replace(
-        "- Northstar visit soon", "- Northstar visit soon _[source: calendar: ev (inferred)]_").replace("**Jam cleared press**", "**Jam cleared press**" + tag)
+    assert got == text.replace("- Pump leak cleared", "- Pump leak cleared" + tag).replace(
+        "- Brightwater visit soon", "- Brightwater visit soon _[source: calendar: ev (inferred)]_").replace("**Leak cleared press**", "**Leak cleared press**" + tag)
     assert one(stats) == ("t", 3, 1, 1)
     bullets = {r.bullet_no: r for r in briefs.brief_bullets(cited, "What Matters Today").collect()}
-    assert bullets[2].text == "- Northstar visit soon" and [tuple(c) for c in bullets[2].citations] == [("calendar", "ev", "llm")]
+    assert bullets[2].text == "- Brightwater visit soon" and [tuple(c) for c in bullets[2].citations] == [("calendar", "ev", "llm")]
     labels = briefs.labelled_citations(briefs.brief_bullets(cited, "What Matters Today"), sources.filter("ref <> 'ev'"))
     assert ("ev", "ev", "llm") in rows(labels, "ref", "label", "matched_via") and ("n.md", "Note", "keyword") in rows(labels, "ref", "label", "matched_via")
     drafts = briefs.brief_drafts(cited).orderBy("draft_no").collect()
-    assert [(d.summary, d.drafted, d.draft_text, len(d.citations)) for d in drafts] == [("Jam cleared press", True, "Hi\nthere", 2), ("None", False, "", 0)]
+    assert [(d.summary, d.drafted, d.draft_text, len(d.citations)) for d in drafts] == [("Leak cleared press", True, "Hi\nthere", 2), ("None", False, "", 0)]
 
 
 def test_structured_items(spark):
     sources = spark.createDataFrame(SOURCES, "tenant_id string, source string, ref string, label string, text string")
     context = spark.createDataFrame([("t", 1, "ctx")], "tenant_id string, page bigint, text string")
-    reply = json.dumps({"items": [{"id": "i1", "type": "action", "title": "A", "summary": "Press jam cleared", "priority": "P4", "due_date": "2024-05-10"},
+    reply = json.dumps({"items": [{"id": "i1", "type": "action", "title": "A", "summary": "Pump leak cleared", "priority": "P4", "due_date": "2024-05-10"},
                                   {"id": "i2", "type": "information", "title": "B", "summary": "Something else", "priority": "P1", "due_date": None}]})
     found = brief_plan.write_structured(context, sources, lambda s, u: reply, "2024-05-10")
     assert rows(found, "id", "date_urgency", "priority_disagreement", "source_refs") == [
@@ -173,5 +173,5 @@ def test_source_digest_requests(spark):
     entries, items = _ledger(spark)
     units = {r.unit_key: r.user_text for r in brief_plan.ledger_digest_units(entries, items, None, "2024-05-10").collect()}
     assert units["email"].startswith("TODAY'S DATE: 2024-05-10 (Friday)\n\n---\n\nDETERMINISTIC SENDER STALENESS")
-    assert "- DEADLINE [P1]: Halberd renewal slips (date: unspecified, from: )" in units["email"]
-    assert "### 2024-05-08 — n.md\n- DECISION [P1]: Halberd renewal is on" in units["notes"]
+    assert "- DEADLINE [P1]: Kestrel renewal slips (date: unspecified, from: )" in units["email"]
+    assert "### 2024-05-08 — n.md\n- DECISION [P1]: Kestrel renewal is on" in units["notes"]

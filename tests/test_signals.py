@@ -80,10 +80,10 @@ def test_day_mail_stats(spark):
 
 
 def test_noise_filter_ignores_case_and_other_tenants(spark):
-    emails = mail(spark, ("N <News@Spam.io>", DAY, "", ""), ("B <b@ok.org>", DAY, "", ""), ("c@SPAM.io", DAY, "", ""), ("nobody", DAY, "", ""))
-    blocked = spark.createDataFrame([("t", "sender", "b@ok.org"), ("other", "domain", "spam.io")], "tenant_id string, kind string, value string")
-    assert rows(mail_signals.drop_blocked(emails, blocked), "from_hdr") == [("N <News@Spam.io>",), ("c@SPAM.io",), ("nobody",)]
-    mine = spark.createDataFrame([("t", "domain", "spam.io")], "tenant_id string, kind string, value string")
+    emails = mail(spark, ("N <News@Junk.io>", DAY, "", ""), ("B <b@ok.org>", DAY, "", ""), ("c@JUNK.io", DAY, "", ""), ("nobody", DAY, "", ""))
+    blocked = spark.createDataFrame([("t", "sender", "b@ok.org"), ("other", "domain", "junk.io")], "tenant_id string, kind string, value string")
+    assert rows(mail_signals.drop_blocked(emails, blocked), "from_hdr") == [("N <News@Junk.io>",), ("c@JUNK.io",), ("nobody",)]
+    mine = spark.createDataFrame([("t", "domain", "junk.io")], "tenant_id string, kind string, value string")
     assert rows(mail_signals.drop_blocked(emails, mine), "from_hdr") == [("B <b@ok.org>",), ("nobody",)]
 
 

@@ -95,14 +95,14 @@ def test_tenant_ids_are_checked(bad):
 
 def test_config_merges_one_level_and_system_wins(spark, tmp_path):
     raw = spark.createDataFrame([
-        ("a", '{"map_noise_filter": {"blocked_domains": ["Spam.io"]}, "circuit_breaker_threshold": 99}'), ("b", "{}")],
+        ("a", '{"map_noise_filter": {"blocked_domains": ["Junk.io"]}, "circuit_breaker_threshold": 99}'), ("b", "{}")],
         "tenant_id string, config_json string")
     write(tmp_path / "system.json", '{"circuit_breaker_threshold": 7}')
     merged = tasks.merge_config(tasks.parse_config_rows(raw), tasks.read_system_config(spark, str(tmp_path / "system.json")))
     a = merged.filter("tenant_id = 'a'").first()
     assert a.use_persona_in_map and a.never_draft_contacts == [] and a.circuit_breaker_threshold == 7 and a.max_qps_per_tenant == 2.0
-    assert (a.map_noise_filter.blocked_senders, a.map_noise_filter.blocked_domains) == ([], ["Spam.io"])
-    assert rows(tasks.blocked_senders(merged)) == [("a", "domain", "spam.io")]
+    assert (a.map_noise_filter.blocked_senders, a.map_noise_filter.blocked_domains) == ([], ["Junk.io"])
+    assert rows(tasks.blocked_senders(merged)) == [("a", "domain", "junk.io")]
 
 
 def test_citable_sources_fall_back(spark):
