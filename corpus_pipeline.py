@@ -15,7 +15,8 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, 150 % of all words, 2 epochs at most."""
-    return mix(docs, [5.0, 2.0, 1.0]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(
+    mixed = mix(docs, [5.0, 2.0, 1.0]).filter("repeats > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(
         *docs.columns
     )
 

@@ -1,10 +1,16 @@
 """The queries of the operators, each over its whole table, and their SQL where SQL can say them."""
 
+from worksignal.llm.bagminhash import op3_bagminhash
+from worksignal.llm.chunking import op10_chunking
 from worksignal.llm.mixing import OP8_SQL, op8_mixing
 from worksignal.llm.pieces import op4_sentencepiece
+from worksignal.llm.url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_bagminhash": op3_bagminhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_mixing": op8_mixing,
+    "op10_chunking": op10_chunking,
 }
 ORACLES = {"op8_mixing": OP8_SQL}
