@@ -2,6 +2,8 @@
 
 from worksignal.llm.bagminhash import op3_bagminhash
 from worksignal.llm.chunking import op10_chunking
+from worksignal.llm.interpolation import op6_interpolation
+from worksignal.llm.language_id import op5_language_id
 from worksignal.llm.mixing import OP8_SQL, op8_mixing
 from worksignal.llm.pieces import op4_sentencepiece
 from worksignal.llm.url_filter import op1_url_filter
@@ -10,6 +12,8 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_bagminhash": op3_bagminhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
+    "op6_interpolation": op6_interpolation,
     "op8_mixing": op8_mixing,
     "op10_chunking": op10_chunking,
 }
