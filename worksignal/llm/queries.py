@@ -5,6 +5,7 @@ from worksignal.llm.chunking import op10_chunking
 from worksignal.llm.interpolation import op6_interpolation
 from worksignal.llm.language_id import op5_language_id
 from worksignal.llm.mixing import OP8_SQL, op8_mixing
+from worksignal.llm.nn_descent import op7_nn_descent
 from worksignal.llm.pieces import op4_sentencepiece
 from worksignal.llm.range_join import op9_range_join
 from worksignal.llm.url_filter import op1_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_interpolation": op6_interpolation,
+    "op7_nn_descent": op7_nn_descent,
     "op8_mixing": op8_mixing,
     "op9_range_join": op9_range_join,
     "op10_chunking": op10_chunking,
