@@ -63,15 +63,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), dtype=f"u{data[0]}").astype(np.int64)
 
 
-def _six_bytes(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, which are short where keys are many."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view(np.uint64)
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data).view(np.uint64), dtype=np.uint64)
 
 
 def with_ends(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +110,7 @@ def _requests(n_buckets: int):
                 for b in range(n_buckets):
                     i, j, k, m = w[b], w[b + 1], p[b], p[b + 1]
                     if i < j or k < m:
-                        out.append((b, chunk, words[i:j].tobytes(), pack(word_counts[i:j]), _six_bytes(pairs[k:m]), pack(pair_counts[k:m])))
+                        out.append((b, chunk, pack_sorted(words[i:j]), pack(word_counts[i:j]), pack_sorted(pairs[k:m]), pack(pair_counts[k:m])))
             held.clear()
             names = ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"]
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -142,7 +140,7 @@ def _totals(frame: pd.DataFrame, per_split: int) -> pd.DataFrame:
     """Answers of one range: for each chunk, the totals of its sorted distinct keys, in all and in the deleted part."""
 
     def answers(keys_of, counts_of):
-        keys = [keys_of(i) for i in range(len(frame))]
+        keys = [unpack_sorted(k) for k in keys_of]
         counts = np.concatenate([unpack(c) for c in counts_of])
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
@@ -162,17 +160,38 @@ def _totals(frame: pd.DataFrame, per_split: int) -> pd.DataFrame:
 
     chunk = frame["chunk"].to_numpy()
     bucket = int(frame["bucket"].iat[0])
-    words, types, tokens, gone = answers(lambda i: np.frombuffer(frame["words"].iat[i], np.uint64), frame["word_counts"])
-    pairs, _, _, _ = answers(lambda i: _from_six(frame["pairs"].iat[i]), frame["pair_counts"])
+    words, types, tokens, gone = answers(frame["words"], frame["word_counts"])
+    pairs, _, _, _ = answers(frame["pairs"], frame["pair_counts"])
     rows = [(c, bucket, *words[c], *pairs[c], 0, 0) for c in words]
     rows += [(-1, bucket, b"", b"", b"", b"", types, tokens), (-2, bucket, b"", b"", b"", b"", 0, gone)]
     return pd.DataFrame(rows, columns=[f.split()[0] for f in _REPLY.split(", ")])
 
 
-def _chunk_counts(texts: pd.Series, replies: pd.DataFrame, deleted: bool):
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, rows): the rows of each chunk as compressed Arrow streams, far smaller to shuffle than texts."""
+    for batch in batches:
+        chunks = batch.column(0).to_numpy(zero_copy_only=False)
+        kept = batch.select(batch.schema.names[1:])
+        found = np.unique(chunks)
+        streams = []
+        for chunk in found:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(kept.filter(pa.array(chunks == chunk)))
+            streams.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(streams, pa.binary())], ["chunk", "rows"])
+
+
+def _unpack_rows(packed: pa.Table) -> pa.Table:
+    if not len(packed):
+        raise ValueError("the documents changed between two reads; store them first")
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in packed.column("rows")])
+
+
+def _chunk_counts(texts: pa.ChunkedArray, replies: pd.DataFrame, deleted: bool):
     """Counts at each token of a chunk: (document, word, pair, context), with the deleted part's taken off if asked."""
     hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for block in blocks(pa.array(texts, pa.string())):
+    for block in blocks(texts):
         hashes.append(block.hashes)
         docs.append(block.doc + block.first)
     token, context, doc = with_ends(np.concatenate(hashes), np.concatenate(docs), len(texts))
@@ -200,16 +219,16 @@ def _shares(word, pair, context, tokens):
     return pair / np.maximum(context, 1), word / max(tokens, 1)
 
 
-def _mixture_counts(key, texts: pd.DataFrame, replies: pd.DataFrame, tokens: int) -> pd.DataFrame:
+def _mixture_counts(rows: pa.Table, replies: pa.Table, tokens: int) -> pa.Table:
     """How many deleted tokens have which context class, bigram share and unigram share, the shares on a fine logarithmic scale."""
-    _, word, pair, context = _chunk_counts(texts["text"], replies, True)
+    _, word, pair, context = _chunk_counts(_unpack_rows(rows).column("text"), replies.to_pandas(), True)
     two, one = _shares(word, pair, context, tokens)
 
     def steps(p):
         return np.where(p > 0, 1 + np.round(-_STEPS * np.log2(np.maximum(p, 1e-300))), 0).astype(np.int64)
 
     rows, n = np.unique(np.stack([frequency_class(context), steps(two), steps(one)]), axis=1, return_counts=True)
-    return pd.DataFrame({"class": rows[0], "two": rows[1], "one": rows[2], "n": n})
+    return pa.table({"class": rows[0], "two": rows[1], "one": rows[2], "n": n})
 
 
 def learn_mixture(counts: pd.DataFrame, types: int, rounds: int = 100, prior: float = 20.0) -> np.ndarray:
@@ -239,20 +258,21 @@ def learn_mixture(counts: pd.DataFrame, types: int, rounds: int = 100, prior: fl
     return run(kind, 64, overall, prior)
 
 
-def _scores(texts: pd.DataFrame, replies: pd.DataFrame, mixture: Mixture) -> pd.DataFrame:
-    doc, word, pair, context = _chunk_counts(texts["text"], replies, False)
+def _scores(rows: pa.Table, replies: pa.Table, mixture: Mixture) -> pa.Table:
+    rows = _unpack_rows(rows)
+    doc, word, pair, context = _chunk_counts(rows.column("text"), replies.to_pandas(), False)
     two, one = _shares(word, pair, context, mixture.tokens)
     weights = mixture.weights[frequency_class(context)]
     p = weights[:, 0] * two + weights[:, 1] * one + weights[:, 2] / (mixture.types + 1)
     base = np.log10((word + 1.0) / (mixture.tokens + mixture.types + 1.0))
-    n = len(texts)
-    out = texts.drop(columns=["chunk", "text", "learn"])
-    out["n_tokens"] = np.bincount(doc, minlength=n)
-    out["n_known"] = np.bincount(doc[word > 0], minlength=n)
-    out["train_tokens"] = mixture.tokens
-    out["base_score"] = np.bincount(doc, weights=base, minlength=n)
-    out["score"] = np.bincount(doc, weights=np.log10(p), minlength=n)
-    return out
+    n = len(rows)
+    columns = {name: rows.column(name) for name in rows.column_names if name != "text"}
+    columns["n_tokens"] = np.bincount(doc, minlength=n)
+    columns["n_known"] = np.bincount(doc[word > 0], minlength=n)
+    columns["train_tokens"] = np.full(n, mixture.tokens)
+    columns["base_score"] = np.bincount(doc, weights=base, minlength=n)
+    columns["score"] = np.bincount(doc, weights=np.log10(p), minlength=n)
+    return pa.table(columns)
 
 
 def score_documents(docs: DataFrame, train: Column, deleted: Column, stored: bool = False) -> DataFrame:
@@ -291,16 +311,21 @@ def score_documents(docs: DataFrame, train: Column, deleted: Column, stored: boo
     gone = int(sums[-2]["n"]) if -2 in sums else 0
     replies = replies.filter("chunk >= 0").drop("n_types", "n_tokens")
     last = F.col("chunk") % per_split == splits
-    seen = rows.filter(last).select("chunk", "text").groupBy("chunk").cogroup(replies.filter(last).groupBy("chunk"))
+    names = [c for c in rows.columns if c != "learn" and c != "chunk"]
+
+    def packed(part):
+        return part.select("chunk", *names).mapInArrow(_pack_rows, "chunk long, rows binary").groupBy("chunk")
+
+    seen = packed(rows.filter(last)).cogroup(replies.filter(last).groupBy("chunk"))
     kept = tokens - gone
-    counts = seen.applyInPandas(lambda k, a, b: _mixture_counts(k, a, b, kept), "class long, two long, one long, n long")
+    counts = seen.applyInArrow(lambda a, b: _mixture_counts(a, b, kept), "class long, two long, one long, n long")
     counts = counts.groupBy("class", "two", "one").agg(F.sum("n").alias("n")).orderBy("class", "two", "one").toPandas()
     mixture = Mixture(learn_mixture(counts, types), tokens, types, gone)
     schema = rows.drop("chunk", "text", "learn").withColumns(
         {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}
     ).schema
-    both = rows.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return both.applyInPandas(lambda a, b: _scores(a, b, mixture), schema)
+    both = packed(rows).cogroup(replies.groupBy("chunk"))
+    return both.applyInArrow(lambda a, b: _scores(a, b, mixture), schema)
 
 
 def op6_interpolation(spark, sf_dir: str) -> DataFrame:
