@@ -135,8 +135,8 @@ def test_bucketed_order_equals_a_plain_window(spark):
     assert rows(got, "k", "v", "i", "nxt") == rows(want, "k", "v", "i", "nxt")
 
 
-def test_long_groups_continue_on_further_pages(spark):
+def test_long_groups_are_one_text_whatever_the_run(spark):
     lines = spark.range(1, 26).select(F.lit("g").alias("g"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("line"))
-    pages = fold_lines(lines, ["g"], per_page=10).orderBy("page").collect()
-    assert [p.page for p in pages] == [1, 2, 3]
-    assert "\n".join(p.text for p in pages).split("\n") == [str(i) for i in range(1, 26)]
+    for run in (1, 3, 10, 5000):
+        (row,) = fold_lines(lines, ["g"], run=run).collect()
+        assert row.text.split("\n") == [str(i) for i in range(1, 26)]

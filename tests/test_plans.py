@@ -60,10 +60,45 @@ def test_tenants_do_not_see_each_other(spark):
     assert rows(both.filter("tenant_id = 'b'")) == rows(alone)
 
 
-def test_a_unit_needs_all_its_pages(spark):
-    accepted = spark.createDataFrame([("t", "s", "u", 1, "{}"), ("t", "s", "v", 1, "{}")], "tenant_id string, stage string, unit_key string, page bigint, payload string")
-    responses = spark.createDataFrame([("t", "u"), ("t", "u"), ("t", "v")], "tenant_id string, unit_key string")
-    assert rows(model_stage.whole_units(accepted, responses)) == [("t", "v")]
+def test_unreadable_and_blocked_mail_stays_out(spark):
+    all_mail = mail(spark, *MAIL)
+    marked = all_mail.withColumn("parse_error", F.when(F.col("tenant_id") == "b", "broken"))
+    entries, _, _ = map_plan.map_mail(marked, nothing(spark), answer)
+    assert entries.filter("tenant_id = 'b'").count() == 0 and entries.count() > 0
+    domain = all_mail.select("tenant_id", F.lit("domain").alias("kind"), F.regexp_extract("from_hdr", "@([^>]+)", 1).alias("value")).distinct()
+    assert map_plan.map_mail(all_mail, nothing(spark), answer, blocked=domain)[0].count() == 0
+
+
+def test_items_by_their_json_type(spark):
+    payload = json.dumps({"note_type": "[draft] plan", "open": ["[x] looks like a list", "{so does this", {"text": "a", "deep": ["b", 1]}, None], "n": 3, "o": {"k": "v"}})
+    accepted = spark.createDataFrame([("t", "s", "u", payload)], "tenant_id string, stage string, unit_key string, payload string")
+    got = rows(model_stage.payload_items(accepted), "category", "ordinal", "text")
+    assert got == sorted([("note_type", 0, "[draft] plan"), ("open", 0, "[x] looks like a list"), ("open", 1, "{so does this"),
+                          ("open", 2, "a b"), ("n", 0, "3"), ("o", 0, "v")], key=repr)
+
+
+def test_judge_shows_every_source_and_passes_over_bad_evidence(spark):
+    claims = spark.createDataFrame([("t", f"- claim {i:05d}", f"- claim {i:05d}") for i in range(700)], "tenant_id string, claim_id string, text string")
+    sources = spark.createDataFrame([("t", "email", f"{i:09d}", "L", "text") for i in range(6000)], "tenant_id string, source string, ref string, label string, text string")
+    (unit,) = brief_plan.judge_units(claims, sources).collect()
+    lines = unit.user_text.split("\n")
+    assert lines[0] == "Claims:" and lines[1] == "0. - claim 00000" and len(lines) == 1 + 700 + 2 + 6000
+    reply = json.dumps({"matches": [
+        {"claim_index": 3, "evidence": ["no object", {"source_ref": "email:1", "quote": "q"}, 7, None, {"source_ref": "email:2", "quote": "r"}]},
+        {"claim_index": "0", "evidence": [{"source_ref": "email:3", "quote": "q"}]}, {"claim_index": 1.5, "evidence": []}, {"claim_index": 2, "evidence": "none"}]})
+    accepted = spark.createDataFrame([("t", "judge", "judge", reply)], "tenant_id string, stage string, unit_key string, payload string")
+    got = rows(brief_plan.judge_evidence(accepted, claims), "claim_id", "source_ref", "quote")
+    assert got == [("- claim 00003", "email:1", "q"), ("- claim 00003", "email:2", "r")]
+
+
+def test_all_quiet_senders_are_told_of(spark):
+    entries, items = _ledger(spark)
+    tenant = entries.select("tenant_id").first()[0]
+    quiet = spark.range(6000).select(
+        F.lit(tenant).alias("tenant_id"), F.lit("N").alias("name"), F.format_string("s%05d@x.example", "id").alias("email"),
+        F.lit("2024-05-01").alias("last_seen"), F.lit("2024-04-01").alias("first_seen"), F.lit(9).alias("days_since_last_contact"), F.lit(2).alias("email_count"))
+    units = {r.unit_key: r.user_text for r in brief_plan.ledger_digest_units(entries, items, None, "2024-05-10", quiet).collect()}
+    assert units["email"].count("@x.example") == 6000 and len(units) == len(set(units))
 
 
 def test_map_notes_and_calendar(spark):
@@ -161,7 +196,7 @@ def test_cite_and_read_back(spark):
 
 def test_structured_items(spark):
     sources = spark.createDataFrame(SOURCES, "tenant_id string, source string, ref string, label string, text string")
-    context = spark.createDataFrame([("t", 1, "ctx")], "tenant_id string, page bigint, text string")
+    context = spark.createDataFrame([("t", "ctx")], "tenant_id string, text string")
     reply = json.dumps({"items": [{"id": "i1", "type": "action", "title": "A", "summary": "Pump leak cleared", "priority": "P4", "due_date": "2024-05-10"},
                                   {"id": "i2", "type": "information", "title": "B", "summary": "Something else", "priority": "P1", "due_date": None}]})
     found = brief_plan.write_structured(context, sources, lambda s, u: reply, "2024-05-10")

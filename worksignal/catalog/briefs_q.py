@@ -89,12 +89,12 @@ _PLACE = "list_position(['email', 'calendar', 'notes', 'task'], kind)"
 
 
 def _refs(between: str, glue: str) -> str:
-    """(item_id, page, refs), a thousand refs to a page."""
+    """(item_id, refs)."""
     return f"""
-  SELECT item_id, (rn - 1) // 1000 + 1 AS page, string_agg(kind || '{between}' || ref, '{glue}' ORDER BY rn) AS refs FROM (
+  SELECT item_id, string_agg(kind || '{between}' || ref, '{glue}' ORDER BY rn) AS refs FROM (
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n_matched DESC, {_PLACE}, ref) AS rn FROM (
       SELECT m.item_id, m.n_matched, printf('%09d', m.doc_id) AS ref, {DOCUMENT_KIND_SQL} AS kind
-      FROM ({MATCHES_SQL}) m JOIN documents USING (doc_id))) GROUP BY 1, 2
+      FROM ({MATCHES_SQL}) m JOIN documents USING (doc_id))) GROUP BY 1
 """
 
 
@@ -108,7 +108,7 @@ def match_ranks_q(spark, sf):
 
 
 @query("structured_citations", f"""
-SELECT b.item_id, CAST(coalesce(page, 1) AS BIGINT) AS page, coalesce(r.refs, '') AS source_refs, CASE WHEN b.item_id % 3 = 0 THEN 'no_date' WHEN b.item_id % 3 = 1 THEN 'overdue' ELSE 'later' END AS date_urgency,
+SELECT b.item_id, coalesce(r.refs, '') AS source_refs, CASE WHEN b.item_id % 3 = 0 THEN 'no_date' WHEN b.item_id % 3 = 1 THEN 'overdue' ELSE 'later' END AS date_urgency,
        b.item_id % 3 = 1 AS priority_disagreement
 FROM benchmark b LEFT JOIN ({_refs(':', ',')}) r ON r.item_id = b.item_id
 """)
@@ -119,7 +119,7 @@ def structured_citations_q(spark, sf):
     )
     cited = briefs.item_citations(task_signals.annotate_items(items, "2024-01-01"), benchmark_matches(spark, sf))
     return cited.select(
-        F.col("claim_id").cast("bigint").alias("item_id"), "page", F.array_join("source_refs", ",").alias("source_refs"),
+        F.col("claim_id").cast("bigint").alias("item_id"), F.array_join("source_refs", ",").alias("source_refs"),
         "date_urgency", "priority_disagreement",
     )
 
@@ -128,10 +128,9 @@ _WHOLE = "regexp_replace(text, '\\s+', ' ', 'g')"
 
 
 @query("cited_briefs", f"""
-SELECT b.item_id, '# Daily Brief' || chr(10) || chr(10) || '- ' || {_WHOLE} || coalesce(r.tags, '')
+SELECT b.item_id, '# Daily Brief' || chr(10) || chr(10) || '- ' || {_WHOLE} || coalesce(' _[source: ' || r.refs || ']_', '')
   || chr(10) || '> quoted' AS brief
-FROM benchmark b LEFT JOIN (SELECT item_id, string_agg(' _[source: ' || refs || ']_', chr(10) ORDER BY page) AS tags
-  FROM ({_refs(': ', ', ')}) GROUP BY 1) r ON r.item_id = b.item_id
+FROM benchmark b LEFT JOIN ({_refs(': ', ', ')}) r ON r.item_id = b.item_id
 """)
 def cited_briefs_q(spark, sf):
     return _cited(spark, sf).select("item_id", "brief")

@@ -77,12 +77,12 @@ def declined_events_q(spark, sf):
 
 
 @query("event_context", f"""
-SELECT tenant_id, date_key, CAST(1 + (rn - 1) // 500 AS BIGINT) AS page, string_agg(
+SELECT tenant_id, date_key, string_agg(
   '--- Event ' || rn || ' ---' || chr(10) || 'Summary: ' || summary || chr(10)
   || 'Status: ' || CASE kind WHEN 'declined' THEN 'TENTATIVE' ELSE 'CONFIRMED' END || chr(10)
   || 'Start: ' || strftime(s, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'End: ' || strftime(e, '%Y-%m-%dT%H:%M:%S') || chr(10)
   || 'Location: none' || chr(10) || 'Attendees: User ' || user_id || chr(10) || 'Description: ' || props || chr(10), chr(10) ORDER BY rn) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, date_key ORDER BY s, uid) AS rn FROM ({CALENDAR_SQL})) GROUP BY 1, 2, 3
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, date_key ORDER BY s, uid) AS rn FROM ({CALENDAR_SQL})) GROUP BY 1, 2
 """)
 def event_context_q(spark, sf):
     return rendering.event_context(calendar(spark, sf))

@@ -8,7 +8,7 @@ from worksignal.functions.dates import day_label, iso_week, sort_day
 from worksignal.operators import compaction, days, ledger_health
 from worksignal.operators.ordered import next_value, ordinal
 from worksignal.plans.map_plan import new_days
-from worksignal.sources.records import processed_keys
+from worksignal.sources.records import latest_briefs, processed_keys
 
 _DAYS = """
 SELECT CAST(user_id AS VARCHAR) AS tenant_id, strftime(ts, '%Y-%m-%d') AS date_key, count(*) AS item_count FROM events GROUP BY 1, 2
@@ -164,9 +164,19 @@ def iso_weeks_q(spark, sf):
 SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id
 """)
 def latest_per_tenant_q(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text")
+    return latest_briefs(table(spark, sf, "conversations").select("conv_id", "turn", "text"), None, "conv_id", "turn")
+
+
+@query("latest_brief_as_of", """
+SELECT CAST(user_id AS VARCHAR) AS tenant_id, arg_max(props, (strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), event_id)) AS brief, strftime(max(ts), '%Y-%m-%d') AS day FROM events
+WHERE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') <= '2024-01-20' GROUP BY 1
+""")
+def latest_brief_as_of_q(spark, sf):
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string(" %012d", "event_id"))
+    history = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("tenant_id"), F.col("props").alias("brief"), stamp.alias("run_ts")
     )
+    return latest_briefs(history, "2024-01-20").select("tenant_id", "brief", F.substring("run_ts", 1, 10).alias("day"))
 
 
 @query("ordinals_in_groups", """

@@ -33,10 +33,9 @@ def quiet_senders_q(spark, sf):
 
 
 @query("quiet_sender_report", f"""
-SELECT CAST(1 + (rn - 1) // 5000 AS BIGINT) AS page,
-       string_agg('- ' || name || ' <' || email || '>: last heard from ' || last_seen || ' (' || days_since_last_contact
+SELECT string_agg('- ' || name || ' <' || email || '>: last heard from ' || last_seen || ' (' || days_since_last_contact
          || ' days ago), ' || email_count || ' emails total in this window (first: ' || first_seen || ')', chr(10) ORDER BY rn) AS text
-FROM (SELECT *, row_number() OVER (ORDER BY days_since_last_contact DESC, email) AS rn FROM ({QUIET_SQL})) GROUP BY 1
+FROM (SELECT *, row_number() OVER (ORDER BY days_since_last_contact DESC, email) AS rn FROM ({QUIET_SQL})) HAVING count(*) > 0
 """)
 def quiet_sender_report_q(spark, sf):
     emails = mail(spark, sf)
@@ -63,11 +62,11 @@ def noise_filter_q(spark, sf):
 
 
 @query("mail_context", f"""
-SELECT date_key, CAST(1 + (rn - 1) // 500 AS BIGINT) AS page, string_agg(
+SELECT date_key, string_agg(
   '--- Email ' || rn || ' ---' || chr(10) || 'From: ' || name || ' <' || email || '>' || chr(10) || 'To: Owner <owner@example.org>' || chr(10)
   || 'Subject: ' || subject || chr(10) || 'Date: ' || date_iso || chr(10) || 'Thread: ' || event_type || ' by ' || user_id || chr(10)
   || 'Body:' || chr(10) || body || chr(10), chr(10) ORDER BY rn) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY date_iso, event_id) AS rn FROM ({MAIL_SQL})) GROUP BY 1, 2
+FROM (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY date_iso, event_id) AS rn FROM ({MAIL_SQL})) GROUP BY 1
 """)
 def mail_context_q(spark, sf):
     return rendering.email_context(mail(spark, sf)).drop("tenant_id")

@@ -91,8 +91,8 @@ lines AS (
     CASE WHEN event_type = 'click' THEN '- DECISION [P2]: ' || subject || ' (from: ' || subject || ')'
          ELSE '- ACTION [P2]: ' || subject || ' (owner: unspecified, from: ' || subject || ')' END FROM {_GOOD_DAYS}
   UNION ALL SELECT date_key, 9, 0, '', '' FROM e)
-SELECT source, CAST(1 + (rn - 1) // 5000 AS BIGINT) AS page, string_agg(line, chr(10) ORDER BY rn) AS text FROM (
-  SELECT *, 'email' AS source, row_number() OVER (ORDER BY date_key, part, c, place) AS rn FROM lines) GROUP BY 1, 2
+SELECT source, string_agg(line, chr(10) ORDER BY rn) AS text FROM (
+  SELECT *, 'email' AS source, row_number() OVER (ORDER BY date_key, part, c, place) AS rn FROM lines) GROUP BY 1
 """)
 def ledger_text_q(spark, sf):
     entries, items, _ = map_plan.map_mail(mail(spark, sf), _no_ledger(spark), answer_mail)

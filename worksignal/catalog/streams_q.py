@@ -49,7 +49,8 @@ def first_of_each_stream_q(spark, sf):
 
 
 @query("ledger_stream", """
-SELECT CAST(user_id AS VARCHAR) AS tenant_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS item_count, count(*) FILTER (WHERE event_type = 'click') AS reply_count
+SELECT CAST(user_id AS VARCHAR) AS tenant_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS item_count, count(*) FILTER (WHERE event_type = 'click') AS reply_count,
+       bool_or(event_type = 'purchase') AS hot
 FROM events GROUP BY 1, 2
 """)
 def ledger_stream_q(spark, sf):
@@ -62,9 +63,9 @@ def ledger_stream_q(spark, sf):
     path = fresh_path(spark, "ledger")
     for attempt in ("first", "replay"):  # the second run finds every day done and adds nothing
         state = fresh_path(spark, f"ledger-{attempt}")
-        day_stream.run_ledger_stream(stream, path, state, "email", mail_facts).awaitTermination()
+        day_stream.run_ledger_stream(stream, path, state, "email", mail_facts)
     return read_ledger(spark, path, schemas.LEDGER_ENTRIES).select(
-        "tenant_id", "day", "item_count", F.col("stats.reply_count").cast("bigint").alias("reply_count")
+        "tenant_id", "day", "item_count", F.col("stats.reply_count").cast("bigint").alias("reply_count"), "hot"
     )
 
 

@@ -67,7 +67,7 @@ WITH lines AS ({_LINES}), heads AS (
   SELECT DISTINCT tenant_id, b, -1 AS p, 0 AS u, '' AS id,
          CASE b WHEN 1 THEN 'OVERDUE:' WHEN 2 THEN 'DUE SOON (within 7 days):' WHEN 3 THEN 'BLOCKED:'
                 ELSE 'STALLED (open a while, little progress):' END AS line FROM lines)
-SELECT tenant_id, CAST(1 AS BIGINT) AS page, string_agg(line, chr(10) ORDER BY b, p, u, id) AS text
+SELECT tenant_id, string_agg(line, chr(10) ORDER BY b, p, u, id) AS text
 FROM (SELECT * FROM lines UNION ALL SELECT * FROM heads) GROUP BY 1
 """)
 def task_signal_text_q(spark, sf):

@@ -15,10 +15,9 @@ from worksignal.functions.constants import (
     UNDRAFTED_LINE,
 )
 from worksignal.functions.text import citable, let, not_blank, strip
-from worksignal.operators.ordered import fold_lines, ordinal
+from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
 
 _SOURCE_ORDER = ("email", "calendar", "notes", "task")
-_REFS_PER_PAGE = 1000
 
 
 def brief_lines(synthesis: DataFrame, dispatches: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -66,12 +65,12 @@ def brief_lines(synthesis: DataFrame, dispatches: DataFrame, fresh: DataFrame) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def assemble_briefs(synthesis: DataFrame, dispatches: DataFrame, fresh: DataFrame, per_page: int = 5000) -> DataFrame:
-    """(tenant_id, page, brief)."""
+def assemble_briefs(synthesis: DataFrame, dispatches: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(tenant_id, brief)."""
     lines = brief_lines(synthesis, dispatches, fresh)
-    bucket = F.struct("part", F.floor(F.col("place") / per_page).alias("run"))
+    bucket = F.struct("part", F.floor(F.col("place") / 5000).alias("run"))
     ordered = ordinal(lines, ["tenant_id"], bucket, [F.col("part"), F.col("place"), F.col("line")])
-    return fold_lines(ordered, ["tenant_id"], per_page=per_page, name="brief")
+    return fold_lines(ordered, ["tenant_id"], name="brief")
 
 
 def numbered_lines(texts: DataFrame, keys: list[str], column: str = "brief") -> DataFrame:
@@ -100,49 +99,45 @@ def _source_place(source: Column) -> Column:
 def ranked_refs(matches: DataFrame) -> DataFrame:
     """Matches with `match_rank` per claim: best first, then by kind of source and ref."""
     placed = matches.withColumn("__place", _source_place(F.col("source")))
-    bucket = F.struct(-F.col("n_matched"), F.col("__place"), F.substring("ref", 1, 6))
-    order = [F.col("n_matched").desc(), F.col("__place"), F.col("ref")]
-    return ordinal(placed, ["tenant_id", "claim_id"], bucket, order, "match_rank").drop("__place")
+    placed = placed.withColumn("__worse", -F.col("n_matched"))
+    ranged = range_buckets(placed, ["tenant_id", "claim_id", "__worse", "__place", "ref"])
+    order = [F.col("__worse"), F.col("__place"), F.col("ref")]
+    ranked = ordinal(ranged, ["tenant_id", "claim_id"], F.col("range_bucket"), order, "match_rank")
+    return ranked.drop("__place", "__worse", "range_bucket")
 
 
-def citation_tags(matches: DataFrame, inferred: bool = False, per_page: int = _REFS_PER_PAGE) -> DataFrame:
-    """(tenant_id, claim_id, page, tag): the citation text of each claim."""
+def citation_tags(matches: DataFrame, inferred: bool = False) -> DataFrame:
+    """(tenant_id, claim_id, tag): the citation text of each claim."""
     tail = " (inferred)]_" if inferred else "]_"
     refs = ranked_refs(matches).withColumn("line", F.concat_ws(": ", "source", "ref"))
-    folded = fold_lines(refs, ["tenant_id", "claim_id"], "match_rank", "line", ", ", per_page, "refs")
+    folded = fold_lines(refs, ["tenant_id", "claim_id"], "match_rank", "line", ", ", "refs")
     return folded.select(
-        "tenant_id", "claim_id", "page", F.concat(F.lit(" _[source: "), F.col("refs"), F.lit(tail)).alias("tag")
+        "tenant_id", "claim_id", F.concat(F.lit(" _[source: "), F.col("refs"), F.lit(tail)).alias("tag")
     )
 
 
 def annotate_lines(lines: DataFrame, tags: DataFrame) -> DataFrame:
-    """Lines with their claim's tag appended. A tag of several pages continues on rows of its own."""
+    """Lines with their claim's tag appended."""
     keyed = lines.withColumn("claim_id", F.when(citable(F.col("line"), UNDRAFTED_LINE), strip(F.col("line"))))
     tagged = keyed.join(tags, ["tenant_id", "claim_id"], "left")
-    page = F.coalesce("page", F.lit(1).cast("bigint"))
-    text = F.when(page == 1, F.concat("line", F.coalesce("tag", F.lit("")))).otherwise(F.col("tag"))
-    return tagged.select(*[c for c in lines.columns if c != "line"], page.alias("page"), text.alias("line"))
+    text = F.concat("line", F.coalesce("tag", F.lit("")))
+    return tagged.select(*[c for c in lines.columns if c != "line"], text.alias("line"))
 
 
 def cited_briefs(annotated: DataFrame, keys: list[str]) -> DataFrame:
     """The annotated lines of each brief joined back. Lines came from one text and return to one."""
-    place = F.struct("line_no", "page")
-    return annotated.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("line").alias("l")))).alias("ls")
-    ).select(*keys, F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("brief"))
+    return fold_lines(annotated.withColumn("line_no", F.col("line_no") + 1), keys, "line_no", name="brief")
 
 
-def item_citations(items: DataFrame, matches: DataFrame, per_page: int = _REFS_PER_PAGE) -> DataFrame:
-    """Structured items with `source_refs`, best first; an item of very many refs takes several rows."""
-    refs = ranked_refs(matches).withColumn("page", F.floor((F.col("match_rank") - 1) / per_page).cast("bigint") + 1)
-    arrays = refs.groupBy("tenant_id", "claim_id", "page").agg(
+def item_citations(items: DataFrame, matches: DataFrame) -> DataFrame:
+    """Structured items with `source_refs`, best first."""
+    arrays = ranked_refs(matches).groupBy("tenant_id", "claim_id").agg(
         F.array_sort(F.collect_list(F.struct("match_rank", F.concat_ws(":", "source", "ref").alias("r")))).alias("rs")
     )
     joined = items.join(arrays, ["tenant_id", "claim_id"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
         *items.columns,
-        F.coalesce("page", F.lit(1).cast("bigint")).alias("page"),
         F.coalesce(F.transform("rs", lambda x: x["r"]), none).alias("source_refs"),
     )
 

@@ -41,7 +41,7 @@ def merged_items(stale: DataFrame, items: DataFrame) -> DataFrame:
         .select(
             "tenant_id", "source", F.col("week").alias("entry_key"), F.lit("delta").alias("section"), "category",
             # Order within a week follows the day and the item's own place.
-            (F.datediff(strict_day(F.col("first.day")), F.lit("1970-01-01").cast("date")) * F.lit(1000000).cast("bigint")
+            (F.datediff(strict_day(F.col("first.day")), F.lit("1970-01-01").cast("date")) * F.lit(1 << 40).cast("bigint")
              + F.col("first.ordinal")).alias("ordinal"),
             F.col("first.payload").alias("payload"),
             "text",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worksignal.functions.constants import MAP_SCHEMAS
 from worksignal.functions.dates import leading_day
 from worksignal.functions.keywords import excerpt, glued_set, index_word, mentioned, title_keywords, word_set
 from worksignal.functions.text import each, kept
@@ -23,7 +24,15 @@ def ledger_texts(entries: DataFrame, items: DataFrame) -> DataFrame:
     daily = entries.filter(~F.coalesce("compacted", F.lit(False))).select(
         "tenant_id", "source", "entry_key", F.coalesce("note_id", "day", F.lit("unknown")).alias("day")
     )
-    return items.filter("text <> ''").join(daily, ["tenant_id", "source", "entry_key"])
+    if not {"section", "category", "ordinal"} <= set(items.columns):
+        return items.filter("text <> ''").join(daily, ["tenant_id", "source", "entry_key"])
+    # An entry's own order: what was extracted before what was counted, categories as they are asked for.
+    kinds = F.array(*[F.lit(c) for schema in MAP_SCHEMAS.values() for c in schema])
+    place = F.struct(
+        (F.col("section") != "delta").alias("counted"), F.array_position(kinds, F.col("category")).alias("kind"),
+        F.col("category").alias("name"), F.col("ordinal").alias("at"),
+    )
+    return items.filter("text <> ''").withColumn("item_order", place).join(daily, ["tenant_id", "source", "entry_key"])
 
 
 def task_keywords(tasks: DataFrame) -> DataFrame:
@@ -74,15 +83,15 @@ def item_matches(tasks: DataFrame, items: DataFrame, salts: int = _SALTS) -> Dat
 def task_mentions(tasks: DataFrame, items: DataFrame) -> DataFrame:
     """One row per (task, entry): its best item, the earliest where several match equally well.
 
-    The best item is a `max_by`, so it combines before the shuffle. `items` may carry
+    The best item is a `min_by`, so it combines before the shuffle. `items` may carry
     `item_order`, the item's place among all items of its entry.
     """
     place = F.col("item_order") if "item_order" in items.columns else F.col("ordinal")
     matches = item_matches(tasks, items)
     best = matches.groupBy("tenant_id", "task_id", "source", "entry_key").agg(
-        F.max_by(
+        F.min_by(
             F.struct("day", "title", "priority", "due_date", "category", "text", "matched"),
-            F.struct(F.size("matched").alias("m"), (-place).alias("o")),
+            F.struct((-F.size("matched")).alias("m"), place.alias("o")),
         ).alias("b")
     ).select("tenant_id", "task_id", "source", "entry_key", "b.*")
     return best.select(

@@ -11,14 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
-
+from worksignal.session import settle
 
-def _null_safe(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+_BUCKET = "__bucket"
 
 
 def _join_summary(rows: DataFrame, summary: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -55,6 +50,16 @@ def ordinal(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return running_sum(df, keys, bucket, order, F.lit(1), name).withColumn(name, F.col(name).cast("bigint"))
 
 
+def range_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds `range_bucket`, which rises with the columns and holds about as many rows in each bucket.
+
+    For orders without a natural bucket, such as texts with a common prefix. Where the ranges lie is
+    sampled, so the rows are settled.
+    """
+    ranged = df.repartitionByRange(*columns).withColumn("range_bucket", F.spark_partition_id())
+    return settle(ranged)
+
+
 def next_value(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, name: str
 ) -> DataFrame:
@@ -78,18 +83,19 @@ def fold_lines(
     position: str = "ordinal",
     line: str = "line",
     separator: str = "\n",
-    per_page: int = 5000,
     name: str = "text",
+    run: int = 5000,
 ) -> DataFrame:
-    """Join ordered lines into texts of at most `per_page` lines: (keys, page, text).
+    """Join ordered lines into one text for each group: (keys, text).
 
-    Nearly every group fits page 1. A larger group continues on further pages, so no task ever
-    holds an unbounded group, and the pages in order are the whole text.
+    Runs of `run` lines are joined first, each on its own, and then the few texts of the runs, so
+    only the finished text of a group is ever in one row. How long a run is changes nothing.
     """
-    paged = lines.withColumn("page", F.floor((F.col(position) - 1) / per_page).cast("bigint") + 1)
-    gathered = paged.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(line).alias("l")))).alias("ls")
-    )
-    return gathered.select(
-        *keys, "page", F.array_join(F.transform("ls", lambda x: x["l"]), separator).alias(name)
-    )
+    cut = lines.withColumn("__run", F.floor((F.col(position) - 1) / run))
+
+    def joined(rows, by, place, text, out):
+        gathered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), text.alias("l")))).alias("ls"))
+        return gathered.select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), separator).alias(out))
+
+    runs = joined(cut, [*keys, "__run"], F.col(position), F.col(line), "__text")
+    return joined(runs, keys, F.col("__run"), F.col("__text"), name)

@@ -15,7 +15,7 @@ from worksignal.functions.constants import EXCERPT_TEXT_CHARS
 from worksignal.functions.dates import day_label
 from worksignal.functions.payload import field, field_or, filled_field_or
 from worksignal.functions.text import not_blank
-from worksignal.operators.ordered import fold_lines, ordinal
+from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
 from worksignal.operators.task_signals import priority_rank
 
 _DAY = ["tenant_id", "date_key"]
@@ -31,8 +31,8 @@ def _text(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def email_context(emails: DataFrame, per_page: int = 500) -> DataFrame:
-    """(tenant_id, date_key, page, text): a day's mail, numbered in order of time."""
+def email_context(emails: DataFrame) -> DataFrame:
+    """(tenant_id, date_key, text): a day's mail, numbered in order of time."""
     numbered = ordinal(
         emails, _DAY, F.substring("date_iso", 1, 16), [F.col("date_iso"), F.col("filename")]
     )
@@ -41,11 +41,11 @@ def email_context(emails: DataFrame, per_page: int = 500) -> DataFrame:
         "\nSubject: ", _text("subject"), "\nDate: ", _text("date_iso"), "\nThread: ", _text("thread_id"),
         "\nBody:\n", _text("body"), "\n",
     )
-    return fold_lines(numbered.select(*_DAY, "ordinal", line.alias("line")), _DAY, per_page=per_page)
+    return fold_lines(numbered.select(*_DAY, "ordinal", line.alias("line")), _DAY)
 
 
-def event_context(events: DataFrame, per_page: int = 500) -> DataFrame:
-    """(tenant_id, date_key, page, text): a day's calendar events in order of start."""
+def event_context(events: DataFrame) -> DataFrame:
+    """(tenant_id, date_key, text): a day's calendar events in order of start."""
     numbered = ordinal(
         events, _DAY, F.date_trunc("HOUR", F.col("start").cast("timestamp")),
         [F.col("start").asc_nulls_first(), F.col("uid")],
@@ -61,7 +61,7 @@ def event_context(events: DataFrame, per_page: int = 500) -> DataFrame:
         "\nAttendees: ", F.coalesce(not_blank(names), F.lit("none listed")),
         "\nDescription: ", F.coalesce(not_blank(F.col("description")), none), "\n",
     )
-    return fold_lines(numbered.select(*_DAY, "ordinal", line.alias("line")), _DAY, per_page=per_page)
+    return fold_lines(numbered.select(*_DAY, "ordinal", line.alias("line")), _DAY)
 
 
 def note_context(notes: DataFrame, stats: DataFrame) -> DataFrame:
@@ -190,13 +190,13 @@ def ledger_lines(entries: DataFrame, items: DataFrame, cover: DataFrame | None =
     return reduce(DataFrame.unionByName, parts)
 
 
-def ledger_text(lines: DataFrame, per_page: int = 5000) -> DataFrame:
-    """(tenant_id, source, page, text) of ledger lines in chronological order."""
+def ledger_text(lines: DataFrame) -> DataFrame:
+    """(tenant_id, source, text) of ledger lines in chronological order."""
     keys = ["tenant_id", "source"]
     order = [F.col("sort_day").asc_nulls_last(), F.col("entry_key"), F.col("part"), F.col("place"), F.col("line")]
     # Unknown days sort last, so the bucket puts them behind every real day.
     bucket = F.struct(F.coalesce("sort_day", F.lit("9999-12-31").cast("date")), "entry_key", "part")
-    return fold_lines(ordinal(lines, keys, bucket, order), keys, per_page=per_page)
+    return fold_lines(ordinal(lines, keys, bucket, order), keys)
 
 
 def staleness_lines(quiet: DataFrame) -> DataFrame:
@@ -290,8 +290,9 @@ NO_MENTIONS = "(none — no flagged tasks found mentioned in multiple sources)"
 NO_CONTRADICTIONS = "(none detected)"
 
 
-def lines_text(lines: DataFrame, per_page: int = 5000) -> DataFrame:
-    """(tenant_id, page, text) of (tenant_id, rank, place, line) rows."""
-    bucket = F.struct("rank", F.substring("place", 1, 4).alias("start"))
-    ordered = ordinal(lines, ["tenant_id"], bucket, [F.col("rank"), F.col("place"), F.col("line")])
-    return fold_lines(ordered, ["tenant_id"], per_page=per_page)
+def lines_text(lines: DataFrame) -> DataFrame:
+    """(tenant_id, text) of (tenant_id, rank, place, line) rows."""
+    order = [F.col("rank"), F.col("place"), F.col("line")]
+    ranged = range_buckets(lines, ["tenant_id", "rank", "place", "line"])
+    ordered = ordinal(ranged, ["tenant_id"], F.col("range_bucket"), order)
+    return fold_lines(ordered, ["tenant_id"])

@@ -20,7 +20,7 @@ from worksignal.functions.constants import (
 from worksignal.functions.dates import today_text
 from worksignal.functions.payload import field
 from worksignal.operators import briefs, crossref, grounding, ledger_health, matching, rendering, task_signals
-from worksignal.operators.ordered import fold_lines, ordinal
+from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
 from worksignal.plans import model_stage
 from worksignal.session import settle
 
@@ -38,20 +38,19 @@ def ledger_digest_units(entries, items, cover, reference_date, quiet=None) -> Da
         report = text.select("tenant_id").distinct().withColumn("report", F.lit(rendering.NO_QUIET_SENDERS))
     else:
         lines = rendering.or_sentence(rendering.staleness_lines(quiet), text.select("tenant_id"), rendering.NO_QUIET_SENDERS)
-        # The report goes with the first page; its own further pages are requests of their own.
-        report = rendering.lines_text(lines).filter("page = 1").select("tenant_id", F.col("text").alias("report"))
+        report = rendering.lines_text(lines).select("tenant_id", F.col("text").alias("report"))
     joined = text.join(report, "tenant_id", "left")
     mail = F.when(
-        (F.col("source") == "email") & (F.col("page") == 1),
+        F.col("source") == "email",
         F.concat(F.lit("DETERMINISTIC SENDER STALENESS:\n\n"), F.col("report"), F.lit("\n\n---\n\n")),
     ).otherwise(F.lit(""))
     title = F.concat(F.lit("Chronological "), F.initcap("source"), F.lit(" Ledger:\n\n"))
-    return joined.select("tenant_id", F.col("source").alias("unit_key"), "page",
+    return joined.select("tenant_id", F.col("source").alias("unit_key"),
                          F.concat(today, mail, title, F.col("text")).alias("user_text"))
 
 
 def synthesis_context(entries, items, cover, signals, mentions, contradictions, fresh, reference_date) -> DataFrame:
-    """(tenant_id, page, text): everything a brief is written from, section by section."""
+    """(tenant_id, text): everything a brief is written from, section by section."""
     tenants = fresh.select("tenant_id").distinct()
 
     def section(number, lines):
@@ -92,7 +91,7 @@ def contradiction_units(mentions: DataFrame, multi_source: DataFrame) -> DataFra
     """One unit per tenant with tasks found in several sources; other tenants need no call."""
     chosen = mentions.join(multi_source.select("tenant_id", "task_id"), ["tenant_id", "task_id"], "left_semi")
     text = rendering.lines_text(rendering.mention_lines(chosen))
-    return text.select("tenant_id", F.lit("contradictions").alias("unit_key"), "page",
+    return text.select("tenant_id", F.lit("contradictions").alias("unit_key"),
                        F.concat(F.lit("Cross-source task mentions:\n\n"), F.col("text")).alias("user_text"))
 
 
@@ -108,23 +107,11 @@ def contradiction_claims(items: DataFrame) -> DataFrame:
 
 
 def synthesis_rows(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(narrative, dispatchable items) of accepted responses; both narrative parts are required.
-
-    Answers to the pages of one context are joined in page order.
-    """
+    """(narrative, dispatchable items) of accepted responses; both narrative parts are required."""
     payload = F.col("payload")
-    told = accepted.filter(
-        field(payload, "what_matters_today").isNotNull() & field(payload, "what_might_be_missed").isNotNull()
-    )
-    both = told.groupBy("tenant_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "page", field(payload, "what_matters_today").alias("a"), field(payload, "what_might_be_missed").alias("b")
-        ))).alias("ps")
-    )
-    narrative = both.select(
-        "tenant_id",
-        F.array_join(F.transform("ps", lambda p: p["a"]), "\n").alias("what_matters_today"),
-        F.array_join(F.transform("ps", lambda p: p["b"]), "\n").alias("what_might_be_missed"),
+    matters, missed = field(payload, "what_matters_today"), field(payload, "what_might_be_missed")
+    narrative = accepted.filter(matters.isNotNull() & missed.isNotNull()).select(
+        "tenant_id", matters.alias("what_matters_today"), missed.alias("what_might_be_missed")
     )
     return narrative, dispatch_rows(accepted)
 
@@ -168,7 +155,7 @@ def write_briefs(
     kept = settle(kept)
 
     context = synthesis_context(entries, items, cover, signals, mentions, kept, fresh, reference_date)
-    units = settle(context.select("tenant_id", F.lit("brief").alias("unit_key"), "page", F.col("text").alias("user_text")))
+    units = settle(context.select("tenant_id", F.lit("brief").alias("unit_key"), F.col("text").alias("user_text")))
     if variant == "single_call":
         told, _ = model_stage.check(
             model_stage.ask(model_stage.requests(units, "synthesis", ""), answer["synthesis"]), SYNTHESIS_SCHEMA
@@ -181,7 +168,7 @@ def write_briefs(
             F.col("user_text"), F.lit("\n\n---\n\nNARRATIVE ALREADY WRITTEN:\nwhat_matters_today:\n"),
             F.col("what_matters_today"), F.lit("\n\nwhat_might_be_missed:\n"), F.col("what_might_be_missed"),
         )
-        second = units.join(narrative, "tenant_id").select("tenant_id", "unit_key", "page", known.alias("user_text"))
+        second = units.join(narrative, "tenant_id").select("tenant_id", "unit_key", known.alias("user_text"))
         listed, _ = model_stage.check(
             model_stage.ask(model_stage.requests(second, "dispatch", ""), answer["dispatch"]), SYNTHESIS_SCHEMA
         )
@@ -191,7 +178,7 @@ def write_briefs(
     lines = allowed.select("tenant_id", F.col("ordinal").alias("rank"), F.col("id").alias("place"),
                            F.to_json(F.struct("id", "type", "summary", "context")).alias("line"))
     draft_units = rendering.lines_text(lines).select(
-        "tenant_id", F.lit("drafts").alias("unit_key"), "page",
+        "tenant_id", F.lit("drafts").alias("unit_key"),
         F.concat(F.lit("Dispatchable items:\n\n"), F.col("text")).alias("user_text"),
     )
     drafted, _ = model_stage.check(
@@ -215,9 +202,15 @@ def write_briefs(
     }
 
 
+def _numbered(claims: DataFrame) -> DataFrame:
+    """Claims with `n`, from 1 in the order of their ids."""
+    ranged = range_buckets(claims, ["tenant_id", "claim_id"])
+    return ordinal(ranged, ["tenant_id"], F.col("range_bucket"), [F.col("claim_id")], "n").drop("range_bucket")
+
+
 def judge_units(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """One request per tenant for the claims no keyword match was found for."""
-    numbered = ordinal(claims, ["tenant_id"], F.substring("claim_id", 1, 3), [F.col("claim_id")], "n")
+    numbered = _numbered(claims)
     zero = F.lit(0).cast("bigint")
     said = numbered.select("tenant_id", zero.alias("rank"), F.lpad(F.col("n").cast("string"), 12, "0").alias("place"),
                            F.concat((F.col("n") - 1).cast("string"), F.lit(". "), F.col("text")).alias("line"))
@@ -231,18 +224,26 @@ def judge_units(claims: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit("\nCandidate sources:").alias("line"),
     )
     text = rendering.lines_text(said.unionByName(head).unionByName(shown))
-    return text.select("tenant_id", F.lit("judge").alias("unit_key"), "page",
+    return text.select("tenant_id", F.lit("judge").alias("unit_key"),
                        F.concat(F.lit("Claims:\n"), F.col("text")).alias("user_text"))
 
 
 def judge_evidence(accepted: DataFrame, claims: DataFrame) -> DataFrame:
     """(tenant_id, claim_id, source_ref, quote) of accepted judge responses."""
-    numbered = ordinal(claims, ["tenant_id"], F.substring("claim_id", 1, 3), [F.col("claim_id")], "n").select(
+    numbered = _numbered(claims).select(
         "tenant_id", "claim_id", (F.col("n") - 1).alias("claim_index")
     )
     matches = model_stage.payload_items(accepted).filter("category = 'matches'").select(
-        "tenant_id", field(F.col("payload"), "claim_index").try_cast("bigint").alias("claim_index"),
-        F.explode(F.from_json(field(F.col("payload"), "evidence"), "array<struct<source_ref:string,quote:string>>")).alias("e"),
+        "tenant_id", "payload", F.try_parse_json("payload").alias("parsed")
+    )
+    # Only a whole number is an index, and only the objects of a list are evidence: others are passed over one by one.
+    index = F.try_variant_get("parsed", "$.claim_index", "variant")
+    whole = F.when(F.schema_of_variant(index) == "BIGINT", F.try_variant_get("parsed", "$.claim_index", "bigint"))
+    kinds = F.transform(F.try_variant_get("parsed", "$.evidence", "array<variant>"), F.schema_of_variant)
+    raw = F.from_json(field(F.col("payload"), "evidence"), "array<string>")
+    listed = matches.select("tenant_id", whole.alias("claim_index"), F.explode(F.arrays_zip(raw.alias("e"), kinds.alias("kind"))).alias("z"))
+    matches = listed.filter(F.col("z.kind").startswith("OBJECT")).select(
+        "tenant_id", "claim_index", F.from_json("z.e", "struct<source_ref:string,quote:string>").alias("e")
     )
     return matches.join(numbered, ["tenant_id", "claim_index"]).select("tenant_id", "claim_id", "e.*")
 
@@ -286,7 +287,7 @@ def structured_items(accepted: DataFrame, sources: DataFrame, reference_date) ->
 
 
 def write_structured(context: DataFrame, sources: DataFrame, answer, reference_date) -> DataFrame:
-    units = context.select("tenant_id", F.lit("items").alias("unit_key"), "page", F.col("text").alias("user_text"))
+    units = context.select("tenant_id", F.lit("items").alias("unit_key"), F.col("text").alias("user_text"))
     accepted, _ = model_stage.check(
         model_stage.ask(model_stage.requests(units, "structured", ""), answer), STRUCTURED_SCHEMA
     )

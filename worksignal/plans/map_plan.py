@@ -99,7 +99,7 @@ def mail_units(emails: DataFrame, todo: DataFrame) -> DataFrame:
     """Request units of the days to process."""
     context = rendering.email_context(days.of_days(emails, todo))
     text = F.concat(F.lit("Emails for "), F.col("date_key"), F.lit(":\n\n"), F.col("text"))
-    return context.select("tenant_id", F.col("date_key").alias("unit_key"), "page", text.alias("user_text"))
+    return context.select("tenant_id", F.col("date_key").alias("unit_key"), text.alias("user_text"))
 
 
 def calendar_units(events: DataFrame, todo: DataFrame, facts: DataFrame) -> DataFrame:
@@ -108,12 +108,12 @@ def calendar_units(events: DataFrame, todo: DataFrame, facts: DataFrame) -> Data
         F.lit("Calendar events for "), F.col("unit_key"), F.lit(":\n\n"), F.col("text"),
         F.lit("\n\nPrecomputed stats (ground truth, do not recompute):\n"), F.to_json("stats"),
     )
-    return context.join(facts, ["tenant_id", "unit_key"]).select("tenant_id", "unit_key", "page", text.alias("user_text"))
+    return context.join(facts, ["tenant_id", "unit_key"]).select("tenant_id", "unit_key", text.alias("user_text"))
 
 
 def note_units(notes: DataFrame, stats: DataFrame) -> DataFrame:
     context = rendering.note_context(notes, stats)
-    return context.select("tenant_id", F.col("note_id").alias("unit_key"), F.lit(1).alias("page"), F.col("text").alias("user_text"))
+    return context.select("tenant_id", F.col("note_id").alias("unit_key"), F.col("text").alias("user_text"))
 
 
 def accept(
@@ -122,18 +122,17 @@ def accept(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, items, rejected) of a source's responses.
 
-    `unit_days` gives (tenant_id, unit_key, day, note_id, hot). Only units whose every page was
-    accepted enter the ledger.
+    `unit_days` gives (tenant_id, unit_key, day, note_id, hot). Only accepted units enter the ledger.
     """
     accepted, rejected = model_stage.check(responses, MAP_SCHEMAS[(source, variant)])
-    done = model_stage.whole_units(accepted, responses)
     keys = ["tenant_id", "unit_key"]
+    done = accepted.select(*keys)
     entries = done.join(facts, keys).join(unit_days, keys).select(
         "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"), "day", "note_id",
         F.col("item_count").cast("bigint").alias("item_count"), "stats", F.lit(variant).alias("map_variant"),
         "hot", F.lit(False).alias("compacted"), sort_day(F.col("day"), F.lit(False)).alias("sort_day"),
     )
-    extracted = model_stage.payload_items(accepted.join(done, keys, "left_semi")).select(
+    extracted = model_stage.payload_items(accepted).select(
         "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"), F.lit("delta").alias("section"),
         "category", "ordinal", "payload", "text",
     )
@@ -154,14 +153,27 @@ def note_day_units(notes: DataFrame) -> DataFrame:
                         "note_id", F.lit(False).alias("hot"))
 
 
-def map_mail(emails, processed, answer, system_text="", variant="persona", **window):
-    """The mail map stage from rows to (entries, items, rejected)."""
+def readable(rows: DataFrame) -> DataFrame:
+    """Rows that could be read; `quarantined` in the sources tells of the others."""
+    return rows.filter("parse_error IS NULL") if "parse_error" in rows.columns else rows
+
+
+def map_mail(emails, processed, answer, system_text="", variant="persona", blocked=None, **window):
+    """The mail map stage from rows to (entries, items, rejected).
+
+    Mail that could not be read and, with `blocked` (tenant_id, kind, value), mail of blocked
+    senders is left out first.
+    """
+    emails = readable(emails)
+    if blocked is not None:
+        emails = mail_signals.drop_blocked(emails, blocked)
     todo = settle(new_days(emails, processed, "email", **window))
     reqs = model_stage.requests(mail_units(emails, todo), "email", system_text)
     return accept(model_stage.ask(reqs, answer), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
 
 
 def map_calendar(events, processed, answer, system_text="", variant="persona", **window):
+    events = readable(events)
     todo = settle(new_days(events, processed, "calendar", **window))
     chosen = days.of_days(events, todo)
     facts = settle(calendar_facts(chosen))

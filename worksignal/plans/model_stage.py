@@ -1,6 +1,6 @@
 """Model calls as a table contract: requests out, responses in, checked before use.
 
-requests: (tenant_id, stage, unit_key, page, system_text, user_text). `infer` runs any callable
+requests: (tenant_id, stage, unit_key, system_text, user_text). `infer` runs any callable
 over them, or the responses come from elsewhere. A unit without an accepted response stays
 unprocessed and comes up again in the next run.
 """
@@ -17,13 +17,13 @@ from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
 from worksignal.session import settle
 
-_KEYS = ["tenant_id", "stage", "unit_key", "page"]
+_KEYS = ["tenant_id", "stage", "unit_key"]
 
 
 def requests(units: DataFrame, stage: str, system_text: str) -> DataFrame:
-    """Requests from (tenant_id, unit_key, page, user_text) rows."""
+    """Requests from (tenant_id, unit_key, user_text) rows."""
     return units.select(
-        "tenant_id", F.lit(stage).alias("stage"), "unit_key", F.col("page").cast("bigint").alias("page"),
+        "tenant_id", F.lit(stage).alias("stage"), "unit_key",
         F.lit(system_text).alias("system_text"), "user_text",
     )
 
@@ -73,25 +73,23 @@ def payload_items(accepted: DataFrame) -> DataFrame:
     """One row per item: (keys, category, ordinal, payload, text).
 
     Any top-level key is a category; a value that is no list is its single item. Text holds the
-    item's string leaves only, never its keys. Pages of a unit continue each other's numbering.
+    item's string leaves only, never its keys; a string is its own text, whatever it looks like.
     """
-    categories = accepted.select(*_KEYS, F.explode(F.from_json("payload", "map<string,string>")).alias("category", "value"))
-    listed = F.when(
-        F.col("value").rlike("^\\s*\\["), F.from_json("value", "array<string>")
-    ).otherwise(F.array("value"))
-    rows = categories.select(*_KEYS, "category", F.posexplode(listed).alias("pos", "payload"))
-    nested = F.col("payload").rlike("^\\s*[\\[{]")
-    return rows.filter("payload IS NOT NULL").select(
+    parsed = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
+    categories = accepted.withColumn("parsed", parsed).select(
+        *_KEYS, "parsed", F.explode(F.from_json("payload", "map<string,string>")).alias("category", "value")
+    )
+    typed = categories.withColumn("typed", F.element_at("parsed", F.col("category")))
+    is_list = F.schema_of_variant(F.col("typed")).startswith("ARRAY")
+    inner = F.try_variant_get(F.col("typed"), "$", "array<variant>")
+    kinds = F.when(is_list, F.transform(inner, F.schema_of_variant)).otherwise(F.array(F.schema_of_variant(F.col("typed"))))
+    listed = F.when(is_list, F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    rows = typed.select(*_KEYS, "category", F.posexplode(F.arrays_zip(listed.alias("payload"), kinds.alias("kind"))).alias("pos", "i"))
+    nested = F.col("i.kind").startswith("OBJECT") | F.col("i.kind").startswith("ARRAY")
+    return rows.filter("i.payload IS NOT NULL").select(
         *_KEYS,
         "category",
-        ((F.col("page") - 1) * 100000 + F.col("pos")).alias("ordinal"),
-        "payload",
-        F.when(nested, leaf_text(F.col("payload"))).otherwise(F.col("payload")).alias("text"),
+        F.col("pos").cast("bigint").alias("ordinal"),
+        F.col("i.payload").alias("payload"),
+        F.when(nested, leaf_text(F.col("i.payload"))).otherwise(F.col("i.payload")).alias("text"),
     )
-
-
-def whole_units(accepted: DataFrame, responses: DataFrame) -> DataFrame:
-    """(tenant_id, unit_key) of units all of whose pages were accepted."""
-    asked = responses.groupBy("tenant_id", "unit_key").agg(F.count("*").alias("n_pages"))
-    got = accepted.groupBy("tenant_id", "unit_key").agg(F.count("*").alias("n_accepted"))
-    return asked.join(got, ["tenant_id", "unit_key"]).filter("n_pages = n_accepted").select("tenant_id", "unit_key")

@@ -67,9 +67,9 @@ EVAL_RUNS = (
 )
 
 REQUESTS = (
-    "tenant_id string, stage string, unit_key string, page bigint, "
+    "tenant_id string, stage string, unit_key string, "
     "system_text string, user_text string"
 )
 RESPONSES = (
-    "tenant_id string, stage string, unit_key string, page bigint, response string, error string"
+    "tenant_id string, stage string, unit_key string, response string, error string"
 )

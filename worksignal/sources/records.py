@@ -87,6 +87,14 @@ def save_brief(briefs: DataFrame, base: str, run_ts: str) -> None:
     stamped.write.mode("append").partitionBy("run_ts").parquet(f"{base}/history")
 
 
+def latest_briefs(history: DataFrame, as_of: str | None = None, key: str = "tenant_id", at: str = "run_ts") -> DataFrame:
+    """Each tenant's last stored brief, or the last one of runs up to `as_of`."""
+    seen = history if as_of is None else history.filter(F.col(at) <= F.lit(as_of))
+    rest = [c for c in history.columns if c != key]
+    best = seen.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("b"))
+    return best.select(key, "b.*").select(*history.columns)
+
+
 def save_text(briefs: DataFrame, path: str, column: str = "brief") -> None:
     briefs.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

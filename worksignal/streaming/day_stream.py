@@ -4,58 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from worksignal import schemas
 from worksignal.functions.dates import sort_day
 from worksignal.operators.days import day_batches, of_days, unprocessed
-from worksignal.session import shared_dir
+from worksignal.session import settle as durable
 from worksignal.sources.records import append_ledger, processed_keys, read_ledger
 
 
-def ledger_writer(
-    spark: SparkSession, ledger_path: str, source: str, facts: Callable[[DataFrame], DataFrame], variant: str = "persona"
-) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function adding the batch's new days to the ledger.
-
-    `facts` turns items into (tenant_id, unit_key, item_count, stats). A day already in the ledger
-    is left alone, so late items and a batch replayed after a failure change nothing.
-    """
+def arrivals_writer(staging: str) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function storing each batch under its number, so a replayed batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = processed_keys(read_ledger(session, ledger_path, schemas.LEDGER_ENTRIES))
-        todo = unprocessed(day_batches(batch), known, source)
-        entries = facts(of_days(batch, todo)).join(
-            todo.select("tenant_id", F.col("date_key").alias("unit_key"), "hot"), ["tenant_id", "unit_key"]
-        ).select(
-            "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"),
-            F.col("unit_key").alias("day"), F.lit(None).cast("string").alias("note_id"),
-            F.col("item_count").cast("bigint").alias("item_count"), "stats", F.lit(variant).alias("map_variant"),
-            "hot", F.lit(False).alias("compacted"), sort_day(F.col("unit_key"), F.lit(False)).alias("sort_day"),
-        )
-        # The rows derive from the ledger they extend: settle them before writing to it.
-        shared_dir(session)
-        append_ledger(entries.checkpoint(), ledger_path)
-
-    # An empty ledger must be readable before the first batch.
-    append_ledger(spark.createDataFrame([], schemas.LEDGER_ENTRIES), ledger_path)
+        batch.write.mode("overwrite").parquet(f"{staging}/arrival={batch_id:012d}")
+
     return write
 
 
+def ledger_entries(
+    arrived: DataFrame, known: DataFrame, source: str, facts: Callable[[DataFrame], DataFrame], variant: str = "persona"
+) -> DataFrame:
+    """Ledger entries of the days in `arrived` that are not in `known` yet.
+
+    `facts` turns items into (tenant_id, unit_key, item_count, stats).
+    """
+    todo = unprocessed(day_batches(arrived), known, source)
+    return facts(of_days(arrived, todo)).join(
+        todo.select("tenant_id", F.col("date_key").alias("unit_key"), "hot"), ["tenant_id", "unit_key"]
+    ).select(
+        "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"),
+        F.col("unit_key").alias("day"), F.lit(None).cast("string").alias("note_id"),
+        F.col("item_count").cast("bigint").alias("item_count"), "stats", F.lit(variant).alias("map_variant"),
+        "hot", F.lit(False).alias("compacted"), sort_day(F.col("unit_key"), F.lit(False)).alias("sort_day"),
+    )
+
+
 def run_ledger_stream(
     stream: DataFrame, ledger_path: str, checkpoint: str, source: str, facts, variant: str = "persona"
-) -> StreamingQuery:
-    """Process everything that has arrived, then stop."""
-    writer = ledger_writer(stream.sparkSession, ledger_path, source, facts, variant)
-    return (
-        stream.writeStream.foreachBatch(writer)
-        .option("checkpointLocation", checkpoint)
+) -> DataFrame:
+    """Take in everything that has arrived, then add its new days to the ledger; returns the late items.
+
+    A day is counted once all arrivals of the run are stored, so the size of the batches changes
+    nothing. A run that fails before its days are written leaves its arrivals for the next one. Items
+    of a day that was in the ledger before change nothing: (tenant_id, date_key, n_late) counts them.
+    """
+    spark, staging = stream.sparkSession, f"{checkpoint}/arrived"
+    query = (
+        stream.writeStream.foreachBatch(arrivals_writer(f"{staging}/open"))
+        .option("checkpointLocation", f"{checkpoint}/state")
         .trigger(availableNow=True)
         .start()
     )
+    query.awaitTermination()
+    # An empty ledger and an empty run must be readable too.
+    append_ledger(spark.createDataFrame([], schemas.LEDGER_ENTRIES), ledger_path)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{staging}/open/arrival=none")
+    arrived = spark.read.schema(stream.schema).parquet(f"{staging}/open")
+    # The rows derive from the ledger they extend: both are settled before writing to it.
+    known = durable(processed_keys(read_ledger(spark, ledger_path, schemas.LEDGER_ENTRIES)))
+    entries = durable(ledger_entries(arrived, known, source, facts, variant))
+    own = entries.select("tenant_id", F.col("day").alias("date_key"))
+    late = arrived.join(own, ["tenant_id", "date_key"], "left_anti").groupBy("tenant_id", "date_key").agg(
+        F.count(F.lit(1)).alias("n_late")
+    )
+    append_ledger(entries, ledger_path)
+    return late
 
 
 def closed_days(stream: DataFrame, time_column: str, holdout_days: int) -> DataFrame:

@@ -25,15 +25,15 @@ def _pre_aggregate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def quiet_sender_stream(stream: DataFrame, quiet_days: int = 3, delay: str = "0 seconds") -> DataFrame:
     """A row whenever a sender's last mail lies `quiet_days` behind the watermark.
 
-    `stream`: (tenant_id, email, seen TIMESTAMP). A sender who writes again starts anew from
-    their kept counts.
+    `stream`: (tenant_id, email, seen TIMESTAMP). The counts of a sender told of are kept: one who
+    writes again and goes quiet again is told of with all mail since the first.
     """
     quiet_ms = quiet_days * 86_400_000
 
     def update(key, chunks, state):
         if state.hasTimedOut:
             count, first_us, last_us = state.get
-            state.remove()
+            state.update((count, first_us, last_us))  # kept without a timer
             yield pd.DataFrame({
                 "tenant_id": [key[0]], "email": [key[1]], "item_count": [count],
                 "first_seen": [pd.Timestamp(first_us, unit="us")], "last_seen": [pd.Timestamp(last_us, unit="us")],
