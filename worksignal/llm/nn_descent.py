@@ -104,12 +104,21 @@ def _compare_neighbours(frame: pd.DataFrame, kind: str) -> pd.DataFrame:
 
 
 def _nearest(edges: DataFrame, n: int) -> DataFrame:
-    """Each src's n nearest dst, once each."""
-    once = edges.groupBy("src", "dst").agg(F.min("d").alias("d"))
+    """Each src's n nearest dst, once each; one shuffle by src serves both steps."""
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     return once.withColumn("place", place).filter(F.col("place") <= n)
 
 
+def _both_ways(graph: DataFrame, n: int) -> DataFrame:
+    """(v, u): the n nearest neighbours u of each v, and the n nearest others that have v as theirs."""
+    own = graph.filter(F.col("place") <= n).select(F.col("src").alias("v"), F.col("dst").alias("u"), "d", F.lit(0).alias("way"))
+    back = graph.select(F.col("dst").alias("v"), F.col("src").alias("u"), "d", F.lit(1).alias("way"))
+    once = own.union(back).repartition("v").groupBy("v", "u").agg(F.min("way").alias("way"), F.min("d").alias("d"))
+    place = F.row_number().over(Window.partitionBy("v", "way").orderBy("d", "u"))
+    return once.withColumn("place", place).filter(F.col("place") <= n).select("v", "u")
+
+
 def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
     """(src, dst, d, place): about the NEIGHBOURS nearest of each of n nodes (node, vec), nearest first."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
@@ -128,13 +137,9 @@ def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
     graph = settle(_nearest(edges, NEIGHBOURS))
     groups = max(1, -(-n // _GROUP))
     for _ in range(ROUNDS if tables > 1 else 0):
-        own = graph.filter(F.col("place") <= COMPARED).select(F.col("src").alias("v"), F.col("dst").alias("u"))
-        back = graph.select(F.col("dst").alias("v"), F.col("src").alias("u"), "d").join(own, ["v", "u"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))
-        back = back.withColumn("place", place).filter(F.col("place") <= COMPARED).select("v", "u")
         far = graph.groupBy("src").agg(F.max("d").alias("far"))
         full = nodes.select("node", "vec").join(far, F.col("node") == F.col("src"))
-        near = own.union(back).join(full, F.col("u") == F.col("node")).select("v", "u", "vec", "far")
+        near = _both_ways(graph, COMPARED).join(full, F.col("u") == F.col("node")).select("v", "u", "vec", "far")
         offers = near.groupBy(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g")).applyInPandas(
             lambda f: _compare_neighbours(f, kind), "src long, dst long, d double"
         )
@@ -143,7 +148,7 @@ def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
 
 
 def _measure(kind: str):
-    """Adds the exact distance of the vectors in the columns `asked` and `vec`."""
+    """(query, d, node) with the exact distance of the vectors in the columns `asked` and `vec`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,43 +156,40 @@ def _measure(kind: str):
                 continue
             a, b = (matrix(batch.column(k).to_pandas(), kind) for k in (2, 3))
             d = np.sqrt(((a - b) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query", "node", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(1)], ["query", "d", "node"])
 
     return run
 
 
-def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
-    """(query, node, d): all nodes that greedy search measures, from starts (query, node), each exactly.
+def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int, kind: str) -> DataFrame:
+    """(query, node, d): the `beam` nearest nodes that greedy search finds for each of asked (query, asked), from the node `query` on.
 
-    A query's beam holds its nearest nodes so far. A round opens those not opened before; the driver
-    only learns whether there were any.
+    A query is one row: its beam of nearest nodes so far, with the mark of those opened, and the
+    nodes it has measured. A round opens all that are closed; the driver only learns whether there
+    were any.
     """
-    ways = settle(
-        graph.select("src", "dst").union(
-            graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d")
-            .join(graph.select("src", "dst"), ["src", "dst"], "left_anti")
-            .withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst")))
-            .filter(F.col("place") <= NEIGHBOURS)
-            .select("src", "dst")
+    ways = _both_ways(graph, NEIGHBOURS).groupBy("v").agg(F.collect_list("u").alias("us"))
+    ways = settle(ways.select(F.col("v").alias("src"), "us"))
+    node = F.struct(F.lit(0.0).alias("d"), F.col("query").alias("node"), F.lit(False).alias("opened"))
+    state = settle(asked.select("query", "asked", F.array(node).alias("beam"), F.array("query").alias("seen")))
+    closed = F.transform(F.filter("beam", lambda x: ~x["opened"]), lambda x: x["node"])
+    while state.agg(F.sum(F.size(closed))).first()[0]:
+        opening = state.select("query", F.explode(closed).alias("src"))
+        near = opening.join(ways, "src").select("query", F.explode("us").alias("node")).groupBy("query").agg(F.collect_set("node").alias("near"))
+        fresh = state.join(near, "query").select("query", F.explode(F.array_except("near", "seen")).alias("node"), "asked")
+        full = fresh.join(nodes.select("node", "vec"), "node").select("query", "node", "asked", "vec")
+        hits = full.mapInArrow(_measure(kind), "query long, d double, node long").groupBy("query").agg(
+            F.collect_list(F.struct("d", "node", F.lit(False).alias("opened"))).alias("hits")
         )
-    )
-
-    def measured(pairs):
-        full = pairs.join(nodes.select("node", "vec"), "node").join(asked, "query")
-        return full.select("query", "node", "asked", "vec").mapInArrow(_measure(kind), "query long, node long, d double")
-
-    beam = settle(measured(starts).withColumn("opened", F.lit(False)))
-    seen = beam.select("query", "node", "d")
-    while True:
-        closed = beam.filter("NOT opened").select("query", F.col("node").alias("src"))
-        near = closed.join(ways, "src").select("query", F.col("dst").alias("node")).distinct()
-        fresh = settle(measured(near.join(seen, ["query", "node"], "left_anti")))
-        if fresh.isEmpty():
-            return seen
-        seen = settle(seen.union(fresh))
-        held = beam.withColumn("opened", F.lit(True)).union(fresh.withColumn("opened", F.lit(False)))
-        place = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
-        beam = settle(held.withColumn("place", place).filter(F.col("place") <= BEAM).drop("place"))
+        kept = F.transform("beam", lambda x: x.withField("opened", F.lit(True)))
+        found = F.coalesce("hits", F.filter("beam", lambda x: F.lit(False)))
+        state = settle(
+            state.join(hits, "query", "left").select(
+                "query", "asked", F.slice(F.array_sort(F.concat(kept, found)), 1, beam).alias("beam"),
+                F.concat("seen", F.transform(found, lambda x: x["node"])).alias("seen"),
+            )
+        )
+    return state.select("query", F.explode("beam").alias("b")).select("query", "b.node", "b.d")
 
 
 def nearest_neighbours(vectors: DataFrame, asks: Column, k: int = 10) -> DataFrame:
@@ -213,7 +215,7 @@ def nearest_neighbours(vectors: DataFrame, asks: Column, k: int = 10) -> DataFra
     queries = good.filter("asks").join(nodes, "vec").select("vec_id", "node")
     asked = settle(queries.select("node").distinct()).join(nodes.select("node", "vec"), "node")
     asked = asked.select(F.col("node").alias("query"), F.col("vec").alias("asked"))
-    found = _walk(graph, nodes, asked, asked.select("query", F.col("query").alias("node")), kind)
+    found = _walk(graph, nodes, asked, max(BEAM, k + 1), kind)
     # Of a node's copies the k + 1 with the least ids can be in a result; a query is none of its own.
     place = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     nearest = found.withColumn("place", place).filter(F.col("place") <= k + 1).select("query", "node", "d")
