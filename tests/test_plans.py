@@ -210,3 +210,17 @@ def test_source_digest_requests(spark):
     assert units["email"].startswith("TODAY'S DATE: 2024-05-10 (Friday)\n\n---\n\nDETERMINISTIC SENDER STALENESS")
     assert "- DEADLINE [P1]: Kestrel renewal slips (date: unspecified, from: )" in units["email"]
     assert "### 2024-05-08 — n.md\n- DECISION [P1]: Kestrel renewal is on" in units["notes"]
+
+
+def test_a_model_merges_stale_weeks(spark):
+    from worksignal.operators import compaction
+
+    entries, items = _ledger(spark)
+    _, stale = compaction.split_by_age(entries, "2024-07-01")
+    reply = json.dumps({"deadlines": [{"description": "merged", "priority": "P1"}], "decisions": [], "action_items": [], "thread_progressions": []})
+    merged, rejected = map_plan.merged_weeks(stale, items, lambda s, u: reply)
+    assert rows(merged, "source", "entry_key", "text") == [("email", "2024-W19", "merged P1")]
+    assert rows(rejected, "unit_key") == [("notes|2024-W19",)]
+    kept, new_items, cover = compaction.compact(entries, items, "2024-07-01", week_items=merged)
+    assert rows(kept, "source", "entry_key", "compacted") == [("email", "2024-W19", True), ("notes", "n.md", False)]
+    assert ("email", "merged P1") in rows(new_items, "source", "text") and rows(cover, "day") == [("2024-05-09",)]

@@ -6,6 +6,7 @@ from worksignal.catalog.registry import query, table
 from worksignal.catalog.shapes import user_days
 from worksignal.functions.dates import day_label, iso_week, sort_day
 from worksignal.operators import compaction, days, ledger_health
+from worksignal.plans import map_plan
 from worksignal.operators.ordered import next_value, ordinal
 from worksignal.plans.map_plan import new_days
 from worksignal.sources.records import latest_briefs, processed_keys
@@ -119,6 +120,18 @@ def compaction_items_q(spark, sf):
     return before.join(merged, ["tenant_id", "source", "entry_key", "text"], "left")
 
 
+@query("weekly_merge_requests", """
+SELECT tenant_id, source || '|' || week AS unit_key, 'Items of week ' || week || ':' || chr(10) || chr(10)
+  || string_agg(day || ' decisions: ' || payload, chr(10) ORDER BY day, event_id) AS user_text FROM (
+  SELECT CAST(user_id AS VARCHAR) AS tenant_id, event_type AS source, strftime(ts, '%G-W%V') AS week, strftime(ts, '%Y-%m-%d') AS day, event_id,
+    CAST(json_object('description', props, 'priority', CASE WHEN event_type = 'purchase' THEN 'P1' ELSE 'P3' END) AS VARCHAR) AS payload
+  FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-30' - 14) GROUP BY tenant_id, source, week
+""")
+def weekly_merge_requests_q(spark, sf):
+    _, stale = compaction.split_by_age(_entries(spark, sf), "2024-01-30", 14)
+    return map_plan.week_units(stale, _items(spark, sf))
+
+
 @query("variant_consistency", """
 SELECT tenant_id, count(*) AS n_variants, string_agg(v || ': ' || n, ', ' ORDER BY v) AS breakdown FROM (
   SELECT CAST(user_id AS VARCHAR) AS tenant_id, CASE WHEN event_type = 'error' THEN 'unversioned' ELSE event_type END AS v, count(*) AS n

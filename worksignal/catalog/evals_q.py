@@ -152,6 +152,21 @@ def error_classes_q(spark, sf):
     return failed.groupBy(call_log.error_class(F.col("status")).alias("error_class")).agg(F.count("*").alias("n"))
 
 
+@query("variant_averages", """
+SELECT o_orderpriority AS eval_name, o_orderstatus AS variant, count(*) AS n_trials, round(avg(n), 6) AS avg_dispatchables,
+       round(avg(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))), 6) AS avg_latency_ms
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2
+""")
+def variant_averages_q(spark, sf):
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_dispatchables"))
+    trials = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderpriority").alias("eval_name"), F.col("o_orderstatus").alias("variant"), "n_dispatchables",
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("latency_ms"),
+    )
+    found = evaluation.variant_averages(trials)
+    return found.select("eval_name", "variant", "n_trials", F.round("avg_dispatchables", 6).alias("avg_dispatchables"), F.round("avg_latency_ms", 6).alias("avg_latency_ms"))
+
+
 @query("dataset_quality", f"""
 WITH ex AS ({EXCLUSIVE_SQL})
 SELECT d.source AS tenant_id, count(ex.doc_id) AS exclusive, count(*) FILTER (WHERE d.doc_id % 3 = 0) AS total,

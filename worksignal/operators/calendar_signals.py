@@ -42,10 +42,13 @@ def classified(events: DataFrame) -> DataFrame:
 
 
 def _slots(start: Column, end: Column) -> Column:
-    """Numbers of the time slots an interval touches."""
+    """Numbers of the time slots an interval touches in the day from its start on.
+
+    Two intervals that start on one day begin to overlap within it.
+    """
     first = F.floor(F.unix_micros(start.cast("timestamp")) / (_SLOT_SECONDS * 1000000))
     last = F.floor((F.unix_micros(end.cast("timestamp")) - 1) / (_SLOT_SECONDS * 1000000))
-    return F.sequence(first, F.greatest(first, last))
+    return F.sequence(first, F.least(F.greatest(first, last), first + 86400 // _SLOT_SECONDS))
 
 
 def focus_conflicts(events: DataFrame) -> DataFrame:

@@ -133,6 +133,13 @@ def variant_accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
+def variant_averages(trials: DataFrame) -> DataFrame:
+    """Average dispatchables and latency of each variant over trials (eval_name, variant, n_dispatchables, latency_ms)."""
+    return trials.groupBy("eval_name", "variant").agg(
+        F.count("*").alias("n_trials"), F.avg("n_dispatchables").alias("avg_dispatchables"), F.avg("latency_ms").alias("avg_latency_ms")
+    )
+
+
 def compare_variants(accuracies: DataFrame, base: str, other: str, margin: float = 0.10) -> DataFrame:
     """Verdict per evaluation: does `other` beat `base` by at least the margin?"""
     def of(variant):

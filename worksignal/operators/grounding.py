@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.keywords import prose_keywords, title_keywords
 from worksignal.functions.text import WORD, identifiers, not_blank, strip
+from worksignal.session import settle
 
 def _parts(text: Column, lengths: Column) -> Column:
     """All distinct substrings of a short text that have one of the given lengths."""
@@ -64,10 +65,10 @@ def ground_contradictions(claims: DataFrame, multi_source: DataFrame) -> tuple[D
     )
     claimed = F.coalesce("sources", F.array().cast("array<string>"))
     fine = (F.size(claimed) > 0) & (F.size(F.array_except(claimed, "actual_sources")) == 0)
-    rated = resolved.withColumn(
+    rated = settle(resolved.withColumn(
         "reason",
         F.when(F.col("task_id").isNull(), F.lit("unknown entity")).when(~fine, F.lit("sources not mentioned")),
-    )
+    ))
     kept = rated.filter("reason IS NULL").select(*claims.columns, "task_id")
     return kept, rated.filter("reason IS NOT NULL").select(*claims.columns, "reason")
 
@@ -80,11 +81,11 @@ def ground_evidence(evidence: DataFrame, claims: DataFrame, sources: DataFrame,
     `sources` has one row per (tenant_id, ref); see `last_per_ref`.
     """
     keys = ["tenant_id", "claim_id"]
-    known = sources.select("tenant_id", F.col("ref").alias("source_ref"), "source", F.col("text").alias("source_text"))
+    known = sources.select("tenant_id", F.col("ref").alias("source_ref"), "source", F.lower("text").alias("source_text"))
     said = claims.select(*keys, F.col("text").alias("claim_text"))
     quoted = evidence.withColumn("quote", strip(F.coalesce("quote", F.lit(""))))
     rated = quoted.join(known, ["tenant_id", "source_ref"], "left").join(said, keys)
-    in_source = (F.col("quote") != "") & F.contains(F.lower("source_text"), F.lower("quote"))
+    in_source = (F.col("quote") != "") & F.contains("source_text", F.lower("quote"))
     # The text is only needed for this test, so it is not carried any further.
     rated = rated.withColumn("in_source", F.coalesce(in_source, F.lit(False))).drop("source_text")
     shared = F.array_intersect(prose_keywords(F.col("quote")), prose_keywords(F.col("claim_text")))

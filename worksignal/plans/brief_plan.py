@@ -263,7 +263,7 @@ def cite(brief_rows: DataFrame, sources: DataFrame, judge: Callable[[str, str],
     """(cited briefs, citation counts) of (tenant_id, brief) rows."""
     lines = briefs.numbered_lines(brief_rows, ["tenant_id"])
     claims = briefs.claims_of(lines)
-    index = matching.source_index(sources)
+    index = settle(matching.source_index(sources))
     matches = settle(matching.keyword_matches(claims, index))
     tags = briefs.citation_tags(matches)
     judged = None

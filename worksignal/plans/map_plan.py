@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worksignal.functions.constants import MAP_SCHEMAS
+from worksignal.functions.constants import MAP_SCHEMAS, SOURCES
 from worksignal.functions.dates import rounded, sort_day
 from worksignal.functions.payload import leaf_text
 from worksignal.operators import calendar_signals, days, mail_signals, note_signals, rendering
+from worksignal.operators.ordered import fold_lines, ordinal
 from worksignal.plans import model_stage
 from worksignal.session import settle
 
@@ -186,3 +187,42 @@ def map_notes(notes, processed, answer, reference_date, system_text="", variant=
     stats = note_signals.note_stats(todo, reference_date)
     reqs = model_stage.requests(note_units(todo, stats), "notes", system_text)
     return accept(model_stage.ask(reqs, answer), note_facts(stats), "notes", variant, note_day_units(todo), note_fact_items(stats))
+
+
+# --- rolling weeks up by model ---
+
+
+def week_units(stale: DataFrame, items: DataFrame) -> DataFrame:
+    """One request unit for each stale (tenant, source, week): its extracted items, day by day.
+
+    `stale` is from `split_by_age`. The unit's key is the source and the week.
+    """
+    keys = ["tenant_id", "source", "week"]
+    weekly = items.filter("section = 'delta'").join(
+        stale.select("tenant_id", "source", "entry_key", "week", "day"), ["tenant_id", "source", "entry_key"]
+    )
+    order = [F.col("day"), F.col("entry_key"), F.col("category"), F.col("ordinal"), F.col("payload")]
+    numbered = ordinal(weekly, keys, F.struct("day", "entry_key", "category"), order)
+    line = F.concat_ws(" ", F.col("day"), F.concat("category", F.lit(":")), F.col("payload"))
+    text = fold_lines(numbered.withColumn("line", line), keys)
+    return text.select(
+        "tenant_id", F.concat_ws("|", "source", "week").alias("unit_key"),
+        F.concat(F.lit("Items of week "), F.col("week"), F.lit(":\n\n"), F.col("text")).alias("user_text"),
+    )
+
+
+def merged_weeks(stale: DataFrame, items: DataFrame, answer, system_text="", variant="persona") -> tuple[DataFrame, DataFrame]:
+    """(week_items, rejected): a model's merged items for `compact`. A rejected week keeps its days."""
+    accepted, rejected = [], []
+    units = settle(week_units(stale, items))
+    for source in SOURCES[:3]:
+        own = units.filter(F.col("unit_key").startswith(f"{source}|"))
+        asked = model_stage.ask(model_stage.requests(own, "weeks", system_text), answer)
+        good, bad = model_stage.check(asked, MAP_SCHEMAS[(source, variant)])
+        accepted.append(model_stage.payload_items(good))
+        rejected.append(bad)
+    found = reduce(DataFrame.unionByName, accepted)
+    return found.select(
+        "tenant_id", F.substring_index("unit_key", "|", 1).alias("source"), F.substring_index("unit_key", "|", -1).alias("entry_key"),
+        F.lit("delta").alias("section"), "category", "ordinal", "payload", "text",
+    ), reduce(DataFrame.unionByName, rejected)

@@ -47,13 +47,17 @@ def infer(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     return reqs.mapInPandas(run, schemas.RESPONSES)
 
 
-def ask(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
+def ask(reqs: DataFrame, answer: Callable[[str, str], str], tasks: int | None = None) -> DataFrame:
     """Responses written to the shared folder, so that no request is ever asked twice.
 
+    Requests are few bytes and much waiting: they are dealt out over `tasks` tasks by number (as many
+    as the cluster runs at once), not by size.
+
     Everything later reads the stored answers: recomputing a lost partition downstream, or using
     the responses in several places, does not call the model again.
     """
-    return settle(infer(reqs, answer))
+    n = tasks or reqs.sparkSession.sparkContext.defaultParallelism
+    return settle(infer(reqs.repartition(n), answer))
 
 
 def check(responses: DataFrame, required: dict) -> tuple[DataFrame, DataFrame]:
