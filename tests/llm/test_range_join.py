@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 
 import worksignal.llm.range_join as range_join
-from worksignal.llm.range_join import op9_range_join
+from worksignal.llm.range_join import OP9_SQL, op9_range_join
 
 from .conftest import SF, given_tables
 
@@ -63,4 +64,8 @@ def test_repeated_and_nameless_rows_and_an_empty_table(frame):
 @given_tables
 def test_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op9_range_join(spark, SF).collect()} == linked(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op9_range_join(spark, SF).collect()}
+    assert {i: x[:2] for i, x in got.items()} == linked(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    assert {i: (n, c, k) for i, n, c, k in con.execute(OP9_SQL).fetchall()} == got

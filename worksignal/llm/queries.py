@@ -7,7 +7,7 @@ from worksignal.llm.language_id import op5_language_id
 from worksignal.llm.mixing import OP8_SQL, op8_mixing
 from worksignal.llm.nn_descent import op7_nn_descent
 from worksignal.llm.pieces import op4_sentencepiece
-from worksignal.llm.range_join import op9_range_join
+from worksignal.llm.range_join import OP9_SQL, op9_range_join
 from worksignal.llm.url_filter import op1_url_filter
 
 QUERIES = {
@@ -21,4 +21,4 @@ QUERIES = {
     "op9_range_join": op9_range_join,
     "op10_chunking": op10_chunking,
 }
-ORACLES = {"op8_mixing": OP8_SQL}
+ORACLES = {"op8_mixing": OP8_SQL, "op9_range_join": OP9_SQL}
