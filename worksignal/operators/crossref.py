@@ -7,13 +7,14 @@ their entry's day. A task is mentioned by an entry when one single item of it na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import MAP_SCHEMAS
 from worksignal.functions.dates import leading_day
 from worksignal.functions.keywords import excerpt, glued_set, index_word, mentioned, title_keywords, word_set
 from worksignal.functions.text import each, kept
+from worksignal.session import settle
 
 _ITEM = ["tenant_id", "source", "entry_key", "section", "category", "ordinal"]
 _SALTS = 16
@@ -47,24 +48,33 @@ def task_keywords(tasks: DataFrame) -> DataFrame:
 def item_matches(tasks: DataFrame, items: DataFrame, salts: int = _SALTS) -> DataFrame:
     """Every (task, item) pair with the distinct keywords the item names.
 
-    Found by joining title words with item words, not by trying every pair. A word common to a
-    large share of the items is spread over `salts` tasks. Keywords are told apart as written
+    Found by joining a title's rarer words with item words, not by trying every pair. A word common
+    to a large share of the items is spread over `salts` tasks. Keywords are told apart as written
     while the required number counts repeats, so a title repeating one word may never match.
     """
     wanted = task_keywords(tasks)
-    indexed = items.withColumn("words", word_set(F.col("text"))).withColumn("glued", glued_set(F.col("text")))
+    indexed = settle(items.withColumn("words", word_set(F.col("text"))).withColumn("glued", glued_set(F.col("text"))))
     lowered = F.array_distinct(F.transform("keywords", lambda w: F.lower(w)))
-    # With all keywords different, one of the two needed is among all but the last.
-    spare = F.when(F.size(lowered) == F.size("keywords"), F.col("needed") - 1).otherwise(F.lit(0))
-    looked_up = F.array_distinct(F.transform(F.slice(lowered, F.lit(1), F.size(lowered) - spare), index_word))
-    probes = wanted.select(
-        "tenant_id", F.col("id").alias("task_id"), F.explode(looked_up).alias("word")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    looked_up = F.array_distinct(F.transform(lowered, index_word))
+    # With all keywords different, one of the two needed is among all but the most frequent.
+    different = (F.size(lowered) == F.size("keywords")) & (F.size(looked_up) == F.size("keywords"))
+    spare = F.when(different, F.col("needed") - 1).otherwise(F.lit(0))
+    titled = wanted.select(
+        "tenant_id", F.col("id").alias("task_id"), (F.size(looked_up) - spare).alias("n_probes"), F.explode(looked_up).alias("word")
+    )
     postings = indexed.select(
         *_ITEM,
         each(F.col("words")).alias("word"),
         F.pmod(F.xxhash64(*_ITEM), F.lit(salts)).cast("int").alias("salt"),
     )
+    frequency = postings.groupBy("tenant_id", "word").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("tenant_id", "task_id").orderBy(F.coalesce("n", F.lit(0)), "word")
+    probes = (
+        titled.join(frequency, ["tenant_id", "word"], "left")
+        .withColumn("place", F.row_number().over(rarest))
+        .filter(F.col("place") <= F.col("n_probes"))
+        .select("tenant_id", "task_id", "word", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    )
     pairs = postings.join(probes, ["tenant_id", "word", "salt"]).select(*_ITEM, "task_id").distinct()
     found = F.array_distinct(
         F.filter("keywords", lambda w: mentioned(F.col("words"), F.col("glued"), F.lower(w)))
