@@ -4,6 +4,7 @@ from worksignal.llm.bagminhash import op3_bagminhash
 from worksignal.llm.chunking import op10_chunking
 from worksignal.llm.interpolation import op6_interpolation
 from worksignal.llm.language_id import op5_language_id
+from worksignal.llm.license_scan import op2_license_scan
 from worksignal.llm.mixing import OP8_SQL, op8_mixing
 from worksignal.llm.nn_descent import op7_nn_descent
 from worksignal.llm.pieces import op4_sentencepiece
@@ -12,6 +13,7 @@ from worksignal.llm.url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_license_scan": op2_license_scan,
     "op3_bagminhash": op3_bagminhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
