@@ -16,7 +16,7 @@ SELECT CAST(user_id AS VARCHAR) AS tenant_id, printf('%012d', event_id) AS uid,
        date_trunc('second', ts) + to_minutes(CAST(floor(value) AS INT)) AS e, CAST(floor(value) AS BIGINT) * 60000000 AS micros
 FROM events
 """
-_CONFLICTS = f"""
+CONFLICTS_SQL = f"""
 SELECT f.tenant_id, f.date_key, f.uid AS focus_uid, m.uid AS meeting_uid, m.summary, m.s,
        epoch_us(least(f.e, m.e)) - epoch_us(greatest(f.s, m.s)) AS micros
 FROM ({CALENDAR_SQL}) f JOIN ({CALENDAR_SQL}) m ON f.tenant_id = m.tenant_id AND f.date_key = m.date_key
@@ -31,7 +31,7 @@ GROUP BY 1, 2
 
 @query("focus_conflicts", f"""
 SELECT tenant_id, date_key, focus_uid, meeting_uid, summary, strftime(s, '%Y-%m-%dT%H:%M:%S') AS start,
-       round(micros / 3.6e9, 6) AS overlap_hours FROM ({_CONFLICTS})
+       round(micros / 3.6e9, 6) AS overlap_hours FROM ({CONFLICTS_SQL})
 """)
 def focus_conflicts_q(spark, sf):
     found = calendar_signals.focus_conflicts(calendar(spark, sf))
@@ -54,7 +54,7 @@ FROM (SELECT tenant_id, date_key, count(*) AS event_count, count(*) FILTER (WHER
              coalesce(sum(micros) FILTER (WHERE kind = 'meeting'), 0) AS meeting_hours,
              coalesce(sum(micros) FILTER (WHERE kind = 'focus'), 0) AS focus_hours,
              count(*) FILTER (WHERE kind = 'declined') AS declined FROM ({CALENDAR_SQL}) GROUP BY 1, 2) b
-LEFT JOIN (SELECT tenant_id, date_key, sum(micros) AS lost FROM ({_CONFLICTS}) GROUP BY 1, 2) c USING (tenant_id, date_key)
+LEFT JOIN (SELECT tenant_id, date_key, sum(micros) AS lost FROM ({CONFLICTS_SQL}) GROUP BY 1, 2) c USING (tenant_id, date_key)
 LEFT JOIN ({_BACK}) k USING (tenant_id, date_key)
 """)
 def calendar_day_stats_q(spark, sf):

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from worksignal.catalog.calendar_q import CALENDAR_SQL
+from worksignal.catalog.calendar_q import CALENDAR_SQL, CONFLICTS_SQL
 from worksignal.catalog.registry import MAIL_SQL, query
 from worksignal.catalog.shapes import calendar, mail
 from worksignal.operators import rendering
@@ -72,10 +72,11 @@ def map_mail_rejected_q(spark, sf):
 @query("map_calendar_items", f"""
 SELECT tenant_id, date_key AS entry_key, 'meetings_needing_prep' AS category, summary || ' customer' AS text FROM ({CALENDAR_SQL}) WHERE category = 'external'
 UNION ALL SELECT tenant_id, date_key, 'declined_or_cancelled', summary || ' ' || date_key || ' TENTATIVE' FROM ({CALENDAR_SQL}) WHERE kind = 'declined'
+UNION ALL SELECT tenant_id, date_key, 'deep_work_conflicts', summary || ' ' || strftime(s, '%Y-%m-%dT%H:%M:%S') FROM ({CONFLICTS_SQL})
 """)
 def map_calendar_items_q(spark, sf):
     _, items, _ = map_plan.map_calendar(calendar(spark, sf), _no_ledger(spark), answer_calendar)
-    return items.filter("category <> 'deep_work_conflicts'").select("tenant_id", "entry_key", "category", "text")
+    return items.select("tenant_id", "entry_key", "category", "text")
 
 
 @query("ledger_text", f"""

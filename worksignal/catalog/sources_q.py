@@ -190,18 +190,16 @@ def blocked_sender_rules_q(spark, sf):
 
 @query("citable_union", f"""
 WITH src AS (SELECT conv_id || '-' || turn || '.eml' AS id, text FROM conversations)
-SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(label)) AS BIGINT) AS n_label FROM (
-  SELECT 'email' AS source, CASE WHEN turn > 0 THEN 'Re: Re: ' ELSE '' END || 'Thread  ' || conv_id AS label,
+SELECT source, ref, label, text FROM (
+  SELECT 'email' AS source, b.id AS ref, CASE WHEN turn > 0 THEN 'Re: Re: ' ELSE '' END || 'Thread  ' || conv_id AS label,
          CASE WHEN turn > 0 THEN 'Re: Re: ' ELSE '' END || 'Thread  ' || conv_id || ' ' || body AS text
     FROM ({CLEAN_BODY_SQL}) b JOIN conversations c ON b.id = c.conv_id || '-' || c.turn || '.eml'
-  UNION ALL SELECT 'calendar', 'Meet  ' || user_id, 'Meet  ' || user_id || ' ' || 'value ' || printf('%.2f', value) || chr(10) || 'end' || '  '
-    || 'User ' || user_id || ' u' || user_id || '@example.org ACCEPTED team@example.org team@example.org NEEDS-ACTION' FROM events) GROUP BY 1
+  UNION ALL SELECT 'calendar', CAST(event_id AS VARCHAR), 'Meet  ' || user_id, 'Meet  ' || user_id || ' ' || 'value ' || replace(printf('%.2f', value), '.', ',') || chr(10) || 'end' || '  '
+    || 'User ' || user_id || ' u' || user_id || '@example.org ACCEPTED team@example.org team@example.org NEEDS-ACTION' FROM events)
 """)
 def citable_union_q(spark, sf):
     sources = citable_sources(parse_messages(_messages(spark, sf)), parse_event_blocks(_blocks(spark, sf)))
-    return sources.groupBy("source").agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.length("label")).alias("n_label")
-    )
+    return sources.select("source", "ref", "label", "text")
 
 
 @query("browse_events", """
