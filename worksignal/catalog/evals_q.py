@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from worksignal.catalog.registry import query, table
 from worksignal.catalog.shapes import calendar
 from worksignal.operators import calendar_signals, call_log, dataset_checks, evaluation
-from worksignal.catalog.matching_q import EXCLUSIVE_SQL, _kinds
+from worksignal.catalog.calendar_q import CONFLICTS_SQL
+from worksignal.catalog.matching_q import EXCLUSIVE_SQL, MATCHES_SQL, _kinds, date_inconsistencies_q
 
 
 @query("extraction_bloat", """
@@ -171,11 +172,14 @@ def variant_averages_q(spark, sf):
 WITH ex AS ({EXCLUSIVE_SQL})
 SELECT d.source AS tenant_id, count(ex.doc_id) AS exclusive, count(*) FILTER (WHERE d.doc_id % 3 = 0) AS total,
        count(ex.doc_id) >= (count(*) FILTER (WHERE d.doc_id % 3 = 0) + 1) // 2 AS exclusive_ok,
-       count(*) FILTER (WHERE d.doc_id % 3 = 1) AS notes_total, false AS has_conflict, true AS date_consistent
-FROM documents d LEFT JOIN ex ON ex.doc_id = d.doc_id GROUP BY 1
+       count(*) FILTER (WHERE d.doc_id % 3 = 1) AS notes_total, count(c.tenant_id) > 0 AS has_conflict, count(i.source) = 0 AS date_consistent
+FROM documents d LEFT JOIN ex ON ex.doc_id = d.doc_id
+LEFT JOIN (SELECT DISTINCT 'src' || (CAST(tenant_id AS BIGINT) % 20) AS tenant_id FROM ({CONFLICTS_SQL})) c ON c.tenant_id = d.source
+LEFT JOIN (SELECT DISTINCT source FROM ({MATCHES_SQL}) m JOIN documents USING (doc_id) WHERE item_id % 7 <> doc_id % 7) i ON i.source = d.source GROUP BY 1
 """)
 def dataset_quality_q(spark, sf):
-    conflicts = calendar_signals.focus_conflicts(calendar(spark, sf)).select("tenant_id")
-    none = conflicts.filter("false")
-    found = dataset_checks.dataset_quality(_kinds(spark, sf), conflicts, none)
+    tenant = F.concat(F.lit("src"), (F.col("tenant_id").cast("bigint") % 20).cast("string"))
+    conflicts = calendar_signals.focus_conflicts(calendar(spark, sf)).select(tenant.alias("tenant_id"))
+    odd = date_inconsistencies_q(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    found = dataset_checks.dataset_quality(_kinds(spark, sf), conflicts, odd.select(F.col("source").alias("tenant_id")))
     return found.select("tenant_id", "exclusive", "total", "exclusive_ok", "notes_total", "has_conflict", "date_consistent")
