@@ -275,7 +275,9 @@ def _scores(rows: pa.Table, replies: pa.Table, mixture: Mixture) -> pa.Table:
     return pa.table(columns)
 
 
-def score_documents(docs: DataFrame, train: Column, deleted: Column, stored: bool = False) -> DataFrame:
+def score_documents(
+    docs: DataFrame, train: Column, deleted: Column, stored: bool = False, chunk_bytes: int = _CHUNK_BYTES
+) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to documents (doc_id, text), without the text.
 
     `train` says which rows the model learns from (NULL: not), `deleted` which of these the mixture
@@ -286,6 +288,9 @@ def score_documents(docs: DataFrame, train: Column, deleted: Column, stored: boo
 
     The documents are read several times and must split the same each time; they are written to
     the shared folder first unless `stored` says that they are read from files as they are.
+
+    `chunk_bytes` of input make a chunk. Chunks times ranges is the number of entries sent, and ranges
+    grow with the input: for many terabytes, larger chunks (and executors) keep entries from getting small.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -297,7 +302,7 @@ def score_documents(docs: DataFrame, train: Column, deleted: Column, stored: boo
         rows.write.parquet(path)
         rows = spark.read.parquet(path)
     size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    splits = max(1, -(-size // _CHUNK_BYTES))
+    splits = max(1, -(-size // chunk_bytes))
     per_split = splits + 1  # the last one holds the deleted rows
     part = F.when(F.col("__deleted"), splits).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)))
     rows = rows.withColumn("chunk", F.spark_partition_id().cast("long") * per_split + part).drop("__deleted")
