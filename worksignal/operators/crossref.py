@@ -14,7 +14,7 @@ from worksignal.functions.constants import MAP_SCHEMAS
 from worksignal.functions.dates import leading_day
 from worksignal.functions.keywords import excerpt, glued_set, index_word, mentioned, title_keywords, word_set
 from worksignal.functions.text import each, kept
-from worksignal.session import settle
+from worksignal.session import settle, spread
 
 _ITEM = ["tenant_id", "source", "entry_key", "section", "category", "ordinal"]
 _SALTS = 16
@@ -53,7 +53,7 @@ def item_matches(tasks: DataFrame, items: DataFrame, salts: int = _SALTS) -> Dat
     while the required number counts repeats, so a title repeating one word may never match.
     """
     wanted = task_keywords(tasks)
-    indexed = settle(items.withColumn("words", word_set(F.col("text"))).withColumn("glued", glued_set(F.col("text"))))
+    indexed = settle(spread(items).withColumn("words", word_set(F.col("text"))).withColumn("glued", glued_set(F.col("text"))))
     lowered = F.array_distinct(F.transform("keywords", lambda w: F.lower(w)))
     looked_up = F.array_distinct(F.transform(lowered, index_word))
     # With all keywords different, one of the two needed is among all but the most frequent.

@@ -27,7 +27,7 @@ from worksignal.functions.keywords import (
     word_set,
 )
 from worksignal.functions.text import each, kept
-from worksignal.session import settle
+from worksignal.session import settle, spread
 
 _REF = ["tenant_id", "source", "ref"]
 _SALTS = 16
@@ -48,7 +48,7 @@ def source_index(sources: DataFrame) -> DataFrame:
 
 def _indexed(sources: DataFrame) -> DataFrame:
     """The index as given, or a new one; it is stored, as counts, lookups and the check all read it."""
-    return sources if "words" in sources.columns else settle(source_index(sources))
+    return sources if "words" in sources.columns else settle(source_index(spread(sources)))
 
 
 def term_counts(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "worksignal", **conf) -> SparkSession:
@@ -54,6 +55,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks at least as the cluster runs at once.
+
+    For costly work on each row of an input that comes in fewer splits, such as one small file; an
+    input of enough splits stays as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    last = df.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0]
+    return df if last is not None and last + 1 >= wanted else df.repartition(wanted)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
