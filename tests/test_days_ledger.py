@@ -2,6 +2,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 from test_sources import entries
 
+from worksignal import schemas
 from worksignal.operators import compaction, days, ledger_health
 from worksignal.plans.map_plan import new_days
 from worksignal.sources.records import processed_keys
@@ -100,3 +101,17 @@ def test_mixed_variants(spark):
     rolled = mixed.withColumn("compacted", F.col("map_variant").isNull())
     assert ledger_health.mixed_variants(rolled).count() == 0
     assert "2 different" in ledger_health.variant_warning(ledger_health.mixed_variants(mixed)).first().warning
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    from worksignal.sources import records
+
+    rows_ = spark.range(4000).select(
+        F.lit("t").alias("tenant_id"), F.lit("email").alias("source"), F.format_string("%05d", "id").alias("entry_key"), F.lit("delta").alias("section"),
+        F.lit("c").alias("category"), F.col("id").alias("ordinal"), F.lit("{}").alias("payload"), F.lit("x").alias("text"))
+    path = str(tmp_path / "items")
+    records.append_ledger(rows_, path, rows_per_file=100)
+    stored = records.read_ledger(spark, path, schemas.LEDGER_ITEMS)
+    assert stored.count() == 4000 and stored.select(F.input_file_name()).distinct().count() > 1
+    records.replace_ledger(rows_.limit(10), path)
+    assert records.read_ledger(spark, path, schemas.LEDGER_ITEMS).count() == 10

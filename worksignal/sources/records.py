@@ -18,13 +18,19 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return df.withColumn("tenant_bucket", F.pmod(F.xxhash64("tenant_id"), F.lit(_BUCKETS)).cast("int"))
 
 
-def _write_ledger(df: DataFrame, path: str, mode: str, files: int) -> None:
-    """Sorted by tenant and day within files; a folder's rows are spread over `files` tasks."""
+def _write_ledger(df: DataFrame, path: str, mode: str, rows_per_file: int) -> None:
+    """Sorted by tenant and day within files; a large folder is written by as many tasks as its rows need.
+
+    The folders' counts are at most as many as there are sources and buckets.
+    """
     sort = "sort_day" if "sort_day" in df.columns else "entry_key"
-    piece = F.pmod(F.xxhash64("tenant_id", "entry_key"), F.lit(files))
+    pieces = df.groupBy(*_PARTITIONS).agg(F.ceil(F.count("*") / rows_per_file).alias("pieces"))
+    piece = F.pmod(F.xxhash64("tenant_id", "entry_key"), F.col("pieces")).alias("piece")
     (
-        df.repartition(*_PARTITIONS, piece)
+        df.join(F.broadcast(pieces), list(_PARTITIONS))
+        .repartition(*_PARTITIONS, piece)
         .sortWithinPartitions(*_PARTITIONS, "tenant_id", sort, "entry_key")
+        .select(*df.columns)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_PARTITIONS)
@@ -32,12 +38,12 @@ def _write_ledger(df: DataFrame, path: str, mode: str, files: int) -> None:
     )
 
 
-def append_ledger(df: DataFrame, path: str, files: int = 1) -> None:
+def append_ledger(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """Add entries, items or covered rows; nothing already stored is read or rewritten."""
-    _write_ledger(_bucketed(df), path, "append", files)
+    _write_ledger(_bucketed(df), path, "append", rows_per_file)
 
 
-def replace_ledger(df: DataFrame, path: str, files: int = 1) -> None:
+def replace_ledger(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
     """Replace what the ledger holds for the tenants and sources present in `df`.
 
     Only folders holding such a tenant are rewritten, other tenants' rows in them included. `df`
@@ -52,7 +58,7 @@ def replace_ledger(df: DataFrame, path: str, files: int = 1) -> None:
     replaced = new.select("tenant_id", "source").distinct()
     others = stored.join(touched, list(_PARTITIONS), "left_semi").join(replaced, ["tenant_id", "source"], "left_anti")
     settled = new.unionByName(others).checkpoint()
-    _write_ledger(settled, path, "overwrite", files)
+    _write_ledger(settled, path, "overwrite", rows_per_file)
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
