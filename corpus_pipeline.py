@@ -10,7 +10,7 @@ from worksignal.llm.bagminhash import near_duplicates
 from worksignal.llm.chunking import drop_repeats
 from worksignal.llm.language_id import UNKNOWN, identify, train
 from worksignal.llm.mixing import mix
-from worksignal.llm.pieces import decode, encode
+from worksignal.llm.pieces import encode_and_decode
 from worksignal.session import fresh_path
 
 #: A text is rejected if its language has less than this share of its n-grams: it is in none of them.
@@ -46,7 +46,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, exact): the ids of every document, and whether they decode to its text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return coded.select("doc_id", "lang", "source", "ids", same.alias("exact"))
 

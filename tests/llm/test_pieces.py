@@ -6,7 +6,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from worksignal.llm.pieces import Encoder, PieceModel, decode, encode, op4_sentencepiece, read_model  # noqa: E402
+from worksignal.llm.pieces import Encoder, PieceModel, decode, encode, encode_and_decode, op4_sentencepiece, read_model  # noqa: E402
 
 from .conftest import SF, given_tables  # noqa: E402
 
@@ -55,7 +55,7 @@ def test_frames_keep_extra_columns_and_replace_their_own(frame, library):
     rows = [(1, "the cat", 7), (2, None, None), (2, None, None), (None, "", 3), (3, "word " * 20000, 1)]
     docs = frame(rows, "doc_id long, text string, ids long")
     got = decode(encode(docs, PATH), PATH).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, encode_and_decode(docs, PATH).collect()))
     for row in got:
         assert row["ids"] == library.encode(row["text"] or "") and row["decoded"] == (row["text"] or "")
     assert decode(frame([(1, None), (2, [None, 450])], "id int, ids array<int>"), PATH).orderBy("id").collect()[0]["decoded"] == ""

@@ -298,32 +298,53 @@ def _batched(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
+def _encoded(encoder: Encoder, column: pa.Array) -> pa.Array:
+    found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for group in _batched([t or "" for t in column.to_pylist()]):
+        flat, n = encoder.encode(group)
+        found.append(flat)
+        counts.append(n)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+
+
+def _decoded(model: PieceModel, column: pa.Array) -> pa.Array:
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten()
+    if values.null_count:
+        owner = np.repeat(np.arange(len(counts)), counts)[values.is_valid().to_numpy(zero_copy_only=False)]
+        counts, values = np.bincount(owner, minlength=len(counts)), values.drop_null()
+    data, lengths = model.decode(values.to_numpy(zero_copy_only=False), counts)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _with_columns(docs: DataFrame, model_path: str, read: str, added: dict, work) -> DataFrame:
+    """docs with the columns `added` (name: a value of its type), filled by work(model)(column `read`)."""
+    model = read_model(model_path)
+    small_batches(docs.sparkSession)
+    kept = docs.drop(*added)
+    place, names = kept.columns.index(read), list(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fill = work(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fill(batch.column(place))], [*batch.schema.names, *names])
+
+    return kept.mapInArrow(run, kept.withColumns(added).schema)
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each whole text (array<int>), without begin and end ids; a NULL text has none.
 
     A column of the name of the added one is replaced. Empty texts give empty arrays.
     """
-    model = read_model(model_path)
-    small_batches(docs.sparkSession)
-    kept = docs.drop(ids)
-    fields = [*kept.schema.fields]
-    place = [f.name for f in fields].index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(model):
         encoder = Encoder(model)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for group in _batched(texts):
-                flat, n = encoder.encode(group)
-                found.append(flat)
-                counts.append(n)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+        return lambda column: [_encoded(encoder, column)]
 
-    schema = kept.select("*", F.array(F.lit(0)).alias(ids)).schema
-    return kept.mapInArrow(run, schema)
+    return _with_columns(docs, model_path, text, {ids: F.array(F.lit(0))}, work)
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -332,27 +353,29 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
     A column of the name of the added one is replaced. NULL ids inside an array are skipped; an id
     that the model has not is an error.
     """
-    model = read_model(model_path)
-    small_batches(docs.sparkSession)
-    kept = docs.drop(text)
-    place = kept.columns.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(model):
         tables = PieceModel(model)
-        for batch in batches:
-            column = batch.column(place)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = column.flatten()
-            if values.null_count:
-                owner = np.repeat(np.arange(len(counts)), counts)[values.is_valid().to_numpy(zero_copy_only=False)]
-                counts, values = np.bincount(owner, minlength=len(counts)), values.drop_null()
-            data, lengths = tables.decode(values.to_numpy(zero_copy_only=False), counts)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            texts = pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text])
+        return lambda column: [_decoded(tables, column)]
+
+    return _with_columns(docs, model_path, ids, {text: F.lit("")}, work)
+
+
+def encode_and_decode(
+    docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """`encode` and then `decode` of what it gave, in one pass with one set of tables."""
+
+    def work(model):
+        encoder = Encoder(model)
+
+        def fill(column):
+            found = _encoded(encoder, column)
+            return [found, _decoded(encoder.model, found)]
+
+        return fill
 
-    schema = kept.select("*", F.lit("").alias(text)).schema
-    return kept.mapInArrow(run, schema)
+    return _with_columns(docs, model_path, text, {ids: F.array(F.lit(0)), decoded: F.lit("")}, work)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -361,7 +384,7 @@ def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = columns_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    coded = decode(encode(docs, path).drop("text"), path)
+    coded = encode_and_decode(docs, path).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
