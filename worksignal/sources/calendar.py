@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksignal.functions.text import not_blank, strip
+from worksignal.session import spread
 from worksignal.sources.tenants import tenant_of_path
 
 _BLOCK_START = "BEGIN:VEVENT"
@@ -51,7 +52,7 @@ def parse_event_blocks(raw: DataFrame, hot: bool = False) -> DataFrame:
     """
     text = F.regexp_replace(F.regexp_replace("block", "\\r\\n", "\n"), "\\n[ \\t]", "")
     body = F.split(F.split(text, "\\nEND:VEVENT", 2)[0], "\\n")
-    parsed = raw.filter(F.col("block").rlike("\\nEND:VEVENT")).select(
+    parsed = spread(raw).filter(F.col("block").rlike("\\nEND:VEVENT")).select(
         "tenant_id", body.alias("lines")
     )
     lines = F.col("lines")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksignal.functions.headers import clean_body, thread_id
+from worksignal.session import spread
 from worksignal.sources.tenants import tenant_of_path
 
 _DECODED = (
@@ -68,7 +69,7 @@ def parse_messages(raw: DataFrame, hot: bool = False) -> DataFrame:
 
     MIME decoding is the one step done in Python; everything derived is a column expression.
     """
-    decoded = raw.select("tenant_id", "filename", "content").mapInPandas(_decode_batches, _DECODED)
+    decoded = spread(raw.select("tenant_id", "filename", "content")).mapInPandas(_decode_batches, _DECODED)
     return decoded.select(
         "tenant_id",
         "filename",
