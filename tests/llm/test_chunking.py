@@ -69,3 +69,40 @@ def test_query_against_brute_force(spark):
         assert row["n_words"] == len(docs[row["doc_id"]])
         gone = sum(p["n_words"] for p in row["passages"])
         assert gone == row["n_repeated"] and len((row["text"] or "").split()) == row["n_words"] - gone
+
+
+def test_chunks_of_a_document_do_not_depend_on_its_neighbours():
+    random.seed(4)
+    for _ in range(300):
+        docs = [mix64(np.array([random.randrange(10**6) for _ in range(random.randint(1, 30))], dtype=np.uint64)) for _ in range(3)]
+        doc = np.repeat(np.arange(3), [len(d) for d in docs])
+        begins, digests = chunks(np.concatenate(docs), doc)
+        for k, alone in enumerate(docs):
+            first = np.searchsorted(doc, k)
+            own = doc[begins] == k
+            want = chunks(alone, np.zeros(len(alone), np.int64))
+            assert (begins[own] - first).tolist() == want[0].tolist() and digests[own].tolist() == want[1].tolist()
+
+
+def test_short_exact_copies_go_wholly_under_any_layout(spark, frame):
+    random.seed(5)
+
+    def words(n):
+        return " ".join("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    short = [words(n) for n in range(20, 40) for _ in range(5)]
+    rows = [(i, text) for i, text in enumerate(short)] + [(1000 + i, text) for i, text in enumerate(short)]
+    rows += [(2000 + i, words(random.randint(1, 60))) for i in range(150)]
+    random.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, results = spark.conf.get(name), []
+    try:
+        for parts, size in ((1, 500), (7, 3)):
+            spark.conf.set(name, str(size))
+            results.append(sorted(drop_repeats(frame(rows, "doc_id long, text string", parts)).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert results[0] == results[1]
+    got = {r["doc_id"]: r for r in results[0]}
+    for i, text in enumerate(short):
+        assert sorted([got[i]["text"], got[1000 + i]["text"]]) == ["", text]

@@ -1,8 +1,8 @@
 """Repeated passages by content-defined chunks: a gear rolling hash cuts, digests find repeats.
 
 The gear hash runs over words: shift, add the word's value, keep as many bits as there are words in
-its window. A cut lies after a word whose hash is the least among its neighbours', so cuts depend on
-the text around them only, an insertion moves none but those beside it, and no stretch of text goes
+its window. A cut lies after a word whose hash is the least among its neighbours' in the document, so
+cuts depend on the document's text around them only, an insertion moves none but those beside it, and no stretch of text goes
 without cuts for long. Only the first occurrence of a chunk stays.
 """
 
@@ -23,30 +23,32 @@ MIN_WORDS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gear(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def gear(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The rolling hash at each word: the sum of the last `window` words' values, each shifted by its age.
 
-    Each word shifts the older ones out by 64 / window bits.
+    Each word shifts the older ones out by 64 / window bits. Words of another document add nothing.
     """
     shift = np.uint64(64 // window)
     out = np.zeros(len(hashes), dtype=np.uint64)
     for age in range(window):
+        older = len(hashes) - age
         moved = np.zeros_like(out)
-        moved[age:] = hashes[: len(hashes) - age] if age else hashes
+        moved[age:] = np.where(doc[age:] == doc[:older], hashes[:older], np.uint64(0))
         out += moved << (shift * np.uint64(age))
     return out
 
 
 def chunks(hashes: np.ndarray, doc: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each chunk and its digest. Chunks end with their document."""
+    """First word of each chunk and its digest. Chunks end with their document and depend on nothing outside it."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64), hashes
-    rolled = mix64(gear(hashes))
+    rolled = mix64(gear(hashes, doc))
     least = np.ones(n, dtype=bool)
     for k in range(1, reach + 1):
-        least[k:] &= rolled[k:] < rolled[:-k]
-        least[:-k] &= rolled[:-k] <= rolled[k:]
+        other = doc[k:] != doc[:-k]
+        least[k:] &= (rolled[k:] < rolled[:-k]) | other
+        least[:-k] &= (rolled[:-k] <= rolled[k:]) | other
     cut = np.zeros(n, dtype=bool)
     cut[1:] = least[:-1]
     cut[0] = True
