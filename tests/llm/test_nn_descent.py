@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import worksignal.llm.nn_descent as nn_descent
@@ -59,3 +60,29 @@ def test_query(spark):
     rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
     share, n = recall(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), op7_nn_descent(spark, SF).collect())
     assert n == sum(i % 100 == 0 for i, _ in rows) and share >= 0.9
+
+
+def test_a_round_offers_every_nearer_neighbour_of_a_fresh_pair():
+    x = np.arange(8, dtype=np.float64)
+    frame = pd.DataFrame({"v": 100, "u": np.arange(8), "fresh": [1, 1, 1, 1, 1, 1, 0, 0], "vec": [v.tobytes() for v in x], "far": 1e9})
+    got = nn_descent._compare_neighbours(frame, "f8")
+    pairs = {(a, b) for a in range(8) for b in range(8) if a != b} - {(6, 7), (7, 6)}
+    assert set(zip(got["src"].astype(int), got["dst"].astype(int))) == pairs
+
+
+def test_rounds_go_on_until_few_edges_change(frame, monkeypatch):
+    for name, value in (("CELL", 32), ("TABLES", 2), ("PER_CELL", 4)):
+        monkeypatch.setattr(nn_descent, name, value)
+    vectors = np.random.default_rng(4).normal(size=(1500, 8))
+    nodes = frame([(i, v.tobytes()) for i, v in enumerate(vectors)], "node long, vec binary")
+    graph = nn_descent.build_graph(nodes, 1500, "f8").filter("place <= 10").collect()
+    hits = 0
+    for i in range(0, 1500, 10):
+        want, _ = exact(np.arange(1500), vectors, i)
+        hits += len(set(want.tolist()) & {r["dst"] for r in graph if r["src"] == i})
+    assert hits / 1500 >= 0.95
+
+
+def test_the_beam_grows_with_the_table():
+    assert nn_descent.beam_of(10_000) == nn_descent.BEAM
+    assert nn_descent.beam_of(160_000) >= 3 * nn_descent.BEAM and nn_descent.beam_of(16_000_000) >= 30 * nn_descent.BEAM

@@ -2,7 +2,8 @@
 
 The graph begins with the nearest in random cells (vectors on the same side of random planes).
 Then each round joins every node with its neighbours, in both directions, and compares these with
-each other: a neighbour of a neighbour is likely a neighbour. A query walks the graph: of the
+each other: a neighbour of a neighbour is likely a neighbour. Rounds go on until few edges of the graph change;
+pairs that a node's list held in the round before are not compared again. A query walks the graph: of the
 nearest nodes it knows, those not yet opened are opened, their neighbours are measured, until none
 of its nearest is closed. Every table is joined by node or by query; nothing is held whole anywhere.
 """
@@ -20,16 +21,17 @@ from pyspark.sql import functions as F
 from worksignal.llm.vectors import element_type, matrix, packed, takes_part
 from worksignal.session import settle
 
-#: Neighbours of a node in the graph; those a round compares in each direction; rounds.
-NEIGHBOURS, COMPARED, ROUNDS = 24, 16, 2
+#: Neighbours of a node in the graph; those a round compares in each direction.
+NEIGHBOURS, COMPARED = 24, 16
+#: Rounds end after one in which at most this share of the graph's edges was new.
+FEW_CHANGES = 0.02
 #: Random partitions at the start, the size of their cells, neighbours taken from each.
 TABLES, CELL, PER_CELL = 8, 1024, 12
-#: Nodes a query keeps open.
-BEAM = 160
+#: Nodes a query keeps open, up to so many nodes; above, as many more as the root of their number (`beam_of`).
+BEAM, BEAM_NODES = 160, 1 << 14
 #: The planes are fitted on so many vectors, chosen by digest.
 SAMPLE = 2048
 _GROUP = 512
-_OFFERS = 3
 
 
 def _planes(nodes: DataFrame, n: int, bits: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,10 @@ def _nearest_in_cell(frame: pd.DataFrame, per_cell: int, kind: str) -> pd.DataFr
 
 
 def _compare_neighbours(frame: pd.DataFrame, kind: str) -> pd.DataFrame:
-    """Offers (src, dst, d) among the neighbours of each node of a group, nearer than the farthest that src has."""
+    """Offers (src, dst, d) among the neighbours of each node of a group, nearer than the farthest that src has.
+
+    Of each two neighbours one at least is fresh; the others were compared before.
+    """
     frame = frame.sort_values(["v", "u"], ignore_index=True)
     v = frame["v"].to_numpy()
     begins = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -86,26 +91,22 @@ def _compare_neighbours(frame: pd.DataFrame, kind: str) -> pd.DataFrame:
     there = np.arange(width)[None, :] < sizes[:, None]
     at = np.minimum(begins[:, None] + np.arange(width)[None, :], len(v) - 1)
     vectors, u, far = matrix(frame["vec"], kind), frame["u"].to_numpy(), frame["far"].to_numpy()
+    fresh = frame["fresh"].to_numpy().astype(bool)
     out = []
     for k in range(0, len(at), 64):
         part, inside = at[k : k + 64], there[k : k + 64]
         distance = squared(vectors[part], vectors[part])
         distance[~(inside[:, :, None] & inside[:, None, :])] = np.inf
         distance[:, np.arange(width), np.arange(width)] = np.inf
-        n = min(_OFFERS, width - 1)
-        if n < 1:
-            continue
-        near = np.argpartition(distance, n - 1, axis=2)[:, :, :n]
-        d = np.take_along_axis(distance, near, 2)
-        better = d < far[part][:, :, None]
-        i, j, m = np.nonzero(better)
-        out.append(pd.DataFrame({"src": u[part[i, j]], "dst": u[part[i, near[i, j, m]]], "d": d[better]}))
+        either = fresh[part][:, :, None] | fresh[part][:, None, :]
+        i, j, m = np.nonzero((distance < far[part][:, :, None]) & either)
+        out.append(pd.DataFrame({"src": u[part[i, j]], "dst": u[part[i, m]], "d": distance[i, j, m]}))
     return pd.concat(out).drop_duplicates(["src", "dst"]) if out else pd.DataFrame({"src": [], "dst": [], "d": []})
 
 
 def _nearest(edges: DataFrame, n: int) -> DataFrame:
-    """Each src's n nearest dst, once each; one shuffle by src serves both steps."""
-    once = edges.repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d"))
+    """Each src's n nearest dst, once each and new if all its edges are; one shuffle by src serves both steps."""
+    once = edges.repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     return once.withColumn("place", place).filter(F.col("place") <= n)
 
@@ -119,8 +120,18 @@ def _both_ways(graph: DataFrame, n: int) -> DataFrame:
     return once.withColumn("place", place).filter(F.col("place") <= n).select("v", "u")
 
 
+def _fresh(lists: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(v, u, fresh): which of the lists (v, u) were not there before; lists without any are left out."""
+    if before is None:
+        return lists.withColumn("fresh", F.lit(1))
+    both = lists.withColumn("now", F.lit(1)).union(before.withColumn("now", F.lit(0))).repartition("v")
+    marked = both.groupBy("v", "u").agg(F.max("now").alias("here"), F.min("now").alias("fresh")).filter("here = 1")
+    some = F.max("fresh").over(Window.partitionBy("v"))
+    return marked.withColumn("some", some).filter("some = 1").select("v", "u", "fresh")
+
+
 def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
-    """(src, dst, d, place): about the NEIGHBOURS nearest of each of n nodes (node, vec), nearest first."""
+    """(src, dst, d, new, place): about the NEIGHBOURS nearest of each of n nodes (node, vec), nearest first; `new` in the last round."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
     tables, per_cell = (TABLES, PER_CELL) if bits else (1, NEIGHBOURS)
     if bits:
@@ -134,19 +145,28 @@ def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
     placed = codes.join(parts, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "table"), "parts"))
     cells = placed.join(nodes.select("node", "vec"), "node").groupBy("table", "code", "part")
     edges = cells.applyInPandas(lambda f: _nearest_in_cell(f, per_cell, kind), "src long, dst long, d double")
-    graph = settle(_nearest(edges, NEIGHBOURS))
-    groups = max(1, -(-n // _GROUP))
-    for _ in range(ROUNDS if tables > 1 else 0):
+    graph = settle(_nearest(edges.withColumn("new", F.lit(1)), NEIGHBOURS))
+    groups, before, changed = max(1, -(-n // _GROUP)), None, tables > 1
+    while changed:
         far = graph.groupBy("src").agg(F.max("d").alias("far"))
         full = nodes.select("node", "vec").join(far, F.col("node") == F.col("src"))
-        near = _both_ways(graph, COMPARED).join(full, F.col("u") == F.col("node")).select("v", "u", "vec", "far")
+        lists = settle(_both_ways(graph, COMPARED))
+        near = _fresh(lists, before).join(full, F.col("u") == F.col("node")).select("v", "u", "fresh", "vec", "far")
         offers = near.groupBy(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g")).applyInPandas(
             lambda f: _compare_neighbours(f, kind), "src long, dst long, d double"
         )
-        graph = settle(_nearest(graph.select("src", "dst", "d").union(offers), NEIGHBOURS))
+        edges = graph.select("src", "dst", "d", F.lit(0).alias("new")).union(offers.withColumn("new", F.lit(1)))
+        graph, before = settle(_nearest(edges, NEIGHBOURS)), lists
+        new, every = graph.agg(F.sum("new"), F.count(F.lit(1))).first()
+        changed = new > FEW_CHANGES * every
     return graph
 
 
+def beam_of(n: int) -> int:
+    """Nodes a query keeps open among n: with a fixed number recall falls as n grows."""
+    return int(np.ceil(BEAM * max(1.0, n / BEAM_NODES) ** 0.5))
+
+
 def _measure(kind: str):
     """(query, d, node) with the exact distance of the vectors in the columns `asked` and `vec`."""
 
@@ -215,7 +235,7 @@ def nearest_neighbours(vectors: DataFrame, asks: Column, k: int = 10) -> DataFra
     queries = good.filter("asks").join(nodes, "vec").select("vec_id", "node")
     asked = settle(queries.select("node").distinct()).join(nodes.select("node", "vec"), "node")
     asked = asked.select(F.col("node").alias("query"), F.col("vec").alias("asked"))
-    found = _walk(graph, nodes, asked, max(BEAM, k + 1), kind)
+    found = _walk(graph, nodes, asked, max(beam_of(n), k + 1), kind)
     # Of a node's copies the k + 1 with the least ids can be in a result; a query is none of its own.
     place = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     nearest = found.withColumn("place", place).filter(F.col("place") <= k + 1).select("query", "node", "d")
