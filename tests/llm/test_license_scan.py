@@ -88,3 +88,23 @@ def test_query_finds_the_planted_notices_and_nothing_else(spark):
         assert row["n_words"] == len(docs[row["doc_id"]])
         exact = {name for name, t in TEMPLATES if f" {' '.join(words_of(t))} " in text}
         assert exact == {x["name"] for x in row["licenses"] if x["coverage"] == 1.0}
+
+
+NEAR_MISSES = [
+    ("Released under the BSD License.", "BSD notice"), ("Released under the XYZ License.", None),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0 notice"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 notice"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0 notice"), ("Licensed under CC BY-NC 3.0.", None),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 notice"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0 notice"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1 notice"),
+    ("Licensed under the Apache License, Version 1.1.", None), ("All rights are reserved.", None),
+    ("Released under the terms of the MIT License.", "MIT notice"), ("Released under an MIT License.", "MIT notice"),
+    (TEXT["GPL-3.0 header"].replace("version 3", "version 2"), None),
+    (TEXT["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"), None),
+]
+
+
+def test_near_misses_are_not_taken_for_their_siblings(frame):
+    rows = [(i, f"river {text} wood") for i, (text, _) in enumerate(NEAR_MISSES)]
+    got = {r["doc_id"]: [x["name"] for x in r["licenses"]] for r in scan(frame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [name] if name else [] for i, (_, name) in enumerate(NEAR_MISSES)}

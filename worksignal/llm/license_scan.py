@@ -2,7 +2,8 @@
 
 Words that occur once in the text's stretch and once in the template's are anchors; the longest
 increasing subsequence of their places is kept, and the gaps between anchors are aligned in the same
-way, after what both ends have in common. Coverage is the share of the template's words aligned.
+way, after what both ends have in common. Coverage is the share of the template's words aligned. Words
+that tell a template from its siblings may not be missing, and of a short one without such none may.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksignal.llm.license_templates import TEMPLATES
+from worksignal.llm.license_templates import NAMES, TEMPLATES
 from worksignal.llm.words import small_batches
 
 COVERAGE = 0.8
+#: A template of so many words at most must be there word by word, if NAMES does not say which words count.
+SHORT = 16
 MAX_TEMPLATES = 1000
 _WORD = re.compile(r"[^\W_]+")
 #: Stretch of text looked at on either side of an occurrence, by words of the template on that side.
@@ -31,6 +34,7 @@ class Template(NamedTuple):
     name: str
     words: list[str]
     counts: Counter
+    names: list[list[str]]  # runs of words that a match holds unbroken
     places: dict[str, list[int]]  # of the words of which an alignment that covers enough holds at least one
 
 
@@ -55,7 +59,8 @@ def prepare(templates: Sequence[tuple[str, str]], coverage: float) -> list[Templ
             places[word] = [i for i, w in enumerate(words) if w == word]
             held += counts[word]
         if words:
-            out.append(Template(name, words, counts, places))
+            names = NAMES.get(name, (text,) if len(words) <= SHORT else ())
+            out.append(Template(name, words, counts, [words_of(x) for x in names], places))
     return out
 
 
@@ -102,6 +107,10 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(pairs)
 
 
+def _holds(text: list[str], run: list[str]) -> bool:
+    return any(text[i : i + len(run)] == run for i in range(len(text) - len(run) + 1))
+
+
 def best_match(text: list[str], template: Template, at: dict[str, list[int]], coverage: float) -> tuple[float, int, int] | None:
     """(coverage, first word, words spanned) of the template's best alignment in the text, if it covers enough.
 
@@ -124,7 +133,9 @@ def best_match(text: list[str], template: Template, at: dict[str, list[int]], co
                 last = p + 1 + right[-1][0] if right else p
                 # Of equal coverage, the densest and then the first one.
                 rated = (found, -(last - first + 1), -first)
-                if found >= coverage and (best is None or rated > best):
+                if found < coverage or not all(_holds(text[first : last + 1], run) for run in template.names):
+                    continue
+                if best is None or rated > best:
                     best = rated
                 if found == 1 and last - first + 1 == size:
                     return 1.0, first, size
@@ -137,7 +148,8 @@ def scan(
     """Adds n_words, licenses, license, coverage, first_word and n_spanned to documents (text).
 
     `licenses` lists (name, coverage, first_word, n_spanned) of every template of which at least
-    `coverage` of the words is aligned with a stretch of the text, best first: by
+    `coverage` of the words is aligned with a stretch of the text that also holds the template's NAMES
+    unbroken (the whole template if it has at most SHORT words and no NAMES), best first: by
     words aligned, then coverage, then name. The other columns are the first one's, NULL where there is none.
     Words are runs of letters and digits, case folded. NULL and empty texts hold none. Extra columns
     stay, those of the added names are replaced; every row stands for itself.

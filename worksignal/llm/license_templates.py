@@ -74,4 +74,37 @@ TEMPLATES = (
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
     ("reserved notice", "All rights reserved."),
+    ("BSD notice", "Released under the BSD License."),
+    ("MPL-2.0 notice", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("GPL-2.0 notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1 notice", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0 notice", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0 notice", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-4.0 notice", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0 notice", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0 notice", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0 notice", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0 notice", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC0-1.0 notice", "Licensed under CC0 1.0."),
 )
+
+#: Runs of words that tell a template from its siblings: name and version. A match holds each of them unbroken.
+NAMES = {
+    "GPL-3.0 header": ("GNU General Public License as published", "version 3 of the License"),
+    "MIT notice": ("MIT License",),
+    "BSD notice": ("BSD License",),
+    "Apache-2.0 notice": ("Apache License, Version 2.0",),
+    "MPL-2.0 notice": ("Mozilla Public License, Version 2.0",),
+    "GPL-3.0 notice": ("GNU General Public License, version 3",),
+    "GPL-2.0 notice": ("GNU General Public License, version 2",),
+    "LGPL-2.1 notice": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0 notice": ("GNU Lesser General Public License, version 3",),
+    "AGPL-3.0 notice": ("GNU Affero General Public License, version 3",),
+    "CC-BY-NC-4.0 notice": ("CC BY-NC 4.0",),
+    "CC-BY-4.0 notice": ("CC BY 4.0",),
+    "CC-BY-SA-4.0 notice": ("CC BY-SA 4.0",),
+    "CC-BY-ND-4.0 notice": ("CC BY-ND 4.0",),
+    "CC-BY-NC-SA-4.0 notice": ("CC BY-NC-SA 4.0",),
+    "CC-BY-NC-ND-4.0 notice": ("CC BY-NC-ND 4.0",),
+    "CC0-1.0 notice": ("CC0 1.0",),
+}
