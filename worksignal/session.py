@@ -69,3 +69,11 @@ def spread(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared folder whose rows no later step reads."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError("only folders below the shared folder are deleted")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
