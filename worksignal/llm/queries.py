@@ -3,6 +3,7 @@
 from worksignal.llm.bagminhash import op3_bagminhash
 from worksignal.llm.chunking import op10_chunking
 from worksignal.llm.collocations import OP13_SQL, op13_collocations
+from worksignal.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from worksignal.llm.interpolation import op6_interpolation
 from worksignal.llm.language_id import op5_language_id
 from worksignal.llm.license_scan import op2_license_scan
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_range_join": op9_range_join,
     "op10_chunking": op10_chunking,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
-ORACLES = {"op8_mixing": OP8_SQL, "op9_range_join": OP9_SQL, "op13_collocations": OP13_SQL}
+ORACLES = {"op8_mixing": OP8_SQL, "op9_range_join": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_collocations": OP13_SQL}
