@@ -11,6 +11,7 @@ from worksignal.llm.mixing import OP8_SQL, op8_mixing
 from worksignal.llm.nn_descent import op7_nn_descent
 from worksignal.llm.pieces import op4_sentencepiece
 from worksignal.llm.range_join import OP9_SQL, op9_range_join
+from worksignal.llm.rule_ensemble import op11_rule_ensemble
 from worksignal.llm.url_filter import op1_url_filter
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_range_join": op9_range_join,
     "op10_chunking": op10_chunking,
+    "op11_rule_ensemble": op11_rule_ensemble,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
 }
