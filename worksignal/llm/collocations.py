@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from worksignal.llm.words import _block, byte_values, columns_of, mix64, powers, small_batches, text_bytes
 from worksignal.session import discard, fresh_path, settle
 
-SHARDS, LONGEST, LEAST = 4, 4, 30
+SHARDS, LONGEST, LEAST = 3, 4, 30
 #: A longer phrase that has so many per cent of a phrase's occurrences stands for it.
 COVERED = 80
 TOP = 2000
 UNKNOWN = "und"
 #: Filters have a 64-bit word for so many bytes of text, within these bounds: 32 MB at most.
 _BYTES_A_WORD, _FEWEST, _MOST = 2048, 1 << 10, 1 << 22
-_BLOCK_BYTES, _HELD = 1 << 20, 1 << 20
+_BLOCK_BYTES, _HELD = 1 << 20, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.zeros(0, dtype=np.uint64)
 
@@ -105,7 +105,7 @@ def _words_from(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _scanner(now, old, with_words: bool, longest: int):
-    """(lang, key, n): occurrences of the active phrases, those of some 10^6 occurrences combined.
+    """(lang, key, n): occurrences of the active phrases, those of some hundred thousand occurrences combined.
 
     `now` and `old` are broadcast filters, of what had reached the threshold before this scan and
     before the scan of this shard one cycle ago. A key holds the eight bytes of each word's code.
@@ -228,11 +228,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         counts = scanned.select("lang", "text").mapInArrow(_scanner(*shared, step < shards, longest), "lang string, key binary, n long")
         counts = counts.withColumn("since", F.lit(step))
         both = counts if table is None else counts.unionByName(table)
-        sums = both.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        # The scan's rows are combined already: at most one for each phrase and some hundred thousand words.
+        sums = both.repartition("lang", "key").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         written = fresh_path(spark, f"phrases{step}")
         sums.filter((F.col("n") >= least) | (F.col("since") > step - shards + 1)).write.parquet(written)
         for x in shared:
-            x.unpersist()
+            x.destroy()  # the scan is in files now
         if folder:
             discard(spark, folder)
         table, folder = spark.read.parquet(written), written
