@@ -17,6 +17,7 @@ from worksignal.functions.payload import field, field_or, filled_field_or
 from worksignal.functions.text import not_blank
 from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
 from worksignal.operators.task_signals import priority_rank
+from worksignal.schemas import COVERED_FACTS
 
 _DAY = ["tenant_id", "date_key"]
 _ISO = "yyyy-MM-dd'T'HH:mm:ss"
@@ -175,18 +176,22 @@ def ledger_lines(entries: DataFrame, items: DataFrame, cover: DataFrame | None =
         rows(base.filter("stats IS NOT NULL"), 1, zero, _stats_line(F.col("source"), F.col("stats"))),
         rows(base, 9, zero, zero),
     ]
+    order = F.array_position(F.array(*[F.lit(c) for c in _CATEGORY_ORDER]), F.col("category"))
+    within = F.concat(F.lpad(order.cast("string"), 3, "0"), F.lit("|"), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
+    of_day = F.col("section").startswith(COVERED_FACTS)
+    said = items.withColumn("line", _item_line(F.col("source"), F.col("section"), F.col("category"), F.col("payload"))).filter("line IS NOT NULL")
     if cover is not None:
         covered = cover.join(base.select(*keys, "sort_day"), keys)
-        place = F.concat_ws("|", "day", "note_id")
+        # Below every character of a day or note, so that a unit's lines stay together.
+        place = F.concat_ws("\u0001", "day", "note_id")
         parts.append(rows(covered.filter("note_id IS NOT NULL"), 2, F.col("note_id"), _say("  Note covered: ", F.col("note_id"))))
         daily = covered.filter("stats IS NOT NULL")
         parts.append(rows(daily, 3, place, _say("  ", F.col("day"), ":\n  ", _stats_line(F.col("source"), F.col("stats")))))
-    order = F.array_position(F.array(*[F.lit(c) for c in _CATEGORY_ORDER]), F.col("category"))
-    shown = items.join(base.select(*keys, "sort_day"), keys).withColumn(
-        "line", _item_line(F.col("source"), F.col("section"), F.col("category"), F.col("payload"))
-    ).filter("line IS NOT NULL")
-    parts.append(rows(shown, 4, F.concat(F.lpad(order.cast("string"), 3, "0"), F.lit("|"),
-                                         F.lpad(F.col("ordinal").cast("string"), 20, "0")), F.col("line")))
+        details = said.filter(of_day).withColumn("unit", F.substring("section", len(COVERED_FACTS) + 1, 1 << 30))
+        whose = covered.select(*keys, "sort_day", F.when(F.col("source") == "notes", F.col("note_id")).otherwise(F.col("day")).alias("unit"), place.alias("whose"))
+        parts.append(rows(details.join(whose, [*keys, "unit"]), 3, F.concat_ws("\u0001", "whose", F.lit(""), within), _say("  ", F.col("line"))))
+    shown = said.filter(~of_day).join(base.select(*keys, "sort_day"), keys)
+    parts.append(rows(shown, 4, within, F.col("line")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,14 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksignal import schemas
 from worksignal.functions.checks import long_enough, narrates_schema
 from worksignal.functions.constants import RETENTION_DAYS
-from worksignal.operators.compaction import compact, split_by_age
+from worksignal.operators.compaction import compact, opened_weeks, split_by_age
 from worksignal.operators.mail_signals import quiet_senders
 from worksignal.plans import brief_plan, map_plan, model_stage
 from worksignal.session import settle
-from worksignal.sources import calendar, citable, inbox, notes, records, tasks
+from worksignal.sources import calendar, citable, inbox, notes, records, runs, tasks
 from worksignal.sources.tenants import valid_tenants
 
 Answer = Callable[[str, str], str]
@@ -47,24 +46,16 @@ def read_sources(spark: SparkSession, roots: list[str]) -> dict[str, DataFrame]:
     return out
 
 
-def _ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, items, cover) of the ledger, created empty where there is none."""
-    out = []
-    for name, schema in (("entries", schemas.LEDGER_ENTRIES), ("items", schemas.LEDGER_ITEMS), ("cover", schemas.LEDGER_COVER)):
-        records.append_ledger(spark.createDataFrame([], schema), f"{path}/{name}")
-        out.append(records.read_ledger(spark, f"{path}/{name}", schema))
-    return tuple(out)
-
-
 def run_sources(
     spark: SparkSession, sources: dict[str, DataFrame], ledger: str, answers: dict[str, Answer], reference_date,
     blocked: DataFrame | None = None, digest_days: int | None = None, holdout_days: int | None = None,
 ) -> DataFrame:
     """Add the new days and notes of all tenants to the ledger; returns the rejected units.
 
-    `answers` maps email, calendar and notes to a callable. Rejected units stay new.
+    `answers` maps email, calendar and notes to a callable. Rejected units stay new. The rows count
+    together, by the run's commit at the end.
     """
-    entries, _, cover = _ledger(spark, ledger)
+    entries, _, cover = runs.read_ledger_tables(spark, ledger)
     known = settle(records.processed_keys(entries, cover))
     window = {"digest_days": digest_days, "holdout_days": holdout_days}
     done = [
@@ -73,35 +64,42 @@ def run_sources(
         map_plan.map_notes(sources["notes"], known, answers["notes"], reference_date),
     ]
     new_entries, new_items, rejected = (reduce(DataFrame.unionByName, [d[k] for d in done]) for k in range(3))
-    # Items first: an entry says that its unit is done.
-    records.append_ledger(settle(new_items), f"{ledger}/items")
-    records.append_ledger(settle(new_entries), f"{ledger}/entries")
+    run = runs.new_run()
+    runs.write_rows(settle(new_items), ledger, "items", run)
+    runs.write_rows(settle(new_entries), ledger, "entries", run)
+    runs.commit(spark, ledger, run, "sources")
     return rejected
 
 
 def roll_up(
     spark: SparkSession, ledger: str, reference_date, answer: Answer | None = None, retention_days: int = RETENTION_DAYS
 ) -> None:
-    """Replace stale days by ISO weeks, merged by a model where `answer` is given. Tenants without stale days are not touched."""
-    entries, items, cover = _ledger(spark, ledger)
+    """Replace stale days by ISO weeks, merged by a model where `answer` is given.
+
+    May be run every day: days that grow stale are merged into their week. Sources of tenants without
+    stale days are not touched. All changes count together, by the run's commit at the end.
+    """
+    entries, items, cover = runs.read_ledger_tables(spark, ledger)
     _, stale = split_by_age(entries, reference_date, retention_days)
     keys = ["tenant_id", "source"]
     due = settle(stale.select(*keys).distinct())
-    entries, items = (df.join(due, keys, "left_semi") for df in (entries, items))
+    entries, items = (settle(df.join(due, keys, "left_semi")) for df in (entries, items))
     merged = None
     if answer is not None:
-        merged, _ = map_plan.merged_weeks(stale, items, answer)
+        kept, stale = split_by_age(entries, reference_date, retention_days)
+        _, opened = opened_weeks(kept, stale)
+        merged, _ = map_plan.merged_weeks(stale, items, answer, opened=opened)
         merged = settle(merged)
-    new_entries, new_items, new_cover = compact(entries, items, reference_date, retention_days, merged)
-    new_entries, new_items, new_cover = settle(new_entries), settle(new_items), settle(new_cover)
-    records.append_ledger(new_cover, f"{ledger}/cover")
-    records.replace_ledger(new_items, f"{ledger}/items")
-    records.replace_ledger(new_entries, f"{ledger}/entries")
+    run, tables = runs.new_run(), compact(entries, items, reference_date, retention_days, merged)
+    for name, rows in zip(("entries", "items", "cover"), tables):
+        runs.write_rows(settle(rows), ledger, name, run)
+    runs.write_replaced(due, ledger, ["entries", "items"], run)
+    runs.commit(spark, ledger, run, "weeks")
 
 
 def run_digests(spark: SparkSession, sources: dict[str, DataFrame], ledger: str, answer: Answer, reference_date) -> DataFrame:
     """(tenant_id, source, digest, accepted): one summary for each source's ledger; a short one or one that tells of its format is not accepted."""
-    entries, items, cover = _ledger(spark, ledger)
+    entries, items, cover = runs.read_ledger_tables(spark, ledger)
     quiet = quiet_senders(map_plan.readable(sources["email"]))
     units = brief_plan.ledger_digest_units(entries, items, cover, reference_date, quiet)
     told = model_stage.ask(model_stage.requests(units, "digest", ""), answer)
@@ -115,7 +113,7 @@ def run_briefs(
     reference_date, run_ts: str, variant: str = "single_call", judge: Answer | None = None,
 ) -> dict[str, DataFrame]:
     """Write, cite and save the brief of every tenant in the ledger; returns all results."""
-    entries, items, cover = _ledger(spark, ledger)
+    entries, items, cover = runs.read_ledger_tables(spark, ledger)
     found = brief_plan.write_briefs(entries, items, cover, sources["tasks"], config, answers, reference_date, variant)
     cited_from = citable.citable_sources(
         map_plan.readable(sources["email"]), map_plan.readable(sources["calendar"]), sources["notes"], sources["tasks"]

@@ -192,15 +192,17 @@ def map_notes(notes, processed, answer, reference_date, system_text="", variant=
 # --- rolling weeks up by model ---
 
 
-def week_units(stale: DataFrame, items: DataFrame) -> DataFrame:
+def week_units(stale: DataFrame, items: DataFrame, opened: DataFrame | None = None) -> DataFrame:
     """One request unit for each stale (tenant, source, week): its extracted items, day by day.
 
-    `stale` is from `split_by_age`. The unit's key is the source and the week.
+    `stale` is from `split_by_age`, `opened` from `opened_weeks`: what such a week held comes after its late
+    days. The unit's key is the source and the week.
     """
     keys = ["tenant_id", "source", "week"]
-    weekly = items.filter("section = 'delta'").join(
-        stale.select("tenant_id", "source", "entry_key", "week", "day"), ["tenant_id", "source", "entry_key"]
-    )
+    units = stale.select("tenant_id", "source", "entry_key", "week", "day")
+    if opened is not None:
+        units = units.unionByName(opened.select("tenant_id", "source", "entry_key", "week", "day"))
+    weekly = items.filter("section = 'delta'").join(units, ["tenant_id", "source", "entry_key"])
     order = [F.col("day"), F.col("entry_key"), F.col("category"), F.col("ordinal"), F.col("payload")]
     numbered = ordinal(weekly, keys, F.struct("day", "entry_key", "category"), order)
     line = F.concat_ws(" ", F.col("day"), F.concat("category", F.lit(":")), F.col("payload"))
@@ -211,10 +213,12 @@ def week_units(stale: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def merged_weeks(stale: DataFrame, items: DataFrame, answer, system_text="", variant="persona") -> tuple[DataFrame, DataFrame]:
+def merged_weeks(
+    stale: DataFrame, items: DataFrame, answer, system_text="", variant="persona", opened: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(week_items, rejected): a model's merged items for `compact`. A rejected week keeps its days."""
     accepted, rejected = [], []
-    units = settle(week_units(stale, items))
+    units = settle(week_units(stale, items, opened))
     for source in SOURCES[:3]:
         own = units.filter(F.col("unit_key").startswith(f"{source}|"))
         asked = model_stage.ask(model_stage.requests(own, "weeks", system_text), answer)

@@ -43,6 +43,8 @@ LEDGER_ENTRIES = (
     "item_count bigint, stats map<string,double>, map_variant string, hot boolean, "
     "compacted boolean, sort_day date"
 )
+#: Section of the facts of a day or note that a week covers: this and the day's or note's key.
+COVERED_FACTS = "stats:"
 # One row per item of an entry's extraction (section delta) or of its facts (section stats).
 LEDGER_ITEMS = (
     "tenant_id string, source string, entry_key string, section string, category string, "
