@@ -2,6 +2,7 @@ import json
 import re
 import sys
 
+import pytest
 from pyspark import cloudpickle
 
 from conftest import one, rows
@@ -224,3 +225,49 @@ def test_a_model_merges_stale_weeks(spark):
     kept, new_items, cover = compaction.compact(entries, items, "2024-07-01", week_items=merged)
     assert rows(kept, "source", "entry_key", "compacted") == [("email", "2024-W19", True), ("notes", "n.md", False)]
     assert ("email", "merged P1") in rows(new_items, "source", "text") and rows(cover, "day") == [("2024-05-09",)]
+
+
+def test_remembered_answers_survive_a_death_and_are_asked_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    counts = {name: spark.sparkContext.accumulator(0) for name in ("all", "bad")}
+
+    def answer(system_text, user_text):
+        counts["all"].add(1)
+        if user_text.startswith("bad"):
+            counts["bad"].add(1)
+            return "nothing"
+        if user_text.startswith("error"):
+            raise ValueError("busy")
+        return '{"found": [{"n": 1}]}'
+
+    units = [("t", f"u{k}", f"text {k % 20}") for k in range(60)] + [("t", "b", "bad"), ("t", "e", "error"), ("t", "none", None)]
+    reqs = model_stage.requests(spark.createDataFrame(units, "tenant_id string, unit_key string, user_text string"), "s", "be brief")
+    memory = model_stage.Remembered(answer, str(tmp_path / "answers"), "m", wave=4)
+    infer, left = model_stage.infer, [3]
+
+    def dying(*args):
+        left[0] -= 1
+        if left[0] < 0:
+            raise RuntimeError("lost")
+        return infer(*args)
+
+    model_stage.infer = dying
+    try:
+        with pytest.raises(RuntimeError):
+            model_stage.ask_and_check(reqs, memory, {"found": ("n",)})
+    finally:
+        model_stage.infer = infer
+    stored = model_stage.stored_answers(spark, memory.path)
+    kept, before = stored.filter("response LIKE '{%'").count(), counts["all"].value
+    assert 0 < kept <= before < 22
+    accepted, rejected = model_stage.ask_and_check(reqs, memory, {"found": ("n",)})
+    assert accepted.count() == 60 and rows(rejected, "unit_key") == [("b",), ("e",), ("none",)]
+    # 20 texts, the bad one, the failing one and the empty one: what was stored and fits is not asked again.
+    assert counts["all"].value == before + 23 - kept
+    first = counts["all"].value
+    again, _ = model_stage.ask_and_check(reqs, memory, {"found": ("n",)})
+    assert rows(again) == rows(accepted) and counts["all"].value == first + 3
+    other = model_stage.ask(reqs.filter("unit_key = 'u1'"), memory._replace(model="other"))
+    assert other.count() == 1 and counts["all"].value == first + 4
+    assert model_stage.stored_answers(spark, memory.path).filter(F.col("model") == "other").count() == 1

@@ -5,6 +5,7 @@ from worksignal.catalog import (  # noqa: F401  (importing registers the queries
     calendar_q,
     days_q,
     evals_q,
+    ledger_q,
     mail_q,
     matching_q,
     model_q,

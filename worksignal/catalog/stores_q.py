@@ -31,12 +31,12 @@ def browse_notes_q(spark, sf):
 
 
 @query("brief_store", """
-SELECT CAST(conv_id AS VARCHAR) AS tenant_id, text AS brief, 'run ' || turn AS run_ts, turn = 1 AS is_current FROM conversations WHERE turn < 2
+SELECT CAST(conv_id AS VARCHAR) AS tenant_id, text AS brief, 'run ' || turn AS run_ts, turn = (SELECT max(turn) FROM conversations) AS is_current FROM conversations
 """)
 def brief_store_q(spark, sf):
     base = fresh_path(spark, "briefs")
     talk = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("tenant_id"), F.col("text").alias("brief"), "turn")
-    for turn in (0, 1):
+    for turn in range(talk.agg(F.max("turn")).first()[0] + 1):  # a conversation has eight turns at most
         save_brief(talk.filter(F.col("turn") == turn).drop("turn"), base, f"run {turn}")
     schema = "tenant_id string, brief string, run_ts string"
     history = spark.read.schema(schema).parquet(f"{base}/history")
@@ -65,7 +65,7 @@ def call_log_store_q(spark, sf):
 
 @query("eval_history", """
 SELECT o_orderpriority AS eval_name, o_orderstatus AS variant, CAST(count(*) AS BIGINT) AS n_runs, CAST(sum(o_orderkey) AS BIGINT) AS ts
-FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2
+FROM orders GROUP BY 1, 2
 """)
 def eval_history_q(spark, sf):
     path = fresh_path(spark, "evals")
@@ -74,8 +74,8 @@ def eval_history_q(spark, sf):
         F.lit("m").alias("model"), F.lit(1).alias("trials_per_scenario"),
     )
     append_eval_runs(runs, path)
-    chosen = [read_eval_runs(spark, path, variant=v) for v in ("F", "O")]
-    return chosen[0].union(chosen[1]).groupBy("eval_name", "variant").agg(
+    chosen = [read_eval_runs(spark, path, variant=v) for v in ("F", "O", "P")]
+    return chosen[0].union(chosen[1]).union(chosen[2]).groupBy("eval_name", "variant").agg(
         F.count("*").alias("n_runs"), F.sum(F.col("ts").cast("bigint")).alias("ts")
     )
 

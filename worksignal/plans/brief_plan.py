@@ -148,7 +148,7 @@ def write_briefs(
 
     multi = crossref.multi_source_tasks(mentions)
     asked = model_stage.requests(contradiction_units(mentions, multi), "contradictions", "")
-    accepted, _ = model_stage.check(model_stage.ask(asked, answer["contradictions"]), CONTRADICTION_SCHEMA)
+    accepted, _ = model_stage.ask_and_check(asked, answer["contradictions"], CONTRADICTION_SCHEMA)
     kept, dropped = grounding.ground_contradictions(
         contradiction_claims(model_stage.payload_items(accepted)), multi
     )
@@ -157,21 +157,17 @@ def write_briefs(
     context = synthesis_context(entries, items, cover, signals, mentions, kept, fresh, reference_date)
     units = settle(context.select("tenant_id", F.lit("brief").alias("unit_key"), F.col("text").alias("user_text")))
     if variant == "single_call":
-        told, _ = model_stage.check(
-            model_stage.ask(model_stage.requests(units, "synthesis", ""), answer["synthesis"]), SYNTHESIS_SCHEMA
-        )
+        told, _ = model_stage.ask_and_check(model_stage.requests(units, "synthesis", ""), answer["synthesis"], SYNTHESIS_SCHEMA)
         narrative, dispatches = synthesis_rows(told)
     else:
-        told, _ = model_stage.check(model_stage.ask(model_stage.requests(units, "narrative", ""), answer["narrative"]), {})
+        told, _ = model_stage.ask_and_check(model_stage.requests(units, "narrative", ""), answer["narrative"], {})
         narrative, _ = synthesis_rows(told)
         known = F.concat(
             F.col("user_text"), F.lit("\n\n---\n\nNARRATIVE ALREADY WRITTEN:\nwhat_matters_today:\n"),
             F.col("what_matters_today"), F.lit("\n\nwhat_might_be_missed:\n"), F.col("what_might_be_missed"),
         )
         second = units.join(narrative, "tenant_id").select("tenant_id", "unit_key", known.alias("user_text"))
-        listed, _ = model_stage.check(
-            model_stage.ask(model_stage.requests(second, "dispatch", ""), answer["dispatch"]), SYNTHESIS_SCHEMA
-        )
+        listed, _ = model_stage.ask_and_check(model_stage.requests(second, "dispatch", ""), answer["dispatch"], SYNTHESIS_SCHEMA)
         dispatches = dispatch_rows(listed)
 
     allowed = grounding.draftable(dispatches, config)
@@ -181,9 +177,7 @@ def write_briefs(
         "tenant_id", F.lit("drafts").alias("unit_key"),
         F.concat(F.lit("Dispatchable items:\n\n"), F.col("text")).alias("user_text"),
     )
-    drafted, _ = model_stage.check(
-        model_stage.ask(model_stage.requests(draft_units, "drafts", ""), answer["drafts"]), DRAFT_SCHEMA
-    )
+    drafted, _ = model_stage.ask_and_check(model_stage.requests(draft_units, "drafts", ""), answer["drafts"], DRAFT_SCHEMA)
     with_drafts = grounding.attach_drafts(dispatches, draft_rows(drafted))
     dispatch_text = dispatches.groupBy("tenant_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "summary", "context"))), " ").alias("d")
@@ -251,7 +245,7 @@ def judge_evidence(accepted: DataFrame, claims: DataFrame) -> DataFrame:
 def judged_matches(claims, sources, common, judge) -> DataFrame:
     """Matches a model proposes for the claims, as far as its evidence holds."""
     reqs = model_stage.requests(judge_units(claims, sources), "judge", "")
-    accepted, _ = model_stage.check(model_stage.ask(reqs, judge), JUDGE_SCHEMA)
+    accepted, _ = model_stage.ask_and_check(reqs, judge, JUDGE_SCHEMA)
     rated = grounding.ground_evidence(
         judge_evidence(accepted, claims), claims, grounding.last_per_ref(sources), common
     )
@@ -288,7 +282,5 @@ def structured_items(accepted: DataFrame, sources: DataFrame, reference_date) ->
 
 def write_structured(context: DataFrame, sources: DataFrame, answer, reference_date) -> DataFrame:
     units = context.select("tenant_id", F.lit("items").alias("unit_key"), F.col("text").alias("user_text"))
-    accepted, _ = model_stage.check(
-        model_stage.ask(model_stage.requests(units, "structured", ""), answer), STRUCTURED_SCHEMA
-    )
+    accepted, _ = model_stage.ask_and_check(model_stage.requests(units, "structured", ""), answer, STRUCTURED_SCHEMA)
     return structured_items(accepted, sources, reference_date)

@@ -97,15 +97,27 @@ def roll_up(
     runs.commit(spark, ledger, run, "weeks")
 
 
-def run_digests(spark: SparkSession, sources: dict[str, DataFrame], ledger: str, answer: Answer, reference_date) -> DataFrame:
-    """(tenant_id, source, digest, accepted): one summary for each source's ledger; a short one or one that tells of its format is not accepted."""
+def run_digests(
+    spark: SparkSession, sources: dict[str, DataFrame], ledger: str, answer: Answer, reference_date, out: str | None = None, run_ts: str | None = None
+) -> DataFrame:
+    """(tenant_id, source, digest, accepted): one summary for each source's ledger; a short one or one that tells of its format is not accepted.
+
+    With `out` and `run_ts` the accepted ones are saved with their history.
+    """
     entries, items, cover = runs.read_ledger_tables(spark, ledger)
     quiet = quiet_senders(map_plan.readable(sources["email"]))
     units = brief_plan.ledger_digest_units(entries, items, cover, reference_date, quiet)
-    told = model_stage.ask(model_stage.requests(units, "digest", ""), answer)
+
+    def fits(text):
+        return F.coalesce(long_enough(text) & ~narrates_schema(text), F.lit(False))
+
+    told = model_stage.ask(model_stage.requests(units, "digest", ""), answer, fits=fits)
     text = F.col("response")
-    fine = F.coalesce(long_enough(text) & ~narrates_schema(text), F.lit(False))
-    return told.select("tenant_id", F.col("unit_key").alias("source"), text.alias("digest"), fine.alias("accepted"))
+    fine = fits(text)
+    digests = told.select("tenant_id", F.col("unit_key").alias("source"), text.alias("digest"), fine.alias("accepted"))
+    if out is not None:
+        records.save_digests(digests.filter("accepted"), out, run_ts or str(reference_date))
+    return digests
 
 
 def run_briefs(

@@ -144,6 +144,10 @@ def accept(
     return entries, reduce(DataFrame.unionByName, parts), rejected
 
 
+def _told(reqs: DataFrame, answer, source: str, variant: str) -> DataFrame:
+    return model_stage.ask(reqs, answer, fits=model_stage.satisfies(MAP_SCHEMAS[(source, variant)]))
+
+
 def day_units(todo: DataFrame) -> DataFrame:
     return todo.select("tenant_id", F.col("date_key").alias("unit_key"), F.col("date_key").alias("day"),
                        F.lit(None).cast("string").alias("note_id"), "hot")
@@ -170,7 +174,7 @@ def map_mail(emails, processed, answer, system_text="", variant="persona", block
         emails = mail_signals.drop_blocked(emails, blocked)
     todo = settle(new_days(emails, processed, "email", **window))
     reqs = model_stage.requests(mail_units(emails, todo), "email", system_text)
-    return accept(model_stage.ask(reqs, answer), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
+    return accept(_told(reqs, answer, "email", variant), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
 
 
 def map_calendar(events, processed, answer, system_text="", variant="persona", **window):
@@ -179,14 +183,14 @@ def map_calendar(events, processed, answer, system_text="", variant="persona", *
     chosen = days.of_days(events, todo)
     facts = settle(calendar_facts(chosen))
     reqs = model_stage.requests(calendar_units(events, todo, facts), "calendar", system_text)
-    return accept(model_stage.ask(reqs, answer), facts, "calendar", variant, day_units(todo), calendar_fact_items(chosen))
+    return accept(_told(reqs, answer, "calendar", variant), facts, "calendar", variant, day_units(todo), calendar_fact_items(chosen))
 
 
 def map_notes(notes, processed, answer, reference_date, system_text="", variant="persona"):
     todo = days.unprocessed(notes, processed, "notes", "note_id")
     stats = note_signals.note_stats(todo, reference_date)
     reqs = model_stage.requests(note_units(todo, stats), "notes", system_text)
-    return accept(model_stage.ask(reqs, answer), note_facts(stats), "notes", variant, note_day_units(todo), note_fact_items(stats))
+    return accept(_told(reqs, answer, "notes", variant), note_facts(stats), "notes", variant, note_day_units(todo), note_fact_items(stats))
 
 
 # --- rolling weeks up by model ---
@@ -221,8 +225,7 @@ def merged_weeks(
     units = settle(week_units(stale, items, opened))
     for source in SOURCES[:3]:
         own = units.filter(F.col("unit_key").startswith(f"{source}|"))
-        asked = model_stage.ask(model_stage.requests(own, "weeks", system_text), answer)
-        good, bad = model_stage.check(asked, MAP_SCHEMAS[(source, variant)])
+        good, bad = model_stage.ask_and_check(model_stage.requests(own, "weeks", system_text), answer, MAP_SCHEMAS[(source, variant)])
         accepted.append(model_stage.payload_items(good))
         rejected.append(bad)
     found = reduce(DataFrame.unionByName, accepted)

@@ -3,21 +3,40 @@
 requests: (tenant_id, stage, unit_key, system_text, user_text). `infer` runs any callable
 over them, or the responses come from elsewhere. A unit without an accepted response stays
 unprocessed and comes up again in the next run.
+
+An answer may be `Remembered`: then what was answered before, in this run or another, is looked up by the
+request's content and not asked again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
-from worksignal.session import settle
+from worksignal.session import exists, settle
 
 _KEYS = ["tenant_id", "stage", "unit_key"]
+_STORED = "key string, model string, stage string, response string, error string, call string, asked_at timestamp"
+
+
+class Remembered(NamedTuple):
+    """A callable whose answers are kept in the table at `path`, by `model` and the request's content.
+
+    Requests are asked in waves of about `wave`, each stored before the next is asked: a job that dies
+    loses one wave's answers at most.
+    """
+
+    answer: Callable[[str, str], str]
+    path: str
+    model: str = ""
+    wave: int = 10_000
 
 
 def requests(units: DataFrame, stage: str, system_text: str) -> DataFrame:
@@ -47,19 +66,69 @@ def infer(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     return reqs.mapInPandas(run, schemas.RESPONSES)
 
 
-def ask(reqs: DataFrame, answer: Callable[[str, str], str], tasks: int | None = None) -> DataFrame:
+def ask(
+    reqs: DataFrame, answer: Callable[[str, str], str] | Remembered, tasks: int | None = None,
+    fits: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Responses written to the shared folder, so that no request is ever asked twice.
 
     Requests are few bytes and much waiting: they are dealt out over `tasks` tasks by number (as many
     as the cluster runs at once), not by size.
 
     Everything later reads the stored answers: recomputing a lost partition downstream, or using
-    the responses in several places, does not call the model again.
+    the responses in several places, does not call the model again. With a `Remembered` answer, that holds
+    across jobs for stored responses that `fits` holds of; others are asked for anew.
     """
     n = tasks or reqs.sparkSession.sparkContext.defaultParallelism
+    if isinstance(answer, Remembered):
+        return _ask_once(reqs, answer, n, fits)
     return settle(infer(reqs.repartition(n), answer))
 
 
+def request_key(model: str) -> Column:
+    """Digest of all that the answer depends on."""
+    return F.sha2(F.to_json(F.array(F.lit(model), *[F.coalesce(c, F.lit("")) for c in ("stage", "system_text", "user_text")])), 256)
+
+
+def stored_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(key, model, stage, response, error, call, asked_at) of a store of answers; none where there is no store yet."""
+    return spark.read.schema(_STORED).parquet(path) if exists(spark, path) else spark.createDataFrame([], _STORED)
+
+
+def _ask_once(reqs: DataFrame, memory: Remembered, tasks: int, fits: Callable[[Column], Column] | None) -> DataFrame:
+    spark, call = reqs.sparkSession, uuid.uuid4().hex
+    fine = F.col("response").isNotNull() if fits is None else F.coalesce(fits(F.col("response")), F.lit(False))
+    keyed = settle(reqs.withColumn("key", request_key(memory.model)))
+    known = settle(
+        stored_answers(spark, memory.path).filter(fine).groupBy("key").agg(F.min_by("response", F.struct("asked_at", "call")).alias("response"))
+        .join(keyed.select("key").distinct(), "key", "left_semi")
+    )
+    open_ones = keyed.dropDuplicates(["key"]).join(known, "key", "left_anti").select(
+        F.lit("").alias("tenant_id"), "stage", F.col("key").alias("unit_key"), "system_text", "user_text"
+    )
+    open_ones = settle(open_ones)
+    waves = -(-open_ones.count() // memory.wave)
+    for k in range(waves):
+        wave = open_ones.filter(F.pmod(F.xxhash64("unit_key"), F.lit(waves)) == k)
+        infer(wave.repartition(tasks), memory.answer).select(
+            F.col("unit_key").alias("key"), F.lit(memory.model).alias("model"), "stage", "response", "error", F.lit(call).alias("call"),
+            F.current_timestamp().alias("asked_at"),
+        ).write.mode("append").parquet(memory.path)
+    told = stored_answers(spark, memory.path).filter(F.col("call") == call).select("key", "response", "error")
+    told = told.unionByName(known.withColumn("error", F.lit(None).cast("string")))
+    return settle(keyed.select(*_KEYS, "key").join(told, "key").select(*_KEYS, "response", "error"))
+
+
+def satisfies(required: dict) -> Callable[[Column], Column]:
+    """Whether a response holds JSON that meets the schema; for `ask`."""
+    return lambda response: F.size(schema_errors(extract_json(response), required)) == 0
+
+
+def ask_and_check(reqs: DataFrame, answer, required: dict) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) responses; a remembered one that would be rejected is asked for anew."""
+    return check(ask(reqs, answer, fits=satisfies(required)), required)
+
+
 def check(responses: DataFrame, required: dict) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected). Accepted rows carry the JSON as `payload`; rejected ones their `errors`."""
     payload = extract_json(F.col("response"))

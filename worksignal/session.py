@@ -71,6 +71,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder below the shared folder whose rows no later step reads."""
     if not path.startswith(shared_dir(spark) + "/"):

@@ -101,6 +101,24 @@ def latest_briefs(history: DataFrame, as_of: str | None = None, key: str = "tena
     return best.select(key, "b.*").select(*history.columns)
 
 
+def save_digests(digests: DataFrame, base: str, run_ts: str) -> None:
+    """Add a run's digests (tenant_id, source, digest) to the history; a run that is repeated replaces its own."""
+    stamped = digests.select("tenant_id", "source", "digest", F.lit(run_ts).alias("run_ts"))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(base)
+
+
+def read_digests(spark: SparkSession, base: str) -> DataFrame:
+    """(tenant_id, source, digest, run_ts) of all runs."""
+    return spark.read.schema("tenant_id string, source string, digest string, run_ts string").parquet(base)
+
+
+def latest_digests(history: DataFrame, as_of: str | None = None) -> DataFrame:
+    """The current digest of each tenant's sources, or the one as of a run: a run without one leaves the one before."""
+    seen = history if as_of is None else history.filter(F.col("run_ts") <= F.lit(as_of))
+    best = seen.groupBy("tenant_id", "source").agg(F.max_by(F.struct("digest", "run_ts"), "run_ts").alias("d"))
+    return best.select("tenant_id", "source", "d.*")
+
+
 def save_text(briefs: DataFrame, path: str, column: str = "brief") -> None:
     briefs.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

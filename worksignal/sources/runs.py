@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worksignal import schemas
+from worksignal.session import exists
 from worksignal.sources.records import append_ledger
 
 TABLES = {"entries": schemas.LEDGER_ENTRIES, "items": schemas.LEDGER_ITEMS, "cover": schemas.LEDGER_COVER}
@@ -25,14 +26,9 @@ _REPLACED = "table string, tenant_id string, source string, run string"
 _OWNER = ["tenant_id", "source"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table's rows; none where nothing was written yet."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def new_run() -> str:
@@ -79,7 +75,7 @@ def read_ledger_tables(spark: SparkSession, ledger: str) -> tuple[DataFrame, Dat
 
 def tidy(spark: SparkSession, ledger: str, into: str) -> None:
     """Writes what counts to a new ledger, as one run: without replaced rows and those of runs that died."""
-    if _exists(spark, into):
+    if exists(spark, into):
         raise ValueError(f"{into} is there already")
     run = new_run()
     for name in TABLES:
