@@ -30,8 +30,11 @@ COVERED = 80
 TOP = 2000
 UNKNOWN = "und"
 #: Filters have a 64-bit word for so many bytes of text, within these bounds: 32 MB at most.
-_BYTES_A_WORD, _FEWEST, _MOST = 2048, 1 << 10, 1 << 22
-_BLOCK_BYTES, _HELD = 1 << 20, 1 << 18
+_BYTES_A_WORD, _FEWEST, _MOST = 8192, 1 << 10, 1 << 22
+#: Text that a part's phrases come from; occurrences that a task combines at once.
+_PART_BYTES, _BLOCK_BYTES, _HELD = 32 << 20, 1 << 20, 1 << 19
+#: Phrases of one language and length whose hashes fall into one part, as arrays: words' codes, counts, first scans.
+_PACKED = "lang string, length int, part int, often boolean, keys binary, n binary, since binary"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.zeros(0, dtype=np.uint64)
 
@@ -101,23 +104,45 @@ def _after(x: np.ndarray) -> np.ndarray:
 
 
 def _words_from(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    return np.stack([codes[at + k] for k in range(length)], axis=1)
+    return np.stack([codes[at + k] for k in range(length)])
 
 
-def _scanner(now, old, with_words: bool, longest: int):
-    """(lang, key, n): occurrences of the active phrases, those of some hundred thousand occurrences combined.
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of rows that are alike in all columns begins."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _row(lang, length, part, often, words, n, since) -> tuple:
+    """A packed row; words (length, phrases) are stored word by word, which sorted phrases make compress well."""
+    return lang, length, part, often, np.ascontiguousarray(words).tobytes(), n.astype(np.int64).tobytes(), since.astype(np.int32).tobytes()
+
+
+def _unpacked(keys: bytes, n: bytes, since: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, np.uint64).reshape(length, -1), np.frombuffer(n, np.int64), np.frombuffer(since, np.int32)
+
+
+def _scanner(now, old, step: int, with_words: bool, longest: int, parts: int):
+    """Packed rows of the active phrases' occurrences, those of some 500,000 occurrences combined.
 
     `now` and `old` are broadcast filters, of what had reached the threshold before this scan and
-    before the scan of this shard one cycle ago. A key holds the eight bytes of each word's code.
+    before the scan of this shard one cycle ago.
     """
 
     def combined(length: int, held: list, names: list[str]) -> pa.RecordBatch:
-        hashes, lang, words = (np.concatenate([part[k] for part in held]) for k in range(3))
-        _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        flat = np.ascontiguousarray(words[first].astype("<u8"))
-        ends = np.arange(len(first) + 1, dtype=np.int32) * np.int32(8 * length)
-        key = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang[first])), key, pa.array(n)], ["lang", "key", "n"])
+        hashes, lang, words = (np.concatenate([part[k] for part in held], axis=-1) for k in range(3))
+        part = (hashes >> np.uint64(24)) % np.uint64(parts)
+        order = np.lexsort((*words[::-1], part, lang))
+        lang, part, words = lang[order], part[order], words[:, order]
+        first = _runs(lang, part, *words)
+        n = np.diff(np.append(first, len(lang)))
+        lang, part, words = lang[first], part[first], words[:, first]
+        begins = _runs(lang, part)
+        ends = np.append(begins[1:], len(lang))
+        since = np.full(len(lang), step, dtype=np.int32)
+        rows = [_row(names[lang[a]], length, int(part[a]), False, words[:, a:b], n[a:b], since[a:b]) for a, b in zip(begins, ends)]
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, before = now.value, old.value
@@ -153,35 +178,65 @@ def _scanner(now, old, with_words: bool, longest: int):
                     following = np.zeros_like(codes)
                     following[: len(codes) - length] = codes[length:]
                     hashes = extend(hashes, following)
-        for length, parts in held.items():
-            if parts:
-                yield combined(length, parts, list(known))
+        for length, rest in held.items():
+            if rest:
+                yield combined(length, rest, list(known))
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    names = ["lang", "length", "part", "often", "keys", "n", "since"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
+def _merger(step: int, shards: int, least: int):
+    """Adds up the packed rows of one language, length and part: those at the threshold, and those still in their cycle."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        lang, length, part = rows[0]["lang"], rows[0]["length"], rows[0]["part"]
+        found = [_unpacked(r["keys"], r["n"], r["since"], length) for r in rows]
+        words, n, since = (np.concatenate([x[k] for x in found], axis=-1) for k in range(3))
+        order = np.lexsort(words[::-1])
+        words, n, since = words[:, order], n[order], since[order]
+        first = _runs(*words)
+        words, n, since = words[:, first], np.add.reduceat(n, first), np.minimum.reduceat(since, first)
+        often, going = n >= least, (n < least) & (since > step - shards + 1)
+        kept = [_row(lang, length, part, name, words[:, x], n[x], since[x]) for name, x in ((True, often), (False, going)) if x.any()]
+        return pa.Table.from_batches([_batch(kept)])
 
     return run
 
 
 def _bits_of(size: int):
-    """(slot, bits) of the phrases (lang, key) in a filter of `size` words."""
+    """(slot, bits) of packed phrases in a filter of `size` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).dictionary_encode()
-            salts = np.array([lang_code(x) for x in names.dictionary.to_pylist()], dtype=np.uint64)
-            lang = names.indices.to_numpy(zero_copy_only=False)
-            keys = batch.column(1).to_pylist()
-            lengths = np.array([len(k) // 8 for k in keys])
-            for length in np.unique(lengths).tolist():
-                rows = np.flatnonzero(lengths == length)
-                codes = np.frombuffer(b"".join([keys[r] for r in rows]), dtype="<u8").reshape(len(rows), length)
-                hashes = salts[lang[rows]]
-                for k in range(length):
-                    hashes = extend(hashes, codes[:, k])
+            for row in batch.to_pylist():
+                words, _, _ = _unpacked(row["keys"], row["n"], row["since"], row["length"])
+                hashes = np.full(words.shape[1], lang_code(row["lang"]), dtype=np.uint64)
+                for codes in words:
+                    hashes = extend(hashes, codes)
                 at, bits = places(hashes, size)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["slot", "bits"])
 
     return run
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, n) of packed phrases: a key holds the eight bytes of each word's code, one after the other."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, n, _ = _unpacked(row["keys"], row["n"], row["since"], row["length"])
+            ends = np.arange(len(n) + 1, dtype=np.int32) * np.int32(8 * row["length"])
+            flat = np.ascontiguousarray(words.T.astype("<u8"))
+            key = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), key, pa.array(n)], ["lang", "key", "n"])
+
+
 def _gathered(slots: DataFrame, size: int) -> np.ndarray:
     """A filter of `size` words from rows (slot, bits), put together on the cluster and handed to the driver."""
     rows = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
@@ -190,9 +245,9 @@ def _gathered(slots: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def build_filter(phrases: DataFrame, size: int) -> np.ndarray:
-    """The filter of phrases (lang, key)."""
-    return _gathered(phrases.select("lang", "key").mapInArrow(_bits_of(size), "slot long, bits long"), size)
+def build_filter(packed: DataFrame, size: int) -> np.ndarray:
+    """The filter of packed phrases."""
+    return _gathered(packed.mapInArrow(_bits_of(size), "slot long, bits long"), size)
 
 
 def code_filter(codes: DataFrame, size: int) -> np.ndarray:
@@ -210,9 +265,10 @@ def code_filter(codes: DataFrame, size: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """(lang, key, n): every phrase of up to `longest` words that occurs `least` times or more in its language's texts.
 
-    docs hold (lang, text, shard), shard from 0 on. Each scan's counts are added to those before in a
-    table of the shared folder, and the table before is deleted once the next is written. Phrases that
-    completed their cycle below the threshold leave the table. The driver sees one filter a scan.
+    docs hold (lang, text, shard), shard from 0 on. Counts travel packed, by language, length and part;
+    parts grow in number with the text. Each scan's counts are added to those before in a table of the
+    shared folder, and the table before is deleted once the next is written. Phrases that completed
+    their cycle below the threshold leave the table. The driver sees one filter a scan.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "shards")
@@ -220,27 +276,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
     n_bytes = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = 1 << int(np.clip(n_bytes // _BYTES_A_WORD, _FEWEST, _MOST) - 1).bit_length()
-    filters, table, folder, step = [_NONE], None, None, 0
+    parts = 1 + n_bytes // _PART_BYTES
+    filters, table, folder, step = {0: _NONE}, None, None, 0
     while step < shards or not np.array_equal(filters[step], filters[step - shards]):
-        scanned = dealt.filter(F.col("shard") == step % shards)
-        before = filters[step - shards] if step >= shards else _NONE
+        before = filters.pop(step - shards, _NONE)
         shared = [spark.sparkContext.broadcast(x) for x in (filters[step], before)]
-        counts = scanned.select("lang", "text").mapInArrow(_scanner(*shared, step < shards, longest), "lang string, key binary, n long")
-        counts = counts.withColumn("since", F.lit(step))
+        scanned = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
+        counts = scanned.mapInArrow(_scanner(*shared, step, step < shards, longest, parts), _PACKED)
         both = counts if table is None else counts.unionByName(table)
-        # The scan's rows are combined already: at most one for each phrase and some hundred thousand words.
-        sums = both.repartition("lang", "key").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         written = fresh_path(spark, f"phrases{step}")
-        sums.filter((F.col("n") >= least) | (F.col("since") > step - shards + 1)).write.parquet(written)
+        both.groupBy("lang", "length", "part").applyInArrow(_merger(step, shards, least), _PACKED).write.parquet(written)
         for x in shared:
             x.destroy()  # the scan is in files now
         if folder:
             discard(spark, folder)
-        table, folder = spark.read.parquet(written), written
-        filters.append(build_filter(table.filter((F.col("n") >= least) & (F.octet_length("key") < 8 * longest)), size))
+        table, folder = spark.read.schema(_PACKED).parquet(written), written
         step += 1
+        filters[step] = build_filter(table.filter(F.col("often") & (F.col("length") < longest)), size)
     discard(spark, path)
-    return table.filter(F.col("n") >= least).select("lang", "key", "n")
+    return table.filter("often").mapInArrow(_rows_of, "lang string, key binary, n long")
 
 
 def _part(key: Column, first: Column, words: Column) -> Column:
