@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from worksignal import schemas
 from worksignal.catalog.registry import query, table
 from worksignal.catalog.shapes import mail
 from worksignal.plans.map_plan import mail_facts
 from worksignal.session import fresh_path
-from worksignal.sources.records import read_ledger
-from worksignal.streaming import day_stream, quiet_sender
+from worksignal.sources import runs
+from worksignal.streaming import day_stream, progress, quiet_sender
 
 
 def _event_stream(spark, sf):
@@ -64,7 +63,7 @@ def ledger_stream_q(spark, sf):
     for attempt in ("first", "replay"):  # the second run finds every day done and adds nothing
         state = fresh_path(spark, f"ledger-{attempt}")
         day_stream.run_ledger_stream(stream, path, state, "email", mail_facts)
-    return read_ledger(spark, path, schemas.LEDGER_ENTRIES).select(
+    return runs.read_table(spark, path, "entries").select(
         "tenant_id", "day", "item_count", F.col("stats.reply_count").cast("bigint").alias("reply_count"), "hot"
     )
 
@@ -83,3 +82,25 @@ def quiet_sender_stream_q(spark, sf):
     shown = "yyyy-MM-dd HH:mm:ss"
     return rows.select("tenant_id", "email", "item_count", F.date_format("first_seen", shown).alias("first_seen"),
                        F.date_format("last_seen", shown).alias("last_seen"))
+
+
+@query("late_events_stream", """
+WITH parts AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'first' ELSE 'late' END AS run FROM events),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY AS w FROM parts WHERE run = 'first')
+SELECT run, count(*) AS n_arrived, count(*) FILTER (WHERE run = 'late' AND ts <= (SELECT w FROM mark)) AS n_late,
+       count(DISTINCT event_id) FILTER (WHERE NOT (run = 'late' AND ts <= (SELECT w FROM mark))) AS n_kept FROM parts GROUP BY run
+""")
+def late_events_stream_q(spark, sf):
+    """The newest events arrive first and the others after them, too late to count: the log of progress says how many."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals, log, out, state = (fresh_path(spark, f"late-{name}") for name in ("arrivals", "log", "out", "state"))
+    found = []
+    for run, part in (("first", F.col("ts") >= "2024-01-20"), ("late", F.col("ts") < "2024-01-20")):
+        events.filter(part).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(events.schema).parquet(arrivals)
+        day_stream.settle(day_stream.first_of_each(stream, "ts", "2 days", ["event_id"]), out, state, f"{log}/{run}")
+        told = progress.read_progress(spark, f"{log}/{run}")
+        found.append(told.agg(F.sum("input_rows").alias("n_arrived"), F.sum("late_rows").alias("n_late")).withColumn("run", F.lit(run)))
+    kept = spark.read.schema(events.schema).parquet(out)
+    kept = kept.groupBy(F.when(F.col("ts") >= "2024-01-20", "first").otherwise("late").alias("run")).agg(F.count("*").alias("n_kept"))
+    return found[0].union(found[1]).join(kept, "run", "left").select("run", "n_arrived", "n_late", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))

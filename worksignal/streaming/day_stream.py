@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worksignal import schemas
 from worksignal.functions.dates import sort_day
 from worksignal.operators.days import day_batches, of_days, unprocessed
+from worksignal.session import discard, exists
 from worksignal.session import settle as durable
-from worksignal.sources.records import append_ledger, processed_keys, read_ledger
+from worksignal.sources import runs
+from worksignal.sources.records import processed_keys
+from worksignal.streaming.progress import run_logged
 
 
 def arrivals_writer(staging: str) -> Callable[[DataFrame, int], None]:
@@ -41,35 +43,44 @@ def ledger_entries(
     )
 
 
+def _next_arrivals(spark: SparkSession, ledger: str, stem: str) -> str:
+    """The label of the first run of arrivals that is not committed."""
+    done = runs.commits(spark, ledger).filter(F.col("label").startswith(f"{stem} ")).count()
+    return f"{stem} {done:09d}"
+
+
 def run_ledger_stream(
-    stream: DataFrame, ledger_path: str, checkpoint: str, source: str, facts, variant: str = "persona"
+    stream: DataFrame, ledger: str, checkpoint: str, source: str, facts, variant: str = "persona"
 ) -> DataFrame:
     """Take in everything that has arrived, then add its new days to the ledger; returns the late items.
 
     A day is counted once all arrivals of the run are stored, so the size of the batches changes
-    nothing. A run that fails before its days are written leaves its arrivals for the next one. Items
-    of a day that was in the ledger before change nothing: (tenant_id, date_key, n_late) counts them.
+    nothing. Each run's arrivals are in a folder of their own, and the commit of the run's days says that
+    they are taken: a run that dies before leaves them for the next one, and one that dies after does
+    not count them twice. Items of a day that was in the ledger before change nothing:
+    (tenant_id, date_key, n_late) counts those of this run.
     """
-    spark, staging = stream.sparkSession, f"{checkpoint}/arrived"
+    spark = stream.sparkSession
+    label = _next_arrivals(spark, ledger, f"{source} arrivals of {checkpoint}")
+    folder = f"{checkpoint}/arrived/{label.rsplit(' ', 1)[1]}"
     query = (
-        stream.writeStream.foreachBatch(arrivals_writer(f"{staging}/open"))
+        stream.writeStream.foreachBatch(arrivals_writer(folder))
         .option("checkpointLocation", f"{checkpoint}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    # An empty ledger and an empty run must be readable too.
-    append_ledger(spark.createDataFrame([], schemas.LEDGER_ENTRIES), ledger_path)
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{staging}/open/arrival=none")
-    arrived = spark.read.schema(stream.schema).parquet(f"{staging}/open")
-    # The rows derive from the ledger they extend: both are settled before writing to it.
-    known = durable(processed_keys(read_ledger(spark, ledger_path, schemas.LEDGER_ENTRIES)))
+    if not exists(spark, folder):  # nothing arrived
+        return spark.createDataFrame([], "tenant_id string, date_key string, n_late bigint")
+    arrived = spark.read.schema(stream.schema).parquet(folder)
+    known = durable(processed_keys(runs.read_table(spark, ledger, "entries"), runs.read_table(spark, ledger, "cover")))
     entries = durable(ledger_entries(arrived, known, source, facts, variant))
     own = entries.select("tenant_id", F.col("day").alias("date_key"))
-    late = arrived.join(own, ["tenant_id", "date_key"], "left_anti").groupBy("tenant_id", "date_key").agg(
-        F.count(F.lit(1)).alias("n_late")
-    )
-    append_ledger(entries, ledger_path)
+    late = durable(arrived.join(own, ["tenant_id", "date_key"], "left_anti").groupBy("tenant_id", "date_key").agg(F.count(F.lit(1)).alias("n_late")))
+    run = runs.new_run()
+    runs.write_rows(entries, ledger, "entries", run)
+    runs.commit(spark, ledger, run, label)
+    discard(spark, folder)
     return late
 
 
@@ -98,19 +109,21 @@ def week_counts(stream: DataFrame, time_column: str, retention_days: int) -> Dat
 
 
 def first_of_each(stream: DataFrame, time_column: str, delay: str, keys: list[str]) -> DataFrame:
-    """Items once per key, repeats arriving within the delay dropped."""
+    """Items once per key, repeats arriving within the delay dropped.
+
+    Items older than the delay when they arrive are dropped one by one, and the progress counts them.
+    """
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def settle(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run an append stream over all that has arrived and return what it wrote."""
-    query = (
+def settle(stream: DataFrame, path: str, checkpoint: str, progress: str | None = None) -> DataFrame:
+    """Run an append stream over all that has arrived and return what it wrote; `progress` as in `run_logged`."""
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    run_logged(writer, progress)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Senders who went quiet, as a keyed state with an event-time timer."""
+"""Senders who went quiet, as a keyed state with event-time timers."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "tenant_id string, email string, item_count bigint, first_seen timestamp, last_seen timestamp"
-_STATE = "item_count bigint, first_us bigint, last_us bigint"
+_STATE = "item_count bigint, first_us bigint, last_us bigint, told boolean"
 _PARTIAL = "tenant_id string, email string, seen timestamp, item_count bigint, first_us bigint, last_us bigint"
+_DAY_MS = 86_400_000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _pre_aggregate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,39 +25,65 @@ def _pre_aggregate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield grouped[["tenant_id", "email", "seen", "item_count", "first_us", "last_us"]]
 
 
-def quiet_sender_stream(stream: DataFrame, quiet_days: int = 3, delay: str = "0 seconds") -> DataFrame:
-    """A row whenever a sender's last mail lies `quiet_days` behind the watermark.
+class QuietSenders(StatefulProcessor):
+    """A sender's counts, a timer for the day they are told of as quiet, and after it one for the day they are forgotten."""
 
-    `stream`: (tenant_id, email, seen TIMESTAMP). The counts of a sender told of are kept: one who
-    writes again and goes quiet again is told of with all mail since the first.
-    """
-    quiet_ms = quiet_days * 86_400_000
-
-    def update(key, chunks, state):
-        if state.hasTimedOut:
-            count, first_us, last_us = state.get
-            state.update((count, first_us, last_us))  # kept without a timer
-            yield pd.DataFrame({
-                "tenant_id": [key[0]], "email": [key[1]], "item_count": [count],
-                "first_seen": [pd.Timestamp(first_us, unit="us")], "last_seen": [pd.Timestamp(last_us, unit="us")],
-            })
-            return
-        count, first_us, last_us = state.get if state.exists else (0, None, None)
-        for chunk in chunks:
+    def __init__(self, quiet_days: int, forget_days: int) -> None:
+        self._quiet_ms, self._forget_ms = quiet_days * _DAY_MS, forget_days * _DAY_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._seen = handle.getValueState("seen", _STATE)
+
+    def _wait(self, last_us: int, after_ms: int, watermark_ms: int) -> None:
+        """One timer, `after_ms` behind the last mail. Timers tick in milliseconds and must lie ahead of the watermark."""
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(max(-(-last_us // 1000) + after_ms, watermark_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        count, first_us, last_us, _ = self._seen.get() if self._seen.exists() else (0, None, None, False)
+        for chunk in rows:
             count += int(chunk["item_count"].sum())
             low, high = int(chunk["first_us"].min()), int(chunk["last_us"].max())
             first_us = low if first_us is None else min(first_us, low)
             last_us = high if last_us is None else max(last_us, high)
-        state.update((count, first_us, last_us))
-        # Timers tick in milliseconds and must lie ahead of the watermark.
-        due = -(-last_us // 1000) + quiet_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        self._seen.update((count, first_us, last_us, False))
+        self._wait(last_us, self._quiet_ms, timerValues.getCurrentWatermarkInMs())
+        return iter([])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        count, first_us, last_us, told = self._seen.get()
+        if told:
+            self._seen.clear()
+            return
+        self._seen.update((count, first_us, last_us, True))
+        self._wait(last_us, self._forget_ms, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({
+            "tenant_id": [key[0]], "email": [key[1]], "item_count": [count],
+            "first_seen": [pd.Timestamp(first_us, unit="us")], "last_seen": [pd.Timestamp(last_us, unit="us")],
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def quiet_sender_stream(stream: DataFrame, quiet_days: int = 3, delay: str = "0 seconds", forget_days: int = 365) -> DataFrame:
+    """A row whenever a sender's last mail lies `quiet_days` behind the watermark.
+
+    `stream`: (tenant_id, email, seen TIMESTAMP). The counts of a sender told of are kept: one who
+    writes again and goes quiet again is told of with all mail since the first. A sender silent for
+    `forget_days` is forgotten, so the state holds the senders of that time only; one who writes
+    after that counts anew. The state is on the executors' disks and in the checkpoint, not in their heaps.
+    """
+    if forget_days <= quiet_days:
+        raise ValueError("senders are forgotten after they were told of")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     partial = (
         stream.select("tenant_id", "email", "seen", F.unix_micros("seen").alias("us"))
         .mapInPandas(_pre_aggregate, _PARTIAL)
         .withWatermark("seen", delay)
     )
-    return partial.groupBy("tenant_id", "email").applyInPandasWithState(
-        update, OUTPUT, _STATE, "append", "EventTimeTimeout"
+    return partial.groupBy("tenant_id", "email").transformWithStateInPandas(
+        QuietSenders(quiet_days, forget_days), OUTPUT, "append", "EventTime"
     )
