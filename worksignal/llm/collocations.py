@@ -176,7 +176,7 @@ def _scanner(now, old, step: int, with_words: bool, longest: int, parts: int):
                     inside, was = inside & _after(inside) & linked, was & _after(was) & linked
                     active = inside & ~was
                     following = np.zeros_like(codes)
-                    following[: len(codes) - length] = codes[length:]
+                    following[: max(0, len(codes) - length)] = codes[length:]
                     hashes = extend(hashes, following)
         for length, rest in held.items():
             if rest:
