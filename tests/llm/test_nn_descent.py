@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import worksignal.llm.nn_descent as nn_descent
@@ -83,6 +84,15 @@ def test_rounds_go_on_until_few_edges_change(frame, monkeypatch):
     assert hits / 1500 >= 0.95
 
 
-def test_the_beam_grows_with_the_table():
-    assert nn_descent.beam_of(10_000) == nn_descent.BEAM
-    assert nn_descent.beam_of(160_000) >= 3 * nn_descent.BEAM and nn_descent.beam_of(16_000_000) >= 30 * nn_descent.BEAM
+def test_lists_grow_slowly_with_the_table():
+    assert nn_descent.neighbours_of(10_000) == 54 and nn_descent.neighbours_of(10**8) == 107
+
+
+@given_tables
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_query_goes_through_rounds(spark, monkeypatch, sf):
+    folder, rounds, fresh = SF.replace("0.001", sf), [], nn_descent._fresh
+    monkeypatch.setattr(nn_descent, "_fresh", lambda lists, before: rounds.append(1) or fresh(lists, before))
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect())
+    share, n = recall(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), op7_nn_descent(spark, folder).collect())
+    assert n == sum(i % 100 == 0 for i, _ in rows) and share >= 0.95 and len(rounds) >= (1 if sf == "0.01" else 2)

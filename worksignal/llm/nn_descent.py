@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from worksignal.llm.vectors import element_type, matrix, packed, takes_part
 from worksignal.session import settle
 
-#: Neighbours of a node in the graph; those a round compares in each direction.
-NEIGHBOURS, COMPARED = 24, 16
+#: Neighbours of a node in the graph for each doubling of the nodes (`neighbours_of`); those a round compares in each direction.
+NEIGHBOURS_A_DOUBLING, COMPARED = 4, 32
 #: Rounds end after one in which at most this share of the graph's edges was new.
 FEW_CHANGES = 0.02
 #: Random partitions at the start, the size of their cells, neighbours taken from each.
-TABLES, CELL, PER_CELL = 8, 1024, 12
-#: Nodes a query keeps open, up to so many nodes; above, as many more as the root of their number (`beam_of`).
-BEAM, BEAM_NODES = 160, 1 << 14
+TABLES, CELL, PER_CELL = 8, 1024, 24
+#: Nodes a query keeps open.
+BEAM = 32
 #: The planes are fitted on so many vectors, chosen by digest.
 SAMPLE = 2048
 _GROUP = 512
@@ -130,10 +130,24 @@ def _fresh(lists: DataFrame, before: DataFrame | None) -> DataFrame:
     return marked.withColumn("some", some).filter("some = 1").select("v", "u", "fresh")
 
 
+def neighbours_of(n: int) -> int:
+    """Neighbours of a node in a graph of n nodes.
+
+    The quality of the lists bounds that of the search: with lists of a fixed length their recall
+    falls as n grows, and a wider beam makes up for little of it at the price of many more distances.
+    """
+    return max(16, int(np.ceil(NEIGHBOURS_A_DOUBLING * np.log2(max(2, n)))))
+
+
 def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
-    """(src, dst, d, new, place): about the NEIGHBOURS nearest of each of n nodes (node, vec), nearest first; `new` in the last round."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
-    tables, per_cell = (TABLES, PER_CELL) if bits else (1, NEIGHBOURS)
+    """(src, dst, d, new, place): about the `neighbours_of(n)` nearest of each of n nodes (node, vec), nearest first; `new` in the last round.
+
+    Up to one node more than that, every list holds all other nodes and there is nothing to improve.
+    """
+    wanted = neighbours_of(n)
+    whole = n <= wanted + 1
+    bits = 0 if whole else max(1, int(np.ceil(np.log2(n / CELL))))
+    tables, per_cell = (1, wanted) if whole else (TABLES, PER_CELL)
     if bits:
         normals, offsets = _planes(nodes, n, bits, kind)
         codes = nodes.select("node", "vec").mapInArrow(_coder(normals, offsets, bits, kind), "node long, codes array<long>")
@@ -145,10 +159,11 @@ def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
     placed = codes.join(parts, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "table"), "parts"))
     cells = placed.join(nodes.select("node", "vec"), "node").groupBy("table", "code", "part")
     edges = cells.applyInPandas(lambda f: _nearest_in_cell(f, per_cell, kind), "src long, dst long, d double")
-    graph = settle(_nearest(edges.withColumn("new", F.lit(1)), NEIGHBOURS))
-    groups, before, changed = max(1, -(-n // _GROUP)), None, tables > 1
+    graph = settle(_nearest(edges.withColumn("new", F.lit(1)), wanted))
+    groups, before, changed = max(1, -(-n // _GROUP)), None, not whole
     while changed:
-        far = graph.groupBy("src").agg(F.max("d").alias("far"))
+        # A list with room left takes any offer.
+        far = graph.groupBy("src").agg(F.when(F.count(F.lit(1)) >= wanted, F.max("d")).otherwise(float("inf")).alias("far"))
         full = nodes.select("node", "vec").join(far, F.col("node") == F.col("src"))
         lists = settle(_both_ways(graph, COMPARED))
         near = _fresh(lists, before).join(full, F.col("u") == F.col("node")).select("v", "u", "fresh", "vec", "far")
@@ -156,17 +171,12 @@ def build_graph(nodes: DataFrame, n: int, kind: str) -> DataFrame:
             lambda f: _compare_neighbours(f, kind), "src long, dst long, d double"
         )
         edges = graph.select("src", "dst", "d", F.lit(0).alias("new")).union(offers.withColumn("new", F.lit(1)))
-        graph, before = settle(_nearest(edges, NEIGHBOURS)), lists
+        graph, before = settle(_nearest(edges, wanted)), lists
         new, every = graph.agg(F.sum("new"), F.count(F.lit(1))).first()
         changed = new > FEW_CHANGES * every
     return graph
 
 
-def beam_of(n: int) -> int:
-    """Nodes a query keeps open among n: with a fixed number recall falls as n grows."""
-    return int(np.ceil(BEAM * max(1.0, n / BEAM_NODES) ** 0.5))
-
-
 def _measure(kind: str):
     """(query, d, node) with the exact distance of the vectors in the columns `asked` and `vec`."""
 
@@ -181,14 +191,14 @@ def _measure(kind: str):
     return run
 
 
-def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int, kind: str) -> DataFrame:
+def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int, neighbours: int, kind: str) -> DataFrame:
     """(query, node, d): the `beam` nearest nodes that greedy search finds for each of asked (query, asked), from the node `query` on.
 
     A query is one row: its beam of nearest nodes so far, with the mark of those opened, and the
-    nodes it has measured. A round opens all that are closed; the driver only learns whether there
-    were any.
+    nodes it has measured: a few beams' neighbours, whatever the number of nodes. A round opens all
+    that are closed; the driver only learns whether there were any.
     """
-    ways = _both_ways(graph, NEIGHBOURS).groupBy("v").agg(F.collect_list("u").alias("us"))
+    ways = _both_ways(graph, neighbours).groupBy("v").agg(F.collect_list("u").alias("us"))
     ways = settle(ways.select(F.col("v").alias("src"), "us"))
     node = F.struct(F.lit(0.0).alias("d"), F.col("query").alias("node"), F.lit(False).alias("opened"))
     state = settle(asked.select("query", "asked", F.array(node).alias("beam"), F.array("query").alias("seen")))
@@ -235,7 +245,7 @@ def nearest_neighbours(vectors: DataFrame, asks: Column, k: int = 10) -> DataFra
     queries = good.filter("asks").join(nodes, "vec").select("vec_id", "node")
     asked = settle(queries.select("node").distinct()).join(nodes.select("node", "vec"), "node")
     asked = asked.select(F.col("node").alias("query"), F.col("vec").alias("asked"))
-    found = _walk(graph, nodes, asked, max(beam_of(n), k + 1), kind)
+    found = _walk(graph, nodes, asked, max(BEAM, 2 * k + 1), neighbours_of(n), kind)
     # Of a node's copies the k + 1 with the least ids can be in a result; a query is none of its own.
     place = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     nearest = found.withColumn("place", place).filter(F.col("place") <= k + 1).select("query", "node", "d")
