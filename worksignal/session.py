@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -82,3 +83,13 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError("only folders below the shared folder are deleted")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more.
+
+    It does so once the driver's collectors have seen that they are unreachable, which on a driver of little
+    load may be long after a step of a job of many steps is over and settled.
+    """
+    gc.collect()  # Python's frames hold those of the JVM
+    spark._jvm.System.gc()
