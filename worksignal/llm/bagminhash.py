@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from worksignal.llm.components import components
 from worksignal.llm.words import blocks, columns_of, mix64, small_batches, windows
-from worksignal.session import settle
+from worksignal.session import release, settle
 
 N_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -260,6 +260,7 @@ def near_duplicates(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
     ).distinct()
     links = settle(_verified(pairs, texts, n_words, similarity))
+    release(docs.sparkSession)
     labels = components(links)
     labelled = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     several = labelled.groupBy("code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
@@ -268,6 +269,7 @@ def near_duplicates(
     other = small.select("code", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     near = small.withColumnRenamed("node", "a").join(other, "code").filter("a < b AND comp <> comp_b")
     near = near.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    release(docs.sparkSession)
     found = [links, _verified(near, texts, n_words, similarity)]
     found.append(_large_buckets(mixed.filter(F.col("n") > _SMALL), texts, reps, n_words, similarity))
     linked = found[0].union(found[1]).union(found[2])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worksignal.llm.names import set_aside
 from worksignal.llm.words import blocks, columns_of, mix64, small_batches
 from worksignal.session import settle
 
@@ -146,6 +147,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     added = ["n_words", "n_repeated", "passages"]
+    docs, restored = set_aside(docs, "key", "__key", "__found")
     keyed = docs.drop(*added).withColumn("__key", _row_key("doc_id", "text"))
     every = keyed.select("__key", "text").mapInArrow(_chunker, "digest long, key long, at long")
     firsts = every.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -161,7 +163,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).schema
     places = tuple(joined.columns.index(c) for c in ("text", "__found"))
     cut = joined.mapInArrow(_cutter(min_words, places, out), schema)
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)
+    return restored(cut.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added))
 
 
 def op10_chunking(spark, sf_dir: str) -> DataFrame:

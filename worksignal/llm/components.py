@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worksignal.session import settle
+from worksignal.session import release, settle
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         state = settle(_stars(state))
+        release(state.sparkSession)
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

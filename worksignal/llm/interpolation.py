@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worksignal.llm.names import set_aside, unused
 from worksignal.llm.words import blocks, mix64, remainder, small_batches
 from worksignal.session import fresh_path, settle
 
@@ -287,7 +288,8 @@ def score_documents(
     names are replaced. Without training rows all words are unknown. An empty table gives an empty one.
 
     The documents are read several times and must split the same each time; they are written to
-    the shared folder first unless `stored` says that they are read from files as they are.
+    the shared folder first unless `stored` says that they are read from files as they are. Where the
+    session leaves `spark.sql.files.minPartitionNum` unset, it is set to the parallelism at hand.
 
     `chunk_bytes` of input make a chunk. Chunks times ranges is the number of entries sent, and ranges
     grow with the input: for many terabytes, larger chunks (and executors) keep entries from getting small.
@@ -295,12 +297,18 @@ def score_documents(
     spark = docs.sparkSession
     small_batches(spark)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    rows = docs.drop(*added, "chunk", "learn").withColumn("learn", F.coalesce(train, F.lit(False)))
-    rows = rows.withColumn("__deleted", F.col("learn") & F.coalesce(deleted, F.lit(False)))
+    # The conditions are over the columns as they are called; then those called like the operator's own step aside.
+    learned, taken_off = unused(docs.columns, "learned", "taken_off")
+    rows = docs.withColumn(learned, F.coalesce(train, F.lit(False))).withColumn(taken_off, F.coalesce(deleted, F.lit(False))).drop(*added)
+    rows, restored = set_aside(rows, "chunk", "learn", "__deleted")
+    rows = rows.withColumn("learn", F.col(learned)).withColumn("__deleted", F.col(learned) & F.col(taken_off)).drop(learned, taken_off)
     if not stored:
         path = fresh_path(spark, "scored-documents")
         rows.write.parquet(path)
         rows = spark.read.parquet(path)
+    # How files split must not follow the number of executors, which come and go between the reads.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     size = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     splits = max(1, -(-size // chunk_bytes))
     per_split = splits + 1  # the last one holds the deleted rows
@@ -330,7 +338,7 @@ def score_documents(
         {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}
     ).schema
     both = packed(rows).cogroup(replies.groupBy("chunk"))
-    return both.applyInArrow(lambda a, b: _scores(a, b, mixture), schema)
+    return restored(both.applyInArrow(lambda a, b: _scores(a, b, mixture), schema))
 
 
 def op6_interpolation(spark, sf_dir: str) -> DataFrame:

@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worksignal.llm.names import set_aside
 from worksignal.llm.words import WORD
 from worksignal.session import settle
 
 SEED = 17
+#: The sources' rows are broadcast up to so many: some 10 MB. Above, documents and sources are joined by shuffling.
+MAX_BROADCAST_SOURCES = 100_000
 _DIGITS, _LEVELS = 3, 4  # hexadecimal digits of the draw that a round settles, and rounds
 
 
@@ -116,6 +119,7 @@ def mix(
     table gives an empty one. The same rows and seed give the same mix, however they are split.
     """
     added = ("size", "source_size", "target", "repeats", "taken")
+    docs, restored = set_aside(docs, "s", "draw", "whole", "extra", "cut", "cut_in")
     sized = docs.drop(*added).withColumn("size", n_words(F.col("text"))).withColumn(
         "draw", draw(F.col("doc_id"), F.col("text"), seed)
     )
@@ -131,7 +135,9 @@ def mix(
         F.col("source").alias("s"), "source_size", "target", "whole", "extra", "cut", "cut_in"
     )
     partly = (F.col("extra") > 0) & ((F.col("draw") < F.col("cut")) | ((F.col("draw") == F.col("cut")) & F.col("cut_in")))
-    return (
+    if filled.count() <= MAX_BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)  # so documents stay where they are
+    return restored(
         sized.join(cuts, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("repeats", F.col("whole") + partly.cast("long"))
         .withColumn("taken", F.col("size") * F.col("repeats"))

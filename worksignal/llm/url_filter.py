@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worksignal.llm.names import set_aside
 from worksignal.llm.words import mix64, powers, text_bytes
 
 #: (verdict, rule); a rule is a host, then a path from its first slash on.
@@ -129,6 +130,7 @@ def judge_urls(
     empty host and path, and no rule fits it.
     """
     added = ("host", "path", "rule", "score", "verdict")
+    pages, restored = set_aside(pages, "found")
     parted = pages.drop(*added).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     places = [parted.columns.index(c) for c in ("host", "path")]
     weights = np.asarray(weights, dtype=np.float32)
@@ -145,7 +147,7 @@ def judge_urls(
     scored = parted.mapInArrow(run, parted.withColumn("score", F.lit(0.5)).schema)
     found = best_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return (
+    return restored(
         scored.withColumn("found", found)
         .withColumn("rule", F.col("found.rule"))
         .withColumn("verdict", F.coalesce("found.verdict", method))
