@@ -28,10 +28,10 @@ FEW_CHANGES = 0.02
 #: Random partitions at the start, the size of their cells, neighbours taken from each.
 TABLES, CELL, PER_CELL = 8, 1024, 24
 #: Nodes a query keeps open.
-BEAM = 32
+BEAM = 24
 #: The planes are fitted on so many vectors, chosen by digest.
 SAMPLE = 2048
-_GROUP = 512
+_GROUP = 128
 
 
 def _planes(nodes: DataFrame, n: int, bits: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -191,14 +191,14 @@ def _measure(kind: str):
     return run
 
 
-def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int, neighbours: int, kind: str) -> DataFrame:
+def _walk(graph: DataFrame, nodes: DataFrame, asked: DataFrame, beam: int, kind: str) -> DataFrame:
     """(query, node, d): the `beam` nearest nodes that greedy search finds for each of asked (query, asked), from the node `query` on.
 
     A query is one row: its beam of nearest nodes so far, with the mark of those opened, and the
     nodes it has measured: a few beams' neighbours, whatever the number of nodes. A round opens all
     that are closed; the driver only learns whether there were any.
     """
-    ways = _both_ways(graph, neighbours).groupBy("v").agg(F.collect_list("u").alias("us"))
+    ways = _both_ways(graph, COMPARED).groupBy("v").agg(F.collect_list("u").alias("us"))
     ways = settle(ways.select(F.col("v").alias("src"), "us"))
     node = F.struct(F.lit(0.0).alias("d"), F.col("query").alias("node"), F.lit(False).alias("opened"))
     state = settle(asked.select("query", "asked", F.array(node).alias("beam"), F.array("query").alias("seen")))
@@ -245,7 +245,7 @@ def nearest_neighbours(vectors: DataFrame, asks: Column, k: int = 10) -> DataFra
     queries = good.filter("asks").join(nodes, "vec").select("vec_id", "node")
     asked = settle(queries.select("node").distinct()).join(nodes.select("node", "vec"), "node")
     asked = asked.select(F.col("node").alias("query"), F.col("vec").alias("asked"))
-    found = _walk(graph, nodes, asked, max(BEAM, 2 * k + 1), neighbours_of(n), kind)
+    found = _walk(graph, nodes, asked, max(BEAM, 2 * k + 1), kind)
     # Of a node's copies the k + 1 with the least ids can be in a result; a query is none of its own.
     place = F.row_number().over(Window.partitionBy("query").orderBy("d", "node"))
     nearest = found.withColumn("place", place).filter(F.col("place") <= k + 1).select("query", "node", "d")
