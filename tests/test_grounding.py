@@ -64,3 +64,23 @@ def test_last_draft_of_an_id_is_attached(spark):
     items = spark.createDataFrame([("t", "1"), ("t", "2")], "tenant_id string, id string")
     drafts = spark.createDataFrame([("t", "1", "old", 0), ("t", "1", "new", 1), ("u", "2", "x", 0)], "tenant_id string, id string, draft_text string, ordinal int")
     assert rows(grounding.attach_drafts(items, drafts), "id", "draft_text") == [("1", "new"), ("2", None)]
+
+
+def test_titles_are_found_anywhere_in_long_entities(spark):
+    titles = {"T-1": "order number 5", "T-2": "Board prep", "T-3": "kick-off", "T-4": "order  twice", "T-5": "order number 51", "T-6": "", "T-7": "é à"}
+    tasks = spark.createDataFrame([("t", k, v, ["email", "notes"]) for k, v in titles.items()], "tenant_id string, task_id string, title string, sources array<string>")
+    filler = "lorem ipsum " * 8000
+    entities = ["reorder number 51 now", "the board prepared", "a kick-offs b", "order  twice", "order twice", filler + "BOARD PREP", "x" * 60_000 + " order number 5",
+                "x" * 60_000 + "kick-off", "l'é àb", "", None, "T-", "t-3 and more", " order number ", "clipboard prep"]
+    claims = spark.createDataFrame([("t", str(k), e) for k, e in enumerate(entities)], "tenant_id string, claim_id string, entity string")
+
+    def first(entity):
+        e = (entity or "").strip().lower()
+        found = [k for k, v in titles.items() if e.startswith(k.lower()) or (v and v.lower() in e)]
+        return entity if entity in titles else min(found, default=None)
+
+    want = sorted((str(k), first(e)) for k, e in enumerate(entities) if first(e))
+    assert rows(grounding.resolve_entities(claims, tasks), "claim_id", "task_id") == want
+    anchored, single = grounding.title_anchors(tasks.select("tenant_id", F.lower("title").alias("low_title"), "task_id").filter("low_title <> ''"))
+    assert dict(rows(anchored, "task_id", "anchor")) == {"T-1": "5", "T-2": "prep", "T-4": "twice", "T-5": "51", "T-7": "à"}
+    assert rows(single, "task_id") == [("T-3",)]

@@ -10,6 +10,7 @@ from worksignal.catalog import (  # noqa: F401  (importing registers the queries
     matching_q,
     model_q,
     sources_q,
+    stages_q,
     stores_q,
     streams_q,
     tasks_q,

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.catalog.registry import MAIL_SQL, query, table
-from worksignal.catalog.shapes import mail
+from worksignal.catalog.shapes import mail, order_tasks
+from worksignal.functions.constants import TENANT_PATTERN
 from worksignal.catalog.sources_q import _NOTES_SQL, _notes
 from worksignal.plans import map_plan
 from worksignal.session import fresh_path
 from worksignal.sources.citable import browse_emails, browse_notes
 from worksignal.sources.notes import parse_notes
-from worksignal.sources.records import append_calls, append_eval_runs, processed_keys, read_calls, read_eval_runs, save_brief
+from worksignal.sources.records import append_calls, append_eval_runs, processed_keys, read_calls, read_eval_runs, save_brief, save_items
+from worksignal.sources.tenants import valid_tenants
 
 
 @query("browse_emails", f"""
@@ -93,3 +95,25 @@ def map_notes_entries_q(spark, sf):
     none = processed_keys(spark.createDataFrame([], schemas.LEDGER_ENTRIES))
     entries, _, _ = map_plan.map_notes(parse_notes(_notes(spark, sf)), none, answer, "1998-06-15")
     return entries.select("entry_key", "day", "item_count", F.col("stats.checklist_open").cast("bigint").alias("checklist_open"))
+
+
+@query("valid_tenants", f"""
+SELECT tenant_id, count(*) AS n FROM (SELECT unnest(string_split(url, '/')) AS tenant_id FROM pages) WHERE regexp_full_match(tenant_id, '{TENANT_PATTERN}') GROUP BY 1
+""")
+def valid_tenants_q(spark, sf):
+    """Parts of addresses as tenant ids, of which only safe ones may name a folder."""
+    parts = table(spark, sf, "pages").select(F.explode(F.split("url", "/")).alias("tenant_id"))
+    return valid_tenants(parts).groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+@query("items_file", """
+SELECT CAST(o_custkey AS VARCHAR) AS tenant_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'blocked' ELSE 'todo' END AS status,
+       count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS last FROM orders GROUP BY 1, 2
+""")
+def items_file_q(spark, sf):
+    """Orders as items, through the JSON file they are saved in."""
+    path = fresh_path(spark, "items")
+    save_items(order_tasks(spark, sf), path)
+    stored = spark.read.schema("tenant_id string, id string, status string").json(path)
+    number = F.substring("id", 5, 20).cast("bigint")
+    return stored.groupBy("tenant_id", "status").agg(F.count("*").alias("n"), F.max(number).alias("last"))

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksignal.functions.keywords import prose_keywords, title_keywords
 from worksignal.functions.text import WORD, identifiers, not_blank, strip
 from worksignal.session import settle
 
-def _parts(text: Column, lengths: Column) -> Column:
-    """All distinct substrings of a short text that have one of the given lengths."""
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    return F.array_distinct(F.flatten(F.transform(
-        fitting,
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-    )))
+
+def _begins(df: DataFrame, word: str, longest: DataFrame, out: str) -> DataFrame:
+    """Each row once for every beginning of its `word` that is no longer than its tenant's `longest` (tenant_id, longest)."""
+    sized = df.join(longest, "tenant_id").filter((F.length(word) > 0) & (F.col("longest") > 0))
+    sized = sized.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.length(word), F.col("longest")))))
+    return sized.withColumn(out, F.substring(F.col(word), F.lit(1), F.col("n"))).drop("n", "longest")
+
+
+def title_anchors(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchored, single) of (tenant_id, low_title, task_id).
+
+    A text that contains a title of several words has each of them but the first at a word's
+    beginning. `anchored` adds the rarest of these as `anchor`; `single` are titles of one word.
+    """
+    words = F.filter(F.slice(F.split("low_title", " "), 2, 1 << 30), lambda w: w != "")
+    split = titles.withColumn("words", F.array_distinct(words))
+    each = split.filter(F.size("words") > 0).select("tenant_id", "low_title", "task_id", F.explode("words").alias("anchor"))
+    counts = each.groupBy("tenant_id", "anchor").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "anchor")).alias("best")
+    anchored = each.join(counts, ["tenant_id", "anchor"]).groupBy("tenant_id", "low_title", "task_id").agg(rarest)
+    return anchored.select("tenant_id", "low_title", "task_id", "best.anchor"), split.filter(F.size("words") == 0).drop("words")
+
+
+def _longest(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy("tenant_id").agg(F.max(F.length(column)).alias("longest"))
 
 
 def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -23,7 +41,9 @@ def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
 
     An exact id wins. Otherwise the first task, by id, whose title equals the entity, whose id
     the entity starts with, or whose title the entity contains. Each rule is an equality join: on
-    the id, on prefixes of the entity, or on its parts as long as some title. Entities are short.
+    the id, on beginnings of the entity, on beginnings of its words (by a title's rarest word, the title is
+    then looked for), and for titles of one word on parts of its words. Rows grow with the entity's
+    length, and no array holds its parts.
     """
     keys = ["tenant_id", "claim_id"]
     said = claims.select(*keys, "entity", F.lower(strip(F.col("entity"))).alias("e"))
@@ -34,20 +54,20 @@ def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
     exact = said.join(known, (said.tenant_id == known.tenant_id) & (said.entity == known.task_id)).select(
         said.tenant_id, "claim_id", "task_id", F.lit(0).alias("rule")
     )
-    prefixes = said.withColumn(
-        "low_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("e"), F.lit(1))),
-                                        lambda n: F.substring(F.col("e"), F.lit(1), n)))
-    )
-    by_prefix = prefixes.join(known, ["tenant_id", "low_id"]).select(*keys, "task_id", F.lit(1).alias("rule"))
-    titled = known.filter("low_title <> ''")
-    lengths = titled.groupBy("tenant_id").agg(F.collect_set(F.length("low_title")).alias("lengths"))
-    by_title = (
-        said.join(lengths, "tenant_id")
-        .withColumn("low_title", F.explode(_parts(F.col("e"), F.col("lengths"))))
-        .join(titled, ["tenant_id", "low_title"])
-        .select(*keys, "task_id", F.lit(1).alias("rule"))
-    )
-    return exact.unionByName(by_prefix).unionByName(by_title).groupBy(*keys).agg(
+    ids = known.groupBy("tenant_id", "low_id").agg(F.min("task_id").alias("task_id"))
+    by_prefix = _begins(said, "e", _longest(ids, "low_id"), "low_id").join(ids, ["tenant_id", "low_id"])
+    titles = known.filter("low_title <> ''").groupBy("tenant_id", "low_title").agg(F.min("task_id").alias("task_id"))
+    anchored, single = title_anchors(titles)
+    words = said.select(*keys, "e", F.explode(F.array_distinct(F.split("e", " "))).alias("word"))
+    begun = _begins(words, "word", _longest(anchored, "anchor"), "anchor")
+    by_words = begun.join(anchored, ["tenant_id", "anchor"]).filter(F.contains("e", "low_title"))
+    # A title of one word may be any part of a word: its beginnings from each place on.
+    ends = words.select(*keys, "word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("from"))
+    longest = _longest(single, "low_title")
+    tails = ends.join(longest, "tenant_id").select(*keys, F.substring(F.col("word"), F.col("from"), F.col("longest")).alias("tail")).distinct()
+    by_part = _begins(tails, "tail", longest, "low_title").join(single, ["tenant_id", "low_title"])
+    rest = [df.select(*keys, "task_id", F.lit(1).alias("rule")) for df in (by_prefix, by_words, by_part)]
+    return exact.unionByName(rest[0]).unionByName(rest[1]).unionByName(rest[2]).groupBy(*keys).agg(
         F.min_by("task_id", F.struct("rule", "task_id")).alias("task_id")
     )
 

@@ -125,6 +125,16 @@ def dispatch_rows(accepted: DataFrame) -> DataFrame:
     )
 
 
+def draft_units(items: DataFrame) -> DataFrame:
+    """One request per tenant for drafts of its items, a JSON line for each."""
+    lines = items.select("tenant_id", F.col("ordinal").alias("rank"), F.col("id").alias("place"),
+                         F.to_json(F.struct("id", "type", "summary", "context")).alias("line"))
+    return rendering.lines_text(lines).select(
+        "tenant_id", F.lit("drafts").alias("unit_key"),
+        F.concat(F.lit("Dispatchable items:\n\n"), F.col("text")).alias("user_text"),
+    )
+
+
 def draft_rows(accepted: DataFrame) -> DataFrame:
     items = model_stage.payload_items(accepted).filter("category = 'drafts'")
     return items.select("tenant_id", field(F.col("payload"), "id").alias("id"),
@@ -171,13 +181,7 @@ def write_briefs(
         dispatches = dispatch_rows(listed)
 
     allowed = grounding.draftable(dispatches, config)
-    lines = allowed.select("tenant_id", F.col("ordinal").alias("rank"), F.col("id").alias("place"),
-                           F.to_json(F.struct("id", "type", "summary", "context")).alias("line"))
-    draft_units = rendering.lines_text(lines).select(
-        "tenant_id", F.lit("drafts").alias("unit_key"),
-        F.concat(F.lit("Dispatchable items:\n\n"), F.col("text")).alias("user_text"),
-    )
-    drafted, _ = model_stage.ask_and_check(model_stage.requests(draft_units, "drafts", ""), answer["drafts"], DRAFT_SCHEMA)
+    drafted, _ = model_stage.ask_and_check(model_stage.requests(draft_units(allowed), "drafts", ""), answer["drafts"], DRAFT_SCHEMA)
     with_drafts = grounding.attach_drafts(dispatches, draft_rows(drafted))
     dispatch_text = dispatches.groupBy("tenant_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "summary", "context"))), " ").alias("d")
@@ -196,15 +200,15 @@ def write_briefs(
     }
 
 
-def _numbered(claims: DataFrame) -> DataFrame:
+def numbered_claims(claims: DataFrame) -> DataFrame:
     """Claims with `n`, from 1 in the order of their ids."""
     ranged = range_buckets(claims, ["tenant_id", "claim_id"])
     return ordinal(ranged, ["tenant_id"], F.col("range_bucket"), [F.col("claim_id")], "n").drop("range_bucket")
 
 
-def judge_units(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """One request per tenant for the claims no keyword match was found for."""
-    numbered = _numbered(claims)
+def judge_units(claims: DataFrame, sources: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """One request per tenant for the claims no keyword match was found for; `numbered` as in `numbered_claims`."""
+    numbered = numbered_claims(claims) if numbered is None else numbered
     zero = F.lit(0).cast("bigint")
     said = numbered.select("tenant_id", zero.alias("rank"), F.lpad(F.col("n").cast("string"), 12, "0").alias("place"),
                            F.concat((F.col("n") - 1).cast("string"), F.lit(". "), F.col("text")).alias("line"))
@@ -222,9 +226,9 @@ def judge_units(claims: DataFrame, sources: DataFrame) -> DataFrame:
                        F.concat(F.lit("Claims:\n"), F.col("text")).alias("user_text"))
 
 
-def judge_evidence(accepted: DataFrame, claims: DataFrame) -> DataFrame:
+def judge_evidence(accepted: DataFrame, claims: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """(tenant_id, claim_id, source_ref, quote) of accepted judge responses."""
-    numbered = _numbered(claims).select(
+    numbered = (numbered_claims(claims) if numbered is None else numbered).select(
         "tenant_id", "claim_id", (F.col("n") - 1).alias("claim_index")
     )
     matches = model_stage.payload_items(accepted).filter("category = 'matches'").select(
@@ -244,10 +248,11 @@ def judge_evidence(accepted: DataFrame, claims: DataFrame) -> DataFrame:
 
 def judged_matches(claims, sources, common, judge) -> DataFrame:
     """Matches a model proposes for the claims, as far as its evidence holds."""
-    reqs = model_stage.requests(judge_units(claims, sources), "judge", "")
+    numbered = settle(numbered_claims(claims))  # numbered once, for the requests and for reading the answers
+    reqs = model_stage.requests(judge_units(claims, sources, numbered), "judge", "")
     accepted, _ = model_stage.ask_and_check(reqs, judge, JUDGE_SCHEMA)
     rated = grounding.ground_evidence(
-        judge_evidence(accepted, claims), claims, grounding.last_per_ref(sources), common
+        judge_evidence(accepted, claims, numbered), claims, grounding.last_per_ref(sources), common
     )
     good = rated.filter("reason IS NULL").select("tenant_id", "claim_id", "source", F.col("source_ref").alias("ref")).distinct()
     return good.withColumn("n_matched", F.lit(1)).withColumn("n_keywords", F.lit(1))
