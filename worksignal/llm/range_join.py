@@ -21,8 +21,8 @@ from worksignal.llm.components import components
 from worksignal.llm.vectors import element_type, matrix, packed, takes_part
 from worksignal.session import settle
 
-#: A label gets a pivot for so many vectors, up to MAX_PIVOTS; all labels together up to ALL_PIVOTS.
-CELL, MAX_PIVOTS, ALL_PIVOTS = 4096, 64, 4096
+#: A label gets a pivot for so many vectors, up to MAX_PIVOTS; all labels together up to ALL_PIVOTS. A label of one block has none.
+CELL, MAX_PIVOTS, ALL_PIVOTS = 1024, 64, 4096
 _BLOCK = 1024
 _SLACK = 1e-9
 
