@@ -52,3 +52,14 @@ def test_run_is_its_stages(spark):
 
     texts = decode(got, public_tokenizers.path("piece_bpe_32k.model"))
     assert texts.filter(F.length("decoded") == 0).count() == 0
+
+
+def test_texts_that_share_a_doc_id_are_kept_together(frame, spark):
+    words = [" ".join(f"{letter}{k}" for k in range(30)) for letter in "abcd"]
+    rows = [(1, words[0], "en", "s", 1, "x"), (1, words[1], "en", "s", 1, "x"), (1, words[0], "en", "s", 1, "x"), (2, words[1], "en", "s", 1, "x"),
+            (3, words[2], "en", "s", 1, "x"), (None, words[3], None, None, None, "x"), (None, words[3], None, None, None, "x"), (4, None, "en", "s", 0, "x")]
+    docs = frame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string")
+    got = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert found == sorted([(0, words[3])] * 2 + [(1, words[0]), (1, words[1]), (3, words[2]), (4, "")])
