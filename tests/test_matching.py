@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import PROSE_STOP_WORDS, TITLE_STOP_WORDS
-from worksignal.operators import crossref, matching
+from worksignal.operators import blocks, crossref, matching
 from worksignal.operators.ordered import fold_lines, next_value, ordinal
 
 VOCABULARY = ["budget", "Budget", "pump", "multi-depot", "depot", "multi", "o'brien", "tomás", "Tom", "cap-", "review", "sla", "board", "onboard", "the"]
@@ -140,3 +141,24 @@ def test_long_groups_are_one_text_whatever_the_run(spark):
     for run in (1, 3, 10, 5000):
         (row,) = fold_lines(lines, ["g"], run=run).collect()
         assert row.text.split("\n") == [str(i) for i in range(1, 26)]
+
+
+def test_found_claims_are_those_with_matches_whatever_the_blocks(spark):
+    rng = random.Random(5)
+    claims = [(t, f"c{i}", text_of(rng, rng.randint(1, 14))) for t in ("a", "b") for i in range(12)]
+    sources = [(t, "email", f"r{i}", text_of(rng, rng.randint(0, 6))) for t in ("a", "b") for i in range(20)]
+    c = spark.createDataFrame(claims, "tenant_id string, claim_id string, text string")
+    s = spark.createDataFrame(sources, "tenant_id string, source string, ref string, text string")
+    expected = brute_matches(claims, sources, 0.5)
+    assert rows(matching.keyword_matches(c, s, block_terms=20)) == expected
+    assert rows(matching.matched_claims(c, s, block_terms=20)) == sorted({m[:2] for m in expected}, key=repr)
+
+
+def test_counts_of_many_words_in_many_rows():
+    """Row numbers times words pass 32 bits."""
+    n = 60_000
+    term = np.arange(n, dtype=np.int64) * 7919
+    query, row = np.repeat(np.arange(n // 2), 2), np.repeat(np.arange(n, dtype=np.int32), 2)
+    word = np.stack([term, np.roll(term, -1)], axis=1).reshape(-1)
+    got = [np.concatenate(x) for x in zip(*blocks.hits(query, term, np.full(n // 2, 2, np.int32), row, word))]
+    assert sorted(zip(*map(list, got))) == [(i, 2 * i, 2) for i in range(n // 2)]

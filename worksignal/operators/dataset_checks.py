@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import WEEKDAYS
-from worksignal.operators.matching import keyword_matches, unmatched
+from worksignal.operators.matching import keyword_matches, matched_claims, unmatched
 
 _WEEKDAY = "(?i)\\b(" + "|".join(WEEKDAYS) + ")\\b"
 
@@ -24,8 +24,8 @@ def as_claims(sources: DataFrame) -> DataFrame:
 def exclusive_sources(sources: DataFrame, subject: str, others: tuple[str, ...]) -> DataFrame:
     """Sources of kind `subject` whose content matches no source of the other kinds."""
     claims = as_claims(sources.filter(F.col("source") == subject))
-    matches = keyword_matches(claims, sources.filter(F.col("source").isin(*others)))
-    return unmatched(claims, matches).select("tenant_id", "source", "ref")
+    matched = matched_claims(claims, sources.filter(F.col("source").isin(*others)))
+    return unmatched(claims, matched).select("tenant_id", "source", "ref")
 
 
 def date_inconsistencies(events: DataFrame, sources: DataFrame, days: list[str]) -> DataFrame:

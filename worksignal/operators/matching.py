@@ -4,12 +4,13 @@ claims: (tenant_id, claim_id, text); sources: (tenant_id, source, ref, text) wit
 (tenant_id, source, ref). A source matches a claim when it mentions at least
 `max(2, 40 % of the claim's keywords)`.
 
-Comparing every claim with every source is replaced by an inverted index with prefix filtering: the
-claim's rarest keywords are looked up, and only sources sharing enough of them are counted exactly.
+Words are counted block of claims by block of sources (`blocks.py`), so no pair that fails the bar leaves a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +21,17 @@ from worksignal.functions.constants import (
 )
 from worksignal.functions.keywords import (
     glued_set,
-    index_word,
+    is_compound,
     lowered_keyword_set,
-    mentions,
     prose_keywords,
     word_set,
 )
-from worksignal.functions.text import each, kept
-from worksignal.session import settle, spread
+from worksignal.functions.text import each
+from worksignal.operators.blocks import BLOCK_TERMS, codes, compound_terms, flat, hashes, hits, meet, small
+from worksignal.session import fresh_path, release, settle, spread
 
 _REF = ["tenant_id", "source", "ref"]
-_SALTS = 16
+_MATCH = "tenant_id string, claim_id string, source string, ref string, n_matched int, n_keywords int"
 
 
 def source_index(sources: DataFrame) -> DataFrame:
@@ -47,8 +48,12 @@ def source_index(sources: DataFrame) -> DataFrame:
 
 
 def _indexed(sources: DataFrame) -> DataFrame:
-    """The index as given, or a new one; it is stored, as counts, lookups and the check all read it."""
-    return sources if "words" in sources.columns else settle(source_index(spread(sources)))
+    """The index as given, or a new one; it is stored, packed, as counts and matching read it."""
+    if "words" in sources.columns:
+        return sources
+    path = fresh_path(sources.sparkSession, "source-index")
+    source_index(spread(sources)).write.option("compression", "zstd").parquet(path)
+    return sources.sparkSession.read.parquet(path)
 
 
 def term_counts(sources: DataFrame) -> DataFrame:
@@ -75,77 +80,87 @@ def common_terms(sources: DataFrame, threshold: float = COMMON_TERM_THRESHOLD) -
     return term_counts(sources).filter(_is_common(threshold))
 
 
-def claim_keywords(claims: DataFrame, counts: DataFrame, threshold: float | None) -> DataFrame:
-    """(tenant_id, claim_id, keywords, n_keywords, needed), rarest keyword first.
+def claim_keywords(claims: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """(tenant_id, claim_id, keywords, n_keywords, needed) of claims with keywords enough.
 
-    The arrays hold the words of one claim each, so they are bounded by its text.
+    `counts` are those of the common terms, which do not count. Terms of more than a share of the sources are few, so a
+    tenant's are one array. The arrays of keywords hold the words of one claim each, so they are bounded by its text.
     """
-    words = claims.select("tenant_id", "claim_id", each(prose_keywords(F.col("text"))).alias("term")).filter(
-        "term IS NOT NULL"
-    )
-    rated = words.join(counts, ["tenant_id", "term"], "left")
-    if threshold is not None:
-        rated = rated.filter(~F.coalesce(_is_common(threshold), F.lit(False)))
-    gathered = rated.groupBy("tenant_id", "claim_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.coalesce("doc_count", F.lit(0)).alias("df"), F.col("term")))
-        ).alias("rated")
-    )
-    n = F.size("rated")
-    return gathered.select(
+    words = claims.select("tenant_id", "claim_id", prose_keywords(F.col("text")).alias("keywords"))
+    if counts is not None:
+        common = counts.groupBy("tenant_id").agg(F.collect_list("term").alias("common"))
+        words = words.join(small(settle(common)), "tenant_id", "left").select(
+            "tenant_id", "claim_id",
+            F.when(F.col("common").isNull(), F.col("keywords"))
+            .otherwise(F.filter("keywords", lambda w: ~F.array_contains("common", w))).alias("keywords"),
+        )
+    n = F.size("keywords")
+    return words.select(
         "tenant_id",
         "claim_id",
-        F.col("rated.term").alias("keywords"),
+        "keywords",
         n.alias("n_keywords"),
         F.greatest(F.lit(2), F.bround(n * F.lit(MIN_MATCH_RATIO)).cast("int")).alias("needed"),
     ).filter("n_keywords >= needed")
 
 
-def candidate_pairs(wanted: DataFrame, index: DataFrame, salts: int = _SALTS) -> DataFrame:
-    """(claim, source) pairs that may reach the bar.
-
-    A source mentioning `needed` of `n` keywords mentions at least `h` of the `n - needed + h`
-    rarest. With `h` half of `needed`, words shared by chance hardly ever make a candidate. Hits of
-    one pair come from one source row, so they combine before the shuffle. The lookup is salted: a
-    word found in a large share of the sources is spread over `salts` tasks, while the short claim
-    side is repeated that often.
-    """
-    half = F.greatest(F.lit(1), F.floor(F.col("needed") / 2).cast("int"))
-    looked_up = F.slice("keywords", F.lit(1), F.col("n_keywords") - F.col("needed") + half)
-    probes = (
-        wanted.select("tenant_id", "claim_id", half.alias("h"), F.explode(F.transform(looked_up, index_word)).alias("word"))
-        .groupBy("tenant_id", "claim_id", "h", "word")
-        .agg(F.count("*").alias("weight"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    postings = index.select(
-        *_REF,
-        each(F.col("words")).alias("word"),
-        F.pmod(F.xxhash64("source", "ref"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    hits = postings.join(probes, ["tenant_id", "word", "salt"]).groupBy(*_REF, "claim_id", "h")
-    return hits.agg(F.sum("weight").alias("hits")).filter("hits >= h").select(*_REF, "claim_id")
+def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame]:
+    """Claims and sources with the hashes of their words, as `meet` takes them; both are read from stored files."""
+    spark = claims.sparkSession
+    index = _indexed(sources)
+    counts = None if threshold is None else settle(term_counts(index).filter(_is_common(threshold)))
+    release(spark)
+    path = fresh_path(spark, "claim-words")
+    keywords = F.col("keywords")
+    claim_keywords(claims, counts).select(
+        "tenant_id", F.col("claim_id").alias("query"), F.array_sort(hashes(keywords)).alias("terms"),
+        F.filter(keywords, is_compound).alias("compound"), F.col("n_keywords").alias("n_terms"), "needed",
+    ).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    compound = compound_terms(stored.select("tenant_id", F.explode("compound").alias("keyword")), index.select(*_REF, "glued"), _REF)
+    rows = index.select(*_REF, hashes(F.col("words")).alias("terms"), F.size("words").alias("n_terms"))
+    return stored.drop("compound"), rows.unionByName(compound.withColumn("n_terms", F.size("terms")))
+
+
+def _mentions(queries: pa.Table, rows: pa.Table, once: bool) -> pa.Table:
+    code, first = codes(rows, ["source", "ref"])
+    row, word = flat(rows.column("terms"))
+    query, term = flat(queries.column("terms"))
+    needed = queries.column("needed").to_numpy()
+    found = list(hits(query, term, needed, code[row], word, once))
+    q, r, n = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
+    sources, claims = rows.select(["source", "ref"]).take(first[r]), queries.select(["tenant_id", "query", "n_terms"]).take(q)
+    return pa.table({
+        "tenant_id": claims.column("tenant_id"), "claim_id": claims.column("query"), "source": sources.column("source"),
+        "ref": sources.column("ref"), "n_matched": n.astype(np.int32), "n_keywords": claims.column("n_terms"),
+    })
 
 
 def keyword_matches(
-    claims: DataFrame, sources: DataFrame, threshold: float | None = COMMON_TERM_THRESHOLD
+    claims: DataFrame, sources: DataFrame, threshold: float | None = COMMON_TERM_THRESHOLD, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """(tenant_id, claim_id, source, ref, n_matched, n_keywords): every source clearing the bar."""
-    index = _indexed(sources)
-    wanted = claim_keywords(claims, term_counts(index), threshold)
-    pairs = candidate_pairs(wanted, index)
-    counted = (
-        pairs.join(index.select(*_REF, "words", "glued"), _REF)
-        .join(wanted, ["tenant_id", "claim_id"])
-        .select(
-            "tenant_id", "claim_id", "source", "ref",
-            kept(
-                F.size(mentions(F.col("words"), F.col("glued"), F.col("keywords"))), lambda n: n >= F.col("needed")
-            ).alias("n_matched"),
-            "n_keywords",
-        )
-    )
-    return counted.filter("n_matched IS NOT NULL")
+    return meet(*_sides(claims, sources, threshold), _REF, lambda q, r: _mentions(q, r, False), _MATCH, block_terms)
+
+
+def matched_claims(
+    claims: DataFrame, sources: DataFrame, threshold: float | None = COMMON_TERM_THRESHOLD, block_terms: int = BLOCK_TERMS
+) -> DataFrame:
+    """(tenant_id, claim_id) of the claims that any source matches, without all the pairs.
+
+    Long sources match most claims, so each tenant's longest are tried first; only claims not found there meet all sources.
+    """
+    queries, rows = _sides(claims, sources, threshold)
+
+    def found(some, among):
+        pairs = meet(some, among, _REF, lambda q, r: _mentions(q, r, True), _MATCH, block_terms)
+        return settle(pairs.select("tenant_id", F.col("claim_id").alias("query")).distinct())
+
+    long = rows.groupBy("tenant_id").agg(F.percentile_approx("n_terms", 0.99).alias("long"))
+    first = found(queries, rows.join(small(settle(long)), "tenant_id").filter("n_terms >= long").drop("long"))
+    release(queries.sparkSession)
+    rest = found(queries.join(first, ["tenant_id", "query"], "left_anti"), rows)
+    return first.unionByName(rest).withColumnRenamed("query", "claim_id")
 
 
 def unmatched(claims: DataFrame, matches: DataFrame) -> DataFrame:
