@@ -1,7 +1,10 @@
+import os
+
 from conftest import one, rows
 from pyspark.sql import functions as F
 
 from worksignal.operators import call_log, dataset_checks, evaluation
+from worksignal.session import shared_dir
 
 
 def test_scenarios(spark):
@@ -69,3 +72,18 @@ def test_dataset_checks(spark):
     assert rows(wrong, "source_ref", "claimed_weekday", "claimed_date") == [("e1", "monday", "2024-05-06")]
     quality = dataset_checks.dataset_quality(sources, events.select("tenant_id"), wrong).first()
     assert (quality.exclusive, quality.min_required, quality.exclusive_ok, quality.notes_exclusive, quality.has_conflict, quality.date_consistent) == (1, 1, True, 1, True, False)
+
+
+def test_dataset_quality_leaves_no_index(spark):
+    sources = spark.createDataFrame([
+        ("email", "e1", "Harbour tour north pier"), ("email", "e2", "Wholly different payroll matter"), ("notes", "n1", "Harbour tour north pier walk")],
+        "source string, ref string, text string").select(F.lit("t").alias("tenant_id"), "source", "ref", F.lit("l").alias("label"), "text")
+    none = sources.limit(0).select("tenant_id")
+
+    def stored():
+        return {name for name in os.listdir(shared_dir(spark).removeprefix("file:")) if name.startswith(("source-index", "claim-words"))}
+
+    before = stored()
+    quality = dataset_checks.dataset_quality(sources, none, none)
+    assert stored() == before
+    assert rows(quality, "exclusive", "notes_exclusive", "has_conflict") == [(1, 0, False)]

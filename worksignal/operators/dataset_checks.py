@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import WEEKDAYS
-from worksignal.operators.matching import keyword_matches, matched_claims, unmatched
+from worksignal.operators.matching import keyword_matches, matched_claims, stored_index, unmatched
+from worksignal.session import discard, settle
 
 _WEEKDAY = "(?i)\\b(" + "|".join(WEEKDAYS) + ")\\b"
 
@@ -21,10 +22,10 @@ def as_claims(sources: DataFrame) -> DataFrame:
     return sources.select("tenant_id", F.concat_ws(":", "source", "ref").alias("claim_id"), "source", "ref", "text")
 
 
-def exclusive_sources(sources: DataFrame, subject: str, others: tuple[str, ...]) -> DataFrame:
-    """Sources of kind `subject` whose content matches no source of the other kinds."""
+def exclusive_sources(sources: DataFrame, subject: str, others: tuple[str, ...], index: DataFrame | None = None) -> DataFrame:
+    """Sources of kind `subject` whose content matches no source of the other kinds; `index` is that of all `sources`, if at hand."""
     claims = as_claims(sources.filter(F.col("source") == subject))
-    matched = matched_claims(claims, sources.filter(F.col("source").isin(*others)))
+    matched = matched_claims(claims, (sources if index is None else index).filter(F.col("source").isin(*others)))
     return unmatched(claims, matched).select("tenant_id", "source", "ref")
 
 
@@ -61,7 +62,10 @@ def date_inconsistencies(events: DataFrame, sources: DataFrame, days: list[str])
 def dataset_quality(
     sources: DataFrame, conflicts: DataFrame, inconsistencies: DataFrame
 ) -> DataFrame:
-    """One row per tenant: enough exclusive mail, an exclusive note, a real conflict, dates agree."""
+    """One row per tenant: enough exclusive mail, an exclusive note, a real conflict, dates agree.
+
+    The sources are indexed once; each part is settled, and what it stored goes, before the next begins.
+    """
     def counted(df, name):
         return df.groupBy("tenant_id").agg(F.count("*").alias(name))
 
@@ -69,13 +73,12 @@ def dataset_quality(
         F.count_if(F.col("source") == "email").alias("total"),
         F.count_if(F.col("source") == "notes").alias("notes_total"),
     )
+    index, path = stored_index(sources)
+    exclusive = settle(counted(exclusive_sources(sources, "email", ("calendar", "notes", "task"), index), "exclusive"))
+    notes_exclusive = settle(counted(exclusive_sources(sources, "notes", ("email",), index), "notes_exclusive"))
+    discard(sources.sparkSession, path)
     joined = totals
-    for part in (
-        counted(exclusive_sources(sources, "email", ("calendar", "notes", "task")), "exclusive"),
-        counted(exclusive_sources(sources, "notes", ("email",)), "notes_exclusive"),
-        counted(conflicts, "n_conflicts"),
-        counted(inconsistencies, "n_inconsistencies"),
-    ):
+    for part in (exclusive, notes_exclusive, counted(conflicts, "n_conflicts"), counted(inconsistencies, "n_inconsistencies")):
         joined = joined.join(part, "tenant_id", "left")
     filled = joined.na.fill(0, ["exclusive", "notes_exclusive", "n_conflicts", "n_inconsistencies"])
     min_required = F.ceil(F.col("total") / 2)

@@ -28,7 +28,7 @@ from worksignal.functions.keywords import (
 )
 from worksignal.functions.text import each
 from worksignal.operators.blocks import BLOCK_TERMS, codes, compound_terms, flat, hashes, hits, meet, small
-from worksignal.session import fresh_path, release, settle, spread
+from worksignal.session import discard, fresh_path, release, settle, spread
 
 _REF = ["tenant_id", "source", "ref"]
 _MATCH = "tenant_id string, claim_id string, source string, ref string, n_matched int, n_keywords int"
@@ -48,12 +48,15 @@ def source_index(sources: DataFrame) -> DataFrame:
 
 
 def _indexed(sources: DataFrame) -> DataFrame:
-    """The index as given, or a new one; it is stored, packed, as counts and matching read it."""
-    if "words" in sources.columns:
-        return sources
+    """The index as given, or a new one."""
+    return sources if "words" in sources.columns else stored_index(sources)[0]
+
+
+def stored_index(sources: DataFrame) -> tuple[DataFrame, str]:
+    """The index, stored packed as counts and matching read it, and its folder."""
     path = fresh_path(sources.sparkSession, "source-index")
     source_index(spread(sources)).write.option("compression", "zstd").parquet(path)
-    return sources.sparkSession.read.parquet(path)
+    return sources.sparkSession.read.parquet(path), path
 
 
 def term_counts(sources: DataFrame) -> DataFrame:
@@ -104,8 +107,8 @@ def claim_keywords(claims: DataFrame, counts: DataFrame | None) -> DataFrame:
     ).filter("n_keywords >= needed")
 
 
-def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame]:
-    """Claims and sources with the hashes of their words, as `meet` takes them; both are read from stored files."""
+def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame, str]:
+    """Claims and sources with the hashes of their words, as `meet` takes them, read from stored files; the claims' folder."""
     spark = claims.sparkSession
     index = _indexed(sources)
     counts = None if threshold is None else settle(term_counts(index).filter(_is_common(threshold)))
@@ -119,7 +122,7 @@ def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tu
     stored = spark.read.parquet(path)
     compound = compound_terms(stored.select("tenant_id", F.explode("compound").alias("keyword")), index.select(*_REF, "glued"), _REF)
     rows = index.select(*_REF, hashes(F.col("words")).alias("terms"), F.size("words").alias("n_terms"))
-    return stored.drop("compound"), rows.unionByName(compound.withColumn("n_terms", F.size("terms")))
+    return stored.drop("compound"), rows.unionByName(compound.withColumn("n_terms", F.size("terms"))), path
 
 
 def _mentions(queries: pa.Table, rows: pa.Table, once: bool) -> pa.Table:
@@ -140,7 +143,8 @@ def keyword_matches(
     claims: DataFrame, sources: DataFrame, threshold: float | None = COMMON_TERM_THRESHOLD, block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
     """(tenant_id, claim_id, source, ref, n_matched, n_keywords): every source clearing the bar."""
-    return meet(*_sides(claims, sources, threshold), _REF, lambda q, r: _mentions(q, r, False), _MATCH, block_terms)
+    queries, rows, _ = _sides(claims, sources, threshold)
+    return meet(queries, rows, _REF, lambda q, r: _mentions(q, r, False), _MATCH, block_terms)
 
 
 def matched_claims(
@@ -149,8 +153,11 @@ def matched_claims(
     """(tenant_id, claim_id) of the claims that any source matches, without all the pairs.
 
     Long sources match most claims, so each tenant's longest are tried first; only claims not found there meet all sources.
+    What the search stores and shuffles is deleted before the result is given.
     """
-    queries, rows = _sides(claims, sources, threshold)
+    spark = claims.sparkSession
+    index, own = (sources, None) if "words" in sources.columns else stored_index(sources)
+    queries, rows, path = _sides(claims, index, threshold)
 
     def found(some, among):
         pairs = meet(some, among, _REF, lambda q, r: _mentions(q, r, True), _MATCH, block_terms)
@@ -158,8 +165,12 @@ def matched_claims(
 
     long = rows.groupBy("tenant_id").agg(F.percentile_approx("n_terms", 0.99).alias("long"))
     first = found(queries, rows.join(small(settle(long)), "tenant_id").filter("n_terms >= long").drop("long"))
-    release(queries.sparkSession)
+    release(spark)
     rest = found(queries.join(first, ["tenant_id", "query"], "left_anti"), rows)
+    release(spark)
+    for folder in (path, own):
+        if folder:
+            discard(spark, folder)
     return first.unionByName(rest).withColumnRenamed("query", "claim_id")
 
 
