@@ -55,6 +55,27 @@ def test_map_mail(spark):
     assert rows(later, "tenant_id", "entry_key") == [("a", "2024-05-02")]
 
 
+def test_a_long_day_is_asked_in_pages(spark):
+    day = [("a", f"{k}.eml", f"2024-05-01T09:00:0{k}", "B <b@x.org>", "BOOM" if k == 6 else f"Mail {k}", "text", False) for k in range(8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(system_text, user_text):
+        assert user_text.startswith("Emails for 2024-05-01:\n\n") and user_text.count("--- Email ") <= 3
+        seen.add(1)
+        return answer(system_text, user_text)
+
+    whole = [m for m in day if m[4] != "BOOM"]
+    entries, items, rejected = map_plan.map_mail(mail(spark, *whole), nothing(spark), count, page_mails=3)
+    assert seen.value == 3
+    assert rows(entries, "entry_key", "item_count") == [("2024-05-01", 7)] and rejected.count() == 0
+    said = items.filter("category = 'deadlines'").orderBy("ordinal").collect()
+    assert [r.text for r in said] == [f"{m[4]} P1" for m in whole] and {r.entry_key for r in said} == {"2024-05-01"}
+    # One page without an answer leaves the whole day open.
+    entries, items, rejected = map_plan.map_mail(mail(spark, *day), nothing(spark), count, page_mails=3)
+    assert entries.count() == 0 and items.count() == 0
+    assert rows(rejected, "unit_key", "errors") == [("2024-05-01", ["RuntimeError: no answer"])]
+
+
 def test_tenants_do_not_see_each_other(spark):
     both, _, _ = map_plan.map_mail(mail(spark, *MAIL), nothing(spark), answer)
     alone, _, _ = map_plan.map_mail(mail(spark, *[m for m in MAIL if m[0] == "b"]), nothing(spark), answer)

@@ -91,11 +91,18 @@ def fold_lines(
     Runs of `run` lines are joined first, each on its own, and then the few texts of the runs, so
     only the finished text of a group is ever in one row. How long a run is changes nothing.
     """
-    cut = lines.withColumn("__run", F.floor((F.col(position) - 1) / run))
+    runs = fold_runs(lines, keys, run, position, line, separator)
+    return _joined(runs, keys, F.col("run"), F.col("text"), separator, name)
 
-    def joined(rows, by, place, text, out):
-        gathered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), text.alias("l")))).alias("ls"))
-        return gathered.select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), separator).alias(out))
 
-    runs = joined(cut, [*keys, "__run"], F.col(position), F.col(line), "__text")
-    return joined(runs, keys, F.col("__run"), F.col("__text"), name)
+def fold_runs(
+    lines: DataFrame, keys: list[str], run: int, position: str = "ordinal", line: str = "line", separator: str = "\n"
+) -> DataFrame:
+    """Join each `run` ordered lines into one text: (keys, run, text), runs counted from 0."""
+    cut = lines.withColumn("run", F.floor((F.col(position) - 1) / run))
+    return _joined(cut, [*keys, "run"], F.col(position), F.col(line), separator, "text")
+
+
+def _joined(rows: DataFrame, by: list[str], place: Column, text: Column, separator: str, out: str) -> DataFrame:
+    gathered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), text.alias("l")))).alias("ls"))
+    return gathered.select(*by, F.array_join(F.transform("ls", lambda x: x["l"]), separator).alias(out))

@@ -15,7 +15,7 @@ from worksignal.functions.constants import EXCERPT_TEXT_CHARS
 from worksignal.functions.dates import day_label
 from worksignal.functions.payload import field, field_or, filled_field_or
 from worksignal.functions.text import not_blank
-from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
+from worksignal.operators.ordered import fold_lines, fold_runs, ordinal, range_buckets
 from worksignal.operators.task_signals import priority_rank
 from worksignal.schemas import COVERED_FACTS
 
@@ -32,8 +32,7 @@ def _text(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def email_context(emails: DataFrame) -> DataFrame:
-    """(tenant_id, date_key, text): a day's mail, numbered in order of time."""
+def _email_lines(emails: DataFrame) -> DataFrame:
     numbered = ordinal(
         emails, _DAY, F.substring("date_iso", 1, 16), [F.col("date_iso"), F.col("filename")]
     )
@@ -42,7 +41,17 @@ def email_context(emails: DataFrame) -> DataFrame:
         "\nSubject: ", _text("subject"), "\nDate: ", _text("date_iso"), "\nThread: ", _text("thread_id"),
         "\nBody:\n", _text("body"), "\n",
     )
-    return fold_lines(numbered.select(*_DAY, "ordinal", line.alias("line")), _DAY)
+    return numbered.select(*_DAY, "ordinal", line.alias("line"))
+
+
+def email_context(emails: DataFrame) -> DataFrame:
+    """(tenant_id, date_key, text): a day's mail, numbered in order of time."""
+    return fold_lines(_email_lines(emails), _DAY)
+
+
+def email_pages(emails: DataFrame, size: int) -> DataFrame:
+    """(tenant_id, date_key, run, text): a day's mail in pages of `size`, numbered through, pages from 0."""
+    return fold_runs(_email_lines(emails), _DAY, size)
 
 
 def event_context(events: DataFrame) -> DataFrame:

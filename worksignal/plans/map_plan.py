@@ -16,6 +16,7 @@ from worksignal.plans import model_stage
 from worksignal.session import settle
 
 _DAY = ["tenant_id", "date_key"]
+PAGE_MAILS = 1000
 
 
 def new_days(
@@ -96,11 +97,11 @@ def note_fact_items(stats: DataFrame) -> DataFrame:
     )
 
 
-def mail_units(emails: DataFrame, todo: DataFrame) -> DataFrame:
-    """Request units of the days to process."""
-    context = rendering.email_context(days.of_days(emails, todo))
+def mail_units(emails: DataFrame, todo: DataFrame, page_mails: int = PAGE_MAILS) -> DataFrame:
+    """Request units of the days to process, days of more than `page_mails` in pages."""
+    context = rendering.email_pages(days.of_days(emails, todo), page_mails)
     text = F.concat(F.lit("Emails for "), F.col("date_key"), F.lit(":\n\n"), F.col("text"))
-    return context.select("tenant_id", F.col("date_key").alias("unit_key"), text.alias("user_text"))
+    return context.select("tenant_id", model_stage.page_key(F.col("date_key"), F.col("run")).alias("unit_key"), text.alias("user_text"))
 
 
 def calendar_units(events: DataFrame, todo: DataFrame, facts: DataFrame) -> DataFrame:
@@ -119,15 +120,19 @@ def note_units(notes: DataFrame, stats: DataFrame) -> DataFrame:
 
 def accept(
     responses: DataFrame, facts: DataFrame, source: str, variant: str,
-    unit_days: DataFrame, fact_items: DataFrame | None = None,
+    unit_days: DataFrame, fact_items: DataFrame | None = None, page: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, items, rejected) of a source's responses.
 
-    `unit_days` gives (tenant_id, unit_key, day, note_id, hot). Only accepted units enter the ledger.
+    `unit_days` gives (tenant_id, unit_key, day, note_id, hot). Only accepted units enter the ledger. With `page`, units were
+    asked in pages of so many items.
     """
     accepted, rejected = model_stage.check(responses, MAP_SCHEMAS[(source, variant)])
+    if page is not None:
+        pages = facts.select("tenant_id", "unit_key", F.ceil(F.col("item_count") / page).alias("n_pages"))
+        accepted, rejected = model_stage.whole_units(accepted, rejected, pages)
     keys = ["tenant_id", "unit_key"]
-    done = accepted.select(*keys)
+    done = accepted.select(*keys) if page is None else accepted.select(*keys).distinct()
     entries = done.join(facts, keys).join(unit_days, keys).select(
         "tenant_id", F.lit(source).alias("source"), F.col("unit_key").alias("entry_key"), "day", "note_id",
         F.col("item_count").cast("bigint").alias("item_count"), "stats", F.lit(variant).alias("map_variant"),
@@ -163,9 +168,11 @@ def readable(rows: DataFrame) -> DataFrame:
     return rows.filter("parse_error IS NULL") if "parse_error" in rows.columns else rows
 
 
-def map_mail(emails, processed, answer, system_text="", variant="persona", blocked=None, **window):
+def map_mail(emails, processed, answer, system_text="", variant="persona", blocked=None, page_mails=PAGE_MAILS, **window):
     """The mail map stage from rows to (entries, items, rejected).
 
+    A day of more than `page_mails` is asked in pages, so no request grows with a day's mail.
+
     Mail that could not be read and, with `blocked` (tenant_id, kind, value), mail of blocked
     senders is left out first.
     """
@@ -173,8 +180,9 @@ def map_mail(emails, processed, answer, system_text="", variant="persona", block
     if blocked is not None:
         emails = mail_signals.drop_blocked(emails, blocked)
     todo = settle(new_days(emails, processed, "email", **window))
-    reqs = model_stage.requests(mail_units(emails, todo), "email", system_text)
-    return accept(_told(reqs, answer, "email", variant), mail_facts(days.of_days(emails, todo)), "email", variant, day_units(todo))
+    reqs = model_stage.requests(mail_units(emails, todo, page_mails), "email", system_text)
+    facts = settle(mail_facts(days.of_days(emails, todo)))
+    return accept(_told(reqs, answer, "email", variant), facts, "email", variant, day_units(todo), page=page_mails)
 
 
 def map_calendar(events, processed, answer, system_text="", variant="persona", **window):

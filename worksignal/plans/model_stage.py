@@ -2,7 +2,8 @@
 
 requests: (tenant_id, stage, unit_key, system_text, user_text). `infer` runs any callable
 over them, or the responses come from elsewhere. A unit without an accepted response stays
-unprocessed and comes up again in the next run.
+unprocessed and comes up again in the next run. A unit too long for one request is asked in pages
+(`page_key`), each a request of its own, and is accepted when all its pages are.
 
 An answer may be `Remembered`: then what was answered before, in this run or another, is looked up by the
 request's content and not asked again.
@@ -23,6 +24,9 @@ from worksignal.functions.payload import extract_json, leaf_text, schema_errors
 from worksignal.session import exists, settle
 
 _KEYS = ["tenant_id", "stage", "unit_key"]
+_PAGE = " \\(page (\\d+)\\)$"
+_BATCH_BYTES = 16 << 20
+PAGE_ITEMS = 1 << 22  # more than a page's answer has in a category
 _STORED = "key string, model string, stage string, response string, error string, call string, asked_at timestamp"
 
 
@@ -47,8 +51,38 @@ def requests(units: DataFrame, stage: str, system_text: str) -> DataFrame:
     )
 
 
+def page_key(unit: Column, page: Column) -> Column:
+    """The request key of a unit's page; the first page has the unit's own."""
+    return F.when(page == 0, unit).otherwise(F.concat(unit, F.lit(" (page "), (page + 1).cast("string"), F.lit(")")))
+
+
+def _page(key: Column) -> Column:
+    return F.coalesce(F.regexp_extract(key, _PAGE, 1).try_cast("bigint") - 1, F.lit(0))
+
+
+def whole_units(accepted: DataFrame, rejected: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of units from those of their pages.
+
+    `pages`: (tenant_id, unit_key, n_pages). Accepted are the pages, with `page`, of units that all pages are accepted
+    of; a unit with rejected pages has the errors of the first.
+    """
+    def placed(df):
+        return df.withColumn("page", _page(F.col("unit_key"))).withColumn("unit_key", F.regexp_replace("unit_key", _PAGE, ""))
+
+    good, bad = placed(accepted), placed(rejected)
+    whole = (
+        good.groupBy("tenant_id", "unit_key").agg(F.count_distinct("page").alias("n_good"))
+        .join(pages, ["tenant_id", "unit_key"]).filter("n_good = n_pages").select("tenant_id", "unit_key")
+    )
+    return good.join(whole, ["tenant_id", "unit_key"], "left_semi"), bad.groupBy(*_KEYS).agg(F.min_by("errors", "page").alias("errors"))
+
+
 def infer(reqs: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
-    """Responses of `answer(system_text, user_text)`; a failing call yields its error, not a failed job."""
+    """Responses of `answer(system_text, user_text)`; a failing call yields its error, not a failed job.
+
+    Batches are cut by bytes, since texts may be long.
+    """
+    reqs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,22 +181,24 @@ def payload_items(accepted: DataFrame) -> DataFrame:
 
     Any top-level key is a category; a value that is no list is its single item. Text holds the
     item's string leaves only, never its keys; a string is its own text, whatever it looks like.
+    Items of a later `page` of the unit, where there is one, come after those of the earlier ones.
     """
+    at = _KEYS if "page" not in accepted.columns else [*_KEYS, "page"]
     parsed = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
     categories = accepted.withColumn("parsed", parsed).select(
-        *_KEYS, "parsed", F.explode(F.from_json("payload", "map<string,string>")).alias("category", "value")
+        *at, "parsed", F.explode(F.from_json("payload", "map<string,string>")).alias("category", "value")
     )
     typed = categories.withColumn("typed", F.element_at("parsed", F.col("category")))
     is_list = F.schema_of_variant(F.col("typed")).startswith("ARRAY")
     inner = F.try_variant_get(F.col("typed"), "$", "array<variant>")
     kinds = F.when(is_list, F.transform(inner, F.schema_of_variant)).otherwise(F.array(F.schema_of_variant(F.col("typed"))))
     listed = F.when(is_list, F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    rows = typed.select(*_KEYS, "category", F.posexplode(F.arrays_zip(listed.alias("payload"), kinds.alias("kind"))).alias("pos", "i"))
+    rows = typed.select(*at, "category", F.posexplode(F.arrays_zip(listed.alias("payload"), kinds.alias("kind"))).alias("pos", "i"))
     nested = F.col("i.kind").startswith("OBJECT") | F.col("i.kind").startswith("ARRAY")
     return rows.filter("i.payload IS NOT NULL").select(
         *_KEYS,
         "category",
-        F.col("pos").cast("bigint").alias("ordinal"),
+        (F.col("pos").cast("bigint") + (F.col("page") * PAGE_ITEMS if "page" in at else F.lit(0))).alias("ordinal"),
         F.col("i.payload").alias("payload"),
         F.when(nested, leaf_text(F.col("i.payload"))).otherwise(F.col("i.payload")).alias("text"),
     )
