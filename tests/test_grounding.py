@@ -84,3 +84,18 @@ def test_titles_are_found_anywhere_in_long_entities(spark):
     anchored, single = grounding.title_anchors(tasks.select("tenant_id", F.lower("title").alias("low_title"), "task_id").filter("low_title <> ''"))
     assert dict(rows(anchored, "task_id", "anchor")) == {"T-1": "5", "T-2": "prep", "T-4": "twice", "T-5": "51", "T-7": "à"}
     assert rows(single, "task_id") == [("T-3",)]
+
+
+def test_texts_are_not_carried_with_each_quote(spark):
+    sources = spark.createDataFrame([("t", "email", "r", "l", "pump leak")], "tenant_id string, source string, ref string, label string, text string")
+    claims = sources.select("tenant_id", F.lit("c").alias("claim_id"), "text")
+    evidence = claims.select("tenant_id", "claim_id", F.lit("r").alias("source_ref"), F.lit("pump").alias("quote"))
+    joins, nodes = [], [grounding.ground_evidence(evidence, claims, sources)._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Join":
+            joins.append(node)
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    assert len(joins) == 2
+    # The last join meets no whole text: the source's was tested before, and of the claim only words are left.
+    assert "text" not in joins[0].output().mkString(" ")

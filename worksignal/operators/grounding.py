@@ -102,16 +102,16 @@ def ground_evidence(evidence: DataFrame, claims: DataFrame, sources: DataFrame,
     """
     keys = ["tenant_id", "claim_id"]
     known = sources.select("tenant_id", F.col("ref").alias("source_ref"), "source", F.lower("text").alias("source_text"))
-    said = claims.select(*keys, F.col("text").alias("claim_text"))
+    said = claims.select(*keys, prose_keywords(F.col("text")).alias("claim_words"), identifiers(F.col("text")).alias("claim_ids"))
     quoted = evidence.withColumn("quote", strip(F.coalesce("quote", F.lit(""))))
-    rated = quoted.join(known, ["tenant_id", "source_ref"], "left").join(said, keys)
     in_source = (F.col("quote") != "") & F.contains("source_text", F.lower("quote"))
-    # The text is only needed for this test, so it is not carried any further.
-    rated = rated.withColumn("in_source", F.coalesce(in_source, F.lit(False))).drop("source_text")
-    shared = F.array_intersect(prose_keywords(F.col("quote")), prose_keywords(F.col("claim_text")))
-    ids = identifiers(F.col("claim_text"))
-    rated = rated.withColumn("shared", shared).withColumn(
-        "same_ids", (F.size(ids) == 0) | F.arrays_overlap(ids, identifiers(F.col("quote")))
+    # A text with many quotes meets each of them for this test only: it is carried no further, and a claim's words are taken once.
+    found = quoted.join(known, ["tenant_id", "source_ref"], "left").select(
+        *evidence.columns, "source", F.coalesce(in_source, F.lit(False)).alias("in_source")
+    )
+    shared = F.array_intersect(prose_keywords(F.col("quote")), "claim_words")
+    rated = found.join(said, keys).withColumn("shared", shared).withColumn(
+        "same_ids", (F.size("claim_ids") == 0) | F.arrays_overlap("claim_ids", identifiers(F.col("quote")))
     )
     rated = _without_common(rated, common) if common is not None else rated.withColumn("n_shared", F.size("shared"))
     reason = (
