@@ -292,3 +292,19 @@ def test_remembered_answers_survive_a_death_and_are_asked_once(spark, tmp_path):
     other = model_stage.ask(reqs.filter("unit_key = 'u1'"), memory._replace(model="other"))
     assert other.count() == 1 and counts["all"].value == first + 4
     assert model_stage.stored_answers(spark, memory.path).filter(F.col("model") == "other").count() == 1
+
+
+def test_a_wave_reads_its_own_requests(spark, tmp_path, monkeypatch):
+    units = spark.createDataFrame([("t", f"u{k}", f"text {k}") for k in range(30)], "tenant_id string, unit_key string, user_text string")
+    infer, read = model_stage.infer, []
+
+    def watched(reqs, answer):
+        read.append(set(reqs.inputFiles()))
+        return infer(reqs, answer)
+
+    monkeypatch.setattr(model_stage, "infer", watched)
+    memory = model_stage.Remembered(lambda s, u: u.upper(), str(tmp_path / "answers"), "m", wave=10)
+    told = model_stage.ask(model_stage.requests(units, "s", ""), memory)
+    assert rows(told, "unit_key", "response") == sorted((f"u{k}", f"TEXT {k}") for k in range(30))
+    assert len(read) > 1 and all(read) and sum(map(len, read)) == len(set().union(*read))
+    assert len(model_stage.stored_answers(spark, memory.path).inputFiles()) == len(read)

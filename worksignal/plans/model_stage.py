@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
-from worksignal.session import exists, settle
+from worksignal.session import discard, exists, fresh_path, settle
 
 _KEYS = ["tenant_id", "stage", "unit_key"]
 _PAGE = " \\(page (\\d+)\\)$"
@@ -142,12 +142,21 @@ def _ask_once(reqs: DataFrame, memory: Remembered, tasks: int, fits: Callable[[C
     )
     open_ones = settle(open_ones)
     waves = -(-open_ones.count() // memory.wave)
+    # A folder for each wave, so that a wave reads its own requests only, and a file for its answers.
+    path = fresh_path(spark, "waves")
+    if waves:
+        number = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int")
+        open_ones.withColumn("wave", number).repartition("wave").write.partitionBy("wave").parquet(path)
     for k in range(waves):
-        wave = open_ones.filter(F.pmod(F.xxhash64("unit_key"), F.lit(waves)) == k)
+        if not exists(spark, f"{path}/wave={k}"):  # few requests may leave a wave without any
+            continue
+        wave = spark.read.schema(open_ones.schema).parquet(f"{path}/wave={k}")
         infer(wave.repartition(tasks), memory.answer).select(
             F.col("unit_key").alias("key"), F.lit(memory.model).alias("model"), "stage", "response", "error", F.lit(call).alias("call"),
             F.current_timestamp().alias("asked_at"),
-        ).write.mode("append").parquet(memory.path)
+        ).repartition(1).write.mode("append").parquet(memory.path)
+    if waves:
+        discard(spark, path)
     told = stored_answers(spark, memory.path).filter(F.col("call") == call).select("key", "response", "error")
     told = told.unionByName(known.withColumn("error", F.lit(None).cast("string")))
     return settle(keyed.select(*_KEYS, "key").join(told, "key").select(*_KEYS, "response", "error"))
