@@ -99,3 +99,19 @@ def test_texts_are_not_carried_with_each_quote(spark):
     assert len(joins) == 2
     # The last join meets no whole text: the source's was tested before, and of the claim only words are left.
     assert "text" not in joins[0].output().mkString(" ")
+
+
+def test_only_beginnings_that_are_looked_for_are_listed(spark):
+    words = spark.createDataFrame([("t", w) for w in ("order", "ord-12", "ord", "number", "15")] + [("u", "ord-1")], "tenant_id string, word string")
+    ids = spark.createDataFrame([("t", "ord-1"), ("t", "ord-123"), ("t", "")], "tenant_id string, low_id string")
+    # A beginning that many words share and no id has would come to one task with all its words.
+    assert rows(grounding._begins(words, "word", ids, "low_id", "low_id"), "word", "low_id") == [("ord-12", "ord-1")]
+
+
+def test_titles_that_share_frequent_words_find_their_rarest(spark):
+    titles = spark.createDataFrame([("t", f"task number {k}", str(k)) for k in range(9)] + [("t", "a number", "n"), ("t", "one", "o")],
+                                   "tenant_id string, low_title string, task_id string")
+    for often in (1, 100):
+        anchored, single = grounding.title_anchors(titles, often)
+        assert rows(anchored, "task_id", "anchor") == [(str(k), str(k)) for k in range(9)] + [("n", "number")]
+        assert rows(single, "task_id") == [("o",)]

@@ -7,33 +7,51 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.keywords import prose_keywords, title_keywords
 from worksignal.functions.text import WORD, identifiers, not_blank, strip
+from worksignal.operators.blocks import small
 from worksignal.session import settle
 
 
-def _begins(df: DataFrame, word: str, longest: DataFrame, out: str) -> DataFrame:
-    """Each row once for every beginning of its `word` that is no longer than its tenant's `longest` (tenant_id, longest)."""
-    sized = df.join(longest, "tenant_id").filter((F.length(word) > 0) & (F.col("longest") > 0))
-    sized = sized.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.length(word), F.col("longest")))))
-    return sized.withColumn(out, F.substring(F.col(word), F.lit(1), F.col("n"))).drop("n", "longest")
+_FEW_HEADS = 10_000
+_OFTEN = 100_000  # titles that share a word
 
 
-def title_anchors(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _begins(df: DataFrame, word: str, known: DataFrame, column: str, out: str) -> DataFrame:
+    """Each row once for every beginning of its `word` that may be a value of `known`'s `column` for its tenant.
+
+    These are the beginnings as long as one of the values; a word whose first characters, as many as the shortest
+    value has, begin none of the values has no row. So beginnings that many words share stay out unless they are looked for.
+    """
+    lengths = known.filter(F.length(column) > 0).groupBy("tenant_id").agg(F.array_sort(F.collect_set(F.length(column))).alias("lengths"))
+    lengths = small(settle(lengths))
+    head = F.substring(F.col(word), F.lit(1), F.col("lengths")[0])
+    sized = df.join(lengths, "tenant_id").filter(F.length(word) >= F.col("lengths")[0]).withColumn("head", head)
+    heads = settle(known.join(lengths, "tenant_id").select("tenant_id", F.substring(F.col(column), F.lit(1), F.col("lengths")[0]).alias("head")).distinct())
+    if heads.limit(_FEW_HEADS + 1).count() <= _FEW_HEADS:
+        sized = sized.join(F.broadcast(heads), ["tenant_id", "head"], "left_semi")
+    sized = sized.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length(word))))
+    return sized.withColumn(out, F.substring(F.col(word), F.lit(1), F.col("n"))).drop("n", "lengths", "head")
+
+
+def title_anchors(titles: DataFrame, often: int = _OFTEN) -> tuple[DataFrame, DataFrame]:
     """(anchored, single) of (tenant_id, low_title, task_id).
 
     A text that contains a title of several words has each of them but the first at a word's
-    beginning. `anchored` adds the rarest of these as `anchor`; `single` are titles of one word.
+    beginning. `anchored` adds the rarest of these as `anchor`; `single` are titles of one word. Words of more than
+    `often` titles are few and so broadcast: their titles are not brought together.
     """
     words = F.filter(F.slice(F.split("low_title", " "), 2, 1 << 30), lambda w: w != "")
     split = titles.withColumn("words", F.array_distinct(words))
     each = split.filter(F.size("words") > 0).select("tenant_id", "low_title", "task_id", F.explode("words").alias("anchor"))
-    counts = each.groupBy("tenant_id", "anchor").agg(F.count("*").alias("n"))
+    counts = settle(each.groupBy("tenant_id", "anchor").agg(F.count("*").alias("n")))
+    frequent = F.broadcast(counts.filter(F.col("n") > often))
+    rest = each.join(frequent, ["tenant_id", "anchor"], "left_anti").join(counts.filter(F.col("n") <= often), ["tenant_id", "anchor"])
     rarest = F.min(F.struct("n", "anchor")).alias("best")
-    anchored = each.join(counts, ["tenant_id", "anchor"]).groupBy("tenant_id", "low_title", "task_id").agg(rarest)
+    anchored = rest.unionByName(each.join(frequent, ["tenant_id", "anchor"])).groupBy("tenant_id", "low_title", "task_id").agg(rarest)
     return anchored.select("tenant_id", "low_title", "task_id", "best.anchor"), split.filter(F.size("words") == 0).drop("words")
 
 
 def _longest(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy("tenant_id").agg(F.max(F.length(column)).alias("longest"))
+    return small(settle(df.groupBy("tenant_id").agg(F.max(F.length(column)).alias("longest"))))
 
 
 def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -47,37 +65,37 @@ def resolve_entities(claims: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     keys = ["tenant_id", "claim_id"]
     said = claims.select(*keys, "entity", F.lower(strip(F.col("entity"))).alias("e"))
-    known = tasks.select(
+    known = settle(tasks.select(
         "tenant_id", "task_id", F.lower("task_id").alias("low_id"),
         F.lower(strip(F.coalesce("title", F.lit("")))).alias("low_title"),
-    )
+    ))
     exact = said.join(known, (said.tenant_id == known.tenant_id) & (said.entity == known.task_id)).select(
         said.tenant_id, "claim_id", "task_id", F.lit(0).alias("rule")
     )
     ids = known.groupBy("tenant_id", "low_id").agg(F.min("task_id").alias("task_id"))
-    by_prefix = _begins(said, "e", _longest(ids, "low_id"), "low_id").join(ids, ["tenant_id", "low_id"])
+    by_prefix = _begins(said, "e", known, "low_id", "low_id").join(ids, ["tenant_id", "low_id"])
     titles = known.filter("low_title <> ''").groupBy("tenant_id", "low_title").agg(F.min("task_id").alias("task_id"))
     anchored, single = title_anchors(titles)
+    anchored = settle(anchored)
     words = said.select(*keys, "e", F.explode(F.array_distinct(F.split("e", " "))).alias("word"))
-    begun = _begins(words, "word", _longest(anchored, "anchor"), "anchor")
+    begun = _begins(words, "word", anchored, "anchor", "anchor")
     by_words = begun.join(anchored, ["tenant_id", "anchor"]).filter(F.contains("e", "low_title"))
     # A title of one word may be any part of a word: its beginnings from each place on.
-    ends = words.select(*keys, "word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("from"))
-    longest = _longest(single, "low_title")
-    tails = ends.join(longest, "tenant_id").select(*keys, F.substring(F.col("word"), F.col("from"), F.col("longest")).alias("tail")).distinct()
-    by_part = _begins(tails, "tail", longest, "low_title").join(single, ["tenant_id", "low_title"])
+    single = settle(single)
+    ends = words.join(_longest(single, "low_title"), "tenant_id")
+    ends = ends.withColumn("from", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))))
+    tails = ends.select(*keys, F.substring(F.col("word"), F.col("from"), F.col("longest")).alias("tail")).distinct()
+    by_part = _begins(tails, "tail", single, "low_title", "low_title").join(single, ["tenant_id", "low_title"])
     rest = [df.select(*keys, "task_id", F.lit(1).alias("rule")) for df in (by_prefix, by_words, by_part)]
     return exact.unionByName(rest[0]).unionByName(rest[1]).unionByName(rest[2]).groupBy(*keys).agg(
         F.min_by("task_id", F.struct("rule", "task_id")).alias("task_id")
     )
 
 
-def ground_contradictions(claims: DataFrame, multi_source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) contradiction claims (tenant_id, claim_id, entity, sources, …).
-
-    Kept claims name a task found in several sources and only sources it was found in.
-    """
+def rated_contradictions(claims: DataFrame, multi_source: DataFrame) -> DataFrame:
+    """Contradiction claims (tenant_id, claim_id, entity, sources, …) with their `task_id` and a `reason`, NULL where kept."""
     keys = ["tenant_id", "claim_id"]
+    multi_source = settle(multi_source.select("tenant_id", "task_id", "title", "sources"))
     actual = multi_source.select("tenant_id", "task_id", F.col("sources").alias("actual_sources"))
     resolved = (
         claims.join(resolve_entities(claims, multi_source), keys, "left")
@@ -85,10 +103,18 @@ def ground_contradictions(claims: DataFrame, multi_source: DataFrame) -> tuple[D
     )
     claimed = F.coalesce("sources", F.array().cast("array<string>"))
     fine = (F.size(claimed) > 0) & (F.size(F.array_except(claimed, "actual_sources")) == 0)
-    rated = settle(resolved.withColumn(
+    return settle(resolved.withColumn(
         "reason",
         F.when(F.col("task_id").isNull(), F.lit("unknown entity")).when(~fine, F.lit("sources not mentioned")),
-    ))
+    ).drop("actual_sources"))
+
+
+def ground_contradictions(claims: DataFrame, multi_source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) contradiction claims (tenant_id, claim_id, entity, sources, …).
+
+    Kept claims name a task found in several sources and only sources it was found in.
+    """
+    rated = rated_contradictions(claims, multi_source)
     kept = rated.filter("reason IS NULL").select(*claims.columns, "task_id")
     return kept, rated.filter("reason IS NOT NULL").select(*claims.columns, "reason")
 
