@@ -194,3 +194,12 @@ def test_a_tidied_ledger_holds_what_counts(spark, tmp_path):
     assert contents(spark, other) == contents(spark, ledger)
     stored = spark.read.parquet(f"{other}/entries").count()
     assert stored == runs.read_table(spark, ledger, "entries").count() < spark.read.parquet(f"{ledger}/entries").count()
+
+
+def test_a_ledgers_lines_are_computed_once_for_its_text(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    day_ledger(spark, ledger)
+    entries, items, _ = runs.read_ledger_tables(spark, ledger)
+    text = ledger_text(ledger_lines(entries.persist(), items.persist()))
+    # Entries give their own lines and their items' place, items their lines.
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.constants import PROSE_STOP_WORDS, TITLE_STOP_WORDS
 from worksignal.operators import blocks, crossref, matching
-from worksignal.operators.ordered import fold_lines, next_value, ordinal
+from worksignal.operators.ordered import fold_lines, fold_ordered, next_value, ordinal
 
 VOCABULARY = ["budget", "Budget", "pump", "multi-depot", "depot", "multi", "o'brien", "tomás", "Tom", "cap-", "review", "sla", "board", "onboard", "the"]
 
@@ -173,3 +173,13 @@ def test_best_items_are_the_same_whatever_the_blocks(spark):
         F.lit("2024-05-01").alias("day"), "text")
     whole, cut = (rows(crossref.best_items(t, i, n), "task_id", "entry_key", "ordinal", "matched") for n in (1 << 20, 15))
     assert whole and whole == cut
+
+
+def test_lines_in_order_are_joined_and_computed_once(spark):
+    lines = spark.createDataFrame([("g", v // 4, v, f"line {v}") for v in range(23)] + [("h", None, 1, "b"), ("h", None, 0, "a"), ("h", 5, 0, "c"), (None, 1, 1, "x")],
+                                  "g string, b int, v int, line string")
+    want = sorted([("g", "\n".join(f"line {v}" for v in range(23))), ("h", "a\nb\nc"), (None, "x")], key=repr)
+    for run in (1, 3, 5000):
+        folded = fold_ordered(lines, ["g"], F.col("b"), [F.col("v")], run=run)
+        assert rows(folded, "g", "text") == want
+    assert folded._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

@@ -95,6 +95,21 @@ def fold_lines(
     return _joined(runs, keys, F.col("run"), F.col("text"), separator, name)
 
 
+def fold_ordered(
+    lines: DataFrame, keys: list[str], bucket: Column, order: list[Column], line: str = "line", separator: str = "\n", run: int = 5000
+) -> DataFrame:
+    """Join lines into one text for each group: (keys, text), in the order of their bucket and within it of `order`.
+
+    As `fold_lines` of the `ordinal`, for lines whose number itself is not wanted: they are counted in their bucket only, so
+    they are computed and shuffled once.
+    """
+    local = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    placed = lines.withColumn(_BUCKET, bucket).withColumn("place", F.row_number().over(local))
+    cut = placed.withColumn("run", F.floor((F.col("place") - 1) / run))
+    runs = _joined(cut, [*keys, _BUCKET, "run"], F.col("place"), F.col(line), separator, "text")
+    return _joined(runs, keys, F.struct(_BUCKET, "run"), F.col("text"), separator, "text")
+
+
 def fold_runs(
     lines: DataFrame, keys: list[str], run: int, position: str = "ordinal", line: str = "line", separator: str = "\n"
 ) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from worksignal.functions.constants import EXCERPT_TEXT_CHARS
 from worksignal.functions.dates import day_label
 from worksignal.functions.payload import field, field_or, filled_field_or
-from worksignal.functions.text import not_blank
-from worksignal.operators.ordered import fold_lines, fold_runs, ordinal, range_buckets
+from worksignal.functions.text import each, not_blank
+from worksignal.operators.ordered import fold_lines, fold_ordered, fold_runs, ordinal, range_buckets
 from worksignal.operators.task_signals import priority_rank
 from worksignal.schemas import COVERED_FACTS
 
@@ -179,12 +179,12 @@ def ledger_lines(entries: DataFrame, items: DataFrame, cover: DataFrame | None =
     def rows(df, part, place, line):
         return df.select(*keys, "sort_day", F.lit(part).alias("part"), place.alias("place"), line.alias("line"))
 
-    zero = F.lit("")
-    parts = [
-        rows(base, 0, zero, header),
-        rows(base.filter("stats IS NOT NULL"), 1, zero, _stats_line(F.col("source"), F.col("stats"))),
-        rows(base, 9, zero, zero),
-    ]
+    def fixed(part, line):
+        return F.struct(F.lit(part).alias("part"), F.lit("").alias("place"), line.alias("line"))
+
+    first, facts, last = fixed(0, header), fixed(1, _stats_line(F.col("source"), F.col("stats"))), fixed(9, F.lit(""))
+    own = F.when(F.col("stats").isNull(), F.array(first, last)).otherwise(F.array(first, facts, last))
+    parts = [base.select(*keys, "sort_day", each(own).alias("own")).select(*keys, "sort_day", "own.*")]
     order = F.array_position(F.array(*[F.lit(c) for c in _CATEGORY_ORDER]), F.col("category"))
     within = F.concat(F.lpad(order.cast("string"), 3, "0"), F.lit("|"), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
     of_day = F.col("section").startswith(COVERED_FACTS)
@@ -209,8 +209,8 @@ def ledger_text(lines: DataFrame) -> DataFrame:
     keys = ["tenant_id", "source"]
     order = [F.col("sort_day").asc_nulls_last(), F.col("entry_key"), F.col("part"), F.col("place"), F.col("line")]
     # Unknown days sort last, so the bucket puts them behind every real day.
-    bucket = F.struct(F.coalesce("sort_day", F.lit("9999-12-31").cast("date")), "entry_key", "part")
-    return fold_lines(ordinal(lines, keys, bucket, order), keys)
+    bucket = F.struct(F.coalesce("sort_day", F.lit("9999-12-31").cast("date")), "entry_key")
+    return fold_ordered(lines, keys, bucket, order)
 
 
 def staleness_lines(quiet: DataFrame) -> DataFrame:

@@ -35,11 +35,11 @@ def ledger_digest_units(entries, items, cover, reference_date, quiet=None) -> Da
     text = rendering.ledger_text(rendering.ledger_lines(entries, items, cover))
     today = F.concat(F.lit("TODAY'S DATE: "), today_text(reference_date), F.lit("\n\n---\n\n"))
     if quiet is None:
-        report = text.select("tenant_id").distinct().withColumn("report", F.lit(rendering.NO_QUIET_SENDERS))
+        joined = text.withColumn("report", F.lit(rendering.NO_QUIET_SENDERS))
     else:
-        lines = rendering.or_sentence(rendering.staleness_lines(quiet), text.select("tenant_id"), rendering.NO_QUIET_SENDERS)
+        lines = rendering.or_sentence(rendering.staleness_lines(quiet), entries.select("tenant_id"), rendering.NO_QUIET_SENDERS)
         report = rendering.lines_text(lines).select("tenant_id", F.col("text").alias("report"))
-    joined = text.join(report, "tenant_id", "left")
+        joined = text.join(report, "tenant_id", "left")
     mail = F.when(
         F.col("source") == "email",
         F.concat(F.lit("DETERMINISTIC SENDER STALENESS:\n\n"), F.col("report"), F.lit("\n\n---\n\n")),
