@@ -111,3 +111,40 @@ def test_progress_counts_late_rows_and_listeners_log_it(spark):
     for table in (own, log):
         assert one(progress.read_progress(spark, table).agg(F.sum("input_rows"), F.sum("late_rows"))) == (7, 3)
     assert rows(spark.read.schema(schema).parquet(out), "id") == [(1,), (2,), (6,)]
+
+
+def test_a_senders_mail_is_one_row_of_a_task():
+    import pandas as pd
+
+    batch = pd.DataFrame({"tenant_id": ["t", "t"], "email": ["a", "b"], "seen": [pd.Timestamp(5, unit="us")] * 2, "us": [5, 6]})
+    (merged,) = quiet_sender._pre_aggregate(iter([batch, batch.assign(us=9, seen=pd.Timestamp(9, unit="us")), batch.head(1)]))
+    assert merged[["email", "item_count", "first_us", "last_us"]].values.tolist() == [["a", 3, 5, 9], ["b", 2, 6, 9]]
+    assert list(merged["seen"]) == [pd.Timestamp(9, unit="us")] * 2
+
+
+def test_a_new_sender_costs_three_calls_of_the_state():
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, [1]
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                self.value = args[0] if name == "update" else self.value
+                return {"get": self.value, "listTimers": self.timers, "exists": self.value is not None}.get(name)
+
+            return call
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    state, senders = State(), quiet_sender.QuietSenders(3, 365)
+    senders._handle = senders._seen = state
+    rows_in = [Row(item_count=2, first_us=5, last_us=8), Row(item_count=1, first_us=4, last_us=6)]
+    assert list(senders.handleInputRows(("t", "a"), iter(rows_in), Times())) == []
+    assert state.value == (3, 4, 8, False) and state.calls == ["get", "update", "registerTimer"]
+    list(senders.handleInputRows(("t", "a"), iter(rows_in), Times()))
+    assert state.value == (6, 4, 8, False) and state.calls[3:] == ["get", "update", "listTimers", "deleteTimer", "registerTimer"]
