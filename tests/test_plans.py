@@ -308,3 +308,16 @@ def test_a_wave_reads_its_own_requests(spark, tmp_path, monkeypatch):
     assert rows(told, "unit_key", "response") == sorted((f"u{k}", f"TEXT {k}") for k in range(30))
     assert len(read) > 1 and all(read) and sum(map(len, read)) == len(set().union(*read))
     assert len(model_stage.stored_answers(spark, memory.path).inputFiles()) == len(read)
+
+
+def test_responses_are_checked_once(spark):
+    told = spark.createDataFrame([("t", "s", k, r, e) for k, r, e in (
+        ("good", 'so: {"found": [{"n": 1}, "x"], "none": {}}', None), ("empty", "{}", None), ("bare", "no JSON", None),
+        ("none", None, None), ("failed", None, "Timeout"))], "tenant_id string, stage string, unit_key string, response string, error string")
+    accepted, rejected = model_stage.check(told, {"found": ()})
+    assert rows(accepted, "unit_key", "payload") == [("good", '{"found": [{"n": 1}, "x"], "none": {}}')]
+    assert dict(rows(rejected, "unit_key", F.col("errors")[0])) == {
+        "empty": "Missing top-level key: 'found'", "bare": "Not a JSON text", "none": "No response", "failed": "Timeout"}
+    assert rows(model_stage.payload_items(accepted), "category", "ordinal", "payload") == [("found", 0, '{"n":1}'), ("found", 1, "x"), ("none", 0, "{}")]
+    for df in (accepted, rejected):
+        assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -73,8 +73,7 @@ def _item_errors(key: str, items: Column, required) -> Column:
 def _parsed(json_text: Column) -> Column:
     """The text as a variant, NULL unless the whole text is one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
-    values = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.try_variant_get(wrapped, "$[0]", "variant"))
+    return let(F.try_variant_get(wrapped, "$", "array<variant>"), lambda values: F.when(F.size(values) == 1, F.get(values, F.lit(0))))
 
 
 def schema_errors(json_text: Column, required: dict) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from worksignal import schemas
 from worksignal.functions.payload import extract_json, leaf_text, schema_errors
+from worksignal.functions.text import let
 from worksignal.session import discard, exists, fresh_path, settle
 
 _KEYS = ["tenant_id", "stage", "unit_key"]
@@ -173,14 +174,19 @@ def ask_and_check(reqs: DataFrame, answer, required: dict) -> tuple[DataFrame, D
 
 
 def check(responses: DataFrame, required: dict) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected). Accepted rows carry the JSON as `payload`; rejected ones their `errors`."""
-    payload = extract_json(F.col("response"))
-    rated = responses.withColumn("payload", payload).withColumn(
-        "errors",
-        F.when(F.col("error").isNotNull(), F.array("error"))
-        .when(F.col("response").isNull(), F.array(F.lit("No response")))
-        .otherwise(schema_errors(payload, required)),
-    )
+    """(accepted, rejected). Accepted rows carry the JSON as `payload`; rejected ones their `errors`.
+
+    The outcome is settled: each response is unwrapped and checked once, however often its outcome is read.
+    """
+    def outcome(payload):
+        errors = (
+            F.when(F.col("error").isNotNull(), F.array("error"))
+            .when(F.col("response").isNull(), F.array(F.lit("No response")))
+            .otherwise(schema_errors(payload, required))
+        )
+        return F.struct(payload.alias("payload"), errors.alias("errors"))
+
+    rated = settle(responses.select(*_KEYS, let(extract_json(F.col("response")), outcome).alias("o")).select(*_KEYS, "o.*"))
     accepted = rated.filter(F.size("errors") == 0).select(*_KEYS, "payload")
     return accepted, rated.filter(F.size("errors") > 0).select(*_KEYS, "errors")
 
@@ -195,14 +201,14 @@ def payload_items(accepted: DataFrame) -> DataFrame:
     at = _KEYS if "page" not in accepted.columns else [*_KEYS, "page"]
     parsed = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
     categories = accepted.withColumn("parsed", parsed).select(
-        *at, "parsed", F.explode(F.from_json("payload", "map<string,string>")).alias("category", "value")
+        *at, "parsed", F.explode_outer(F.from_json("payload", "map<string,string>")).alias("category", "value")
     )
     typed = categories.withColumn("typed", F.element_at("parsed", F.col("category")))
     is_list = F.schema_of_variant(F.col("typed")).startswith("ARRAY")
     inner = F.try_variant_get(F.col("typed"), "$", "array<variant>")
     kinds = F.when(is_list, F.transform(inner, F.schema_of_variant)).otherwise(F.array(F.schema_of_variant(F.col("typed"))))
     listed = F.when(is_list, F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    rows = typed.select(*at, "category", F.posexplode(F.arrays_zip(listed.alias("payload"), kinds.alias("kind"))).alias("pos", "i"))
+    rows = typed.select(*at, "category", F.posexplode_outer(F.arrays_zip(listed.alias("payload"), kinds.alias("kind"))).alias("pos", "i"))
     nested = F.col("i.kind").startswith("OBJECT") | F.col("i.kind").startswith("ARRAY")
     return rows.filter("i.payload IS NOT NULL").select(
         *_KEYS,
