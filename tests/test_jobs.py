@@ -203,3 +203,12 @@ def test_a_ledgers_lines_are_computed_once_for_its_text(spark, tmp_path):
     text = ledger_text(ledger_lines(entries.persist(), items.persist()))
     # Entries give their own lines and their items' place, items their lines.
     assert text._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 3
+
+
+def test_an_items_line_is_computed_once(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    day_ledger(spark, ledger)
+    entries, items, _ = runs.read_ledger_tables(spark, ledger)
+    plan = ledger_lines(entries, items)._jdf.queryExecution().optimizedPlan().toString()
+    # A deadline, a decision and an action name their subject.
+    assert plan.count("$.source_subject") == 3

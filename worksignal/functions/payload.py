@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.text import let, not_blank, strip
 
-_FENCE = "(?s)```(?:json)?\\s*\\n?(.*?)\\n?```"
 _BRACES = "(?s)\\{.*\\}"
 # Possessive throughout: a literal may be a whole document.
 _LITERAL = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"(?:\\s*+:)?'
 
 
 def extract_json(text: Column) -> Column:
-    """The fenced block, else the outermost braces, else the text itself."""
-    return (
-        F.when(text.rlike(_FENCE), strip(F.regexp_extract(text, _FENCE, 1)))
+    """The fenced block, else the outermost braces, else the text itself.
+
+    The text is cut at its first two fences: a lazy pattern for the block would step through it twice.
+    """
+    return let(F.split(text, "```", 3), lambda parts: (
+        F.when(F.size(parts) == 3, strip(F.regexp_replace(F.get(parts, F.lit(1)), "^json", "")))
         .when(text.rlike(_BRACES), F.regexp_extract(text, _BRACES, 0))
         .otherwise(text)
-    )
+    ))
 
 
 def leaf_strings(json_text: Column) -> Column:
@@ -58,14 +60,13 @@ def _item_errors(key: str, items: Column, required) -> Column:
             F.when(F.try_variant_get(item, f"$.{field}", "variant").isNull(), F.lit(f"'{field}'"))
             for field in required
         ]))
-        return let(
+        # Only an object has keys, so the type is asked for where one is missing.
+        return let(missing, lambda m: F.when(F.size(m) > 0, let(
             _type_name(item),
             lambda kind: F.when(kind != "dict", F.concat(name, F.lit(" expected an object, got "), kind)).otherwise(
-                let(missing, lambda m: F.when(
-                    F.size(m) > 0, F.concat(name, F.lit(" missing keys: ["), F.array_join(m, ", "), F.lit("]"))
-                ))
+                F.concat(name, F.lit(" missing keys: ["), F.array_join(m, ", "), F.lit("]"))
             ),
-        )
+        )))
 
     return F.array_compact(F.transform(items, check))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from worksignal.functions.constants import EXCERPT_TEXT_CHARS
 from worksignal.functions.dates import day_label
 from worksignal.functions.payload import field, field_or, filled_field_or
-from worksignal.functions.text import each, not_blank
+from worksignal.functions.text import each, kept, not_blank
 from worksignal.operators.ordered import fold_lines, fold_ordered, fold_runs, ordinal, range_buckets
 from worksignal.operators.task_signals import priority_rank
 from worksignal.schemas import COVERED_FACTS
@@ -188,7 +188,8 @@ def ledger_lines(entries: DataFrame, items: DataFrame, cover: DataFrame | None =
     order = F.array_position(F.array(*[F.lit(c) for c in _CATEGORY_ORDER]), F.col("category"))
     within = F.concat(F.lpad(order.cast("string"), 3, "0"), F.lit("|"), F.lpad(F.col("ordinal").cast("string"), 20, "0"))
     of_day = F.col("section").startswith(COVERED_FACTS)
-    said = items.withColumn("line", _item_line(F.col("source"), F.col("section"), F.col("category"), F.col("payload"))).filter("line IS NOT NULL")
+    line = _item_line(F.col("source"), F.col("section"), F.col("category"), F.col("payload"))
+    said = items.withColumn("line", kept(line, lambda text: text.isNotNull())).filter("line IS NOT NULL")
     if cover is not None:
         covered = cover.join(base.select(*keys, "sort_day"), keys)
         # Below every character of a day or note, so that a unit's lines stay together.
