@@ -183,3 +183,23 @@ def test_lines_in_order_are_joined_and_computed_once(spark):
         folded = fold_ordered(lines, ["g"], F.col("b"), [F.col("v")], run=run)
         assert rows(folded, "g", "text") == want
     assert folded._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_few_asked_keywords_are_found_as_by_the_whole_index(spark):
+    """Words beside letters beyond ASCII, marks at both ends, letters that are ASCII only when lower-cased."""
+    rng = random.Random(9)
+    parts = ["Pump", "pump", "multi-depot", "xmulti-depot", "cap-", "cap-x", "o'Brien", "depot", "tom", "tomás", "Ètom", "\u212aelvin", "kelvin", "depot\u0130",
+             "board_", "board", "board7", "--", "'", "the", "é", ",", "-pump-", "Straße"]
+    texts = [(rng.choice([" ", "", "-", "\n"])).join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None]
+    s = spark.createDataFrame([("a", "email", f"r{i}", t) for i, t in enumerate(texts)], "tenant_id string, source string, ref string, text string")
+    c = spark.createDataFrame([("a", f"c{i}", " ".join(rng.choice(parts) for _ in range(rng.randint(2, 6)))) for i in range(40)],
+                              "tenant_id string, claim_id string, text string")
+    for threshold in (None, 0.2):
+        few, whole = (rows(matching.keyword_matches(c, x, threshold)) for x in (s, matching.source_index(s)))
+        assert few and few == whole, threshold
+    asked = matching._asked(c)
+    index = matching.asked_index(s, asked)
+    assert index.count() == len(texts) and "kelvin" in asked.column("keyword").to_pylist()
+    own = rows(index.select("ref", F.explode("keywords").alias("k")))
+    whole = rows(matching.source_index(s).select("ref", F.explode("keywords").alias("k")))
+    assert own == [x for x in whole if x[1] in set(asked.column("keyword").to_pylist())]

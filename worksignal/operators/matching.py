@@ -4,11 +4,16 @@ claims: (tenant_id, claim_id, text); sources: (tenant_id, source, ref, text) wit
 (tenant_id, source, ref). A source matches a claim when it mentions at least
 `max(2, 40 % of the claim's keywords)`.
 
-Words are counted block of claims by block of sources (`blocks.py`), so no pair that fails the bar leaves a task.
+Words are counted block of claims by block of sources (`blocks.py`), so no pair that fails the bar leaves a task. Of
+sources read for one search whose claims have few different keywords, only these are kept (`asked_index`).
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 
 from worksignal.functions.constants import (
     COMMON_TERM_THRESHOLD,
+    KEYWORD_PATTERN,
     MIN_MATCH_RATIO,
     MIN_SOURCES_FOR_COMMON_FILTER,
 )
@@ -31,6 +37,10 @@ from worksignal.operators.blocks import BLOCK_TERMS, codes, compound_terms, flat
 from worksignal.session import discard, fresh_path, release, settle, spread
 
 _REF = ["tenant_id", "source", "ref"]
+_FEW_KEYWORDS = 50_000  # of all claims, sent to every task
+_BATCH_BYTES = 16 << 20
+# A run holds whole words and whole keywords.
+_RUN, _KEYWORD, _WORD = (re.compile(x) for x in (r"[\w'-]+", KEYWORD_PATTERN, r"(?<!\w)[a-z]+(?!\w)"))
 _MATCH = "tenant_id string, claim_id string, source string, ref string, n_matched int, n_keywords int"
 
 
@@ -59,10 +69,70 @@ def stored_index(sources: DataFrame) -> tuple[DataFrame, str]:
     return sources.sparkSession.read.parquet(path), path
 
 
-def term_counts(sources: DataFrame) -> DataFrame:
-    """(tenant_id, term, doc_count, n_sources) over the keywords of each tenant's sources."""
-    index = _indexed(sources)
-    totals = index.groupBy("tenant_id").agg(F.count("*").alias("n_sources"))
+def asked_index(sources: DataFrame, asked: pa.Table) -> DataFrame:
+    """(tenant_id, source, ref, terms, keywords) of the `asked` (keyword, hash) only.
+
+    `terms` are hashes of those the source mentions, `keywords` those that are its own keywords.
+    """
+    sources.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
+    texts = spread(sources).select(*_REF, "text")
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in _REF) + ", terms array<bigint>, keywords array<string>"
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = dict(zip(asked.column("keyword").to_pylist(), asked.column("hash").to_pylist()))
+        find = _finder(hashed)
+        for batch in batches:
+            found = [find(text or "") for text in batch.column("text").to_pylist()]
+            terms = pa.array([[hashed[k] for k in mentioned] for mentioned, _ in found], pa.list_(pa.int64()))
+            keywords = pa.array([list(own) for _, own in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _REF), terms, keywords], names=[*_REF, "terms", "keywords"])
+
+    return texts.mapInArrow(look_up, schema)
+
+
+def _finder(asked: Iterable[str]) -> Callable[[str], tuple[set, set]]:
+    """A function from a text to the asked keywords it mentions and those that are its own.
+
+    A run of letters is a word and a keyword; others, which are few, are taken apart.
+    """
+    asked, compound = frozenset(asked), defaultdict(list)
+    plain = frozenset(k for k in asked if k.isalpha())
+    for keyword in asked - plain:
+        tail = r"(?=\w)" if keyword[-1] in "'-" else r"(?!\w)"
+        compound[re.match("[a-z]+", keyword)[0]].append((keyword, re.compile(rf"(?<!\w){re.escape(keyword)}{tail}")))
+
+    def find(text: str) -> tuple[set, set]:
+        runs = set(_RUN.findall(text.lower()))
+        mentioned = set(plain & runs)
+        own = set(mentioned)
+        for run in [x for x in runs if not (x.isascii() and x.isalpha())]:
+            own.update(asked.intersection(_KEYWORD.findall(run)))
+            if "'" in run or "-" in run:
+                words = set(_WORD.findall(run))
+                mentioned |= plain & words
+                mentioned.update(k for w in words for k, pattern in compound.get(w, ()) if pattern.search(run))
+        if "\u0130" in text or "\u212a" in text:  # no ASCII letters, but lower-cased they are
+            own = {k for k in map(str.lower, _KEYWORD.findall(text)) if k in asked}
+        return mentioned, own
+
+    return find
+
+
+def _asked(claims: DataFrame) -> pa.Table | None:
+    """(keyword, hash) of the claims' keywords where these are few."""
+    words = claims.select(F.explode(prose_keywords(F.col("text"))).alias("keyword")).distinct()
+    found = words.select("keyword", F.xxhash64("keyword").alias("hash")).limit(_FEW_KEYWORDS + 1).toArrow()
+    return found if 0 < len(found) <= _FEW_KEYWORDS else None
+
+
+def term_counts(sources: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, term, doc_count, n_sources) over the keywords of each tenant's sources.
+
+    With `index`, over the keywords that this has of the sources.
+    """
+    if index is None:
+        index = sources = _indexed(sources)
+    totals = sources.groupBy("tenant_id").agg(F.count("*").alias("n_sources"))
     counts = (
         index.select("tenant_id", each(F.col("keywords")).alias("term"))
         .filter("term IS NOT NULL")
@@ -110,8 +180,14 @@ def claim_keywords(claims: DataFrame, counts: DataFrame | None) -> DataFrame:
 def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tuple[DataFrame, DataFrame, str]:
     """Claims and sources with the hashes of their words, as `meet` takes them, read from stored files; the claims' folder."""
     spark = claims.sparkSession
-    index = _indexed(sources)
-    counts = None if threshold is None else settle(term_counts(index).filter(_is_common(threshold)))
+    asked = None if "words" in sources.columns else _asked(claims)
+    if asked is None:
+        index = sources = _indexed(sources)
+    else:
+        path = fresh_path(spark, "asked-words")
+        asked_index(sources, asked).write.option("compression", "zstd").parquet(path)
+        index = spark.read.parquet(path)
+    counts = None if threshold is None else settle(term_counts(sources, index).filter(_is_common(threshold)))
     release(spark)
     path = fresh_path(spark, "claim-words")
     keywords = F.col("keywords")
@@ -120,6 +196,8 @@ def _sides(claims: DataFrame, sources: DataFrame, threshold: float | None) -> tu
         F.filter(keywords, is_compound).alias("compound"), F.col("n_keywords").alias("n_terms"), "needed",
     ).write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
+    if asked is not None:
+        return stored.drop("compound"), index.select(*_REF, "terms", F.size("terms").alias("n_terms")).filter("n_terms > 0"), path
     compound = compound_terms(stored.select("tenant_id", F.explode("compound").alias("keyword")), index.select(*_REF, "glued"), _REF)
     rows = index.select(*_REF, hashes(F.col("words")).alias("terms"), F.size("words").alias("n_terms"))
     return stored.drop("compound"), rows.unionByName(compound.withColumn("n_terms", F.size("terms"))), path
