@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from worksignal.functions.constants import PROSE_STOP_WORDS, TITLE_STOP_WORDS
-from worksignal.operators import blocks, crossref, matching
+from worksignal.operators import blocks, briefs, crossref, matching
 from worksignal.operators.ordered import fold_lines, fold_ordered, next_value, ordinal
 
 VOCABULARY = ["budget", "Budget", "pump", "multi-depot", "depot", "multi", "o'brien", "tomás", "Tom", "cap-", "review", "sla", "board", "onboard", "the"]
@@ -203,3 +203,17 @@ def test_few_asked_keywords_are_found_as_by_the_whole_index(spark):
     own = rows(index.select("ref", F.explode("keywords").alias("k")))
     whole = rows(matching.source_index(s).select("ref", F.explode("keywords").alias("k")))
     assert own == [x for x in whole if x[1] in set(asked.column("keyword").to_pylist())]
+
+
+def test_matches_are_computed_once_to_be_ranked(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    found = [("a", f"c{i % 3}", "email", f"r{i}", i % 5, 5) for i in range(40)]
+    schema = "tenant_id string, claim_id string, source string, ref string, n_matched int, n_keywords int"
+    ranked = briefs.ranked_refs(spark.createDataFrame(found, schema).mapInPandas(counted, schema))
+    assert ranked.filter("match_rank = 1").count() == 3 and seen.value == 40

@@ -16,6 +16,7 @@ from worksignal.functions.constants import (
 )
 from worksignal.functions.text import citable, let, not_blank, strip
 from worksignal.operators.ordered import fold_lines, ordinal, range_buckets
+from worksignal.session import settle
 
 _SOURCE_ORDER = ("email", "calendar", "notes", "task")
 
@@ -97,10 +98,13 @@ def _source_place(source: Column) -> Column:
 
 
 def ranked_refs(matches: DataFrame) -> DataFrame:
-    """Matches with `match_rank` per claim: best first, then by kind of source and ref."""
+    """Matches with `match_rank` per claim: best first, then by kind of source and ref.
+
+    Ranking reads the matches twice, to sample their ranges and to deal them out; they are settled, so that matching runs once.
+    """
     placed = matches.withColumn("__place", _source_place(F.col("source")))
     placed = placed.withColumn("__worse", -F.col("n_matched"))
-    ranged = range_buckets(placed, ["tenant_id", "claim_id", "__worse", "__place", "ref"])
+    ranged = range_buckets(settle(placed), ["tenant_id", "claim_id", "__worse", "__place", "ref"])
     order = [F.col("__worse"), F.col("__place"), F.col("ref")]
     ranked = ordinal(ranged, ["tenant_id", "claim_id"], F.col("range_bucket"), order, "match_rank")
     return ranked.drop("__place", "__worse", "range_bucket")
