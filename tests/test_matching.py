@@ -175,6 +175,32 @@ def test_best_items_are_the_same_whatever_the_blocks(spark):
     assert whole and whole == cut
 
 
+def test_pairs_leave_a_block_a_few_at_a_time(spark, monkeypatch):
+    """Whatever the number of pairs and however an entry's items lie over the ranges that are counted at once."""
+    rng = random.Random(9)
+    t = spark.createDataFrame([("a", f"T-{i}", text_of(rng, 4), "P1", "2024-05-04") for i in range(30)],
+                              "tenant_id string, id string, title string, priority string, due_date string")
+    i = spark.createDataFrame([("email", f"k{rng.randint(0, 4) * rng.randint(0, 4)}", i, text_of(rng, 6)) for i in range(150)],
+                              "source string, entry_key string, ordinal bigint, text string").select(
+        F.lit("a").alias("tenant_id"), "source", "entry_key", F.lit("delta").alias("section"), F.lit("x").alias("category"), "ordinal",
+        F.lit("2024-05-01").alias("day"), "text")
+    columns = ["task_id", "entry_key", "ordinal", "matched"]
+    want, tables = rows(crossref.best_items(t, i), *columns), []
+
+    def meet(queries, items, row_key, count, schema, block_terms):
+        tables.extend(count(queries.toArrow(), items.toArrow()))
+
+    monkeypatch.setattr(crossref, "meet", meet)
+    for side, some in ((8, None), (64, columns)):
+        tables.clear()
+        monkeypatch.setattr(blocks, "_SIDE", side)
+        monkeypatch.setattr(crossref, "_PAIRS", 10)
+        crossref.best_items(t, i, columns=some)
+        got = sorted((tuple(r[c] for c in columns) for x in tables for r in x.to_pylist()), key=repr)
+        assert len(want) > 100 and got == want
+        assert max(map(len, tables)) <= 10 and (some is None or tables[0].column_names == columns)
+
+
 def test_lines_in_order_are_joined_and_computed_once(spark):
     lines = spark.createDataFrame([("g", v // 4, v, f"line {v}") for v in range(23)] + [("h", None, 1, "b"), ("h", None, 0, "a"), ("h", 5, 0, "c"), (None, 1, 1, "x")],
                                   "g string, b int, v int, line string")

@@ -15,9 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
-
 from worksignal.functions.keywords import index_word, is_compound, mention_pattern, word_set
 from worksignal.session import settle
 
@@ -25,6 +22,7 @@ BLOCK_TERMS = 1 << 20
 _SIDE = 2048  # queries and rows counted at once
 _DENSE = 2048  # words of a matrix product at most
 _STEP = 1 << 20  # counts added at once
+_BATCH = 1 << 14  # rows given back at once
 _FEW_TENANTS = 10_000
 
 
@@ -56,9 +54,10 @@ def compound_terms(keywords: DataFrame, rows: DataFrame, key: list[str]) -> Data
 
 
 def meet(queries: DataFrame, rows: DataFrame, row_key: list[str], count, schema: str, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """`count(queries, rows)` for every block of a tenant's queries with every block of its rows, as Arrow tables.
+    """`count(queries, rows)`, Arrow tables one after the other, for every block of a tenant's queries with every block of its rows.
 
     Both have tenant_id, `terms` and n_terms, the number of these; a tenant's rows with equal `row_key` share a block. Queries are dealt by `query`.
+    A task holds two blocks and the table that `count` gives next, whatever the number of pairs.
     """
     def sizes(df, name):
         return df.groupBy("tenant_id").agg(F.ceil(F.sum("n_terms") / block_terms).cast("int").alias(name))
@@ -70,14 +69,24 @@ def meet(queries: DataFrame, rows: DataFrame, row_key: list[str], count, schema:
         at = F.pmod(F.xxhash64(*key), F.col(own)).cast("int")
         return df.join(blocks, "tenant_id").withColumns(
             {f"{own}_block": at, f"{other}_block": F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
-        ).drop("q", "r").groupBy("tenant_id", "q_block", "r_block")
+        ).drop("q", "r").withColumn("asks", F.lit(own == "q"))
 
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    names = {True: queries.columns, False: rows.columns}
 
-    def counted(q: pa.Table, r: pa.Table) -> pa.Table:
-        return count(q, r) if len(q) and len(r) else empty
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = {True: [], False: []}
+        for batch in batches:
+            for side, columns in names.items():
+                some = batch.select(columns).filter(pc.equal(batch.column("asks"), side))
+                if some.num_rows:
+                    sides[side].append(some)
+        if sides[True] and sides[False]:
+            q, r = (pa.Table.from_batches(sides.pop(side)) for side in (True, False))
+            for found in count(q, r):
+                yield from found.combine_chunks().to_batches(max_chunksize=_BATCH)
 
-    return dealt(queries, ["query"], "q", "r").cogroup(dealt(rows, row_key, "r", "q")).applyInArrow(counted, schema)
+    both = dealt(queries, ["query"], "q", "r").unionByName(dealt(rows, row_key, "r", "q"), allowMissingColumns=True)
+    return both.groupBy("tenant_id", "q_block", "r_block").applyInArrow(counted, schema)
 
 
 def flat(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +116,17 @@ def hits(
     A term that a query has several times counts as often. With `once`, queries found are looked for no further,
     the rows of most words being tried first.
     """
+    for _, _, *found in ranges(query, term, needed, row, word, once):
+        yield tuple(found)
+
+
+def ranges(
+    query: np.ndarray, term: np.ndarray, needed: np.ndarray, row: np.ndarray, word: np.ndarray, once: bool = False
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """`hits`, each with the range of its rows: (first row, first row of the next range, queries, rows, counts).
+
+    Without `once`, ranges come in the order of the rows, and each gives a query's pairs at once.
+    """
     vocabulary, term = np.unique(term, return_inverse=True)
     v = len(vocabulary)
     if not v or not len(word):
@@ -133,6 +153,7 @@ def hits(
     open_ = np.ones(len(needed), bool)
     for low in range(0, len(wide), _SIDE):
         a, b = np.searchsorted(row // _SIDE, (low // _SIDE, low // _SIDE + 1))
+        start_row, next_row = wide[low], wide[low + _SIDE] if low + _SIDE < len(wide) else len(place)
         rows, words = row[a:b] - low, word[a:b]
         n_row = np.bincount(words, minlength=v)
         start = np.cumsum(n_row) - n_row
@@ -152,7 +173,7 @@ def hits(
                 y = y[one]
                 open_[ids[x]] = False
             if len(x):
-                yield ids[x], wide[low + y], total[x, y].astype(np.int64)
+                yield start_row, next_row, ids[x], wide[low + y], total[x, y].astype(np.int64)
 
 
 def _counts(q, t, w, rows, words, n_row, start, n, kind) -> np.ndarray:

@@ -222,7 +222,7 @@ def keyword_matches(
 ) -> DataFrame:
     """(tenant_id, claim_id, source, ref, n_matched, n_keywords): every source clearing the bar."""
     queries, rows, _ = _sides(claims, sources, threshold)
-    return meet(queries, rows, _REF, lambda q, r: _mentions(q, r, False), _MATCH, block_terms)
+    return meet(queries, rows, _REF, lambda q, r: [_mentions(q, r, False)], _MATCH, block_terms)
 
 
 def matched_claims(
@@ -238,7 +238,7 @@ def matched_claims(
     queries, rows, path = _sides(claims, index, threshold)
 
     def found(some, among):
-        pairs = meet(some, among, _REF, lambda q, r: _mentions(q, r, True), _MATCH, block_terms)
+        pairs = meet(some, among, _REF, lambda q, r: [_mentions(q, r, True)], _MATCH, block_terms)
         return settle(pairs.select("tenant_id", F.col("claim_id").alias("query")).distinct())
 
     long = rows.groupBy("tenant_id").agg(F.percentile_approx("n_terms", 0.99).alias("long"))
