@@ -1,6 +1,7 @@
 import json
 import re
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -310,6 +311,40 @@ def test_a_wave_reads_its_own_requests(spark, tmp_path, monkeypatch):
     assert len(model_stage.stored_answers(spark, memory.path).inputFiles()) == len(read)
 
 
+def test_many_waves_are_few_jobs_and_a_death_loses_one_wave(spark, tmp_path, monkeypatch):
+    units = spark.createDataFrame([("t", f"u{k}", f"text {k:03d}") for k in range(200)], "tenant_id string, unit_key string, user_text string")
+    infer, asked = model_stage.infer, []
+
+    def answer(system_text, user_text):
+        return user_text.upper()
+
+    def dying(reqs, answer):
+        asked.append(reqs.count())
+        last = reqs.agg({"user_text": "max"}).first()[0]
+
+        def die(system_text, user_text):
+            if user_text == last:
+                time.sleep(8)  # until the other tasks are over
+                raise SystemExit
+            return answer(system_text, user_text)
+
+        return infer(reqs, die if len(asked) == 6 else answer)
+
+    monkeypatch.setattr(model_stage, "infer", dying)
+    reqs = model_stage.requests(units, "s", "")
+    memory = model_stage.Remembered(answer, str(tmp_path / "answers"), "m", wave=8)
+    with pytest.raises(Exception):
+        model_stage.ask(reqs, memory)
+    stored = model_stage.stored_answers(spark, memory.path)
+    assert len(asked) == 6 and sum(asked) == 200 and 200 - 8 <= stored.count() < 200
+    told = model_stage.ask(reqs, memory)
+    assert rows(told, "unit_key", "response") == sorted((f"u{k}", f"TEXT {k:03d}") for k in range(200))
+    assert stored.sparkSession.read.parquet(memory.path).count() == 200 and sum(asked[6:]) <= 8
+    asked.clear()
+    few = model_stage.ask(model_stage.requests(units.limit(30), "s", "briefly"), memory._replace(wave=10), tasks=2)
+    assert few.count() == 30 and len(asked) <= 3
+
+
 def test_responses_are_checked_once(spark):
     told = spark.createDataFrame([("t", "s", k, r, e) for k, r, e in (
         ("good", 'so: {"found": [{"n": 1}, "x"], "none": {}}', None), ("empty", "{}", None), ("bare", "no JSON", None),

@@ -35,7 +35,8 @@ class Remembered(NamedTuple):
     """A callable whose answers are kept in the table at `path`, by `model` and the request's content.
 
     Requests are asked in waves of about `wave`, each stored before the next is asked: a job that dies
-    loses one wave's answers at most.
+    loses one wave's answers at most. After the first two, waves are asked in rounds of as many waves as are stored by then. A
+    round is one job, whose tasks together hold one wave at a time and whose answers are stored as each task ends.
     """
 
     answer: Callable[[str, str], str]
@@ -143,19 +144,28 @@ def _ask_once(reqs: DataFrame, memory: Remembered, tasks: int, fits: Callable[[C
     )
     open_ones = settle(open_ones)
     waves = -(-open_ones.count() // memory.wave)
-    # A folder for each wave, so that a wave reads its own requests only, and a file for its answers.
+    # A folder for each round of waves, so that a round reads its own requests only: waves 0, 1, 2 to 3, 4 to 7 and so on. Fewer
+    # tasks than the cluster runs at once say how many requests may be asked at once; then each wave is a round.
+    joined = tasks >= spark.sparkContext.defaultParallelism
     path = fresh_path(spark, "waves")
     if waves:
         number = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int")
-        open_ones.withColumn("wave", number).repartition("wave").write.partitionBy("wave").parquet(path)
-    for k in range(waves):
-        if not exists(spark, f"{path}/wave={k}"):  # few requests may leave a wave without any
+        at = F.when(F.col("wave") > 0, F.length(F.bin("wave"))).otherwise(0) if joined else F.col("wave")
+        open_ones.withColumn("wave", number).repartition("wave").withColumn("round", at).drop("wave").write.partitionBy("round").parquet(path)
+    for k in range((waves - 1).bit_length() + 1 if joined else waves):
+        if not exists(spark, f"{path}/round={k}"):  # few requests may leave a wave without any
             continue
-        wave = spark.read.schema(open_ones.schema).parquet(f"{path}/wave={k}")
-        infer(wave.repartition(tasks), memory.answer).select(
+        some = spark.read.schema(open_ones.schema).parquet(f"{path}/round={k}")
+        together = min(1 << (k - 1), waves - (1 << (k - 1))) if joined and k > 1 else 1
+        dealt = some.repartition(tasks) if together == 1 else some.repartition(together * tasks, "unit_key")
+        told = infer(dealt, memory.answer).select(
             F.col("unit_key").alias("key"), F.lit(memory.model).alias("model"), "stage", "response", "error", F.lit(call).alias("call"),
             F.current_timestamp().alias("asked_at"),
-        ).repartition(1).write.mode("append").parquet(memory.path)
+        )
+        if together == 1:
+            told.repartition(1).write.mode("append").parquet(memory.path)
+        else:  # by version 2 a task's answers are in their place once it ends, and stay there if the job fails
+            told.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(memory.path)
     if waves:
         discard(spark, path)
     told = stored_answers(spark, memory.path).filter(F.col("call") == call).select("key", "response", "error")
